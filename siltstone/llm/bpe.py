@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from .textnum import slices
 
 NONE = np.iinfo(np.int32).max
+KNOWN = 400_000
 
 
 class Vocabulary:
@@ -52,6 +53,7 @@ class Vocabulary:
                     left.append(a)
                     right.append(b)
                     made.append(rank)
+        self._forget()
         self._build(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -94,19 +96,24 @@ class Vocabulary:
             open_ = tuple(x[rest] for x in open_)
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in one pool, with each piece's start and length there."""
+        start, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         widths = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        pool, filled = [np.zeros(0, np.int32)], 0
         for width in np.unique(widths):
             members = np.flatnonzero(widths == width)
-            rows = max(1, (1 << 22) // int(width))  # bounds a matrix to some 4 million cells
+            rows = max(1, (1 << 21) // int(width))  # bounds a matrix to some two million cells
             for i in range(0, len(members), rows):
-                self._merge_matrix(pieces, members[i : i + rows], sizes, int(width), out)
-        return out  # type: ignore[return-value]
-
-    def _merge_matrix(self, pieces: list[bytes], members: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
+                for done, n, ids in self._merge_matrix(pieces, members[i : i + rows], sizes, int(width)):
+                    length[done] = n
+                    start[done] = filled + np.cumsum(n) - n
+                    pool.append(ids)
+                    filled += len(ids)
+        return start, length, np.concatenate(pool)
+
+    def _merge_matrix(self, pieces: list[bytes], members: np.ndarray, sizes: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         joined = np.frombuffer(b"".join([pieces[i] for i in members]), np.uint8)
         n = sizes[members]
         ids = np.full((len(members), width), -1, np.int32)
@@ -120,8 +127,8 @@ class Vocabulary:
             best = ranks[row, j]
             done = best == NONE
             if done.any():
-                for k in np.flatnonzero(done):
-                    out[members[k]] = ids[k, : n[k]].copy()
+                ended = ids[done]
+                yield members[done], n[done], ended[ended >= 0]
                 keep = ~done
                 ids, ranks, members, n, j, best = ids[keep], ranks[keep], members[keep], n[keep], j[keep], best[keep]
                 if not len(members):
@@ -141,26 +148,41 @@ class Vocabulary:
             inner = j > 0
             ranks[row[inner], j[inner] - 1] = self.pair_ranks(ids[row[inner], j[inner] - 1], ids[row[inner], j[inner]])
 
+    def _learn(self, new: list[str]) -> None:
+        """Add pieces to those whose ids are known."""
+        raw = [p.encode() for p in new]
+        whole = np.array([self.rank.get(p, -1) for p in raw], np.int64)
+        start, length = np.zeros(len(raw), np.int64), np.ones(len(raw), np.int64)
+        direct, rest = np.flatnonzero(whole >= 0), np.flatnonzero(whole < 0)
+        start[direct] = len(self.pool) + np.arange(len(direct))
+        at, n, pool = self.merge([raw[i] for i in rest])
+        start[rest], length[rest] = len(self.pool) + len(direct) + at, n
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.at = np.concatenate((self.at, start))
+        self.n = np.concatenate((self.n, length))
+        self.pool = np.concatenate((self.pool, whole[direct].astype(np.int32), pool))
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.at, self.n, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and len + 1 offsets."""
-        index: dict[str, int] = {}
-        codes, counts = [], []
+        pieces: list[str] = []
+        upto = [0]
         for text in texts:
-            found = self.split(text)
-            counts.append(len(found))
-            codes.extend([index.setdefault(p, len(index)) for p in found])
-        distinct = [p.encode() for p in index]
-        ids: list[np.ndarray | None] = [None if (r := self.rank.get(p)) is None else np.array([r], np.int32) for p in distinct]
-        unknown = [i for i, x in enumerate(ids) if x is None]
-        for i, got in zip(unknown, self.merge([distinct[i] for i in unknown]), strict=True):
-            ids[i] = got
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = np.concatenate(([0], np.cumsum(length)[:-1])) if len(ids) else np.zeros(0, np.int64)
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        code = np.array(codes, np.int64)
-        out = pool[spread(start[code], length[code])]
-        at = np.concatenate(([0], np.cumsum(length[code])))
-        return out, at[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+            pieces += self.split(text)
+            upto.append(len(pieces))
+        distinct = set(pieces)
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > KNOWN:  # start afresh, which bounds the memory
+            self._forget()
+            new = distinct
+        if new:
+            self._learn(list(new))
+        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.concatenate(([0], np.cumsum(self.n[code])))
+        return self.pool[spread(self.at[code], self.n[code])], ends[upto]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes in a row, and where each id's bytes begin (len + 1)."""

@@ -27,6 +27,13 @@ def op3_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(pieces, size=2048)
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judged(docs).drop("lang")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
