@@ -27,6 +27,12 @@ def op3_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(pieces, size=2048)
 
 
+def op4_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
