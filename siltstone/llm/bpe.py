@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textnum import slices
+from .textnum import slices, spread
 
 NONE = np.iinfo(np.int32).max
 KNOWN = 400_000
@@ -190,14 +190,6 @@ class Vocabulary:
         return self.bytes[spread(self.start[ids], length)], np.concatenate(([0], np.cumsum(length)))
 
 
-def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for length[0] numbers, then start[1] and so on."""
-    end = np.cumsum(length)
-    if not len(end):
-        return np.zeros(0, np.int64)
-    return np.repeat(start - (end - length), length) + np.arange(end[-1])
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
