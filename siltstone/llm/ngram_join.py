@@ -375,3 +375,9 @@ def classes(docs: DataFrame) -> DataFrame:
     return placed.join(smallest, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those linked to one with a smaller id, and without repeats of a row's id and text."""
+    losers = classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -107,9 +107,9 @@ def _histogram(text_of: np.ndarray, place: np.ndarray, texts: int, places: int)
     return np.bincount(text_of * places + place, minlength=texts * places).reshape(texts, places)
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the base statistics, ``classes`` and ``commons`` (histograms)."""
-    kept = [c for c in docs.columns if c not in {text, *STATS, "classes", "commons"}]
+def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the base statistics, ``classes`` and ``commons`` (histograms); its text goes unless it is kept."""
+    kept = [c for c in docs.columns if c not in {*STATS, "classes", "commons"} and (keep_text or c != text)]
     arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("classes", "commons")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in STATS] + arrays)
     places = len(WORD_HASHES) + 1
@@ -136,7 +136,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
                     [part.column(c) for c in kept] + [pa.array(s, pa.int64()) for s in stats] + [nested(classes), nested(commons)], names=schema.names
                 )
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
 def references(counts: DataFrame) -> DataFrame:
@@ -171,24 +171,40 @@ def _with_distances(counts: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50, trim: float = 0.2) -> DataFrame:
-    """Base statistics, base_failed, the two distances and kept, for every document.
-
-    The references are made twice: first from all documents that pass the base rule, then from
-    those of them whose character classes lie within ``trim`` of a first reference, so that junk
-    does not pull the references towards itself.
-    """
-    counts = stage(counted(docs), "quality-counts")
-    kept = [c for c in counts.columns if c not in ("classes", "commons")]
+def _with_totals(counts: DataFrame) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = counts.withColumn("chars", total("classes")).withColumn("tokens", total("commons")).withColumn("base_failed", failed)
-    sound = rows.filter(~F.col("base_failed"))
+    return counts.withColumn("chars", total("classes")).withColumn("tokens", total("commons")).withColumn("base_failed", failed)
+
+
+def learned_references(counts: DataFrame, trim: float = 0.2) -> DataFrame:
+    """The references, made twice: first from all documents that pass the base rule, then from those
+    of them whose character classes lie within ``trim`` of a first reference, so that junk does
+    not pull the references towards itself.
+    """
+    sound = _with_totals(counts).filter(~F.col("base_failed"))
     first = _with_distances(sound, references(sound))
-    refs = references(first.filter(F.col("class_distance") <= trim))
+    return references(first.filter(F.col("class_distance") <= trim))
+
+
+def with_verdicts(counts: DataFrame, refs: DataFrame, max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+    """``counts`` without the histograms, with base_failed, the two distances and kept."""
+    kept = [c for c in counts.columns if c not in ("classes", "commons")]
     far = ((F.col("chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("tokens") >= min_words) & (F.col("common_distance") > max_common))
     return (
-        _with_distances(rows, refs)
+        _with_distances(_with_totals(counts), refs)
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
         .select(*kept, "base_failed", "class_distance", "common_distance", "kept")
     )
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Base statistics, base_failed, the two distances and kept, for every document, without the text."""
+    counts = stage(counted(docs), "quality-counts")
+    return with_verdicts(counts, learned_references(counts))
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, whole; the histograms are counted again with the texts, which needs no join."""
+    refs = learned_references(stage(counted(docs), "quality-counts"))
+    return with_verdicts(counted(docs, keep_text=True), refs).filter("kept").select(*docs.columns)
