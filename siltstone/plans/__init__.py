@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""Registered queries and composed jobs, by subject."""
+
+REGISTERED = ("search",)
