@@ -19,8 +19,8 @@ sizes a and b reach a Jaccard of 0.75 only if they differ in at most d = (a + b)
   becomes a star around its smallest member, never all pairs. Star pairs pass the Hamming
   bound and are then verified on the texts. Buckets whose members do not all fall into one
   component by that are settled exactly: members of different components are compared, in small
-  buckets by a join, in large ones block against block by their sketches; survivors are
-  verified on the texts too.
+  buckets by a join, in large ones block against block, where only pairs that are not yet joined
+  are verified, the nearest first. No step gives all pairs of a group.
 * Components spread by smallest labels and pointer jumping over the verified links.
 
 Documents with equal sets share one representative from the start, and a token that many
@@ -53,6 +53,7 @@ SMALL_BAND = 6
 LOCAL_STAR = 32
 SMALL_BUCKET = 32
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 TOKENS_A_PART = 1_500_000
 
 
@@ -316,38 +317,77 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _across(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs to test in buckets whose members lie in several components: (bucket, sid, root) rows in, (a, b) out."""
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components, with the bucket's size."""
     per_bucket = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = members.join(per_bucket.filter("low <> high").select("bucket", "size"), "bucket")
+    return members.join(per_bucket.filter("low <> high").select("bucket", "size"), "bucket")
+
+
+def _few(open_: DataFrame) -> DataFrame:
+    """All pairs across components in small buckets: at most SMALL_BUCKET / 2 a member."""
     small = open_.filter(F.col("size") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("sid").alias("b"), F.col("root").alias("root_b"))
-    few = small.join(other, "bucket").filter("sid < b AND root <> root_b").select(F.col("sid").alias("a"), "b")
-    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sketches.select("sid", "n", "sketch"), "sid")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    spread = large.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return small.join(other, "bucket").filter("sid < b AND root <> root_b").select(F.col("sid").alias("a"), "b").distinct()
+
+
+def _links_in_blocks(open_: DataFrame, sketches: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components within large buckets.
+
+    A bucket is dealt into blocks by rows and by shingles, every two blocks meet in one group with
+    their texts. There the pairs that the Hamming bound allows are verified from the nearest on; a
+    pair whose ends are already joined is passed over, so a group gives a forest, at most a link a member.
+    """
+    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sketches.select("sid", "n"), "sid")
+    weight = large.groupBy("bucket").agg(F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = large.join(weight, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    owner = owners.join(placed.select("sid").distinct(), "sid").withColumnRenamed("doc_id", "owner_id")
+    texts = stage(docs.select("doc_id", "text").join(owner, F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("sid", "text"), "block-texts")
+    spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with"))
+    spread = spread.join(texts, "sid").select("bucket", "low", "high", "own", "sid", "root", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        x = table.select(["sid", "root", "n", "sketch", "own"]).to_pydict()
-        sid, root, n, own = (np.array(x[c], np.int64) for c in ("sid", "root", "n", "own"))
-        size = min(map(len, x["sketch"]))
-        bits = np.stack([folded(s, size) for s in x["sketch"]])
-        out_a, out_b = [], []
-        one_block = len(np.unique(own)) == 1
-        for i in range(len(sid)):
-            far = np.bitwise_count(bits ^ bits[i]).sum(1, dtype=np.int64)
-            ok = (root != root[i]) & (sid > sid[i]) & (far <= (n + n[i]) // 7) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            if not one_block:
-                ok &= own != own[i]
-            hit = sid[ok]
-            out_a.append(np.full(len(hit), sid[i]))
-            out_b.append(hit)
-        return pa.table([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    many = spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
-    return few.unionByName(many).distinct()
+        x = table.select(["sid", "root", "own"]).to_pydict()
+        rows = {}
+        at = 0
+        for batch in table.select(["text"]).combine_chunks().to_batches():
+            for part, data, offsets in slices(batch, "text"):
+                for s in shingle_sets(data, offsets):
+                    if set_key(s) == x["sid"][at]:  # an id may have rows with other texts
+                        rows[x["sid"][at]] = (x["root"][at], x["own"][at], s)
+                    at += 1
+        sid, sets = list(rows), [r[2] for r in rows.values()]
+        own = np.array([r[1] for r in rows.values()], np.int64)
+        n = np.array([len(s) for s in sets], np.int64)
+        found: list[tuple[int, int]] = []
+        if len(sid) > 1:
+            size = min(len(sketch_of(s)) for s in sets)
+            bits = np.stack([folded(sketch_of(s), size) for s in sets])
+            group = {r: r for r, _, _ in rows.values()}
+
+            def top(r: int) -> int:
+                while group[r] != r:
+                    group[r] = group[group[r]]
+                    r = group[r]
+                return r
+
+            home = [r[0] for r in rows.values()]
+            near = []
+            one_block = len(np.unique(own)) == 1
+            for i in range(len(sid) - 1):
+                j = np.arange(i + 1, len(sid))
+                far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                ok = (far <= (n[j] + n[i]) // 7) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))
+                near.append(np.stack((far[ok], np.full(ok.sum(), i), j[ok]), 1))
+            pairs = np.concatenate(near)
+            for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+                if (p := top(home[i])) != (q := top(home[j])) and linked(sets[i], sets[j]):
+                    group[p] = q
+                    found.append((sid[i], sid[j]))
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -365,9 +405,10 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = components(links)
     members = found.filter("bucket IS NOT NULL").select("bucket", "sid").distinct()
     members = stage(members.join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "members")
-    more = stage(surviving(_across(members, sketches), sketches), "survivors")
-    if not more.isEmpty():
-        more = stage(verified(more, docs, owners), "cross-links")
+    open_ = stage(_unsettled(members), "unsettled")
+    if not open_.isEmpty():
+        few = verified(stage(surviving(_few(open_), sketches), "survivors"), docs, owners)
+        more = stage(few.unionByName(_links_in_blocks(open_, sketches, docs, owners)), "cross-links")
         if not more.isEmpty():
             nodes = components(links.unionByName(more))
     placed = rows.select("doc_id", "n", "sid").join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
