@@ -39,7 +39,7 @@ def pairs(claims: DataFrame) -> DataFrame:
     return side("a").join(side("b"), KEY).filter("claim_id_a < claim_id_b AND source_a <> source_b")
 
 
-def compared(paired: DataFrame, pct_limit: float = 5.0, abs_limit: float = 0.5, signed_mean: bool = False) -> DataFrame:
+def compared(paired: DataFrame, pct_limit: float = 5.0, abs_limit: float = 0.5, signed_mean: bool = False, digits: int = 4) -> DataFrame:
     """Adds abs_diff, pct_diff, is_conflict and severity.
 
     The percentage is of the mean's absolute value; ``signed_mean`` takes the mean as it is,
@@ -51,7 +51,7 @@ def compared(paired: DataFrame, pct_limit: float = 5.0, abs_limit: float = 0.5,
     pct = F.when(base == 0, F.lit(0.0)).otherwise(diff / base * 100)
     over = (pct > pct_limit) | (F.col("is_ratio_a") & (diff > abs_limit))
     return (
-        paired.withColumn("abs_diff", F.round(diff, 4))
+        paired.withColumn("abs_diff", F.round(diff, digits))
         .withColumn("pct_diff", F.round(pct, 2))
         .withColumn("is_conflict", over)
         .withColumn("severity", C.severity(pct))

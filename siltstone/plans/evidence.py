@@ -56,7 +56,7 @@ CLAIMS_SQL = f"""claims AS (
 ), compared AS (
   SELECT *, CASE WHEN base = 0 THEN 0.0 ELSE diff / base * 100 END AS pct FROM pairs
 ), conflicts AS (
-  SELECT *, CASE WHEN pct < 5 THEN 'Minor' WHEN pct < 20 THEN 'Moderate' ELSE 'Major' END AS severity, round(diff, 4) AS abs_diff, round(pct, 2) AS pct_diff FROM compared
+  SELECT *, CASE WHEN pct < 5 THEN 'Minor' WHEN pct < 20 THEN 'Moderate' ELSE 'Major' END AS severity, round(diff, 8) AS abs_diff, round(pct, 2) AS pct_diff FROM compared
 )"""
 
 
@@ -72,7 +72,7 @@ def distinct_source_gate(spark, sf_dir):
 
 @query(f"WITH {CLAIMS_SQL} SELECT metric, entity, period, claim_id_a, claim_id_b, abs_diff, pct_diff, severity FROM conflicts")
 def claim_pairs(spark, sf_dir):
-    paired = M.compared(M.pairs(M.latest_per_source(M.keyed(claims(spark, sf_dir)))))
+    paired = M.compared(M.pairs(M.latest_per_source(M.keyed(claims(spark, sf_dir)))), digits=8)
     return paired.select("metric", "entity", "period", "claim_id_a", "claim_id_b", "abs_diff", "pct_diff", "severity")
 
 
