@@ -41,7 +41,7 @@ NUMBER = re.compile(r"""(?i)\b(start|value|colspan)\s*=\s*["']?\s*(\d{1,6})""")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg select datalist".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg select datalist".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCKS = SET_OFF | frozenset(

@@ -59,9 +59,9 @@ def lines_to_signatures(lines: Column) -> Column:
 
 
 def fingerprint(sigs: Column) -> Column:
-    """Base64 of the sorted hashes, four bytes each."""
+    """Base64 of the sorted hashes, four bytes each, on one line."""
     byte_pairs = F.transform(sigs, lambda s: F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.base64(F.unhex(F.array_join(byte_pairs, "")))
+    return F.translate(F.base64(F.unhex(F.array_join(byte_pairs, ""))), "\r\n", "")
 
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
