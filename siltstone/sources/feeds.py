@@ -20,7 +20,7 @@ def json_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*.{txt,md,csv}") -> DataFrame:
     """One row a file: path, text, file_hash."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.md5(F.col("value").cast("binary")).alias("file_hash"))
 
 
