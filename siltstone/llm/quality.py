@@ -3,15 +3,14 @@
 A document's histogram over character classes and its histogram over common words (with one
 place for all other words) are compared with those of each language by the Jensen-Shannon
 distance (the root of the divergence in bits, 0 to 1). The language references are the summed
-histograms of all documents with that language tag; a language that has less than a thousandth of
+histograms of all documents with that language tag; a language that has less than a hundredth of
 all characters makes no reference of its own. A document counts by its nearest reference, so a
 wrong tag costs nothing. It is rejected if it is far from every language in either respect,
 where the respect has enough of the text to judge: ``min_chars`` characters, ``min_words`` words.
 
 The counting is one pass of numpy over the bytes of each Arrow batch; sums, references and
-verdicts are Spark SQL on the small table of counts. Only the references, one row a language,
-meet the counts again, by a join on nothing but the few languages kept (at most 1000 by the
-thousandth rule, which is the bound of what is broadcast).
+verdicts are Spark SQL on the small table of counts. Only the references, at most a hundred rows
+by the rule above, pass through the driver and meet the counts again as literals.
 
 Defined results: null text has no words, fails the base rule and is not kept; null languages
 form a group of their own; repeated rows are judged alike; an empty table gives an empty
@@ -139,14 +138,20 @@ def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Dat
     return docs.select(*kept, *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
-def references(counts: DataFrame) -> DataFrame:
-    """lang, class_share and common_share (arrays of doubles) of each language with enough text."""
-    summed = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    tops = counts.groupBy("lang").agg(summed("classes", len(CLASSES)).alias("classes"), summed("commons", len(WORD_HASHES) + 1).alias("commons"))
-    everything = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    grand = counts.agg(F.sum(everything).alias("grand"))
-    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda a, y: a + y), F.lit(1)))
-    return tops.crossJoin(F.broadcast(grand)).filter(everything * 1000 >= F.col("grand")).select("lang", share("classes").alias("class_share"), share("commons").alias("common_share"))
+Reference = tuple[str | None, list[float], list[float]]
+
+
+def references(counts: DataFrame, most: int = 100) -> list[Reference]:
+    """(lang, shares of the classes, shares of the words) of each language that has a hundredth of all characters.
+
+    At most ``most`` rows, which is what a hundredth allows, reach the driver.
+    """
+    summed = lambda c, n: F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(n)])
+    tops = counts.groupBy("lang").agg(summed("classes", len(CLASSES)).alias("classes"), summed("commons", len(WORD_HASHES) + 1).alias("commons"), F.sum("chars").alias("chars"))
+    grand = counts.agg(F.sum("chars").alias("n")).first().n or 0
+    rows = tops.filter(F.col("chars") * most >= grand).orderBy(F.desc("chars"), "lang").limit(most).collect()
+    share = lambda values: [v / max(sum(values), 1) for v in values]
+    return [(r.lang, share(r.classes), share(r.commons)) for r in rows]
 
 
 def js_distance(counts: Column, total: Column, reference: Column) -> Column:
@@ -160,15 +165,16 @@ def js_distance(counts: Column, total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def _with_distances(counts: DataFrame, refs: DataFrame) -> DataFrame:
-    every = refs.agg(F.collect_list(F.struct("lang", "class_share", "common_share")).alias("refs"))
-    nearest = lambda c, total, share: F.array_min(F.transform("refs", lambda r: js_distance(F.col(c), F.col(total), r[share])))
-    return (
-        counts.crossJoin(F.broadcast(every))
-        .withColumn("class_distance", F.round(nearest("classes", "chars", "class_share"), 6))
-        .withColumn("common_distance", F.round(nearest("commons", "tokens", "common_share"), 6))
-        .drop("refs")
-    )
+def _with_distances(counts: DataFrame, refs: list[Reference]) -> DataFrame:
+    """Adds class_distance and common_distance to the nearest reference, which stand in the plan as literals; null without any."""
+
+    def nearest(column: str, total: str, shares: list[list[float]]) -> Column:
+        if not shares:
+            return F.lit(None).cast("double")
+        known = F.array(*[F.lit(s) for s in shares])
+        return F.round(F.array_min(F.transform(known, lambda r: js_distance(F.col(column), F.col(total), r))), 6)
+
+    return counts.withColumn("class_distance", nearest("classes", "chars", [r[1] for r in refs])).withColumn("common_distance", nearest("commons", "tokens", [r[2] for r in refs]))
 
 
 def _with_totals(counts: DataFrame) -> DataFrame:
@@ -177,7 +183,7 @@ def _with_totals(counts: DataFrame) -> DataFrame:
     return counts.withColumn("chars", total("classes")).withColumn("tokens", total("commons")).withColumn("base_failed", failed)
 
 
-def learned_references(counts: DataFrame, trim: float = 0.2) -> DataFrame:
+def learned_references(counts: DataFrame, trim: float = 0.2) -> list[Reference]:
     """The references, made twice: first from all documents that pass the base rule, then from those
     of them whose character classes lie within ``trim`` of a first reference, so that junk does
     not pull the references towards itself.
@@ -187,7 +193,7 @@ def learned_references(counts: DataFrame, trim: float = 0.2) -> DataFrame:
     return references(first.filter(F.col("class_distance") <= trim))
 
 
-def with_verdicts(counts: DataFrame, refs: DataFrame, max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+def with_verdicts(counts: DataFrame, refs: list[Reference], max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """``counts`` without the histograms, with base_failed, the two distances and kept."""
     kept = [c for c in counts.columns if c not in ("classes", "commons")]
     far = ((F.col("chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("tokens") >= min_words) & (F.col("common_distance") > max_common))
