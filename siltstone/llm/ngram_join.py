@@ -77,9 +77,9 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.add.reduce(mix(shingles ^ U(0x5851F42D4C957F2D))).astype(np.int64))
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """Parity of two or more bits a shingle; the width is a power of two, so that a wide sketch folds onto a narrow one."""
-    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+def sketch_of(shingles: np.ndarray, density: int = 2) -> bytes:
+    """Parity of ``density`` or more bits a shingle; the width is a power of two, so that a wide sketch folds onto a narrow one."""
+    bits = max(64, 1 << int(density * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles * MULTIPLIER) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -362,8 +362,9 @@ def _links_in_blocks(open_: DataFrame, sketches: DataFrame, docs: DataFrame, own
         n = np.array([len(s) for s in sets], np.int64)
         found: list[tuple[int, int]] = []
         if len(sid) > 1:
-            size = min(len(sketch_of(s)) for s in sets)
-            bits = np.stack([folded(sketch_of(s), size) for s in sets])
+            wide = [sketch_of(s, 16) for s in sets]  # so wide that few pairs pass that do not link
+            size = min(map(len, wide))
+            bits = np.stack([folded(w, size) for w in wide])
             group = {r: r for r, _, _ in rows.values()}
 
             def top(r: int) -> int:

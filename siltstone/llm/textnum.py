@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(MULTIPLIER), -1, 1 << 64))
