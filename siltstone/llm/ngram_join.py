@@ -51,7 +51,7 @@ from .textnum import MULTIPLIER, U, mix, slices, span_hashes, windows, words
 CELLS = 1 << 18
 SMALL_BAND = 6
 LOCAL_STAR = 32
-SMALL_BUCKET = 32
+SMALL_BUCKET = 15
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 TOKENS_A_PART = 1_500_000
