@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stage
+from .shared import set_aside, stage
 from .textnum import U, WHITE, per_text, runs, slices, span_hashes, windows, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SCRATCH = ("classes", "commons", "chars", "tokens", "base_failed", "class_distance", "common_distance", "kept")
 SYMBOLS = b"#*$%&|<>"
 #: Frequent words of four languages, without those that only their accents tell apart.
 REFERENCE_WORDS = (
@@ -212,5 +213,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, whole; the histograms are counted again with the texts, which needs no join."""
-    refs = learned_references(stage(counted(docs), "quality-counts"))
-    return with_verdicts(counted(docs, keep_text=True), refs).filter("kept").select(*docs.columns)
+    columns = docs.columns
+    docs, back = set_aside(docs, (*STATS, *SCRATCH))
+    refs = learned_references(stage(counted(docs.select("lang", "text")), "quality-counts"))
+    return with_verdicts(counted(docs, keep_text=True), refs).filter("kept").withColumnsRenamed(back).select(*columns)

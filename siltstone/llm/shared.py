@@ -34,6 +34,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed, and how to name them again: for steps that add columns of their own for a while."""
+    other = {c: f"{c}__own" for c in df.columns if c in names}
+    return df.withColumnsRenamed(other), {new: old for old, new in other.items()}
+
+
 def discard(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when no result that reads them is pending."""
     for path in _written.pop(spark.sparkContext.applicationId, []):

@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from siltstone.llm import quality, queries
 from tests.conftest import SF_DIR
@@ -50,4 +51,6 @@ def test_awkward_rows(awkward, nothing):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(text)
     assert rows[0].base_failed and not rows[0].kept and rows[6].key == "k"
+    clash = awkward.withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit(-1))
+    assert {(r.kept, r.n_words) for r in quality.passing(clash).collect()} <= {("mine", -1)}
     assert quality.judged(nothing).count() == 0 and quality.passing(nothing).columns == nothing.columns
