@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels)
-    return toxicity.score(docs, model, keep_text=True).filter("score < 0.5").select(*docs.columns)
+    return toxicity.ordinary(docs, model, below=0.5)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
