@@ -216,4 +216,4 @@ def passing(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     docs, back = set_aside(docs, (*STATS, *SCRATCH))
     refs = learned_references(stage(counted(docs.select("lang", "text")), "quality-counts"))
-    return with_verdicts(counted(docs, keep_text=True), refs).filter("kept").withColumnsRenamed(back).select(*columns)
+    return with_verdicts(counted(docs, keep_text=True), refs).filter("kept").drop(*STATS, *SCRATCH).withColumnsRenamed(back).select(*columns)
