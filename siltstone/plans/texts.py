@@ -202,7 +202,8 @@ def decompose_comparison(spark, sf_dir):
 
 @query()
 def causal_assumptions(spark, sf_dir):
-    return tagging.causal_assumptions(table(spark, sf_dir, "documents"))
+    stated = F.concat(F.col("text"), F.lit(" Margins will widen. Costs fall because rates ease. "))
+    return tagging.causal_assumptions(table(spark, sf_dir, "documents").select("doc_id", stated.alias("text")))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, {X.TYPES_SQL}[CAST(doc_id % 10 + 1 AS INT)] AS x, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') AS ws FROM documents),
