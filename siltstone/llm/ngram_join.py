@@ -19,8 +19,9 @@ sizes a and b reach a Jaccard of 0.75 only if they differ in at most d = (a + b)
   becomes a star around its smallest member, never all pairs. Star pairs pass the Hamming
   bound and are then verified on the texts. Buckets whose members do not all fall into one
   component by that are settled exactly: members of different components are compared, in small
-  buckets by a join, in large ones block against block, where only pairs that are not yet joined
-  are verified, the nearest first. No step gives all pairs of a group.
+  buckets by a join, in large ones block against block by their sketches. There a forest of the
+  nearest pairs goes first; only where one of its pairs does not link, all others that the bound
+  allows follow. No step gives all pairs of a group.
 * Components spread by smallest labels and pointer jumping over the verified links.
 
 Documents with equal sets share one representative from the start, and a token that many
@@ -53,7 +54,7 @@ SMALL_BAND = 6
 LOCAL_STAR = 32
 SMALL_BUCKET = 15
 BLOCK = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 22
 TOKENS_A_PART = 1_500_000
 
 
@@ -153,7 +154,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 for s in shingle_sets(data, offsets):
                     sizes.append(len(s))
                     sids.append(set_key(s) if len(s) else None)
-                    sketches.append(sketch_of(s) if len(s) else None)
+                    sketches.append(sketch_of(s, 8) if len(s) else None)
                     cells.append(s)
                 seen += np.bincount(((np.concatenate(cells) >> U(40)) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 n = part.num_rows
@@ -330,42 +331,37 @@ def _few(open_: DataFrame) -> DataFrame:
     return small.join(other, "bucket").filter("sid < b AND root <> root_b").select(F.col("sid").alias("a"), "b").distinct()
 
 
-def _links_in_blocks(open_: DataFrame, sketches: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """Links (a, b) that join the components within large buckets.
+def _near_in_blocks(open_: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) across the components of large buckets that sizes and the Hamming bound allow.
 
-    A bucket is dealt into blocks by rows and by shingles, every two blocks meet in one group with
-    their texts. There the pairs that the Hamming bound allows are verified from the nearest on; a
-    pair whose ends are already joined is passed over, so a group gives a forest, at most a link a member.
+    A bucket is dealt into blocks by rows and by shingles, and every two blocks meet in one group
+    with their sketches, which are so wide that few pairs pass that do not link. With ``forest``, pairs
+    are taken from the nearest on and those whose ends are already joined are passed over, which
+    leaves at most a pair a member.
     """
-    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sketches.select("sid", "n"), "sid")
+    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sketches.select("sid", "n", "sketch"), "sid")
     weight = large.groupBy("bucket").agg(F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = large.join(weight, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-    owner = owners.join(placed.select("sid").distinct(), "sid").withColumnRenamed("doc_id", "owner_id")
-    texts = stage(docs.select("doc_id", "text").join(owner, F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("sid", "text"), "block-texts")
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with"))
-    spread = spread.join(texts, "sid").select("bucket", "low", "high", "own", "sid", "root", "text")
+    spread = spread.select("bucket", "low", "high", "own", "sid", "root", "n", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
-        x = table.select(["sid", "root", "own"]).to_pydict()
-        rows = {}
-        at = 0
-        for batch in table.select(["text"]).combine_chunks().to_batches():
-            for part, data, offsets in slices(batch, "text"):
-                for s in shingle_sets(data, offsets):
-                    if set_key(s) == x["sid"][at]:  # an id may have rows with other texts
-                        rows[x["sid"][at]] = (x["root"][at], x["own"][at], s)
-                    at += 1
-        sid, sets = list(rows), [r[2] for r in rows.values()]
-        own = np.array([r[1] for r in rows.values()], np.int64)
-        n = np.array([len(s) for s in sets], np.int64)
-        found: list[tuple[int, int]] = []
-        if len(sid) > 1:
-            wide = [sketch_of(s, 16) for s in sets]  # so wide that few pairs pass that do not link
-            size = min(map(len, wide))
-            bits = np.stack([folded(w, size) for w in wide])
-            group = {r: r for r, _, _ in rows.values()}
+        x = table.select(["sid", "root", "n", "own", "sketch"]).to_pydict()
+        sid, root, n, own = (np.array(x[c], np.int64) for c in ("sid", "root", "n", "own"))
+        size = min(map(len, x["sketch"]))
+        bits = np.stack([folded(s, size) for s in x["sketch"]])
+        one_block = len(np.unique(own)) == 1
+        near = [np.zeros((0, 3), np.int64)]
+        for i in range(len(sid) - 1):
+            j = np.arange(i + 1, len(sid))
+            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            ok = (root[j] != root[i]) & (far <= (n[j] + n[i]) // 7) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))
+            near.append(np.stack((far[ok], np.full(ok.sum(), i), j[ok]), 1))
+        pairs = np.concatenate(near)
+        if forest:
+            group = {r: r for r in x["root"]}
 
             def top(r: int) -> int:
                 while group[r] != r:
@@ -373,22 +369,21 @@ def _links_in_blocks(open_: DataFrame, sketches: DataFrame, docs: DataFrame, own
                     r = group[r]
                 return r
 
-            home = [r[0] for r in rows.values()]
-            near = []
-            one_block = len(np.unique(own)) == 1
-            for i in range(len(sid) - 1):
-                j = np.arange(i + 1, len(sid))
-                far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                ok = (far <= (n[j] + n[i]) // 7) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))
-                near.append(np.stack((far[ok], np.full(ok.sum(), i), j[ok]), 1))
-            pairs = np.concatenate(near)
-            for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
-                if (p := top(home[i])) != (q := top(home[j])) and linked(sets[i], sets[j]):
+            keep = []
+            for k in np.argsort(pairs[:, 0], kind="stable").tolist():
+                p, q = top(x["root"][pairs[k, 1]]), top(x["root"][pairs[k, 2]])
+                if p != q:
                     group[p] = q
-                    found.append((sid[i], sid[j]))
-        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+                    keep.append(k)
+            pairs = pairs[keep]
+        one, two = sid[pairs[:, 1]], sid[pairs[:, 2]]
+        return pa.table([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    return spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
 
-    return spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+def _labelled(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    return members.join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -404,14 +399,18 @@ def classes(docs: DataFrame) -> DataFrame:
     owners = sketches.select("sid", "doc_id")
     links = stage(verified(stage(surviving(found.filter("bucket IS NULL").select("a", "b"), sketches), "survivors"), docs, owners), "star-links")
     nodes = components(links)
-    members = found.filter("bucket IS NOT NULL").select("bucket", "sid").distinct()
-    members = stage(members.join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "members")
-    open_ = stage(_unsettled(members), "unsettled")
+    members = stage(found.filter("bucket IS NOT NULL").select("bucket", "sid").distinct(), "members")
+    open_ = stage(_unsettled(_labelled(members, nodes)), "unsettled")
     if not open_.isEmpty():
-        few = verified(stage(surviving(_few(open_), sketches), "survivors"), docs, owners)
-        more = stage(few.unionByName(_links_in_blocks(open_, sketches, docs, owners)), "cross-links")
-        if not more.isEmpty():
-            nodes = components(links.unionByName(more))
+        few = surviving(_few(open_), sketches)
+        tested = stage(few.unionByName(_near_in_blocks(open_, sketches, forest=True)).distinct(), "near")
+        links = stage(links.unionByName(verified(tested, docs, owners)), "all-links")
+        nodes = components(links)
+        # Where a pair of a forest did not link, another pair may: all others that the bound allows are tested.
+        large = stage(_unsettled(_labelled(open_.filter(F.col("size") > SMALL_BUCKET).select("bucket", "sid"), nodes)), "unsettled")
+        rest = stage(_near_in_blocks(large, sketches, forest=False).join(tested, ["a", "b"], "left_anti"), "near")
+        if not rest.isEmpty():
+            nodes = components(links.unionByName(verified(rest, docs, owners)))
     placed = rows.select("doc_id", "n", "sid").join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root", "left").select(
