@@ -14,11 +14,14 @@ three kinds. A text's evidence is compared by length: its mean over the text, it
 ``SPAN`` bytes, and the share of the text in spans of clear evidence. A logistic function of
 these three gives the score.
 
-Counts come from every labelled training text. Expressions are hashed into tables of fixed
-size (2**18 to 2**19 counters), so memory does not grow with the corpus; each task
-sends its tables in slices that Spark sums in two steps. Only the logistic function is fitted on
-a bounded sample: about ``fit_rows`` training rows, chosen by a hash of their id, each scored
-with its own counts taken out.
+Counts come from every labelled training text and are exact: each expression (5 and 8 bytes as they
+are, words by 64-bit hashes) has its count in each class and the set of bytes seen before it. They
+are written as a table that grows with the corpus, dealt by ranges of expressions. To
+score, texts are packed into blocks; the distinct expressions of each block meet the table range by
+range, and their evidence goes back to the block. A task holds one range of the table and one
+block, whatever the size of either side. Only the logistic function is fitted on a bounded
+sample: about ``fit_rows`` training rows, chosen by a hash of their id, each scored with its own
+counts taken out.
 
 Defined results: null and empty texts have no evidence and get the score of none; repeated rows
 score alike; if an id has several labels, it is toxic if one of them says so; a label without a
@@ -29,7 +32,10 @@ names of its results.
 
 from __future__ import annotations
 
+import io
+import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +45,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import set_aside, stage
-from .textnum import U, WHITE, mix, runs, slices, span_hashes, spread
+from .textnum import U, WHITE, runs, slices, span_hashes, spread
 
 WORD = 0
-ORDERS = {WORD: 19, 5: 18, 8: 19}
-SLICE_CELLS = 1 << 14
+KINDS = (WORD, 5, 8)
+RANGE_BYTES = 4 << 20  # training text for each range of the table
+BLOCK_BYTES = 16 << 20
+MOST_HELD = 2_000_000  # expressions that a counting task gathers before it passes them on
 SPAN = 8
 CLEAR = 1.75
 FEATURES = ("mean_evidence", "top_evidence", "clear_share")
@@ -75,137 +83,201 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def expressions(norm: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind: the kind, where its expressions begin and end, and their counters."""
-    first = np.repeat(at[:-1], np.diff(at))
-    place = np.arange(len(norm)) - first
+    """For each kind: the kind, where its expressions begin and end, and their keys."""
+    place = np.arange(len(norm)) - np.repeat(at[:-1], np.diff(at))
     starts, ends, _ = runs(norm != 32, at)
     if len(starts):
-        yield WORD, starts, ends, (span_hashes(norm, starts, ends) >> U(64 - ORDERS[WORD])).astype(np.int64)
+        yield WORD, starts, ends, span_hashes(norm, starts, ends)
     grown = packed = norm.astype(U)
-    for n in range(2, max(ORDERS) + 1):
+    for n in range(2, max(KINDS) + 1):
         grown = grown.copy()
         grown[n - 1 :] |= packed[: max(len(packed) - n + 1, 0)] << U(8 * (n - 1))
-        if n in ORDERS:
+        if n in KINDS:
             last = np.flatnonzero(place >= n - 1)
-            yield n, last - n + 1, last + 1, (mix(grown[last]) >> U(64 - ORDERS[n])).astype(np.int64)
+            yield n, last - n + 1, last + 1, grown[last]
 
 
-class Tables:
-    """Counters of both classes and, as bits, the bytes seen before each expression."""
+def dumped(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, the first bytes of all items together, then the second ones and so on."""
+    planes = lambda a: np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return pickle.dumps([(a.dtype.str, len(a), pa.compress(planes(a), "zstd", asbytes=True) if len(a) else b"") for a in arrays])
 
-    def __init__(self) -> None:
-        self.counts = {n: np.zeros((2, 1 << bits), np.uint32) for n, bits in ORDERS.items()}
-        self.before = {n: np.zeros(1 << bits, np.uint32) for n, bits in ORDERS.items()}
 
-    def add(self, data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> None:
-        norm, at = normalised(data, offsets)
-        label = np.repeat(toxic, np.diff(at))
-        for n, starts, _, cell in expressions(norm, at):
-            size = 1 << ORDERS[n]
-            for c in (0, 1):
-                self.counts[n][c] += np.bincount(cell[label[starts] == c], minlength=size).astype(np.uint32)
-            before = norm[np.maximum(starts - (2 if n == WORD else 1), 0)]
-            np.bitwise_or.at(self.before[n], cell, np.uint32(1) << (before & 31).astype(np.uint32))
-
-    def slices(self) -> Iterator[tuple[int, bytes]]:
-        number = 0
-        for n, bits in ORDERS.items():
-            stack = np.concatenate((self.counts[n], self.before[n][None]))
-            for i in range(0, 1 << bits, SLICE_CELLS):
-                part = stack[:, i : i + SLICE_CELLS]
-                if part.any():
-                    yield number, part.tobytes()
-                number += 1
+def loaded(data: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, n, packed in pickle.loads(data):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(pa.decompress(packed, n * size, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n))
+    return out
 
-    @classmethod
-    def join(cls, parts: list[tuple[int, bytes]]) -> Tables:
-        out, found, number = cls(), dict(parts), 0
-        for n, bits in ORDERS.items():
-            for i in range(0, 1 << bits, SLICE_CELLS):
-                if number in found:
-                    got = np.frombuffer(found[number], np.uint32).reshape(3, SLICE_CELLS)
-                    out.counts[n][:, i : i + SLICE_CELLS], out.before[n][i : i + SLICE_CELLS] = got[:2], got[2]
-                number += 1
-        return out
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences; ``np.cumsum`` gives the keys again."""
+    return np.diff(keys, prepend=U(0))
+
+
+def gathered(keys: np.ndarray, counts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the same key made one: ``counts`` (2, n) by sum, ``before`` (4, n) by or; keys ascend."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[:, order], first, axis=1), np.bitwise_or.reduceat(before[:, order], first, axis=1)
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return gathered(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))
+
+
+def counts_of(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each kind, the keys, the counts in both classes, and as 256 bits the bytes before; a text begins as if after a space."""
+    norm, at = normalised(data, offsets)
+    label, begin = np.repeat(toxic, np.diff(at)), np.repeat(at[:-1], np.diff(at))
+    for n, starts, _, keys in expressions(norm, at):
+        if len(keys):
+            back = starts - (2 if n == WORD else 1)
+            before = np.where(back >= begin[starts], norm[np.maximum(back, 0)], 32)
+            bit = U(1) << (before & 63).astype(U)
+            words = np.stack([np.where(before >> 6 == w, bit, U(0)) for w in range(4)])
+            yield n, gathered(keys, np.stack((label[starts] == 0, label[starts] == 1)).astype(np.int64), words)
 
 
-def summed(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Slices added up: counts by sum, seen bytes by or."""
+class Ranges:
+    """Ranges of keys of each kind, numbered through; they deal the work out and have no part in the results."""
 
-    def run(table: pa.Table) -> pa.Table:
-        total = np.zeros((3, SLICE_CELLS), np.uint32)
-        for x in table.column("data"):
-            got = np.frombuffer(x.as_buffer(), np.uint32).reshape(3, SLICE_CELLS)
-            total[:2] += got[:2]
-            total[2] |= got[2]
-        return pa.table([table.column("slice")[:1], pa.array([total.tobytes()], pa.binary())], names=["slice", "data"])
+    def __init__(self, sample: list[str], number: int):
+        texts = pa.RecordBatch.from_arrays([pa.array(sample, pa.string())], names=["text"])
+        found: dict[int, list[np.ndarray]] = {n: [] for n in KINDS}
+        for _, data, offsets in slices(texts, "text"):
+            for n, _, _, keys in expressions(*normalised(data, offsets)):
+                found[n].append(np.unique(keys))
+        self.number, self.bounds = number, {}
+        for n, parts in found.items():
+            keys = np.unique(np.concatenate([np.zeros(0, U), *parts]))
+            self.bounds[n] = keys[np.arange(1, number) * len(keys) // number] if len(keys) else np.zeros(number - 1, U)
 
-    return rows.groupBy(*key).applyInArrow(run, "slice int, data binary")
+    def split(self, n: int, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The number of each range that has some of the sorted keys, and where they lie."""
+        cut = np.concatenate(([0], np.searchsorted(keys, self.bounds[n], "left"), [len(keys)]))
+        for i in np.flatnonzero(np.diff(cut)):
+            yield KINDS.index(n) * self.number + int(i), slice(int(cut[i]), int(cut[i + 1]))
 
+    def kind(self, bucket: int) -> int:
+        return KINDS[bucket // self.number]
 
-def count(train: DataFrame) -> Tables:
-    """Counters over all rows of ``train`` (text, toxic)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, any_row = Tables(), False
+TOTALS = ("n", "ordinary", "toxic", "seen_ordinary", "seen_toxic", "once", "twice", "contexts")
+
+
+def count(train: DataFrame, ranges: Ranges) -> DataFrame:
+    """The table of counts over all rows of ``train`` (text, toxic), a row for each range, with its totals."""
+
+    def passed_on(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for n, parts in held.items():
+            if parts:
+                keys, counts, before = joined(parts)
+                for bucket, at in ranges.split(n, keys):
+                    data = dumped(steps(keys[at]), *counts[:, at].astype(np.uint32), *before[:, at])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
+            parts.clear()
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {n: [] for n in KINDS}
+        size = 0
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                tables.add(data, offsets, np.array(part.column("toxic").to_pylist(), np.int64))
-                any_row = True
-        if any_row:
-            salt = TaskContext.get().partitionId() % 64  # which of 64 groups adds this task up first; the same if the task runs again
-            for number, data in tables.slices():
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([salt], pa.int32()), pa.array([data], pa.binary())], names=["slice", "salt", "data"])
-
-    parts = train.select("text", "toxic").mapInArrow(run, "slice int, salt int, data binary")
-    rows = summed(summed(parts, ["slice", "salt"]), ["slice"]).collect()  # a fixed number of slices
-    return Tables.join([(r.slice, bytes(r.data)) for r in rows])
+                for n, found in counts_of(data, offsets, np.array(part.column("toxic").to_pylist(), np.int64)):
+                    held[n].append(found)
+                    size += len(found[0])
+                if size > MOST_HELD:
+                    yield from passed_on(held)
+                    size = 0
+        yield from passed_on(held)
+
+    def row(bucket: int, parts: list) -> pa.RecordBatch:
+        keys, counts, before = joined(parts)
+        contexts = np.bitwise_count(before).sum(0)
+        totals = [len(keys), *counts.sum(1), *(counts > 0).sum(1), (counts == 1).sum(), (counts == 2).sum(), contexts.sum()]
+        data = dumped(steps(keys), *counts, contexts.astype(np.uint16))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int32()), *(pa.array([int(t)], pa.int64()) for t in totals), pa.array([data], pa.binary())], names=["bucket", *TOTALS, "data"]
+        )
+
+    def of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, size = None, [], 0
+        for batch in batches:
+            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+                if b != bucket and parts:
+                    yield row(bucket, parts)
+                    parts, size = [], 0
+                delta, ordinary, toxic, *before = loaded(data.as_py())
+                bucket = b
+                parts.append((np.cumsum(delta, dtype=U), np.stack((ordinary, toxic)).astype(np.int64), np.stack(before)))
+                size += len(delta)
+                if size > MOST_HELD:
+                    parts = [joined(parts)]
+                    size = 0
+        if parts:
+            yield row(bucket, parts)
+
+    rows = train.select("text", "toxic").mapInArrow(of_texts, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    return stage(rows.mapInArrow(of_ranges, f"bucket int, {', '.join(f'{t} long' for t in TOTALS)}, data binary"), "toxicity-counts")
 
 
 class Model:
-    """Evidence of each counter, and the logistic function."""
+    """The table of counts, the totals of each kind, and the logistic function."""
 
-    def __init__(self, tables: Tables):
-        self.tables = tables
-        self.shared = {n: (np.bitwise_count(b) + 0.5) / (np.bitwise_count(b).sum(dtype=np.int64) + 0.5 * len(b)) for n, b in tables.before.items()}
+    def __init__(self, table: DataFrame, ranges: Ranges):
+        self.table, self.ranges = table, ranges
+        kind = F.floor(F.col("bucket") / ranges.number).cast("int").alias("kind")
+        found = {KINDS[r.kind]: r for r in table.groupBy(kind).agg(*[F.sum(t).alias(t) for t in TOTALS]).collect()}  # a row per kind
         self.parts = {}
-        for n, counts in tables.counts.items():
-            total = counts.sum(1, dtype=np.int64)
-            once, twice = (counts == 1).sum(), (counts == 2).sum()
-            d = float(np.clip(once / max(once + 2 * twice, 1), 0.3, 0.95))
-            seen = (counts > 0).sum(1)
-            self.parts[n] = (d, total, np.clip(d * seen / np.maximum(total, 1), 1e-3, 1.0))
-        self.evidence = {n: self.log_ratio(n, c[1], c[0], slice(None)).astype(np.float32) for n, c in tables.counts.items()}
+        for n, r in found.items():
+            total = np.array([r.ordinary, r.toxic])
+            d = float(np.clip(r.once / max(r.once + 2 * r.twice, 1), 0.3, 0.95))
+            weight = np.clip(d * np.array([r.seen_ordinary, r.seen_toxic]) / np.maximum(total, 1), 1e-3, 1.0)
+            self.parts[n] = (d, total, weight, r.contexts + 0.5 * (r.n + 1))  # one place more for all expressions that were not seen
         self.weights = np.array([-4.0, 4.0, 1.0, 4.0])
 
-    def log_ratio(self, n: int, toxic: np.ndarray, ordinary: np.ndarray, cell) -> np.ndarray:
-        d, total, weight = self.parts[n]
-        shared = self.shared[n][cell]
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def log_ratio(self, n: int, toxic: np.ndarray, ordinary: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        if n not in self.parts:
+            return np.zeros(len(contexts))
+        d, total, weight, places = self.parts[n]
+        shared = (contexts + 0.5) / places
         p = [np.maximum(x.astype(np.float64) - d, 0) / max(t, 1) + w * shared for x, t, w in ((ordinary, total[0], weight[0]), (toxic, total[1], weight[1]))]
         return np.log(p[1]) - np.log(p[0])
 
     @property
     def trained(self) -> bool:
-        return all(t.min() > 0 for _, t, _ in self.parts.values())
+        return bool(self.parts) and all(p[1].min() > 0 for p in self.parts.values())
 
-    def features(self, data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray | None = None) -> np.ndarray:
-        """A row for each text; with ``toxic`` (labels of training texts), each text's own counts are left out."""
+    def features(self, data: np.ndarray, offsets: np.ndarray, known: dict[int, list[np.ndarray]], toxic: np.ndarray | None = None) -> np.ndarray:
+        """A row for each text; ``known`` has keys of each kind and what the table says of them. With ``toxic``
+        (labels of training texts), each text's own counts are left out."""
         norm, at = normalised(data, offsets)
         value = np.zeros(len(norm))
-        for n, starts, ends, cell in expressions(norm, at):
+        for n, starts, ends, keys in expressions(norm, at):
+            if not len(keys):
+                continue
+            order = np.argsort(keys, kind="stable")
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.searchsorted(known[n][0], keys[order])
             if toxic is None:
-                found = self.evidence[n][cell]
+                found = known[n][1][place]
             else:
                 text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))[starts]
-                _, back, own = np.unique(text_of * (1 << ORDERS[n]) + cell, return_inverse=True, return_counts=True)
+                _, back, own = np.unique(text_of * len(known[n][0]) + place, return_inverse=True, return_counts=True)
                 own, mine = own[back], toxic[text_of] == 1
-                c = self.tables.counts[n][:, cell].astype(np.int64)
-                found = self.log_ratio(n, np.maximum(c[1] - own * mine, 0), np.maximum(c[0] - own * ~mine, 0), cell)
+                ordinary, other, contexts = (x[place].astype(np.int64) for x in known[n][1:])
+                found = self.log_ratio(n, np.maximum(other - own * mine, 0), np.maximum(ordinary - own * ~mine, 0), contexts)
             if n == WORD:  # a word's evidence holds for each of its bytes
                 value[spread(starts, ends - starts)] += np.repeat(found, ends - starts)
             else:
                 value[ends - 1] += found
-        value /= len(ORDERS)
+        value /= len(KINDS)
         total = np.concatenate(([0.0], np.cumsum(value)))
         length = np.diff(at)
         last = np.arange(1, len(norm) + 1)
@@ -231,9 +303,6 @@ class Model:
                 break
         self.weights = w
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + (features * SCALE) @ self.weights[1:], -30, 30)))
-
 
 SCALE = np.array([10.0, 1.0, 50.0])
 
@@ -243,28 +312,100 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _keys_of(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+    """The sorted distinct keys of each kind in a block."""
+    found: dict[int, list[np.ndarray]] = {n: [] for n in KINDS}
+    for _, data, offsets in slices(batch, "text"):
+        for n, _, _, keys in expressions(*normalised(data, offsets)):
+            found[n].append(np.unique(keys))
+    return {n: np.unique(np.concatenate([np.zeros(0, U), *parts])) for n, parts in found.items()}
+
+
+def with_features(rows: DataFrame, model: Model, toxic: str | None = None) -> DataFrame:
+    """``rows`` (with text) and their features; ``toxic`` names the labels of training texts, whose own counts are left out."""
+    ranges, schema = model.ranges, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
+    known_schema = "block long, bucket int, data binary"
+    made = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "data"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        for batch in batches:
+            for block, bucket, data in zip(*(batch.column(c) for c in ("block", "bucket", "data")), strict=True):
+                yield block.as_py(), bucket.as_py(), data.as_py()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part, _, _ in slices(batch, "text", BLOCK_BYTES):
+                sink = io.BytesIO()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield made(number, -1, sink.getvalue())
+                number += 1
+
+    def unpacked(data: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(data).read_next_batch()
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, data in each(batches):
+            for n, keys in _keys_of(unpacked(data)).items():
+                for bucket, at in ranges.split(n, keys):
+                    yield made(block, bucket, dumped(steps(keys[at])))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, values, none = None, np.zeros(0, U), [], []
+        for block, bucket, data in each(batches):  # of each range, the table comes first
+            if bucket != at:
+                at, n, keys = bucket, ranges.kind(bucket), np.zeros(0, U)
+                zeros = [np.zeros(1, np.int64)] * 3
+                none = zeros if toxic else [model.log_ratio(n, *zeros).astype(np.float32)]
+                values = none
+            if block < 0:
+                delta, ordinary, other, contexts = loaded(data)
+                keys = np.cumsum(delta, dtype=U)
+                values = [ordinary, other, contexts] if toxic else [model.log_ratio(n, other, ordinary, contexts).astype(np.float32)]
+                values = [np.append(v, x.astype(v.dtype)) for v, x in zip(values, none, strict=True)]
+                continue
+            wanted = np.cumsum(loaded(data)[0], dtype=U)
+            place = np.searchsorted(keys, wanted)
+            if len(keys):
+                place[keys[np.minimum(place, len(keys) - 1)] != wanted] = len(keys)
+            yield made(block, bucket, dumped(*(v[place] for v in values)))
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(rows: pa.RecordBatch, found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+            known = {n: [keys, *(np.concatenate(x) for x in zip(*found[n], strict=True))] for n, keys in _keys_of(rows).items()}
+            for part, data, offsets in slices(rows, "text"):
+                f = model.features(data, offsets, known, np.array(part.column(toxic).to_pylist(), np.int64) if toxic else None)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in f.T)], names=schema.names)
+
+        rows, found = None, {}
+        for _, bucket, data in chain(each(batches), [(None, -1, None)]):  # of each block, the texts come first
+            if bucket >= 0:
+                found[ranges.kind(bucket)].append(loaded(data))
+                continue
+            if rows is not None:
+                yield from scored(rows, found)
+            rows, found = data and unpacked(data), {n: [] for n in KINDS}
+
+    texts = stage(rows.mapInArrow(blocks, known_schema), "toxicity-blocks")
+    both = texts.mapInArrow(asked, known_schema).unionByName(model.table.select(F.lit(-1).cast("long").alias("block"), "bucket", "data"))
+    evidence = both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(told, known_schema)
+    return texts.unionByName(evidence).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(finished, schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
     """A model from the labelled rows that are not held out."""
-    spark = docs.sparkSession
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = stage(docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id"), "toxicity-train")
-    model = Model(count(train))
+    size = train.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    by_hash = lambda share: train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+    sample = by_hash(4_000 / max(size.rows, 1)).select(F.left("text", F.lit(2_000)).alias("text")).limit(4_000).collect()  # only to lay the ranges
+    ranges = Ranges([r.text for r in sample], 1 + (size.bytes or 0) // RANGE_BYTES)
+    model = Model(count(train, ranges), ranges)
     if not model.trained:
         return model
-    share = min(1.0, fit_rows / max(train.count(), 1))
-    chosen = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                toxic = np.array(part.column("toxic").to_pylist(), np.int64)
-                f = held.value.features(data, offsets, toxic)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in f.T), pa.array(toxic, pa.int32())], names=[*FEATURES, "toxic"])
-
-    got = chosen.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} double" for c in FEATURES) + ", toxic int").toArrow()
+    got = with_features(by_hash(fit_rows / size.rows).select("text", "toxic"), model, "toxic").select(*FEATURES, "toxic").toArrow()
     model.fit(np.stack([got.column(c).to_numpy() for c in FEATURES], 1), got.column("toxic").to_numpy().astype(float))
-    held.unpersist()
     return model
 
 
@@ -272,20 +413,14 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """``docs`` with score and the three features; the text goes unless it is kept."""
     names = ["score", *FEATURES]
     kept = [c for c in docs.columns if c not in names and (keep_text or c != "text")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in names])
-    slim = {"evidence": model.evidence, "weights": model.weights, "trained": model.trained}
-    held = docs.sparkSession.sparkContext.broadcast(slim)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.__dict__.update({k: v for k, v in held.value.items() if k != "trained"})
-        for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                f = own.features(data, offsets)
-                s = own.scores(f) if held.value["trained"] else np.zeros(len(f))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(s), *(pa.array(c) for c in f.T)], names=schema.names)
-
-    return docs.select(*kept, *(["text"] if "text" not in kept else [])).mapInArrow(run, schema)
+    rows = docs.select(*kept, *(["text"] if "text" not in kept else []))
+    if not model.trained:
+        return rows.select(*kept, *[F.lit(0.0).alias(c) for c in names])
+    value = F.lit(float(model.weights[0]))
+    for c, w, unit in zip(FEATURES, model.weights[1:], SCALE, strict=True):
+        value = value + F.col(c) * float(w * unit)
+    likely = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), value))))
+    return with_features(rows, model).select(*kept, likely.alias("score"), *FEATURES)
 
 
 def ordinary(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:

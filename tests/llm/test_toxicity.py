@@ -57,3 +57,37 @@ def test_awkward_rows(spark, awkward, nothing):
     assert kept.columns == awkward.columns and {r.score for r in kept.collect()} == {0.5}
     assert not toxicity.learn(awkward, labels.filter("false")).trained
     assert {r.score for r in toxicity.score(awkward, toxicity.learn(nothing, labels)).collect()} == {0.0}
+
+
+def test_counts_are_exact_and_grow_with_the_texts(spark, monkeypatch):
+    """More expressions than any fixed number of counters, each with its own counts and bytes before it, dealt over many ranges and blocks."""
+    import collections
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)), i % 2) for i in range(500)]
+    monkeypatch.setattr(toxicity, "RANGE_BYTES", 100_000)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 50_000)
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.learn(d, spark.createDataFrame([(i, c) for i, (_, c) in enumerate(rows)], "doc_id long, toxic int"))
+    counts, before = collections.Counter(), collections.defaultdict(set)
+    for i, (text, c) in enumerate(rows):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            t = f" {text}"
+            for k in range(len(t) - 7):
+                counts[t[k : k + 8], c] += 1
+                before[t[k : k + 8]].add(t[k - 1] if k else " ")
+    got = {}
+    for r in model.table.collect():
+        if model.ranges.kind(r.bucket) == 8:
+            keys, ordinary, toxic, contexts = toxicity.loaded(r.data)
+            for k, *x in zip(np.cumsum(keys, dtype=np.uint64), ordinary, toxic, contexts, strict=True):
+                got[int(k).to_bytes(8, "big").decode()] = tuple(map(int, x))
+    assert len(got) > 1 << 19
+    assert got == {e: (counts[e, 0], counts[e, 1], len(b)) for e, b in before.items()}
+
+    scored = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    held = next(i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 4 == 2)
+    alone = toxicity.score(d.filter(f"doc_id = {held}"), model).first()
+    assert len(scored) == len(rows) and np.allclose(alone, scored[held], rtol=1e-9)
