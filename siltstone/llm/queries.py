@@ -55,7 +55,7 @@ def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select(
-        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *toxicity.FEATURES
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"), *toxicity.FEATURES
     )
 
 

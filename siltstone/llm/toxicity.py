@@ -54,6 +54,7 @@ BLOCK_BYTES = 16 << 20
 MOST_HELD = 2_000_000  # expressions that a counting task gathers before it passes them on
 SPAN = 8
 CLEAR = 1.75
+TOXIC = 0.3  # the score from which a document counts as toxic
 FEATURES = ("mean_evidence", "top_evidence", "clear_share")
 
 
@@ -423,7 +424,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     return with_features(rows, model).select(*kept, likely.alias("score"), *FEATURES)
 
 
-def ordinary(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+def ordinary(docs: DataFrame, model: Model, below: float = TOXIC) -> DataFrame:
     """The documents that score below the bound, whole."""
     columns = docs.columns
     docs, back = set_aside(docs, ("score", *FEATURES))

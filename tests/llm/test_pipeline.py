@@ -37,3 +37,13 @@ def test_stages(spark):
         assert len(r.ids) == 4 * r.length
         totals[r.doc_id] = totals.get(r.doc_id, 0) + r.length
     assert totals == {r.doc_id: r.doc_tokens for r in packed} and set(totals) == set(ids[3])
+
+
+def test_toxic_documents_go(spark):
+    """The first stage keeps just what op5 does not call toxic on the same documents, scores between 0.3 and 0.5 included."""
+    from siltstone.llm import queries
+
+    rows = queries.queries()["op5_kneser_ney_toxicity"](spark, SF_DIR).select("doc_id", "score", "predicted").collect()
+    assert any(0.3 <= r.score < 0.5 for r in rows)
+    docs = pipeline.STAGES[0][1](spark, table(spark, SF_DIR, "documents"), SF_DIR)
+    assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(r.doc_id for r in rows if not r.predicted)
