@@ -10,7 +10,7 @@ out once, in order:
 * list items get ``- `` or their number, indented by nesting;
 * the cells of a table's row stand on one line, columns aligned and parted by `` | ``; a cell wider
   than 80 characters is not padded to, so that layout tables stay small;
-* white space collapses except in ``pre`` and ``textarea``.
+* white space collapses except in ``pre``, ``textarea`` and ``xmp``; what looks like a tag within ``xmp`` is text.
 
 The work is one pass over each page inside Arrow tasks; pages are independent, so Spark splits
 them freely and nothing is shuffled.
@@ -35,15 +35,18 @@ from .textnum import slices
 
 SPACE = re.compile(r"[ \t\r\n\f]+")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-HIDING = re.compile(r"""(?i)(?:^|[\s"'])hidden(?=[\s=/>]|$)|style\s*=\s*(?:"[^"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
+STYLE_COMMENT = re.compile(r"(?s)/\*.*?(?:\*/|$)")
+DECLARATION = re.compile(r"""((?:[^;"'(]|"[^"]*"?|'[^']*'?|\([^)]*\)?)*);?""")
+HIDING = {"display": "none", "visibility": "hidden"}
 NUMBER = re.compile(r"""(?i)\b(start|value|colspan)\s*=\s*["']?\s*(\d{1,6})""")
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW = frozenset("script style iframe noembed noframes".split())
 UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg select datalist".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
-SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
+SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure hr".split())
 BLOCKS = SET_OFF | frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header html legend li main menu nav option section summary tbody tfoot thead tr".split()
 )
@@ -63,6 +66,27 @@ WALLS = frozenset("td th table caption".split())
 WIDEST = 80
 
 
+def hides_by(attributes: str) -> bool:
+    """Whether a tag has an attribute named hidden, or a style whose last word on display or visibility hides."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low and "&" not in low:
+        return False
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
+    if "hidden" in found:
+        return True
+    said: dict[str, tuple[bool, str]] = {}
+    for m in DECLARATION.finditer(STYLE_COMMENT.sub(" ", entities.unescape(found.get("style", "")))):
+        name, _, value = m[1].lower().partition(":")
+        value, mark, word = value.partition("!")
+        urgent = bool(mark) and word.strip() == "important"
+        if not mark or urgent:
+            if urgent or not said.get(name.strip(), (False, ""))[0]:
+                said[name.strip()] = urgent, value.strip()
+    return any(said.get(name, (False, ""))[1] == value for name, value in HIDING.items())
+
+
 class Buffer:
     """Lines under way: collapsed text, with breaks and prefixes put in when the next text comes."""
 
@@ -171,6 +195,12 @@ class Page:
             close = re.compile(rf"(?i)</{tag}(?=[\s/>])").search(page, end)
             return len(page) if close is None else self._tag_end(page, close.end())
         self._start(tag, rest)
+        if tag == "xmp":
+            close = re.compile(r"(?i)</xmp(?=[\s/>])").search(page, end)
+            if not self.unseen:
+                self.buffers[-1].verbatim(page[end : close.start() if close else len(page)])
+            self._close(tag)
+            return len(page) if close is None else self._tag_end(page, close.end())
         if tag == "textarea" and page.startswith("\n", end):
             return end + 1
         return end
@@ -228,7 +258,7 @@ class Page:
                 elif tag == "hr":
                     buffer.block(2)
             return
-        hides = tag in UNSEEN or (bool(attributes) and HIDING.search(attributes) is not None)
+        hides = tag in UNSEEN or (bool(attributes) and hides_by(attributes))
         self.stack.append((tag, hides))
         self.open[tag] += 1
         self.unseen += hides

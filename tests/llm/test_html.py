@@ -51,3 +51,25 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", None), (3, "<p>x", "t"), (3, "<p>x", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == [(1, ""), (2, ""), (3, "x"), (3, "x")]
     assert html.extract(df.filter("false")).count() == 0
+
+
+VISIBLE = (
+    'title="A hidden gem"', 'class="hidden md:block"', "aria-label='now hidden'", 'data-hidden="1"', "alt=hidden", 'data-style="display:none"',
+    'title="style=display:none"', 'style="--x: 1; color: red"', 'style="overflow:hidden"', 'style="display:none; display:block"', "style=\"content:'display:none'\"", 'title="visibility:hidden"', 'style="/* display:none */"', 'style="background:url(a;display:none)"',
+)
+HIDDEN = ("hidden", "HIDDEN", 'hidden=""', "hidden=until-found", 'class="x"hidden', 'title="a" hidden', "style=display:none", 'style="Display : None !important"', "style='color:red;visibility:hidden'", 'STYLE = "display:none"', 'style="display:none !important; display:block"')
+
+
+@pytest.mark.parametrize("attributes", VISIBLE)
+def test_words_in_values_hide_nothing(attributes):
+    assert html.rendered(f"a<div {attributes}>b</div>c") == "a\nb\nc"
+
+
+@pytest.mark.parametrize("attributes", HIDDEN)
+def test_hidden_elements_go(attributes):
+    assert html.rendered(f"a<p {attributes}>b</p>c") in ("ac", "a\nc", "a\n\nc")
+
+
+def test_xmp_is_preformatted_text():
+    assert html.rendered("a<xmp>if  x\n <b>&amp;</xmp>c") == "a\n\nif  x\n <b>&amp;\n\nc"
+    assert html.rendered("<div hidden><xmp>no</xmp></div>seen<xmp>open <p>") == "seen\n\nopen <p>"
