@@ -3,14 +3,18 @@
 A document's histogram over character classes and its histogram over common words (with one
 place for all other words) are compared with those of each language by the Jensen-Shannon
 distance (the root of the divergence in bits, 0 to 1). The language references are the summed
-histograms of all documents with that language tag; a language that has less than a hundredth of
-all characters makes no reference of its own. A document counts by its nearest reference, so a
-wrong tag costs nothing. It is rejected if it is far from every language in either respect,
-where the respect has enough of the text to judge: ``min_chars`` characters, ``min_words`` words.
+histograms of all documents with that language tag; every language with ``ENOUGH_CHARS``
+characters in ``ENOUGH_DOCS`` documents makes one, whatever its share of the table. A document
+counts by the nearest of its own language's reference and those of the large languages (a
+hundredth of all characters), so a wrong tag on a text in a large language costs nothing. It is
+rejected if it is far from all of these in either respect, where the respect has enough of the
+text to judge: ``min_chars`` characters, ``min_words`` words. Documents whose language has no
+reference pass this rule.
 
 The counting is one pass of numpy over the bytes of each Arrow batch; sums, references and
-verdicts are Spark SQL on the small table of counts. Only the references, at most a hundred rows
-by the rule above, pass through the driver and meet the counts again as literals.
+verdicts are Spark SQL on the small table of counts. Only the references of large languages, at
+most a hundred rows by the rule above, pass through the driver and meet the counts again as literals;
+the others are a table that is joined by language.
 
 Defined results: null text has no words, fails the base rule and is not kept; null languages
 form a group of their own; repeated rows are judged alike; an empty table gives an empty
@@ -20,6 +24,7 @@ result; other columns pass through unless they bear the name of a statistic, whi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,9 @@ from .shared import set_aside, stage
 from .textnum import U, WHITE, per_text, runs, slices, span_hashes, windows, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCRATCH = ("classes", "commons", "chars", "tokens", "base_failed", "class_distance", "common_distance", "kept")
+SCRATCH = ("classes", "commons", "chars", "tokens", "base_failed", "class_distance", "common_distance", "kept", "own", "own_classes", "own_commons", "measured")
+ENOUGH_CHARS, ENOUGH_DOCS = 10_000, 20
+MOST_BROADCAST = 2_000  # references of small languages, about 1.5 KB each
 SYMBOLS = b"#*$%&|<>"
 #: Frequent words of four languages, without those that only their accents tell apart.
 REFERENCE_WORDS = (
@@ -142,17 +149,36 @@ def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Dat
 Reference = tuple[str | None, list[float], list[float]]
 
 
-def references(counts: DataFrame, most: int = 100) -> list[Reference]:
-    """(lang, shares of the classes, shares of the words) of each language that has a hundredth of all characters.
+class References(NamedTuple):
+    """Those of the large languages, and a table (own, own_classes, own_commons) of all others with how many it has."""
+
+    large: list[Reference]
+    others: DataFrame
+    n_others: int
+
+
+def _key(lang: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("lang "), lang), F.lit("none"))
+
+
+def references(counts: DataFrame, most: int = 100) -> References:
+    """The shares of the classes and of the words of each language with enough text.
 
     At most ``most`` rows, which is what a hundredth allows, reach the driver.
     """
     summed = lambda c, n: F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(n)])
-    tops = counts.groupBy("lang").agg(summed("classes", len(CLASSES)).alias("classes"), summed("commons", len(WORD_HASHES) + 1).alias("commons"), F.sum("chars").alias("chars"))
-    grand = counts.agg(F.sum("chars").alias("n")).first().n or 0
-    rows = tops.filter(F.col("chars") * most >= grand).orderBy(F.desc("chars"), "lang").limit(most).collect()
+    tops = counts.groupBy("lang").agg(
+        summed("classes", len(CLASSES)).alias("classes"), summed("commons", len(WORD_HASHES) + 1).alias("commons"), F.sum("chars").alias("chars"), F.count("*").alias("docs")
+    )
+    tops = stage(tops, "quality-languages")
+    grand = tops.agg(F.sum("chars").alias("n")).first().n or 0
+    enough = tops.filter((F.col("chars") >= ENOUGH_CHARS) & (F.col("docs") >= ENOUGH_DOCS))
+    is_large = F.col("chars") * most >= grand
+    rows = enough.filter(is_large).orderBy(F.desc("chars"), "lang").limit(most).collect()
     share = lambda values: [v / max(sum(values), 1) for v in values]
-    return [(r.lang, share(r.classes), share(r.commons)) for r in rows]
+    shares = lambda c: F.transform(c, lambda v: v / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)))
+    others = enough.filter(~is_large).select(_key(F.col("lang")).alias("own"), shares("classes").alias("own_classes"), shares("commons").alias("own_commons"))
+    return References([(r.lang, share(r.classes), share(r.commons)) for r in rows], others, others.count())
 
 
 def js_distance(counts: Column, total: Column, reference: Column) -> Column:
@@ -166,16 +192,30 @@ def js_distance(counts: Column, total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def _with_distances(counts: DataFrame, refs: list[Reference]) -> DataFrame:
-    """Adds class_distance and common_distance to the nearest reference, which stand in the plan as literals; null without any."""
+def _with_distances(counts: DataFrame, refs: References) -> DataFrame:
+    """Adds class_distance and common_distance to the nearest reference, null without any, and measured: whether the language has one.
+
+    References of large languages stand in the plan as literals. Their documents need no join; if the
+    others are too many to broadcast, they are spread by a key that meets nothing.
+    """
+    large = _key(F.col("lang")).isin(["none" if lang is None else f"lang {lang}" for lang, _, _ in refs.large])
+    if refs.n_others:
+        spread = F.concat(F.lit("large "), F.pmod(F.xxhash64("classes"), F.lit(4096)))
+        others = F.broadcast(refs.others) if refs.n_others <= MOST_BROADCAST else refs.others
+        counts = counts.withColumn("own", F.when(large, spread).otherwise(_key(F.col("lang")))).join(others, "own", "left").drop("own")
+        measured = large | F.col("own_classes").isNotNull()
+    else:
+        measured = large
 
     def nearest(column: str, total: str, shares: list[list[float]]) -> Column:
-        if not shares:
-            return F.lit(None).cast("double")
-        known = F.array(*[F.lit(s) for s in shares])
-        return F.round(F.array_min(F.transform(known, lambda r: js_distance(F.col(column), F.col(total), r))), 6)
+        known = F.array_min(F.transform(F.array(*[F.lit(s) for s in shares]), lambda r: js_distance(F.col(column), F.col(total), r))) if shares else F.lit(None).cast("double")
+        own = f"own_{column}"
+        if refs.n_others:
+            known = F.least(known, F.when(F.col(own).isNotNull(), js_distance(F.col(column), F.col(total), F.col(own))))
+        return F.round(known, 6)
 
-    return counts.withColumn("class_distance", nearest("classes", "chars", [r[1] for r in refs])).withColumn("common_distance", nearest("commons", "tokens", [r[2] for r in refs]))
+    found = counts.withColumn("class_distance", nearest("classes", "chars", [r[1] for r in refs.large])).withColumn("common_distance", nearest("commons", "tokens", [r[2] for r in refs.large]))
+    return found.withColumn("measured", measured).drop("own_classes", "own_commons")
 
 
 def _with_totals(counts: DataFrame) -> DataFrame:
@@ -184,7 +224,7 @@ def _with_totals(counts: DataFrame) -> DataFrame:
     return counts.withColumn("chars", total("classes")).withColumn("tokens", total("commons")).withColumn("base_failed", failed)
 
 
-def learned_references(counts: DataFrame, trim: float = 0.2) -> list[Reference]:
+def learned_references(counts: DataFrame, trim: float = 0.2) -> References:
     """The references, made twice: first from all documents that pass the base rule, then from those
     of them whose character classes lie within ``trim`` of a first reference, so that junk does
     not pull the references towards itself.
@@ -194,13 +234,13 @@ def learned_references(counts: DataFrame, trim: float = 0.2) -> list[Reference]:
     return references(first.filter(F.col("class_distance") <= trim))
 
 
-def with_verdicts(counts: DataFrame, refs: list[Reference], max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+def with_verdicts(counts: DataFrame, refs: References, max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """``counts`` without the histograms, with base_failed, the two distances and kept."""
     kept = [c for c in counts.columns if c not in ("classes", "commons")]
     far = ((F.col("chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("tokens") >= min_words) & (F.col("common_distance") > max_common))
     return (
         _with_distances(_with_totals(counts), refs)
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far & F.col("measured"), F.lit(False)))
         .select(*kept, "base_failed", "class_distance", "common_distance", "kept")
     )
 

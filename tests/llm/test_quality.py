@@ -54,3 +54,26 @@ def test_awkward_rows(awkward, nothing):
     clash = awkward.withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit(-1))
     assert {(r.kept, r.n_words) for r in quality.passing(clash).collect()} <= {("mine", -1)}
     assert quality.judged(nothing).count() == 0 and quality.passing(nothing).columns == nothing.columns
+
+
+def test_a_language_is_judged_alike_whatever_its_share(spark, monkeypatch):
+    """English under a hundredth of all characters, beside a large language: by its own reference, broadcast or joined; a language with too little text passes."""
+    import random
+
+    rng = random.Random(4)
+    prose = lambda common, rest: " ".join(rng.choice(common if rng.random() < 0.5 else rest) for _ in range(150))
+    english, german, made = quality.REFERENCE_WORDS[:40], "der die und das von zu mit sich auf ein eine nicht".split(), [a + b for a in ("tar", "mol", "ven", "ris") for b in ("ka", "do", "lin")]
+    rows = [(i, prose(english, made), "en") for i in range(40)]
+    rows += [(100 + i, prose(made, made).upper(), "xx") for i in range(3)]
+    rows += [(200 + i, " ".join(rng.choice(german) + " " + rng.choice(made) for _ in range(8_000)), "de") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (quality.MOST_BROADCAST, 0):
+        monkeypatch.setattr(quality, "MOST_BROADCAST", most)
+        got = {r.doc_id: r for r in quality.judged(docs).collect()}
+        sound = [r for r in got.values() if not r.base_failed]
+        assert len(got) == len(rows) and len(sound) > 40 and all(r.kept for r in sound if r.lang != "xx")
+        assert all(got[i].kept and got[i].common_distance < 0.45 for i in range(40))
+        assert all(got[i].kept == (not got[i].base_failed) for i in range(100, 103))
+        assert any(got[i].class_distance > 0.16 and got[i].kept for i in range(100, 103))
+    kept = {r.doc_id for r in quality.passing(docs).collect()}
+    assert kept == {i for i, r in got.items() if r.kept}
