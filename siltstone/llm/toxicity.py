@@ -1,27 +1,35 @@
-"""Toxicity by class-conditional Kneser-Ney models of expressions.
-
-An expression is a run of 5 or of 8 bytes or a whole word of the normalised text (ASCII lower
-case, white space and ASCII punctuation as one space, a space before the first word). For each
-kind there is a toxic and an ordinary model:
-
-    P(e | class) = max(count(e, class) - D, 0) / total(class) + weight(class) * shared(e)
-
-with the absolute discount D estimated from the counts of once and twice seen expressions, and
-with the Kneser-Ney continuation distribution ``shared``: how many different bytes come before
-e in all training texts of both classes. An expression rare in both classes so counts alike in
-both. The evidence of a position is log P(e | toxic) - log P(e | ordinary), averaged over the
-three kinds. A text's evidence is compared by length: its mean over the text, its highest mean over
-``SPAN`` bytes, and the share of the text in spans of clear evidence. A logistic function of
-these three gives the score.
-
-Counts come from every labelled training text and are exact: each expression (5 and 8 bytes as they
-are, words by 64-bit hashes) has its count in each class and the set of bytes seen before it. They
-are written as a table that grows with the corpus, dealt by ranges of expressions. To
-score, texts are packed into blocks; the distinct expressions of each block meet the table range by
-range, and their evidence goes back to the block. A task holds one range of the table and one
-block, whatever the size of either side. Only the logistic function is fitted on a bounded
-sample: about ``fit_rows`` training rows, chosen by a hash of their id, each scored with its own
-counts taken out.
+"""Toxicity by class-conditional Kneser-Ney models of words and their stems.
+
+Words are runs of the normalised text (ASCII lower case; white space and ASCII punctuation part
+them); a stem is the first STEM bytes of a longer word, so that an unseen form of a known word still
+says something. A word's history is the ending (last byte) of the word before it in the text, 0 for the
+first: endings stand for the grammatical classes of words, so that histories stay few and are seen
+often. For each class, toxic and ordinary, and for words and stems w alike, there is a conditional
+model with two steps back:
+
+    P(w | h, class) = max(count(h w, class) - D2, 0) / count(h, class) + weight(h, class) * P(w | class)
+    P(w | class)    = max(count(w, class) - D1, 0) / count(class) + weight(class) * shared(w)
+
+with absolute discounts D1 and D2 from how many words and pairs were seen once and twice, weights
+that give back just what the discounts took, and the Kneser-Ney continuation distribution
+``shared``: after how many different histories w stands in all training texts of both classes. A
+word rare in both classes so counts alike in both. The evidence of a word is the difference of its
+log-likelihoods, log P(w | h, toxic) - log P(w | h, ordinary), and has the stem's averaged in if
+there is one. A text's evidence is compared by
+length: its mean over all words, its mean over the TOP words that speak most for toxic, and the
+share of words with clear evidence. A logistic function of these three gives the score.
+
+Counts come from every labelled training text and are exact: each pair of word and history has its
+count in each class (words by 55-bit hashes). They are written as a table that grows with the
+corpus, dealt by ranges of hashes. To score, texts are packed into blocks; the distinct pairs of
+each block meet the table range by range, and their evidence goes back to the block, where the
+texts wait as numbers of pairs. A task holds one range of the table and one block, whatever the size
+of either side. Only the logistic function is fitted on a bounded sample: about ``fit_rows``
+training rows, chosen by a hash of their id, each scored with its own counts taken out.
+
+Blocks are formed twice from the same rows, once to ask and once to wait for the answers, so ``docs``
+should be rows that come in the same order each time, as those of a table do; where an order has
+changed the step fails, and never mixes answers up.
 
 Defined results: null and empty texts have no evidence and get the score of none; repeated rows
 score alike; if an id has several labels, it is toxic if one of them says so; a label without a
@@ -45,15 +53,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import set_aside, stage
-from .textnum import U, WHITE, runs, slices, span_hashes, spread
+from .textnum import U, WHITE, runs, slices, span_hashes
 
-WORD = 0
-KINDS = (WORD, 5, 8)
-RANGE_BYTES = 4 << 20  # training text for each range of the table
+RANGE_BYTES = 32 << 20  # training text for each range of the table
 BLOCK_BYTES = 16 << 20
-MOST_HELD = 2_000_000  # expressions that a counting task gathers before it passes them on
-SPAN = 8
-CLEAR = 1.75
+MOST_HELD = 2_000_000  # pairs that a counting task gathers before it makes equal ones one
+MOST_SENT = 2_000_000  # labels that are sent to every executor at most
+STEM = 4
+TOP = 3
+CLEAR = 3.0
 TOXIC = 0.3  # the score from which a document counts as toxic
 FEATURES = ("mean_evidence", "top_evidence", "clear_share")
 
@@ -83,19 +91,18 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[keep], total[at]
 
 
-def expressions(norm: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind: the kind, where its expressions begin and end, and their keys."""
-    place = np.arange(len(norm)) - np.repeat(at[:-1], np.diff(at))
-    starts, ends, _ = runs(norm != 32, at)
-    if len(starts):
-        yield WORD, starts, ends, span_hashes(norm, starts, ends)
-    grown = packed = norm.astype(U)
-    for n in range(2, max(KINDS) + 1):
-        grown = grown.copy()
-        grown[n - 1 :] |= packed[: max(len(packed) - n + 1, 0)] << U(8 * (n - 1))
-        if n in KINDS:
-            last = np.flatnonzero(place >= n - 1)
-            yield n, last - n + 1, last + 1, grown[last]
+def pairs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of each word with its history, in order, that of its stem (0 for none), and their per-text index (len + 1).
+
+    The low byte of a key is the history, the next bit is set for stems.
+    """
+    norm, at = normalised(data, offsets)
+    starts, ends, first = runs(norm != 32, at)
+    history = np.zeros(len(starts), U)
+    history[1:] = norm[ends[:-1] - 1]
+    history[first[:-1][first[:-1] < len(starts)]] = 0
+    stems = (span_hashes(norm, starts, np.minimum(starts + STEM, ends)) & ~U(511)) | U(256) | history
+    return (span_hashes(norm, starts, ends) & ~U(511)) | history, np.where(ends - starts > STEM, stems, U(0)), first
 
 
 def dumped(*arrays: np.ndarray) -> bytes:
@@ -118,91 +125,100 @@ def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=U(0))
 
 
-def gathered(keys: np.ndarray, counts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the same key made one: ``counts`` (2, n) by sum, ``before`` (4, n) by or; keys ascend."""
+def gathered(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the same key made one, ``counts`` (2, n) by sum; keys ascend."""
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts[:, order], first, axis=1), np.bitwise_or.reduceat(before[:, order], first, axis=1)
+    return keys[first], np.add.reduceat(counts[:, order], first, axis=1)
 
 
-def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return gathered(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))
 
 
-def counts_of(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For each kind, the keys, the counts in both classes, and as 256 bits the bytes before; a text begins as if after a space."""
-    norm, at = normalised(data, offsets)
-    label, begin = np.repeat(toxic, np.diff(at)), np.repeat(at[:-1], np.diff(at))
-    for n, starts, _, keys in expressions(norm, at):
-        if len(keys):
-            back = starts - (2 if n == WORD else 1)
-            before = np.where(back >= begin[starts], norm[np.maximum(back, 0)], 32)
-            bit = U(1) << (before & 63).astype(U)
-            words = np.stack([np.where(before >> 6 == w, bit, U(0)) for w in range(4)])
-            yield n, gathered(keys, np.stack((label[starts] == 0, label[starts] == 1)).astype(np.int64), words)
+def words_in(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From sorted pairs: the words, their counts in both classes, and how many histories each has."""
+    word = keys >> U(8)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    return word[first], np.add.reduceat(counts, first, axis=1), np.diff(np.concatenate((first, [len(word)])))
 
 
 class Ranges:
-    """Ranges of keys of each kind, numbered through; they deal the work out and have no part in the results."""
-
-    def __init__(self, sample: list[str], number: int):
-        texts = pa.RecordBatch.from_arrays([pa.array(sample, pa.string())], names=["text"])
-        found: dict[int, list[np.ndarray]] = {n: [] for n in KINDS}
-        for _, data, offsets in slices(texts, "text"):
-            for n, _, _, keys in expressions(*normalised(data, offsets)):
-                found[n].append(np.unique(keys))
-        self.number, self.bounds = number, {}
-        for n, parts in found.items():
-            keys = np.unique(np.concatenate([np.zeros(0, U), *parts]))
-            self.bounds[n] = keys[np.arange(1, number) * len(keys) // number] if len(keys) else np.zeros(number - 1, U)
-
-    def split(self, n: int, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Equal ranges of hashes; they deal the work out and have no part in the results."""
+
+    def __init__(self, number: int):
+        self.bounds = np.array([(i << 64) // number for i in range(1, number)], U) & ~U(511)  # a word's pairs stay together
+
+    def split(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         """The number of each range that has some of the sorted keys, and where they lie."""
-        cut = np.concatenate(([0], np.searchsorted(keys, self.bounds[n], "left"), [len(keys)]))
+        cut = np.concatenate(([0], np.searchsorted(keys, self.bounds, "left"), [len(keys)]))
         for i in np.flatnonzero(np.diff(cut)):
-            yield KINDS.index(n) * self.number + int(i), slice(int(cut[i]), int(cut[i + 1]))
+            yield int(i), slice(int(cut[i]), int(cut[i + 1]))
+
+
+#: Places in a kind's totals: ten sums, then for each history its counts and numbers of words by class.
+WORDS, PAIRS, WORDS_ONCE, WORDS_TWICE, PAIRS_ONCE, PAIRS_TWICE, COUNT, SEEN = 0, 1, 2, 3, 4, 5, 6, 8
+HISTORIES = 10
+SIZE = HISTORIES + 4 * 256
+
 
-    def kind(self, bucket: int) -> int:
-        return KINDS[bucket // self.number]
+def kind_of(keys: np.ndarray) -> np.ndarray:
+    """0 for words, 1 for stems."""
+    return ((keys >> U(8)) & U(1)).astype(np.int64)
 
 
-TOTALS = ("n", "ordinary", "toxic", "seen_ordinary", "seen_toxic", "once", "twice", "contexts")
+def totals_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The totals of words, then those of stems."""
+    return np.concatenate([_totals_of(keys[of], counts[:, of]) for of in (kind_of(keys) == 0, kind_of(keys) == 1)])
+
+
+def _totals_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(SIZE, np.int64)
+    history = (keys & U(255)).astype(np.int64)
+    _, of_words, _ = words_in(keys, counts)
+    both = (of_words.sum(0), counts.sum(0))
+    sums = [of_words.shape[1], len(keys), *((x == n).sum() for x in both for n in (1, 2)), *counts.sum(1), *(of_words > 0).sum(1)]
+    by_history = [np.bincount(history, x, 256) for x in (counts[0], counts[1], counts[0] > 0, counts[1] > 0)]
+    return np.concatenate((sums, *by_history)).astype(np.int64)
 
 
 def count(train: DataFrame, ranges: Ranges) -> DataFrame:
     """The table of counts over all rows of ``train`` (text, toxic), a row for each range, with its totals."""
 
-    def passed_on(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for n, parts in held.items():
-            if parts:
-                keys, counts, before = joined(parts)
-                for bucket, at in ranges.split(n, keys):
-                    data = dumped(steps(keys[at]), *counts[:, at].astype(np.uint32), *before[:, at])
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
-            parts.clear()
+    def passed_on(parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            keys, counts = joined(parts)
+            for bucket, at in ranges.split(keys):
+                data = dumped(steps(keys[at]), *counts[:, at].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
+        parts.clear()
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {n: [] for n in KINDS}
+        held: list = []
         size = 0
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                for n, found in counts_of(data, offsets, np.array(part.column("toxic").to_pylist(), np.int64)):
-                    held[n].append(found)
-                    size += len(found[0])
+                keys, stems, first = pairs_of(data, offsets)
+                if not len(keys):
+                    continue
+                toxic = np.repeat(np.array(part.column("toxic").to_pylist(), np.int64), np.diff(first))
+                keys, toxic = np.concatenate((keys, stems[stems > 0])), np.concatenate((toxic, toxic[stems > 0]))
+                held.append(gathered(keys, np.stack((toxic == 0, toxic == 1)).astype(np.int64)))
+                size += len(held[-1][0])
                 if size > MOST_HELD:
-                    yield from passed_on(held)
-                    size = 0
+                    held = [joined(held)]
+                    size = len(held[0][0])
+                    if size > MOST_HELD // 2:
+                        yield from passed_on(held)
+                        size = 0
         yield from passed_on(held)
 
     def row(bucket: int, parts: list) -> pa.RecordBatch:
-        keys, counts, before = joined(parts)
-        contexts = np.bitwise_count(before).sum(0)
-        totals = [len(keys), *counts.sum(1), *(counts > 0).sum(1), (counts == 1).sum(), (counts == 2).sum(), contexts.sum()]
-        data = dumped(steps(keys), *counts, contexts.astype(np.uint16))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), *(pa.array([int(t)], pa.int64()) for t in totals), pa.array([data], pa.binary())], names=["bucket", *TOTALS, "data"]
-        )
+        keys, counts = joined(parts)
+        arrays = [pa.array([bucket], pa.int32()), pa.array([totals_of(keys, counts)], pa.list_(pa.int64())), pa.array([dumped(steps(keys), *counts)], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "totals", "data"])
 
     def of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, size = None, [], 0
@@ -211,9 +227,9 @@ def count(train: DataFrame, ranges: Ranges) -> DataFrame:
                 if b != bucket and parts:
                     yield row(bucket, parts)
                     parts, size = [], 0
-                delta, ordinary, toxic, *before = loaded(data.as_py())
+                delta, *counts = loaded(data.as_py())
                 bucket = b
-                parts.append((np.cumsum(delta, dtype=U), np.stack((ordinary, toxic)).astype(np.int64), np.stack(before)))
+                parts.append((np.cumsum(delta, dtype=U), np.stack(counts).astype(np.int64)))
                 size += len(delta)
                 if size > MOST_HELD:
                     parts = [joined(parts)]
@@ -222,70 +238,64 @@ def count(train: DataFrame, ranges: Ranges) -> DataFrame:
             yield row(bucket, parts)
 
     rows = train.select("text", "toxic").mapInArrow(of_texts, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    return stage(rows.mapInArrow(of_ranges, f"bucket int, {', '.join(f'{t} long' for t in TOTALS)}, data binary"), "toxicity-counts")
+    return stage(rows.mapInArrow(of_ranges, "bucket int, totals array<long>, data binary"), "toxicity-counts")
+
+
+class Known:
+    """What the table says of the pairs that are asked for: counts of the pair and of the word by class, and the word's histories."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        self.words, self.of_words, self.histories = words_in(keys, counts) if len(keys) else (keys, counts, np.zeros(0, np.int64))
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Five rows: counts of the pair (ordinary, toxic), of the word (the same), and the number of its histories."""
+        out = np.zeros((5, len(wanted)), np.int64)
+        for rows, known, asked, values in ((slice(0, 2), self.keys, wanted, self.counts), (slice(2, 5), self.words, wanted >> U(8), np.vstack((self.of_words, self.histories)))):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                out[rows] = np.where(known[place] == asked, values[:, place], 0)
+        return out
 
 
 class Model:
-    """The table of counts, the totals of each kind, and the logistic function."""
+    """The table of counts, the totals, and the logistic function."""
 
     def __init__(self, table: DataFrame, ranges: Ranges):
         self.table, self.ranges = table, ranges
-        kind = F.floor(F.col("bucket") / ranges.number).cast("int").alias("kind")
-        found = {KINDS[r.kind]: r for r in table.groupBy(kind).agg(*[F.sum(t).alias(t) for t in TOTALS]).collect()}  # a row per kind
-        self.parts = {}
-        for n, r in found.items():
-            total = np.array([r.ordinary, r.toxic])
-            d = float(np.clip(r.once / max(r.once + 2 * r.twice, 1), 0.3, 0.95))
-            weight = np.clip(d * np.array([r.seen_ordinary, r.seen_toxic]) / np.maximum(total, 1), 1e-3, 1.0)
-            self.parts[n] = (d, total, weight, r.contexts + 0.5 * (r.n + 1))  # one place more for all expressions that were not seen
-        self.weights = np.array([-4.0, 4.0, 1.0, 4.0])
+        total = np.zeros(2 * SIZE, np.int64)
+        for place, n in table.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col")).collect():  # as many rows as there are totals
+            total[place] = n
+        total = total.reshape(2, SIZE)  # words, stems
+        self.d1, self.d2 = (np.clip(total[:, a] / np.maximum(total[:, a] + 2 * total[:, b], 1), 0.3, 0.95) for a, b in ((WORDS_ONCE, WORDS_TWICE), (PAIRS_ONCE, PAIRS_TWICE)))
+        self.count = total[:, COUNT : COUNT + 2]
+        self.weight = np.where(self.count > 0, self.d1[:, None] * total[:, SEEN : SEEN + 2] / np.maximum(self.count, 1), 1.0)
+        by_history = total[:, HISTORIES:].reshape(2, 4, 256)
+        self.of_history = by_history[:, :2]
+        self.history_weight = np.where(self.of_history > 0, self.d2[:, None, None] * by_history[:, 2:] / np.maximum(self.of_history, 1), 1.0)
+        self.places = total[:, PAIRS] + 0.5 * (total[:, WORDS] + 1)  # one place more for all words that were not seen
+        self.weights = np.array([-4.0, 1.0, 4.0, 1.0])
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
-    def log_ratio(self, n: int, toxic: np.ndarray, ordinary: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        if n not in self.parts:
-            return np.zeros(len(contexts))
-        d, total, weight, places = self.parts[n]
-        shared = (contexts + 0.5) / places
-        p = [np.maximum(x.astype(np.float64) - d, 0) / max(t, 1) + w * shared for x, t, w in ((ordinary, total[0], weight[0]), (toxic, total[1], weight[1]))]
-        return np.log(p[1]) - np.log(p[0])
+    def likelihoods(self, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """P(word | history, class) for ordinary and toxic, from the five rows of ``Known.of``."""
+        history, kind = (keys & U(255)).astype(np.int64), kind_of(keys)
+        shared = (known[4] + 0.5) / self.places[kind]
+        out = []
+        for c in (0, 1):
+            word = np.maximum(known[2 + c] - self.d1[kind], 0) / np.maximum(self.count[kind, c], 1) + self.weight[kind, c] * shared
+            out.append(np.maximum(known[c] - self.d2[kind], 0) / np.maximum(self.of_history[kind, c, history], 1) + self.history_weight[kind, c, history] * word)
+        return np.stack(out)
+
+    def evidence(self, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+        ordinary, toxic = np.log(self.likelihoods(keys, known))
+        return toxic - ordinary
 
     @property
     def trained(self) -> bool:
-        return bool(self.parts) and all(p[1].min() > 0 for p in self.parts.values())
-
-    def features(self, data: np.ndarray, offsets: np.ndarray, known: dict[int, list[np.ndarray]], toxic: np.ndarray | None = None) -> np.ndarray:
-        """A row for each text; ``known`` has keys of each kind and what the table says of them. With ``toxic``
-        (labels of training texts), each text's own counts are left out."""
-        norm, at = normalised(data, offsets)
-        value = np.zeros(len(norm))
-        for n, starts, ends, keys in expressions(norm, at):
-            if not len(keys):
-                continue
-            order = np.argsort(keys, kind="stable")
-            place = np.empty(len(keys), np.int64)
-            place[order] = np.searchsorted(known[n][0], keys[order])
-            if toxic is None:
-                found = known[n][1][place]
-            else:
-                text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))[starts]
-                _, back, own = np.unique(text_of * len(known[n][0]) + place, return_inverse=True, return_counts=True)
-                own, mine = own[back], toxic[text_of] == 1
-                ordinary, other, contexts = (x[place].astype(np.int64) for x in known[n][1:])
-                found = self.log_ratio(n, np.maximum(other - own * mine, 0), np.maximum(ordinary - own * ~mine, 0), contexts)
-            if n == WORD:  # a word's evidence holds for each of its bytes
-                value[spread(starts, ends - starts)] += np.repeat(found, ends - starts)
-            else:
-                value[ends - 1] += found
-        value /= len(KINDS)
-        total = np.concatenate(([0.0], np.cumsum(value)))
-        length = np.diff(at)
-        last = np.arange(1, len(norm) + 1)
-        begin = np.maximum(last - SPAN, np.repeat(at[:-1], length))
-        spans = (total[last] - total[begin]) / SPAN
-        clear = np.concatenate(([0], np.cumsum(spans > CLEAR)))
-        return np.stack(((total[at[1:]] - total[at[:-1]]) / length, np.maximum.reduceat(spans, at[:-1]), (clear[at[1:]] - clear[at[:-1]]) / length), 1)
+        return bool(self.count[0].min() > 0)
 
     def fit(self, features: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> None:
         """Logistic regression by Newton's method with halved steps, drawn towards the starting weights."""
@@ -305,6 +315,18 @@ class Model:
         self.weights = w
 
 
+def features_of(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row for each text from the evidence of its words: the mean, the mean of the TOP highest (missing ones count 0), the share of clear ones."""
+    n = np.diff(first)
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((-value, text))
+    rank = np.arange(len(value)) - np.repeat(first[:-1], n)
+    sums = lambda x, at: np.bincount(at, x, len(n))
+    top = rank < TOP
+    per = np.maximum(n, 1)
+    return np.stack((sums(value, text) / per, sums(value[order][top], text[top]) / TOP, sums(value > CLEAR, text) / per), 1)
+
+
 SCALE = np.array([10.0, 1.0, 50.0])
 
 
@@ -313,19 +335,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _keys_of(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-    """The sorted distinct keys of each kind in a block."""
-    found: dict[int, list[np.ndarray]] = {n: [] for n in KINDS}
-    for _, data, offsets in slices(batch, "text"):
-        for n, _, _, keys in expressions(*normalised(data, offsets)):
-            found[n].append(np.unique(keys))
-    return {n: np.unique(np.concatenate([np.zeros(0, U), *parts])) for n, parts in found.items()}
+class Block:
+    """The words of some rows as numbers of distinct pairs, with the stem of each."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        pairs, stems, counts = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(1, np.int64)]
+        for _, data, offsets in slices(rows, "text"):
+            found, stem, first = pairs_of(data, offsets)
+            pairs.append(found)
+            stems.append(stem)
+            counts.append(np.diff(first))
+        self.first = np.cumsum(np.concatenate(counts))
+        self.pairs, at, self.number = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        self.stems = np.concatenate(stems)[at]
+        self.asked = np.unique(np.concatenate((self.pairs, self.stems[self.stems > 0])))
 
+    def arrays(self) -> list[np.ndarray]:
+        """What turns evidence for ``asked`` into that of the words: per-text index, number of each word, and for each number where its pair and its stem are."""
+        at = lambda keys: np.searchsorted(self.asked, keys).astype(np.uint32)
+        return [self.first, self.number.astype(np.uint32), at(self.pairs), np.where(self.stems > 0, at(self.stems), len(self.asked)).astype(np.uint32)]
 
-def with_features(rows: DataFrame, model: Model, toxic: str | None = None) -> DataFrame:
-    """``rows`` (with text) and their features; ``toxic`` names the labels of training texts, whose own counts are left out."""
-    ranges, schema = model.ranges, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
-    known_schema = "block long, bucket int, data binary"
+
+def with_stems(word: np.ndarray, stem: np.ndarray, has_stem: np.ndarray) -> np.ndarray:
+    return np.where(has_stem, (word + stem) / 2, word)
+
+
+def with_features(rows: DataFrame, model: Model, kept: list[str], toxic: str | None = None) -> DataFrame:
+    """The columns ``kept`` of ``rows`` (with text) and the features; ``toxic`` names the labels of training texts, whose own counts are left out."""
+    ranges = model.ranges
+    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
+    row_schema = "block long, bucket int, data binary"
     made = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "data"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
@@ -333,79 +372,106 @@ def with_features(rows: DataFrame, model: Model, toxic: str | None = None) -> Da
             for block, bucket, data in zip(*(batch.column(c) for c in ("block", "bucket", "data")), strict=True):
                 yield block.as_py(), bucket.as_py(), data.as_py()
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part, _, _ in slices(batch, "text", BLOCK_BYTES):
-                sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield made(number, -1, sink.getvalue())
+                yield number, part
                 number += 1
 
-    def unpacked(data: bytes) -> pa.RecordBatch:
-        return pa.ipc.open_stream(data).read_next_batch()
-
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, data in each(batches):
-            for n, keys in _keys_of(unpacked(data)).items():
-                for bucket, at in ranges.split(n, keys):
-                    yield made(block, bucket, dumped(steps(keys[at])))
+        for block, part in blocks(batches):
+            keys = Block(part).asked
+            for bucket, at in ranges.split(keys):
+                yield made(block, bucket, dumped(steps(keys[at])))
+
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in blocks(batches):
+            found = Block(part)
+            keys = found.asked
+            sink = io.BytesIO()
+            held = part.select(kept)
+            with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(held)
+            yield made(block, -1, pickle.dumps((sink.getvalue(), dumped(*found.arrays(), *([keys] if toxic else [])), len(keys), int(np.bitwise_xor.reduce(keys)))))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, values, none = None, np.zeros(0, U), [], []
+        at, known = None, Known(np.zeros(0, U), np.zeros((2, 0), np.int64))
+        nothing = known
         for block, bucket, data in each(batches):  # of each range, the table comes first
             if bucket != at:
-                at, n, keys = bucket, ranges.kind(bucket), np.zeros(0, U)
-                zeros = [np.zeros(1, np.int64)] * 3
-                none = zeros if toxic else [model.log_ratio(n, *zeros).astype(np.float32)]
-                values = none
+                at, known = bucket, nothing
+            found = loaded(data)
+            keys = np.cumsum(found[0], dtype=U)
             if block < 0:
-                delta, ordinary, other, contexts = loaded(data)
-                keys = np.cumsum(delta, dtype=U)
-                values = [ordinary, other, contexts] if toxic else [model.log_ratio(n, other, ordinary, contexts).astype(np.float32)]
-                values = [np.append(v, x.astype(v.dtype)) for v, x in zip(values, none, strict=True)]
+                known = Known(keys, np.stack(found[1:]))
                 continue
-            wanted = np.cumsum(loaded(data)[0], dtype=U)
-            place = np.searchsorted(keys, wanted)
-            if len(keys):
-                place[keys[np.minimum(place, len(keys) - 1)] != wanted] = len(keys)
-            yield made(block, bucket, dumped(*(v[place] for v in values)))
+            counts = known.of(keys)
+            values = list(counts) if toxic else [model.evidence(keys, counts).astype(np.float32)]
+            yield made(block, bucket, pickle.dumps((dumped(*values), int(np.bitwise_xor.reduce(keys)))))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def scored(rows: pa.RecordBatch, found: dict[int, list]) -> Iterator[pa.RecordBatch]:
-            known = {n: [keys, *(np.concatenate(x) for x in zip(*found[n], strict=True))] for n, keys in _keys_of(rows).items()}
-            for part, data, offsets in slices(rows, "text"):
-                f = model.features(data, offsets, known, np.array(part.column(toxic).to_pylist(), np.int64) if toxic else None)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in f.T)], names=schema.names)
-
-        rows, found = None, {}
+        def scored(block: bytes, found: list[tuple[bytes, int]]) -> pa.RecordBatch:
+            held, stream, n, sign = pickle.loads(block)
+            first, number, pair, stem, *keys = loaded(stream)
+            values = [np.concatenate(x) for x in zip(*(loaded(v) for v, _ in found), strict=True)] or [np.zeros(0)] * 5
+            if len(values[0]) != n or sign != int(np.bitwise_xor.reduce(np.array([x for _, x in found] or [0], U))):
+                raise RuntimeError("rows came in another order when read again; write the table first")
+            rows = pa.ipc.open_stream(held).read_next_batch()
+            has_stem = stem < n
+            stem = np.minimum(stem, max(n - 1, 0))
+            if toxic:
+                of = lambda at: without_own([v[at][number] for v in values], keys[0][at][number], first, np.array(rows.column(toxic).to_pylist(), np.int64))
+                value = with_stems(of(pair), of(stem), has_stem[number])
+            else:
+                value = with_stems(values[0][pair], values[0][stem], has_stem)[number].astype(np.float64)
+            return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c) for c in features_of(value, first).T)], names=schema.names)
+
+        def without_own(counts: list[np.ndarray], keys: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
+            text = np.repeat(np.arange(len(label)), np.diff(first))
+            own = []
+            for name in (keys, keys >> U(8)):
+                order = np.lexsort((name, text))
+                new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (text[order][1:] != text[order][:-1])))[: len(order)]
+                times = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+                of = np.empty(len(order), np.int64)
+                of[order] = np.repeat(times, times)
+                own.append(of)
+            mine = label[text]
+            left = [np.maximum(counts[2 * k + c] - own[k] * (mine == c), 0) for k in (0, 1) for c in (0, 1)]
+            return model.evidence(keys, np.stack([*left, counts[4]]))
+
+        rows, found = None, []
         for _, bucket, data in chain(each(batches), [(None, -1, None)]):  # of each block, the texts come first
             if bucket >= 0:
-                found[ranges.kind(bucket)].append(loaded(data))
+                found.append(pickle.loads(data))
                 continue
             if rows is not None:
-                yield from scored(rows, found)
-            rows, found = data and unpacked(data), {n: [] for n in KINDS}
+                yield scored(rows, found)
+            rows, found = data, []
 
-    texts = stage(rows.mapInArrow(blocks, known_schema), "toxicity-blocks")
-    both = texts.mapInArrow(asked, known_schema).unionByName(model.table.select(F.lit(-1).cast("long").alias("block"), "bucket", "data"))
-    evidence = both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(told, known_schema)
-    return texts.unionByName(evidence).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(finished, schema)
+    both = rows.mapInArrow(asked, row_schema).unionByName(model.table.select(F.lit(-1).cast("long").alias("block"), "bucket", "data"))
+    evidence = both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(told, row_schema)
+    return rows.mapInArrow(waiting, row_schema).unionByName(evidence).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(finished, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
-    """A model from the labelled rows that are not held out."""
+    """A model from the labelled rows that are not held out.
+
+    Few labels go to the texts by broadcast, more than MOST_SENT (about 100 MB) meet them in a join by id.
+    """
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = stage(docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id"), "toxicity-train")
+    marks = stage(marks, "toxicity-labels")
+    join_by = "broadcast" if marks.count() <= MOST_SENT else "shuffle_hash"
+    train = docs.select("doc_id", "text").join(marks.hint(join_by), "doc_id")
     size = train.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    by_hash = lambda share: train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
-    sample = by_hash(4_000 / max(size.rows, 1)).select(F.left("text", F.lit(2_000)).alias("text")).limit(4_000).collect()  # only to lay the ranges
-    ranges = Ranges([r.text for r in sample], 1 + (size.bytes or 0) // RANGE_BYTES)
+    ranges = Ranges(max(docs.sparkSession.sparkContext.defaultParallelism, 1 + (size.bytes or 0) // RANGE_BYTES))
     model = Model(count(train, ranges), ranges)
     if not model.trained:
         return model
-    got = with_features(by_hash(fit_rows / size.rows).select("text", "toxic"), model, "toxic").select(*FEATURES, "toxic").toArrow()
+    chosen = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, fit_rows / size.rows) * 1_000_000))
+    sample = stage(chosen.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
+    got = with_features(sample, model, ["toxic"], "toxic").select(*FEATURES, "toxic").toArrow()
     model.fit(np.stack([got.column(c).to_numpy() for c in FEATURES], 1), got.column("toxic").to_numpy().astype(float))
     return model
 
@@ -421,7 +487,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     for c, w, unit in zip(FEATURES, model.weights[1:], SCALE, strict=True):
         value = value + F.col(c) * float(w * unit)
     likely = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), value))))
-    return with_features(rows, model).select(*kept, likely.alias("score"), *FEATURES)
+    return with_features(rows, model, kept).select(*kept, likely.alias("score"), *FEATURES)
 
 
 def ordinary(docs: DataFrame, model: Model, below: float = TOXIC) -> DataFrame:

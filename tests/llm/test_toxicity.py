@@ -59,35 +59,101 @@ def test_awkward_rows(spark, awkward, nothing):
     assert {r.score for r in toxicity.score(awkward, toxicity.learn(nothing, labels)).collect()} == {0.0}
 
 
-def test_counts_are_exact_and_grow_with_the_texts(spark, monkeypatch):
-    """More expressions than any fixed number of counters, each with its own counts and bytes before it, dealt over many ranges and blocks."""
+def brute_force(train, texts):
+    """Evidence of every word of ``texts`` by the formulas, in plain Python over strings."""
     import collections
+    import math
+    import string
+
+    def words(text):
+        for c in string.punctuation:
+            text = text.replace(c, " ")
+        found, before = [], ""
+        for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split():
+            found.append((before, w))
+            before = w[-1]
+        return found
+
+    def stem(w):
+        return w[:4] if len(w) > 4 else None
+
+    models = []
+    for part in (lambda w: w, stem):
+        pair, word, history, after = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+        followed, seen, total = collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
+        for text, c in train:
+            for h, w in words(text):
+                e = part(w)
+                if e is not None:
+                    pair[h, e, c] += 1
+                    word[e, c] += 1
+                    history[h, c] += 1
+                    total[c] += 1
+                    after[e].add(h)
+                    followed[h, c].add(e)
+                    seen[c].add(e)
+        both = lambda counts: collections.Counter(sum((collections.Counter({k[:-1]: n}) for k, n in counts.items()), collections.Counter()).values())
+        d = []
+        for counts in (word, pair):
+            times = both(counts)
+            d.append(min(max(times[1] / max(times[1] + 2 * times[2], 1), 0.3), 0.95))
+        places = sum(map(len, after.values())) + 0.5 * (len(after) + 1)
+
+        def p(h, e, c, d=d, pair=pair, word=word, history=history, after=after, followed=followed, seen=seen, total=total, places=places):
+            low = max(word[e, c] - d[0], 0) / total[c] + d[0] * len(seen[c]) / total[c] * (len(after[e]) + 0.5) / places
+            if not history[h, c]:
+                return low
+            return max(pair[h, e, c] - d[1], 0) / history[h, c] + d[1] * len(followed[h, c]) / history[h, c] * low
+
+        models.append((part, p))
+    out = []
+    for text in texts:
+        row = []
+        for h, w in words(text):
+            parts = [math.log(p(h, e, 1)) - math.log(p(h, e, 0)) for part, p in models if (e := part(w)) is not None]
+            row.append(sum(parts) / len(parts))
+        out.append(row)
+    return out
+
+
+def test_evidence_is_that_of_the_formulas(spark, monkeypatch):
+    """Over many ranges and blocks, against plain Python."""
+    import numpy as np
 
+    docs, labels = corpus(160)
+    docs = [(i, t.replace(" ba ", ", BA: ")) for i, t in docs]
+    monkeypatch.setattr(toxicity, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 3_000)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    kept = [(t, c) for (i, t), (_, c) in zip(docs, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = brute_force(kept, [t for _, t in docs])
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    assert len(model.table.collect()) > 10
+    for (i, _), x in zip(docs, want, strict=True):
+        features = [np.mean(x), sum(sorted(x)[-toxicity.TOP :]) / toxicity.TOP, np.mean(np.array(x) > toxicity.CLEAR)]
+        assert np.allclose([got[i][c] for c in toxicity.FEATURES], features, atol=1e-4), i
+
+
+def test_own_counts_are_left_out_of_the_fit(spark):
+    """A training text's evidence is that of a model that never saw it, but for histories and weights."""
     import numpy as np
 
+    docs, labels = corpus(60)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = spark.createDataFrame([("hagface once more hagface", 1), ("hagface once more hagface", 0)], "text string, toxic int")
+    own = toxicity.with_features(rows, model, ["toxic"], "toxic").collect()
+    assert all(np.isfinite([r[c] for c in toxicity.FEATURES]).all() for r in own)
+    assert own[0].top_evidence != own[1].top_evidence
+
+
+def test_model_grows_with_the_texts(spark):
     rng = random.Random(5)
-    rows = [(" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)), i % 2) for i in range(500)]
-    monkeypatch.setattr(toxicity, "RANGE_BYTES", 100_000)
-    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 50_000)
-    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
-    model = toxicity.learn(d, spark.createDataFrame([(i, c) for i, (_, c) in enumerate(rows)], "doc_id long, toxic int"))
-    counts, before = collections.Counter(), collections.defaultdict(set)
-    for i, (text, c) in enumerate(rows):
-        if zlib.crc32(str(i).encode()) % 4 != 2:
-            t = f" {text}"
-            for k in range(len(t) - 7):
-                counts[t[k : k + 8], c] += 1
-                before[t[k : k + 8]].add(t[k - 1] if k else " ")
-    got = {}
-    for r in model.table.collect():
-        if model.ranges.kind(r.bucket) == 8:
-            keys, ordinary, toxic, contexts = toxicity.loaded(r.data)
-            for k, *x in zip(np.cumsum(keys, dtype=np.uint64), ordinary, toxic, contexts, strict=True):
-                got[int(k).to_bytes(8, "big").decode()] = tuple(map(int, x))
-    assert len(got) > 1 << 19
-    assert got == {e: (counts[e, 0], counts[e, 1], len(b)) for e, b in before.items()}
-
-    scored = {r.doc_id: r for r in toxicity.score(d, model).collect()}
-    held = next(i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 4 == 2)
-    alone = toxicity.score(d.filter(f"doc_id = {held}"), model).first()
-    assert len(scored) == len(rows) and np.allclose(alone, scored[held], rtol=1e-9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9))) for _ in range(300))
+    sizes = []
+    for n in (40, 160):
+        d = spark.createDataFrame([(i, text()) for i in range(n)], "doc_id long, text string")
+        model = toxicity.learn(d, spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int"))
+        sizes.append(sum(len(toxicity.loaded(r.data)[0]) for r in model.table.collect()))
+    assert sizes[1] > 3 * sizes[0]
