@@ -6,28 +6,27 @@ sizes a and b reach a Jaccard of 0.75 only if they differ in at most d = (a + b)
 * Parity sketch: every shingle flips a bit. Two sketches differ in at most as many bits as the
   sets differ in shingles, so their Hamming distance is a lower bound of the difference.
 * Pigeonhole per size band: within the band of sizes 2**k to 2**(k+1) - 1 the sketch is cut into
-  the same blocks for all documents. d differences spoil at most d blocks, so a document with
-  more than d occupied blocks shares an occupied block, unchanged, with every partner. A block's
-  content is named by the XOR of its shingles' hashes; band, block and content make a token. (Up to
-  64 shingles, each shingle is a block of its own. Beyond, d or fewer occupied blocks are
-  less likely than 1e-12.)
-* Only the first d + 1 tokens in a common order are needed for that. The order puts tokens
-  of frequent shingles last: frequencies come from one table of 2**18 counters over the shingles
-  of all documents, whatever their number. A larger document also gives tokens for the band
-  below, if partners there are large enough.
+  the same blocks for all documents, more of them than two linked sets can differ in. d differences
+  spoil at most d blocks, so linked sets share a block, unchanged. A block's content is named by
+  the XOR of its shingles' hashes; band, block and content make a token.
+* Only the first d + 1 tokens in a common order are needed for that. Tokens of blocks with many
+  shingles come first, as few texts share those, and empty blocks last. A larger document also
+  gives tokens for the band below, if partners there are large enough.
 * Tokens are dealt by value over tasks as packed arrays. A bucket of documents with one token
-  becomes a star around its smallest member, never all pairs. Star pairs pass the Hamming
-  bound and are then verified on the texts. Buckets whose members do not all fall into one
-  component by that are settled exactly: members of different components are compared, in small
-  buckets by a join, in large ones block against block by their sketches. There a forest of the
-  nearest pairs goes first; only where one of its pairs does not link, all others that the bound
-  allows follow. No step gives all pairs of a group.
+  becomes a star around its smallest member, never all pairs. By their sketches star pairs are
+  close (a Jaccard of 0.3 or so) or not, and the components of the close ones are families. Of
+  each member the nearest pair that may link is verified on the texts.
+* What may still link lies in one family, or in two families that meet in a bucket. Both are settled
+  exactly: members of different components are compared, in small groups by a join, in large ones
+  block against block by their sketches. There a forest of the nearest pairs goes first; only where
+  one of its pairs does not link, all others that the bound allows follow. No step gives all
+  pairs of a group.
 * Components spread by smallest labels and pointer jumping over the verified links.
 
 Documents with equal sets share one representative from the start, and a token that many
 documents of one slice of a batch share is reduced to one of them before the shuffle (with its other
 members listed by themselves), so groups of copies of any size cost no more than their rows.
-Document keys are 64-bit hashes of the set.
+Sets are told apart by 128 bits: tokens carry 64, and sets that share those get keys of their own.
 
 Defined results: null and empty texts, and texts of white space, have no set and are linked with
 nothing (component_id is their own doc_id); texts of one to four words are one shingle; repeated
@@ -49,13 +48,12 @@ from pyspark.sql import types as T
 from .shared import stage
 from .textnum import MULTIPLIER, U, mix, slices, span_hashes, windows, words
 
-CELLS = 1 << 18
-SMALL_BAND = 6
 LOCAL_STAR = 32
 SMALL_BUCKET = 15
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
 TOKENS_A_PART = 1_500_000
+MOST_SENT = 2_000_000  # ids or keys that are sent to every executor at most
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
@@ -74,11 +72,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[
             yield np.unique(all_windows[index[i] : index[i + 1]])
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return int(np.add.reduce(mix(shingles ^ U(0x5851F42D4C957F2D))).astype(np.int64))
+def set_key(shingles: np.ndarray, seed: int = 0x5851F42D4C957F2D) -> int:
+    return int(np.add.reduce(mix(shingles ^ U(seed))).astype(np.int64))
 
 
-def sketch_of(shingles: np.ndarray, density: int = 2) -> bytes:
+def set_check(shingles: np.ndarray) -> int:
+    """A second key, which tells sets of the same key apart."""
+    return set_key(shingles, 0x2545F4914F6CDD1D)
+
+
+def sketch_of(shingles: np.ndarray, density: int = 4) -> bytes:
     """Parity of ``density`` or more bits a shingle; the width is a power of two, so that a wide sketch folds onto a narrow one."""
     bits = max(64, 1 << int(density * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles * MULTIPLIER) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -107,80 +110,70 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def band_tokens(shingles: np.ndarray, band: int, need: int, level: np.ndarray) -> np.ndarray:
-    """The first ``need`` tokens of a set in a band."""
-    rarity = level[(shingles >> U(40)) & U(CELLS - 1)]
-    if band < SMALL_BAND:
-        token = mix(shingles + U(band))
-        order = np.lexsort((token, rarity))
-        return token[order[:need]]
-    blocks = U((1 << band) + (1 << (band - 2)))
+def band_tokens(shingles: np.ndarray, band: int, need: int) -> np.ndarray:
+    """The first ``need`` tokens of a set in a band. Linked sets that meet there differ in at most (2**(band + 1) - 1) // 3 shingles."""
+    blocks = max((3 << band) // 4, ((2 << band) - 1) // 3 + 1)
     spread = mix(shingles ^ U(0xA0761D6478BD642F))
-    block = ((spread >> U(32)) * blocks) >> U(32)
+    block = ((spread >> U(32)) * U(blocks)) >> U(32)
     order = np.argsort(block)
-    sorted_blocks = block[order]
-    start = np.flatnonzero(np.concatenate(([True], sorted_blocks[1:] != sorted_blocks[:-1])))
+    block = block[order]
+    start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     content = np.bitwise_xor.reduceat(spread[order], start)
-    rare = np.minimum.reduceat(rarity[order], start)
     count = np.diff(np.concatenate((start, [len(order)])))
-    token = mix(content + mix(sorted_blocks[start] + (U(band) << U(48))))
-    return token[np.lexsort((token, -count, rare))[:need]]
+    block = block[start]
+    if len(block) < need:
+        empty = np.setdiff1d(np.arange(blocks, dtype=U), block)
+        block, content, count = (np.concatenate((x, y)) for x, y in ((block, empty), (content, np.zeros(len(empty), U)), (count, np.zeros(len(empty), np.int64))))
+    token = mix(content + mix(block + (U(band) << U(48))))
+    return token[np.lexsort((token, -count))[:need]]
 
 
-def tokens_of(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
+def tokens_of(shingles: np.ndarray) -> np.ndarray:
     n = len(shingles)
     band = n.bit_length() - 1
-    own = band_tokens(shingles, band, n // 3 + 1, level)
+    own = band_tokens(shingles, band, n // 3 + 1)
     if band > 0 and -(-3 * n // 4) < 1 << band:
-        below = band_tokens(shingles, band - 1, (n + (1 << band) - 1) // 7 + 1, level)
+        below = band_tokens(shingles, band - 1, (n + (1 << band) - 1) // 7 + 1)
         return np.concatenate((own, below))
     return own
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid (key of the set) and sketch of every document; and rows of (cell, seen), the shingle counters of a task."""
-    schema = T.StructType(
-        [docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("seen", T.LongType())]
-    )
-    id_type = None
+    """doc_id, n, sid and check (keys of the set) and sketch of every document."""
+    fields = [("n", T.LongType()), ("sid", T.LongType()), ("check", T.LongType()), ("sketch", T.BinaryType())]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(*f) for f in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
-        seen = np.zeros(CELLS, np.int64)
         for batch in batches:
-            id_type = batch.column("doc_id").type
             for part, data, offsets in slices(batch, "text"):
-                sizes, sids, sketches, cells = [], [], [], []
-                for s in shingle_sets(data, offsets):
-                    sizes.append(len(s))
-                    sids.append(set_key(s) if len(s) else None)
-                    sketches.append(sketch_of(s, 8) if len(s) else None)
-                    cells.append(s)
-                seen += np.bincount(((np.concatenate(cells) >> U(40)) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                n = part.num_rows
-                arrays = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+                found = list(shingle_sets(data, offsets))
+                of = lambda f, kind: pa.array([f(s) if len(s) else None for s in found], kind)  # noqa: B023, E731
+                arrays = [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), of(set_key, pa.int64()), of(set_check, pa.int64()), of(sketch_of, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-        used = np.flatnonzero(seen)
-        if len(used):
-            n = len(used)
-            arrays = [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array(seen[used], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def rarity_levels(profile: DataFrame) -> tuple[np.ndarray, int]:
-    """Level of each counter: 0 for what is not above the usual load, then one more with each doubling; and the sum of all."""
-    rows = profile.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()  # at most CELLS rows
-    seen = np.zeros(CELLS, np.int64)
-    seen[rows.column("cell").to_numpy()] = rows.column("seen").to_numpy()
-    usual = 4 * seen.mean() + 16
-    return np.ceil(np.log2(np.maximum(seen / usual, 1))).astype(np.int8), int(seen.sum())
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """key, sid, check, doc_id (of one document with the set), n and sketch of every set. The key is the sid, unless two sets have that."""
+    last = [F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")]
+    by_sid = stage(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("check").alias("check"), F.max("check").alias("other"), *last), "sets")
+    columns = ["key", "sid", "check", "doc_id", "n", "sketch"]
+    sets = by_sid.filter("check = other").withColumn("key", F.col("sid")).select(*columns)
+    twins = by_sid.filter("check <> other").select("sid")
+    if twins.isEmpty():
+        return sets
+    own = rows.join(twins, "sid").groupBy("sid", "check").agg(*last).withColumn("key", F.xxhash64("sid", "check"))
+    return stage(sets.unionByName(own.select(*columns)), "sets")
+
 
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` for a join: with a broadcast hint if it has at most MOST_SENT rows."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
 
-def dealt_tokens(docs: DataFrame, level: np.ndarray, parts: int) -> DataFrame:
+
+def dealt_tokens(docs: DataFrame, parts: int) -> DataFrame:
     """Packed arrays by part: tokens with the keys of their sets, tokens that were reduced to one set, and the members of those."""
-    held = docs.sparkSession.sparkContext.broadcast(level)
     pack = lambda x: pa.array([v.tobytes() for v in x], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +182,7 @@ def dealt_tokens(docs: DataFrame, level: np.ndarray, parts: int) -> DataFrame:
                 found = {set_key(s): s for s in shingle_sets(data, offsets) if len(s)}
                 if not found:
                     continue
-                tokens = [tokens_of(s, held.value) for s in found.values()]
+                tokens = [tokens_of(s) for s in found.values()]
                 token = np.concatenate(tokens)
                 sid = np.repeat(np.array(list(found), np.int64), [len(t) for t in tokens])
                 order = np.lexsort((sid, token))
@@ -268,96 +261,120 @@ def buckets(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, "a long, b long, bucket long, sid long")
 
 
-def surviving(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs that sizes and the Hamming bound allow."""
-    one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    joined = pairs.distinct().join(one, "a").join(two, "b").filter(F.least("n_a", "n_b") * 4 >= F.greatest("n_a", "n_b") * 3)
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are close: a, b, their Hamming distance, and whether sizes and the Hamming bound allow a link.
+
+    Close is a difference, estimated from the distance, of at most 7 in 13 of both sizes. All that may link is close.
+    """
+    one = sets.select(F.col("sid").alias("a"), F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = sets.select(F.col("sid").alias("b"), F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    joined = pairs.distinct().join(one, "a").join(two, "b").filter(F.least("n_a", "n_b") * 10 >= F.greatest("n_a", "n_b") * 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.to_pydict()
-            keep = [hamming(p, q) <= may_link(n, m) for n, m, p, q in zip(x["n_a"], x["n_b"], x["sketch_a"], x["sketch_b"], strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            far, may, close = [], [], []
+            for n, m, p, q in zip(x["n_a"], x["n_b"], x["sketch_a"], x["sketch_b"], strict=True):
+                h, bits = hamming(p, q), 8 * min(len(p), len(q))
+                far.append(h)
+                may.append(h <= may_link(n, m))
+                close.append(may[-1] or (2 * h < bits and -bits / 2 * np.log1p(-2 * h / bits) <= 7 / 13 * (n + m)))
+            arrays = [batch.column("key_a"), batch.column("key_b"), pa.array(far, pa.int64()), pa.array(may, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "far", "may"]).filter(pa.array(close, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, far long, may boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs whose texts link. ``owners``: sid and the doc_id of one document with that set."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    owner = owners.join(ends, "sid").withColumnRenamed("doc_id", "owner_id")
-    texts = stage(docs.select("doc_id", "text").join(owner, F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("sid", "text"), "link-texts")
-    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def texts_of(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, sid, check and text of one document for each of the sets."""
+    owner = sets.select("key", "sid", "check", F.col("doc_id").alias("owner_id")).join(keys, "key")
+    found = docs.select("doc_id", "text").join(sent(stage(owner, "owners")), F.col("doc_id").eqNullSafe(F.col("owner_id")))
+    return stage(found.select("key", "sid", "check", "text"), "link-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose texts link."""
+    ends = sent(stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends"))
+    needed = texts.join(ends, "key")
+    side = lambda x: needed.toDF(x, f"sid_{x}", f"check_{x}", f"text_{x}")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text_a"):
                 keep = []
                 _, other, at = next(slices(part, "text_b", 1 << 62))
-                sides = zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(data, offsets), shingle_sets(other, at), strict=True)
-                for a, b, x, y in sides:
-                    keep.append(set_key(x) == a and set_key(y) == b and linked(x, y))  # an id may have rows with other texts
+                names = zip(*(part.column(c).to_pylist() for c in ("sid_a", "check_a", "sid_b", "check_b")), strict=True)
+                for (a, a2, b, b2), x, y in zip(names, shingle_sets(data, offsets), shingle_sets(other, at), strict=True):
+                    # an id may have rows with other texts
+                    keep.append((set_key(x), set_check(x), set_key(y), set_check(y)) == (a, a2, b, b2) and linked(x, y))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """sid and root (the smallest key of its component) for every key in a link."""
-    both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    nodes = stage(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.col("sid"), F.min("b")).alias("root")), "roots")
+    """key and root (the smallest key of its component) for every key in a link."""
+    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    nodes = stage(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("root")), "roots")
     for _ in range(most_rounds):
-        offers = both.join(nodes.toDF("b", "offer"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("offer").alias("offer"))
-        nearer = nodes.join(offers, "sid", "left").select("sid", "root", F.least("root", F.coalesce("offer", "root")).alias("near"))
+        offers = both.join(nodes.toDF("b", "offer"), "b").groupBy(F.col("a").alias("key")).agg(F.min("offer").alias("offer"))
+        nearer = nodes.join(offers, "key", "left").select("key", "root", F.least("root", F.coalesce("offer", "root")).alias("near"))
         jump = nodes.toDF("near", "far")
-        moved = stage(nearer.join(jump, "near", "left").select("sid", F.least("near", F.coalesce("far", "near")).alias("next"), "root"), "roots")
-        nodes = moved.select("sid", F.col("next").alias("root"))
+        moved = stage(nearer.join(jump, "near", "left").select("key", F.least("near", F.coalesce("far", "near")).alias("next"), "root"), "roots")
+        nodes = moved.select("key", F.col("next").alias("root"))
         if moved.filter(F.col("next") != F.col("root")).isEmpty():
             return nodes
     raise RuntimeError("components did not settle")
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of buckets that lie in several components, with the bucket's size."""
-    per_bucket = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return members.join(per_bucket.filter("low <> high").select("bucket", "size"), "bucket")
+def _unsettled(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (group, key, apart) of groups that lie in several components and are apart, with their roots and the group's size.
+
+    Of a group only members with different ``apart`` are to be compared; null is apart from all.
+    """
+    rooted = members.join(nodes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    spread = [F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.coalesce("apart", "key")).alias("one"), F.max(F.coalesce("apart", "key")).alias("two")]
+    per_group = rooted.groupBy("group").agg(F.count("*").alias("size"), *spread)
+    return rooted.join(per_group.filter("low <> high AND one <> two").select("group", "size"), "group")
 
 
 def _few(open_: DataFrame) -> DataFrame:
-    """All pairs across components in small buckets: at most SMALL_BUCKET / 2 a member."""
+    """All pairs to compare in small groups: at most SMALL_BUCKET / 2 a member."""
     small = open_.filter(F.col("size") <= SMALL_BUCKET)
-    other = small.select("bucket", F.col("sid").alias("b"), F.col("root").alias("root_b"))
-    return small.join(other, "bucket").filter("sid < b AND root <> root_b").select(F.col("sid").alias("a"), "b").distinct()
+    other = small.select("group", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b"))
+    differ = "key < b AND root <> root_b AND coalesce(apart <> apart_b, true)"
+    return small.join(other, "group").filter(differ).select(F.col("key").alias("a"), "b").distinct()
 
 
-def _near_in_blocks(open_: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) across the components of large buckets that sizes and the Hamming bound allow.
+def _near_in_blocks(open_: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) to compare in large groups that sizes and the Hamming bound allow.
 
-    A bucket is dealt into blocks by rows and by shingles, and every two blocks meet in one group
+    A group is dealt into blocks by rows and by shingles, and every two blocks meet in one task
     with their sketches, which are so wide that few pairs pass that do not link. With ``forest``, pairs
     are taken from the nearest on and those whose ends are already joined are passed over, which
     leaves at most a pair a member.
     """
-    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sketches.select("sid", "n", "sketch"), "sid")
-    weight = large.groupBy("bucket").agg(F.sum("n").alias("shingles"))
+    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sets.select("key", "n", "sketch"), "key")
+    weight = large.groupBy("group").agg(F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = large.join(weight, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    placed = large.join(weight, "group").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with"))
-    spread = spread.select("bucket", "low", "high", "own", "sid", "root", "n", "sketch")
+    spread = spread.select("group", "low", "high", "own", "key", F.coalesce("apart", "key").alias("apart"), "root", "n", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
-        x = table.select(["sid", "root", "n", "own", "sketch"]).to_pydict()
-        sid, root, n, own = (np.array(x[c], np.int64) for c in ("sid", "root", "n", "own"))
+        x = table.select(["key", "root", "n", "own", "apart", "sketch"]).to_pydict()
+        key, root, n, own, apart = (np.array(x[c], np.int64) for c in ("key", "root", "n", "own", "apart"))
         size = min(map(len, x["sketch"]))
         bits = np.stack([folded(s, size) for s in x["sketch"]])
         one_block = len(np.unique(own)) == 1
         near = [np.zeros((0, 3), np.int64)]
-        for i in range(len(sid) - 1):
-            j = np.arange(i + 1, len(sid))
+        for i in range(len(key) - 1):
+            ok = (root[i + 1 :] != root[i]) & (apart[i + 1 :] != apart[i]) & (one_block | (own[i + 1 :] != own[i]))
+            j = i + 1 + np.flatnonzero(ok & (4 * np.minimum(n[i + 1 :], n[i]) >= 3 * np.maximum(n[i + 1 :], n[i])))
             far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            ok = (root[j] != root[i]) & (far <= (n[j] + n[i]) // 7) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))
+            ok = far <= (n[j] + n[i]) // 7
             near.append(np.stack((far[ok], np.full(ok.sum(), i), j[ok]), 1))
         pairs = np.concatenate(near)
         if forest:
@@ -376,45 +393,51 @@ def _near_in_blocks(open_: DataFrame, sketches: DataFrame, forest: bool) -> Data
                     group[p] = q
                     keep.append(k)
             pairs = pairs[keep]
-        one, two = sid[pairs[:, 1]], sid[pairs[:, 2]]
+        one, two = key[pairs[:, 1]], key[pairs[:, 2]]
         return pa.table([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
-    return spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
-
-
-def _labelled(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    return members.join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return spread.groupBy("group", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark: SparkSession = docs.sparkSession
-    profile = stage(profiles(docs), "shingle-profiles")
-    level, total = rarity_levels(profile)
-    rows = profile.filter("cell IS NULL")
-    parts = max(1, -(-total * 45 // 100 // TOKENS_A_PART))
-    found = stage(buckets(dealt_tokens(docs, level, max(parts, spark.sparkContext.defaultParallelism))), "buckets")
-    sketches = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sketches = stage(sketches, "sketches")
-    owners = sketches.select("sid", "doc_id")
-    links = stage(verified(stage(surviving(found.filter("bucket IS NULL").select("a", "b"), sketches), "survivors"), docs, owners), "star-links")
+    rows = stage(profiles(docs), "shingle-profiles")
+    sets = distinct_sets(rows)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total * 45 // 100 // TOKENS_A_PART), spark.sparkContext.defaultParallelism)
+    found = stage(buckets(dealt_tokens(docs, parts)), "buckets")
+    stars = stage(compared(found.filter("bucket IS NULL").select("a", "b"), sets), "stars")
+    families = components(stars).withColumnRenamed("root", "family")
+    # Groups in which members may still link: families, and buckets in which families meet.
+    members = found.filter("bucket IS NOT NULL").select("bucket", "sid").distinct().join(sets.select("sid", "key"), "sid")
+    members = members.join(families, "key", "left").withColumn("apart", F.coalesce("family", "key"))
+    mixed = members.groupBy("bucket").agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low <> high").select("bucket")
+    meetings = members.join(mixed, "bucket").select(F.col("bucket").alias("group"), "key", "apart")
+    groups = stage(meetings.unionByName(families.select(F.col("family").alias("group"), "key", F.lit(None).cast("long").alias("apart"))), "groups")
+
+    texts = texts_of(groups.select("key").distinct(), docs, sets)
+    nearest = stars.filter("may").groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
+    links = stage(verified(nearest, texts), "star-links")
     nodes = components(links)
-    members = stage(found.filter("bucket IS NOT NULL").select("bucket", "sid").distinct(), "members")
-    open_ = stage(_unsettled(_labelled(members, nodes)), "unsettled")
+    open_ = stage(_unsettled(groups, nodes), "unsettled")
     if not open_.isEmpty():
-        few = surviving(_few(open_), sketches)
-        tested = stage(few.unionByName(_near_in_blocks(open_, sketches, forest=True)).distinct(), "near")
-        links = stage(links.unionByName(verified(tested, docs, owners)), "all-links")
+        few = compared(_few(open_).join(nearest, ["a", "b"], "left_anti"), sets.withColumn("sid", F.col("key"))).filter("may").select("a", "b")
+        tested = stage(few.unionByName(_near_in_blocks(open_, sets, forest=True)).distinct(), "near")
+        links = stage(links.unionByName(verified(tested, texts)), "all-links")
         nodes = components(links)
         # Where a pair of a forest did not link, another pair may: all others that the bound allows are tested.
-        large = stage(_unsettled(_labelled(open_.filter(F.col("size") > SMALL_BUCKET).select("bucket", "sid"), nodes)), "unsettled")
-        rest = stage(_near_in_blocks(large, sketches, forest=False).join(tested, ["a", "b"], "left_anti"), "near")
+        large = stage(_unsettled(open_.filter(F.col("size") > SMALL_BUCKET).select("group", "key", "apart"), nodes), "unsettled")
+        rest = stage(_near_in_blocks(large, sets, forest=False).join(tested, ["a", "b"], "left_anti"), "near")
         if not rest.isEmpty():
-            nodes = components(links.unionByName(verified(rest, docs, owners)))
-    placed = rows.select("doc_id", "n", "sid").join(nodes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+            nodes = components(links.unionByName(verified(rest, texts)))
+    named = rows.select("doc_id", "n", "sid", "check")
+    twins = sets.filter("key <> sid").select("sid", "check", "key")
+    named = named.withColumn("key", F.col("sid")) if twins.isEmpty() else named.join(twins, ["sid", "check"], "left").withColumn("key", F.coalesce("key", "sid"))
+    placed = named.join(nodes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
