@@ -45,7 +45,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of token ids, each with its place in a sequence of at most 2048."""
     ship(spark)
-    pieces = packing.tokenize(docs, packing.vocabulary_path("byte_bpe_50k.tiktoken"), size=2048, end_id=1)
+    special = packing.special_tokens(packing.vocabulary_path("byte_bpe_50k.json"))
+    pieces = packing.tokenize(docs, packing.vocabulary_path("byte_bpe_50k.tiktoken"), size=2048, end_id=1, special=special)
     return packing.assign(pieces, size=2048)
 
 

@@ -9,16 +9,21 @@ to sequences from c on, at this offset". Pieces find their placement by their ra
 pieces of their length; ranks come from a window over (length, hash bucket), so a length that a
 third of all pieces share is dealt over many tasks.
 
+Special tokens of the vocabulary are read as such where a text holds their strings, as the
+vocabulary's own library does; without ``special`` they are ordinary text.
+
 Defined results: null text is the empty text, whose only token is the end id; repeated rows and
 repeated ids are pieces of their own, and ties in rank are broken by doc_id, start and the other
-columns' hash; an empty table gives an empty result; other columns are not read by
-``tokenize`` and pass through ``assign``.
+columns' hash; an empty table gives an empty result; a text of any length is encoded whole; other
+columns, whatever their names, are not read by ``tokenize`` and pass through ``assign``, but for
+sequence_id and offset, which it replaces.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stage
+from .shared import stage, tucked, untucked
 from .textnum import slices
 
 
@@ -38,18 +43,24 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The special tokens that the JSON file of a vocabulary adds."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+
+
 @lru_cache(maxsize=4)
-def encoder(ranks_path: str):
+def encoder(ranks_path: str, special: tuple[tuple[str, int], ...] = ()):
     """The byte-level vocabulary as ranks: the same ids as the tokenizers file of that vocabulary, six times as fast."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-def tokenize(docs: DataFrame, ranks_path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
+def tokenize(docs: DataFrame, ranks_path: str, size: int = 2048, end_id: int = 1, special: dict[str, int] | None = None) -> DataFrame:
     """Pieces of at most ``size`` ids: doc_id, start, length, doc_tokens, and ids as little-endian unsigned 32-bit numbers."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType(
@@ -57,12 +68,12 @@ def tokenize(docs: DataFrame, ranks_path: str, size: int = 2048, end_id: int = 1
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path)
+        enc = encoder(ranks_path, tuple((special or {}).items()))
         for batch in batches:
             for part, _, _ in slices(batch, "text"):
                 row, start, length, total, ids = [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    got = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+                    got = np.append(enc.encode_to_numpy(text or "", allowed_special="all", disallowed_special=()), end_id).astype("<u4")
                     for at in range(0, len(got), size):
                         piece = got[at : at + size]
                         row.append(i)
@@ -124,12 +135,12 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> tuple[dict[int,
 
 
 def assign(pieces: DataFrame, size: int = 2048) -> DataFrame:
-    """``pieces`` with sequence_id and offset; every column but ``length`` and the id is only carried along."""
+    """``pieces`` with sequence_id and offset; every column but doc_id, start and ``length`` is only carried along."""
     spark = pieces.sparkSession
-    pieces = stage(pieces, "pieces")
+    names, used = [c for c in pieces.columns if c not in ("sequence_id", "offset")], ["doc_id", "start", "length"]
+    pieces = stage(pieces.select(*(F.col(f"`{c}`") for c in names)), "pieces")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    extra = [c for c in pieces.columns if c not in ("doc_id", "start", "ids")]
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    bucketed = tucked(pieces, used).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed, _ = shortest_pack_first(histogram, size)
@@ -139,11 +150,11 @@ def assign(pieces: DataFrame, size: int = 2048) -> DataFrame:
         where = F.broadcast(where)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", F.xxhash64(*extra)))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", F.xxhash64("carried")))
     ranked = bucketed.withColumn("within", within).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within") - 1)
     found = ranked.join(where, "length").withColumn("step", F.size(F.filter("ranks", lambda r: r <= F.col("rank"))))
     at = lambda c: F.element_at(c, F.col("step"))
-    return found.select(*pieces.columns, (at("sequences") + F.col("rank") - at("ranks")).alias("sequence_id"), at("offsets").alias("offset"))
+    return found.select(*untucked(names, used), (at("sequences") + F.col("rank") - at("ranks")).alias("sequence_id"), at("offsets").alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def op3_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.tokenize(docs, packing.vocabulary_path("byte_bpe_50k.tiktoken"), size=2048, end_id=1)
+    special = packing.special_tokens(packing.vocabulary_path("byte_bpe_50k.json"))
+    pieces = packing.tokenize(docs, packing.vocabulary_path("byte_bpe_50k.tiktoken"), size=2048, end_id=1, special=special)
     pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.assign(pieces, size=2048)
 

@@ -3,10 +3,10 @@
 Every document gets a 62-bit sort key: 40 bits from the hash of its text, then 22 bits from
 the hash of its id, so that equal texts lie together and yet a group of copies of any size
 can be cut. The splitters are found without sorting: a first pass counts exact rows and bytes
-in 2**13 equal key ranges; each range that holds a boundary and is heavier than the tolerance is split
-into 2**10 smaller ranges and counted again, until the boundary meets the tolerance or the key
-has no more bits. Only the counts of ranges reach the driver: at most 2**13 rows, then at most
-(shards - 1) * 2**10 rows a round, whatever the input. One exchange then brings the rows of a
+in 2**13 equal key ranges; each range that holds a boundary and is heavier than the tolerance, or that
+has more than a HEAVY part of all bytes, is split into 2**10 smaller ranges and counted again, until
+the boundary meets the tolerance or the key has no more bits. Only the counts of ranges reach the
+driver: at most 2**13 rows, then at most (shards - 1 + HEAVY) * 2**10 rows a round, whatever the input. One exchange then brings the rows of a
 range together, and a row's slot is its range's first slot plus its rank in the range.
 
 Defined results: null text counts as no bytes (its size is the overhead alone) and sorts with
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 KEY_BITS, TEXT_BITS, FIRST_BITS, STEP_BITS = 62, 40, 13, 10
+HEAVY = 1 << 11
 
 
 def size_of(text: Column, overhead: int = 16) -> Column:
@@ -57,6 +58,7 @@ def find_splitters(light: DataFrame, shards: int, tolerance: float = 0.005) -> t
     targets = [total * j / shards for j in range(1, shards)]
     found: dict[int, int] = {}
     below, open_ranges = 0, {}  # boundaries that lie within a range that is too heavy
+    heavy = max(slack, total / HEAVY)
     pending = {None: (counts, 0, list(range(len(targets))))}
     splits: list[tuple[int, list[int]]] = []
     while pending:
@@ -71,6 +73,8 @@ def find_splitters(light: DataFrame, shards: int, tolerance: float = 0.005) -> t
                     else:
                         open_ranges.setdefault(n, (below, []))[1].append(wanted[i])
                     i += 1
+                if b > heavy and shift > 0:  # one task would sort all its rows
+                    open_ranges.setdefault(n, (below, []))
                 below += b
             for j in wanted[i:]:  # rounding of the last target
                 found[j] = 1 << KEY_BITS
@@ -107,24 +111,29 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = 16, tolerance: flo
 
     Join it back on the id, or use ``write_shards`` for the files themselves.
     """
-    out = [c for c in docs.columns if c not in {text, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "key", "leaf"}]
+    made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    names = [c for c in docs.columns if c not in {text, *made}]
+    others = [c for c in names if c != doc_id]
+    own_id, own_text = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     light = docs.select(
-        *out,
-        size_of(F.col(text), overhead).alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        sort_key(F.col(text), F.col(doc_id)).alias("key"),
+        F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried") if others else F.lit(0).alias("carried"),
+        own_id.alias("id"),
+        size_of(own_text, overhead).alias("size"),
+        F.crc32(F.coalesce(own_text, F.lit("")).cast("binary")).alias("text_crc32"),
+        sort_key(own_text, own_id).alias("key"),
     )
-    light = stage(light, "shard-keys")
+    light = stage(light if others else light.drop("carried"), "shard-keys")
     splitters, splits = find_splitters(light, shards, tolerance)
     placed = light.withColumn("shard", _shard_of(splitters)).withColumn("leaf", _leaf(splits))
     counts = placed.groupBy("shard", "leaf").agg(F.count("*").alias("rows"))  # at most the counted ranges and the splitters
     before = Window.partitionBy("shard").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "leaf", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("shard", "leaf").orderBy("key", doc_id, "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "leaf").orderBy("key", "id", "text_crc32", "size"))
+    back = [F.col("id").alias(doc_id) if c == doc_id else F.col(f"carried.`{c}`") for c in names]
     return (
         placed.withColumn("rank", rank)
         .join(first, ["shard", "leaf"])
-        .select(*out, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select(*back, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 
 
@@ -133,7 +142,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float
 
     Rows go to tasks by shard and a part of the key, so that a large shard is written by many tasks.
     """
-    keyed = docs.withColumn("key", sort_key(F.col("text"), F.col("doc_id")))
-    splitters, _ = find_splitters(stage(keyed.select("key", size_of(F.col("text")).alias("size")), "shard-keys"), shards, tolerance)
-    placed = keyed.withColumn("shard", _shard_of(splitters))
-    placed.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key").drop("key").write.partitionBy("shard").parquet(path)
+    keys = docs.select(sort_key(F.col("text"), F.col("doc_id")).alias("key"), size_of(F.col("text")).alias("size"))
+    splitters, _ = find_splitters(stage(keys, "shard-keys"), shards, tolerance)
+    whole = docs.select(F.struct("*").alias("row"), sort_key(F.col("text"), F.col("doc_id")).alias("key")).withColumn("shard", _shard_of(splitters))
+    placed = whole.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    placed.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "shard"), "shard").write.partitionBy("shard").parquet(path)

@@ -6,15 +6,19 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own on a single machine (tests), an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siltstone-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,6 +38,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tucked(df: DataFrame, used: list[str]) -> DataFrame:
+    """``df`` with only the ``used`` columns at the top; all others, whatever their names, go into one struct, ``carried``."""
+    others = [c for c in df.columns if c not in used]
+    return df.select(*(F.col(f"`{c}`") for c in used), F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried") if others else F.lit(None).alias("carried"))
+
+
+def untucked(columns: list[str], used: list[str]) -> list[Column]:
+    """The columns of a table that was ``tucked``, by their names."""
+    return [F.col(f"`{c}`") if c in used else F.col(f"carried.`{c}`") for c in columns]
+
+
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns of these names renamed, and how to name them again: for steps that add columns of their own for a while."""
     other = {c: f"{c}__own" for c in df.columns if c in names}

@@ -59,3 +59,24 @@ def test_awkward_rows(awkward, nothing):
     assert packing.assign(packing.tokenize(nothing, packing.vocabulary_path("byte_bpe_50k.tiktoken"))).count() == 0
     built = packing.sequences(packing.assign(pieces, size=64)).collect()
     assert all(sum(len(p.ids) // 4 for p in s.pieces) == s.used <= 64 for s in built)
+
+
+def test_special_tokens_are_those_of_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    texts = ["<|endoftext|> hi", "a <|endoftext|>b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "", None]
+    want = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.tokenize(docs, packing.vocabulary_path("byte_bpe_50k.tiktoken"), special=packing.special_tokens(path)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == dict(enumerate(want))
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["rank", "bucket", "within", "base", "ranks", "sequences", "offsets", "step", "n", "carried", "sequence_id"]
+    rows = spark.range(40).selectExpr("id AS doc_id", "0L AS start", "id % 7 + 1 AS length", *[f"concat('{c}', id) AS {c}" for c in names])
+    packed = packing.assign(rows, size=16)
+    assert packed.columns == [*rows.columns[:-1], "sequence_id", "offset"]
+    for r in packed.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names[:-1]) and 0 <= r.offset < 16

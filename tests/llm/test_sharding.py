@@ -47,3 +47,20 @@ def test_awkward_rows(awkward, nothing):
     rows = sharding.assign(awkward, shards=3).collect()
     assert len(rows) == awkward.count() and all(r.source in (None, "src1", "s") for r in rows)
     assert sharding.assign(nothing).count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["key", "rank", "first", "leaf", "rows", "id", "carried", "own text", "n", "b"]
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('x', int(id)) AS text", *[f"concat('{c}', id) AS `{c}`" for c in names], "'old' AS law")
+    out = sharding.assign(docs, shards=4)
+    assert out.columns == ["doc_id", *names, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names)
+
+
+def test_a_hot_range_without_a_boundary_is_split(spark):
+    """A text of many copies that lies within one shard is counted in many ranges, so no task sorts all of them."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'one hot text', concat('other ', id)) AS text")
+    light = docs.select(sharding.sort_key(docs.text, docs.doc_id).alias("key"), sharding.size_of(docs.text).alias("size"))
+    _, splits = sharding.find_splitters(light, 2)
+    leaves = light.filter(docs.text == "one hot text").select(sharding._leaf(splits).alias("leaf")).distinct().count()
+    assert leaves > 100
