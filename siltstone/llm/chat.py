@@ -92,15 +92,28 @@ def read_turns(formatted: Column) -> Column:
 
 def digests(rendered: DataFrame) -> DataFrame:
     """What the examples hold, read back: turns, trained text, sizes; one row per conversation."""
-    targets = F.transform("examples", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["chars"].cast("int"))))
-    back = rendered.withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", F.array_join(targets, ""))
-    return back.select(
-        "conv_id",
+    whole = rendered.select(
+        F.col("conv_id").alias("id"), F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns")
+    ).select(
+        "id",
+        "formatted_chars",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+    )
+    each = F.sort_array(F.collect_list(F.struct("example", "target")))
+    trained = expand(rendered, with_context=False).groupBy("conv_id").agg(
+        F.array_join(F.transform(each, lambda e: unescape(e["target"])), "").alias("loss"),
+        F.count("*").alias("n_examples"),
+        F.sum(F.col("context_chars") + F.length("target")).alias("example_chars"),
+    )
+    back = whole.join(trained, F.col("id").eqNullSafe(F.col("conv_id")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
+    return back.select(
+        F.col("id").alias("conv_id"),
+        "n_turns",
+        "turns_sha256",
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
-        F.coalesce(F.aggregate("examples", F.lit(0).cast("long"), lambda a, s: a + s["start"] + s["chars"]), F.lit(0)).cast("long").alias("example_chars"),
+        "formatted_chars",
+        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
+        F.coalesce("example_chars", F.lit(0)).cast("long").alias("example_chars"),
     )

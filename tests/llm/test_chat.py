@@ -26,3 +26,13 @@ def test_awkward_turns(spark):
     rows = {r.conv_id: r for r in chat.digests(chat.transcripts(df)).collect()}
     assert rows[None].n_turns == 2 and rows[None].loss_chars == 1 and rows[2].n_turns == 2 and rows[3].n_examples == 0
     assert chat.digests(chat.transcripts(df.filter("false"))).count() == 0
+
+
+def test_loss_text_is_that_of_the_examples(spark):
+    """Each assistant text once, in order, from the expanded examples, at any number of turns."""
+    import hashlib
+
+    turns = [(7, i, "assistant" if i % 2 else "user", f"turn {i} \\ # <") for i in range(25)]
+    d = chat.digests(chat.transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    loss = "".join(t for _, _, r, t in turns if r == "assistant")
+    assert (d.n_examples, d.loss_chars, d.loss_sha256) == (12, len(loss), hashlib.sha256(loss.encode()).hexdigest())
