@@ -4,7 +4,9 @@ Texts are split by the vocabulary's pattern. The distinct pieces of a slice that
 themselves go into matrices by length (up to 4, 8, 16, ... bytes), one row a piece, padded. In every
 round each row merges its leftmost pair of minimum rank; the pair's rank comes from a hash table
 over all pairs that can merge. Merged rows are closed up, finished rows leave the matrix. Only
-the two pairs beside a merge are looked up anew, so a round costs one move of the row.
+the two pairs beside a merge are looked up anew, so a round costs one move of the row. As that
+is square in a piece's length, pieces above LONG bytes (runs without a space) merge by a heap of
+pairs instead, in the same order: lowest rank first, of equal ones the leftmost.
 
 Defined results: null text is the empty text, with no ids; texts are never cut; repeated rows
 give repeated results; an empty table gives an empty result; other columns are not read.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +29,7 @@ from .textnum import slices, spread
 
 NONE = np.iinfo(np.int32).max
 KNOWN = 400_000
+LONG = 2048
 
 
 class Vocabulary:
@@ -53,6 +57,7 @@ class Vocabulary:
                     left.append(a)
                     right.append(b)
                     made.append(rank)
+        self.made = {(a << 32) | b: r for a, b, r in zip(left, right, made, strict=True)}
         self._forget()
         self._build(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32))
 
@@ -102,8 +107,13 @@ class Vocabulary:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         widths = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         pool, filled = [np.zeros(0, np.int32)], 0
-        for width in np.unique(widths):
-            members = np.flatnonzero(widths == width)
+        for i in np.flatnonzero(sizes > LONG):
+            ids = self._merge_long(pieces[i])
+            start[i], length[i] = filled, len(ids)
+            pool.append(ids)
+            filled += len(ids)
+        for width in np.unique(widths[sizes <= LONG]):
+            members = np.flatnonzero((widths == width) & (sizes <= LONG))
             rows = max(1, (1 << 21) // int(width))  # bounds a matrix to some two million cells
             for i in range(0, len(members), rows):
                 for done, n, ids in self._merge_matrix(pieces, members[i : i + rows], sizes, int(width)):
@@ -148,6 +158,40 @@ class Vocabulary:
             inner = j > 0
             ranks[row[inner], j[inner] - 1] = self.pair_ranks(ids[row[inner], j[inner] - 1], ids[row[inner], j[inner]])
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece: a heap of (rank, place) over a linked list, n log n in its length."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        heap = [(int(r), int(i)) for i, r in enumerate(ranks) if r != NONE]
+        heapq.heapify(heap)
+        of, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        current = ranks.tolist() + [NONE]  # the rank of the pair that begins at a place; NONE once the place is gone
+        made = self.made
+
+        def renew(i: int) -> None:
+            rank = made.get((of[i] << 32) | of[after[i]], NONE) if after[i] < n else NONE
+            current[i] = rank
+            if rank != NONE:
+                heapq.heappush(heap, (rank, i))
+
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if current[i] != rank:
+                continue
+            gone = after[i]
+            of[i], after[i], current[gone] = rank, after[gone], NONE
+            if after[i] < n:
+                before[after[i]] = i
+            renew(i)
+            if before[i] >= 0:
+                renew(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(of[i])
+            i = after[i]
+        return np.array(out, np.int32)
+
     def _learn(self, new: list[str]) -> None:
         """Add pieces to those whose ids are known."""
         raw = [p.encode() for p in new]

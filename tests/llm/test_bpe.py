@@ -50,3 +50,17 @@ def test_forgetting_keeps_results(monkeypatch):
     own, library = bpe.Vocabulary(PATH, public.PATTERN), packing.encoder(PATH)
     for t in ("alpha beta gamma delta", "beta epsilon zetaq etaq thetaq iotaq", "alpha"):
         assert own.encode([t])[0].tolist() == library.encode_ordinary(t)
+
+
+def test_a_long_run_takes_time_in_proportion():
+    import random
+    import time
+
+    own, library = bpe.vocabulary(PATH, public.PATTERN), packing.encoder(PATH)
+    rng = random.Random(1)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    for t in (run, run[:3000], "ab" * 3000, "é" * 2500 + "q"):
+        assert own.encode([t])[0].tolist() == library.encode_ordinary(t)
+    began = time.time()
+    own.encode(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))])
+    assert time.time() - began < 20
