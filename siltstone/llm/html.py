@@ -131,9 +131,14 @@ class Buffer:
         return "".join(self.out).strip("\n")
 
 
-def aligned(rows: list[list[str]]) -> str:
-    """The rows of a table with their columns padded to one width each."""
-    grid = [[cell.split("\n") for cell in row] for row in rows if any(row)]
+def aligned(rows: list[list[tuple[int, str]]]) -> str:
+    """The rows of a table, cells as (column, text), with their columns padded to one width each; columns without text go."""
+    rows = [row for row in rows if any(text for _, text in row)]
+    used = {c: i for i, c in enumerate(sorted({c for row in rows for c, text in row if text}))}
+    grid = []
+    for row in rows:
+        cells = {used[c]: text.split("\n") for c, text in row if text}
+        grid.append([cells.get(i, [""]) for i in range(max(cells) + 1)])
     widths: Counter[int] = Counter()
     for row in grid:
         for i, cell in enumerate(row):
@@ -154,7 +159,8 @@ class Page:
         self.unseen = 0
         self.kept_space = 0
         self.buffers = [Buffer()]
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[list[list[tuple[int, str]]]] = []
+        self.columns: list[int] = []  # of each open table, the column where the next cell goes
         self.lists: list[int | None] = []
 
     def read(self, page: str) -> str:
@@ -278,8 +284,10 @@ class Page:
                 self.lists[-1] = number + 1
         elif tag == "table":
             self.tables.append([])
+            self.columns.append(0)
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
+            self.columns[-1] = 0
         elif tag in ("td", "th"):
             self.buffers.append(Buffer())
             span = NUMBER.search(attributes)
@@ -304,11 +312,13 @@ class Page:
         if tag in ("td", "th"):
             cell = self.buffers.pop()
             if self.tables and self.tables[-1]:
-                self.tables[-1][-1] += [cell.finished(), *[""] * (cell.columns - 1)]
+                self.tables[-1][-1].append((self.columns[-1], cell.finished()))
+                self.columns[-1] += cell.columns
             elif not self.unseen:
                 self.buffers[-1].verbatim(cell.finished())
         elif tag == "table":
             grid = aligned(self.tables.pop())
+            self.columns.pop()
             if grid and not self.unseen:
                 self.buffers[-1].block(2)
                 self.buffers[-1].verbatim(grid)

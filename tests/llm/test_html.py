@@ -73,3 +73,9 @@ def test_hidden_elements_go(attributes):
 def test_xmp_is_preformatted_text():
     assert html.rendered("a<xmp>if  x\n <b>&amp;</xmp>c") == "a\n\nif  x\n <b>&amp;\n\nc"
     assert html.rendered("<div hidden><xmp>no</xmp></div>seen<xmp>open <p>") == "seen\n\nopen <p>"
+
+
+def test_wide_cells_take_no_room():
+    page = "<table>" + "<tr><td colspan=1000>a<td>b</tr>" * 2 + "<tr>" + "<td colspan=1000>c" * 300 + "</table>"
+    text = html.rendered(page)
+    assert text.split("\n")[0] == "a | b" and text.count("c") == 300 and len(text) < 5_000
