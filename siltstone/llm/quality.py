@@ -36,6 +36,7 @@ from .shared import set_aside, stage
 from .textnum import U, WHITE, per_text, runs, slices, span_hashes, windows, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+TOTALS = ("chars", "tokens")
 SCRATCH = ("classes", "commons", "chars", "tokens", "base_failed", "class_distance", "common_distance", "kept", "own", "own_classes", "own_commons", "measured")
 ENOUGH_CHARS, ENOUGH_DOCS = 10_000, 20
 MOST_BROADCAST = 2_000  # references of small languages, about 1.5 KB each
@@ -115,10 +116,10 @@ def _histogram(text_of: np.ndarray, place: np.ndarray, texts: int, places: int)
 
 
 def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with the base statistics, ``classes`` and ``commons`` (histograms); its text goes unless it is kept."""
-    kept = [c for c in docs.columns if c not in {*STATS, "classes", "commons"} and (keep_text or c != text)]
+    """``docs`` with the base statistics, ``classes`` and ``commons`` (histograms) and their totals; its text goes unless it is kept."""
+    kept = [c for c in docs.columns if c not in {*STATS, *TOTALS, "classes", "commons"} and (keep_text or c != text)]
     arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("classes", "commons")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in STATS] + arrays)
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in (*STATS, *TOTALS)] + arrays)
     places = len(WORD_HASHES) + 1
 
     def nested(matrix: np.ndarray) -> pa.Array:
@@ -138,7 +139,7 @@ def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Dat
                 found = np.minimum(np.searchsorted(WORD_HASHES, lowered), places - 2)
                 place = np.where(WORD_HASHES[found] == lowered, WORD_PLACES[found], places - 1)
                 commons = _histogram(np.repeat(np.arange(n), np.diff(index)), place, n, places)
-                stats = [np.diff(first), classes.sum(1) - classes[:, 3], classes[:, 5], duplicate_lines(data, offsets), repeated_words(hashes, first)]
+                stats = [np.diff(first), classes.sum(1) - classes[:, 3], classes[:, 5], duplicate_lines(data, offsets), repeated_words(hashes, first), classes.sum(1), commons.sum(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in kept] + [pa.array(s, pa.int64()) for s in stats] + [nested(classes), nested(commons)], names=schema.names
                 )
@@ -218,10 +219,8 @@ def _with_distances(counts: DataFrame, refs: References) -> DataFrame:
     return found.withColumn("measured", measured).drop("own_classes", "own_commons")
 
 
-def _with_totals(counts: DataFrame) -> DataFrame:
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counts.withColumn("chars", total("classes")).withColumn("tokens", total("commons")).withColumn("base_failed", failed)
+def _with_base(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def learned_references(counts: DataFrame, trim: float = 0.2) -> References:
@@ -229,17 +228,17 @@ def learned_references(counts: DataFrame, trim: float = 0.2) -> References:
     of them whose character classes lie within ``trim`` of a first reference, so that junk does
     not pull the references towards itself.
     """
-    sound = _with_totals(counts).filter(~F.col("base_failed"))
+    sound = _with_base(counts).filter(~F.col("base_failed"))
     first = _with_distances(sound, references(sound))
     return references(first.filter(F.col("class_distance") <= trim))
 
 
 def with_verdicts(counts: DataFrame, refs: References, max_class: float = 0.16, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """``counts`` without the histograms, with base_failed, the two distances and kept."""
-    kept = [c for c in counts.columns if c not in ("classes", "commons")]
+    kept = [c for c in counts.columns if c not in ("classes", "commons", *TOTALS)]
     far = ((F.col("chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("tokens") >= min_words) & (F.col("common_distance") > max_common))
     return (
-        _with_distances(_with_totals(counts), refs)
+        _with_distances(_with_base(counts), refs)
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far & F.col("measured"), F.lit(False)))
         .select(*kept, "base_failed", "class_distance", "common_distance", "kept")
     )
