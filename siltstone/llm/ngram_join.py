@@ -53,7 +53,7 @@ SMALL_BUCKET = 15
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
 TOKENS_A_PART = 1_500_000
-MOST_SENT = 2_000_000  # ids or keys that are sent to every executor at most
+MOST_SENT = 500_000  # ids or keys that are sent to every executor at most
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
@@ -355,7 +355,7 @@ def _near_in_blocks(open_: DataFrame, sets: DataFrame, forest: bool) -> DataFram
     are taken from the nearest on and those whose ends are already joined are passed over, which
     leaves at most a pair a member.
     """
-    large = open_.filter(F.col("size") > SMALL_BUCKET).join(sets.select("key", "n", "sketch"), "key")
+    large = stage(open_.filter(F.col("size") > SMALL_BUCKET).join(sets.select("key", "n", "sketch"), "key"), "large-groups")
     weight = large.groupBy("group").agg(F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = large.join(weight, "group").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
