@@ -83,6 +83,13 @@ def jaccard(a: Column, b: Column, digits: int = 4) -> Column:
     return F.when((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(0.0)).otherwise(F.round(both / either, digits))
 
 
+def closed_terms(terms: Column, spellings: dict[str, str]) -> Column:
+    """Terms with the other spelling of each: a long form for its acronym and the other way round."""
+    both = spellings | {long: short for short, long in spellings.items()}
+    known = F.create_map(*[F.lit(x) for pair in both.items() for x in pair])
+    return F.array_distinct(F.concat(terms, F.filter(F.transform(terms, lambda t: known[t]), lambda t: t.isNotNull())))
+
+
 def contains_any(text: Column, phrases) -> Column:
     found = F.lit(False)
     for p in phrases:

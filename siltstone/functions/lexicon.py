@@ -1,4 +1,4 @@
-"""Weights, thresholds and word lists, each a default that callers can replace."""
+"""Weights, thresholds, patterns and word lists, each a default that callers can replace."""
 
 #: Authority of a source type, 0 to 1.
 AUTHORITY = {
@@ -13,9 +13,9 @@ AUTHORITY_FACTOR = {
 }
 
 NAMESPACES = {
-    "rbi": "regulatory", "sebi": "regulatory", "mca": "regulatory", "tax_law": "regulatory",
+    "rbi": "regulatory", "sebi": "regulatory", "mca": "regulatory", "tax_law": "regulatory", "income_tax": "regulatory", "irdai": "regulatory",
     "annual_report": "corporate", "earnings_transcript": "corporate", "broker_research": "research",
-    "news": "news", "blog": "news",
+    "news": "news", "blog": "research", "unknown": "default",
 }
 
 CHUNK_SIZES = {
@@ -31,12 +31,37 @@ REGULATORY_WORDS = ("rbi", "sebi", "circular", "regulation", "compliance", "irda
 COMPARE_WORDS = ("vs", "versus", "compare", "comparison", "difference between", "better than", "worse than", "top 5")
 
 #: Risk dimensions and their weights.
-RISK_WEIGHTS = {"macro": 1.3, "regulatory": 1.2, "competitive": 1.1, "execution": 1.0, "valuation": 1.1, "liquidity": 1.0}
+RISK_WEIGHTS = {"demand": 1.3, "margin": 1.2, "valuation": 1.1, "regulatory": 1.0, "macro": 1.1, "competitive": 1.0}
 
-ABBREVIATIONS = frozenset(
-    "rs ltd inc corp dr mr mrs ms prof vs etc approx est viz no vol fig dept govt mgmt q1 q2 q3 q4 jan feb mar apr jun jul aug sep oct nov dec".split()
+#: What marks an assumption in a sentence, the first that matches gives its confidence.
+ASSUMPTION_PATTERNS = (
+    (r"(?:will|shall|expected\s+to|likely\s+to|projected\s+to|forecast\s+to)\s+\w+", 0.55),
+    (r"(?:if|assuming|provided\s+that|given\s+that)\s+[\w\s,]+", 0.45),
+    (r"(?:growth|expansion|improvement|compression|slowdown)\s+(?:of|in|to)\s+\d", 0.60),
+    (r"(?:rate\s*cut|rate\s*hike|rbi|sebi|regulatory)", 0.50),
 )
 
+#: Categories of assumptions by words in them, the first wins.
+ASSUMPTION_CATEGORIES = {
+    "demand": ("revenue", "demand", "volume", "growth", "market share"),
+    "margin": ("margin", "ebitda", "nim", "npa", "profitability", "cost"),
+    "valuation": ("pe", "p/e", "valuation", "multiple", "re-rate", "price"),
+    "regulatory": ("rbi", "sebi", "regulatory", "policy", "regulation", "law"),
+    "macro": ("rate", "inflation", "gdp", "macro", "fx", "dollar", "rate cut"),
+    "competitive": ("competitor", "competition", "market share", "moat"),
+}
+
+#: Words that are no key terms.
+PLAIN_WORDS = (
+    "which", "where", "their", "there", "these", "those", "would", "could", "should", "about", "above", "below",
+    "because", "therefore", "however", "although", "while",
+)
+
+ABBREVIATIONS = (
+    "rs", "ltd", "inc", "corp", "dr", "mr", "mrs", "ms", "prof", "vs", "etc", "approx", "est", "viz", "no", "vol", "fig", "dept", "govt", "mgmt",
+    "q1", "q2", "q3", "q4", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+)
+
 BOILERPLATE = (
     r"this\s+document\s+is\s+for\s+(?:information|informational)\s+purposes?\s+only",
     r"past\s+performance\s+(?:is\s+not|does\s+not\s+guarantee)\s+(?:a\s+)?(?:guarantee|indicator)\s+of\s+future",

@@ -73,10 +73,16 @@ def resolved(conflicts: DataFrame) -> DataFrame:
     return conflicts.withColumn("winner", F.coalesce(by_date, by_authority, F.lit("UNRESOLVED"))).withColumn("reason", reason)
 
 
-def conflicts(claims: DataFrame, least_sources: int = 2, top: int | None = 8) -> DataFrame:
-    """From claims to the conflicts most worth a look: grouped, compared, resolved, worst first."""
-    latest = latest_per_source(keyed(claims))
-    found = resolved(compared(pairs(latest.join(groups_with_sources(latest, least_sources).select(*KEY), KEY, "left_semi"))).filter("is_conflict"))
+def enough_sources(claims: DataFrame, least: int = 3) -> DataFrame:
+    """All claims, or none if fewer than ``least`` distinct sources speak in all of them."""
+    gate = claims.agg((F.count_distinct(F.lower(F.trim("source"))) >= least).alias("open"))  # one row
+    return claims.join(F.broadcast(gate.filter("open"))).drop("open")
+
+
+def conflicts(claims: DataFrame, least_sources: int = 3, top: int | None = 8) -> DataFrame:
+    """From claims to the conflicts most worth a look: gated, grouped, compared, resolved, worst first."""
+    latest = latest_per_source(keyed(enough_sources(claims, least_sources)))
+    found = resolved(compared(pairs(latest)).filter("is_conflict"))
     rank = F.when(F.col("severity") == "Major", 0).when(F.col("severity") == "Moderate", 1).otherwise(2)
     ordered = found.orderBy(rank, F.desc("pct_diff"), *KEY, "claim_id_a", "claim_id_b")
     return ordered.limit(top) if top else ordered

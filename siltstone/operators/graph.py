@@ -1,11 +1,19 @@
-"""Dependency graphs: edges, cycles, levels, critical paths. Frontiers move by joins, one level a round."""
+"""Dependency graphs: edges, levels, critical paths, cycles.
+
+Frontiers move by joins, one step a round, until nothing moves; no length is fixed. Every round
+writes its small result to the checkpoint folder, so a round's plan reads files and never the
+rounds before it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import cut
 
 
 def edges(nodes: DataFrame, node: str = "node", depends: str = "depends_on") -> DataFrame:
@@ -14,58 +22,74 @@ def edges(nodes: DataFrame, node: str = "node", depends: str = "depends_on") ->
     return pairs.join(nodes.select(F.col(node).alias("src")).distinct(), "src", "left_semi")
 
 
-def levels(nodes: DataFrame, arcs: DataFrame, most: int = 64) -> DataFrame:
-    """node and level: the longest path that leads to it. Nodes on or behind a cycle have a null level.
+def ordered(nodes: DataFrame, arcs: DataFrame, with_paths: bool = True) -> DataFrame:
+    """node, level (length of the longest way that leads to it) and, if wanted, path: that way as node>node>...,
+    the smallest of equally long ones. Nodes on or behind a cycle have null in both.
 
-    Kahn's rounds: nodes whose sources are all placed come next. Every round reads and writes one small
-    column of the nodes; the lineage is cut by a checkpoint every few rounds where a checkpoint folder is set.
+    A node is placed when its last source is; until then it keeps its open sources and the best way so
+    far. A round reads only the arcs that leave the nodes placed in the round before.
     """
-    placed = nodes.select("node").distinct().join(arcs.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0))
-    degree = arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
-    for depth in range(1, most):
-        behind = arcs.join(placed.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_done"))
-        ready = degree.join(behind, "node").filter("n_in = n_done").select("node").join(placed.select("node"), "node", "left_anti")
-        ready = ready.withColumn("level", F.lit(depth)).cache()
-        if ready.isEmpty():
+    name = F.col("node").cast("string")
+    inward = arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"))
+    best = F.struct(F.lit(0).alias("order"), F.lit(None).cast("string").alias("path"))
+    waiting = cut(nodes.select("node").distinct().join(inward, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), best.alias("best")))
+    ready = waiting.filter("open = 0").select("node", F.lit(0).alias("level"), name.alias("path"))
+    waiting = waiting.filter("open > 0")
+    placed = [ready]
+    while not ready.isEmpty():
+        step = F.struct((-F.col("level") - 1).alias("order"), (F.col("path") if with_paths else F.lit(None).cast("string")).alias("path"))
+        offers = arcs.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("done"), F.min(step).alias("offer"))
+        moved = waiting.join(offers, "node", "left")
+        waiting = cut(moved.select("node", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.least("best", F.coalesce("offer", "best")).alias("best")))
+        ready = waiting.filter("open = 0").select("node", (-F.col("best.order")).alias("level"), F.concat("best.path", F.lit(">"), name).alias("path"))
+        waiting = waiting.filter("open > 0")
+        placed.append(ready)
+    found = reduce(DataFrame.unionByName, placed)
+    return nodes.select("node").distinct().join(found if with_paths else found.drop("path"), "node", "left")
+
+
+def levels(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    return ordered(nodes, arcs, with_paths=False)
+
+
+def critical_path(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """For each node with an arc that lies on no cycle and behind none, the longest path to it and its number of nodes."""
+    linked = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    found = ordered(nodes, arcs).filter("level IS NOT NULL").join(linked, "node", "left_semi")
+    return found.select("node", (F.col("level") + 1).alias("n_nodes"), "path")
+
+
+def cycles(arcs: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, with the length of the shortest way.
+
+    Nodes without a way in or out are peeled off first; from the rest, searches spread side by
+    side, each over every node once, and end where they return.
+    """
+    core, n = cut(arcs.select("src", "dst").distinct()), -1
+    while (left := core.count()) != n:
+        n = left
+        core = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    onward = core.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    seen = cut(onward.select(F.col("at").alias("start"), F.col("next").alias("at"), F.lit(1).alias("steps")))
+    front, found = seen, [seen.filter("start = at")]
+    for steps in range(2, n + 2):  # no way back is longer than the arcs that are left
+        open_ = front.join(found[-1].select("start"), "start", "left_anti")
+        nearer = open_.join(onward, "at").select("start", F.col("next").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
+        front = cut(nearer.withColumn("steps", F.lit(steps)))
+        if front.isEmpty():
             break
-        placed = placed.unionByName(ready)
-    return nodes.select("node").distinct().join(placed, "node", "left")
-
-
-def cycles(spark, arcs: DataFrame, most: int = 8) -> DataFrame:
-    """Nodes that reach themselves within ``most`` steps, with the length of the shortest way."""
-    arcs.createOrReplaceTempView("siltstone_arcs")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(start, at, steps) AS (
-          SELECT src, dst, 1 FROM siltstone_arcs
-          UNION ALL
-          SELECT w.start, e.dst, w.steps + 1 FROM walk w JOIN siltstone_arcs e ON w.at = e.src WHERE w.steps < {most} AND w.start <> w.at
-        ) SELECT start AS node, min(steps) AS cycle_length FROM walk WHERE start = at GROUP BY start"""
-    )
+        seen = cut(seen.unionByName(front))
+        found.append(front.filter("start = at"))
+    return reduce(DataFrame.unionByName, found).groupBy(F.col("start").alias("node")).agg(F.min("steps").alias("cycle_length"))
 
 
-def critical_path(spark, arcs: DataFrame, most: int = 16) -> DataFrame:
-    """For each end node, the longest path to it (ties: the smallest path) and its number of nodes."""
-    arcs.createOrReplaceTempView("siltstone_arcs")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(at, path, n) AS (
-          SELECT DISTINCT src, CAST(src AS STRING), 1 FROM siltstone_arcs WHERE src NOT IN (SELECT dst FROM siltstone_arcs)
-          UNION ALL
-          SELECT e.dst, concat(w.path, '>', e.dst), w.n + 1 FROM walk w JOIN siltstone_arcs e ON w.at = e.src WHERE w.n < {most}
-        ) SELECT at AS node, n AS n_nodes, path FROM (
-          SELECT *, row_number() OVER (PARTITION BY at ORDER BY n DESC, path) AS nth FROM walk) WHERE nth = 1"""
-    )
-
-
-def node_risk(confidence, supported) -> F.Column:
+def node_risk(confidence: Column, supported: Column) -> Column:
     """1 to 10 from a node's confidence, two more without support."""
     return C.clip((F.bround((1 - confidence) * 9, 0) + 1 + F.when(supported, 0).otherwise(2)).cast("int"), 1, 10)
 
 
 def renumber(nodes: DataFrame, arcs: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes numbered 1, 2, ... in an order within their graph, and arcs in the new numbers."""
-    from pyspark.sql import Window
-
     numbered = nodes.withColumn("number", F.row_number().over(Window.partitionBy("graph").orderBy(*order)))
     key = numbered.select("graph", "node", "number")
     moved = (

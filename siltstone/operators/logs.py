@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import values_at
+
 
 def rate_windows(events: DataFrame, client: str, limit: int, seconds: int = 60, ts: str = "ts") -> DataFrame:
     """Requests of each client in fixed windows, and how many of them are over the limit."""
@@ -14,14 +16,9 @@ def rate_windows(events: DataFrame, client: str, limit: int, seconds: int = 60,
 
 
 def floor_rank_percentiles(events: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at place floor(n * share) of the sorted values, counted from 0.
-
-    Ranks come from one sort within each key; Spark spills it, and only the wanted places leave it.
-    """
-    w = Window.partitionBy(key)
-    ranked = events.select(key, value).withColumn("place", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda share: F.max(F.when(F.col("place") == F.least(F.floor(F.col("n") * share), F.col("n") - 1), F.col(value))).alias(f"p{round(share * 100)}")
-    return ranked.groupBy(key).agg(F.max("n").alias("n"), *[at(s) for s in shares])
+    """The value at place floor(n * share) of the sorted values, counted from 0; keys of any size."""
+    places = {f"p{round(s * 100)}": (lambda n, s=s: F.least(F.floor(n * s), n - 1)) for s in shares}
+    return values_at(events, key, value, places).drop("mean")
 
 
 def approximate_percentiles(events: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
@@ -55,23 +52,39 @@ def health(events: DataFrame, key: str, failed: Column, order: list[str], streak
     return out.withColumn("healthy", (F.col("longest_streak") < streak_limit) & (F.col("success_rate") >= least_success))
 
 
-def breaker(events: DataFrame, key: str, failed: Column, order: list[str], trip: int = 3, rest: int = 5) -> DataFrame:
+def breaker(events: DataFrame, key: str, failed: Column, order: list[str], trip: int = 3, rest: int = 5, ts: str = "ts", span: str = "1 hour") -> DataFrame:
     """Circuit breaker states: CLOSED until ``trip`` failures in a row, then OPEN for ``rest`` requests, then one trial.
 
-    The state machine folds over each key's ordered outcomes; a key's outcomes are one small
-    boolean each.
+    A stretch of outcomes takes every state to one that does not depend on what came before, so the
+    events of a key are folded in spans of time side by side, from each of the trip + rest + 1 states,
+    and the spans' tables are folded after. A task holds a span of a key, then one row for each of its spans.
     """
-    ordered = events.withColumn("failed", failed).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "failed"))).alias("events"))
-    start = F.struct(F.lit("CLOSED").alias("state"), F.lit(0).alias("count"), F.lit(0).alias("trips"), F.lit(0).alias("refused"))
-
-    def step(s: Column, e: Column) -> Column:
-        new = lambda state, count, trips, refused: F.struct(F.lit(state).alias("state"), count.cast("int").alias("count"), trips.cast("int").alias("trips"), refused.cast("int").alias("refused"))
-        closed = F.when(~e["failed"], new("CLOSED", F.lit(0), s["trips"], s["refused"])).when(s["count"] + 1 >= trip, new("OPEN", F.lit(0), s["trips"] + 1, s["refused"])).otherwise(new("CLOSED", s["count"] + 1, s["trips"], s["refused"]))
-        opened = F.when(s["count"] + 1 >= rest, new("HALF_OPEN", F.lit(0), s["trips"], s["refused"] + 1)).otherwise(new("OPEN", s["count"] + 1, s["trips"], s["refused"] + 1))
-        half = F.when(e["failed"], new("OPEN", F.lit(0), s["trips"] + 1, s["refused"])).otherwise(new("CLOSED", F.lit(0), s["trips"], s["refused"]))
-        return F.when(s["state"] == "CLOSED", closed).when(s["state"] == "OPEN", opened).otherwise(half)
-
-    return ordered.select(key, F.aggregate("events", start, step).alias("s")).select(key, "s.state", "s.trips", "s.refused")
+    states = trip + rest + 1  # CLOSED with 0.. failures, OPEN with 0.. requests refused, HALF_OPEN
+    new = lambda s, state, trips, refused: F.struct(state.cast("int").alias("state"), (s["trips"] + trips).cast("int").alias("trips"), (s["refused"] + refused).cast("int").alias("refused"))
+    start = lambda i: F.struct(F.lit(i).alias("state"), F.lit(0).alias("trips"), F.lit(0).alias("refused"))
+
+    def step(s: Column, fails: Column) -> Column:
+        closed, half = s["state"] < trip, s["state"] == trip + rest
+        opens = fails & (half | (s["state"] == trip - 1))
+        return (
+            F.when(opens, new(s, F.lit(trip), 1, 0))
+            .when(closed & fails, new(s, s["state"] + 1, 0, 0))
+            .when(closed | half, new(s, F.lit(0), 0, 0))
+            .otherwise(new(s, s["state"] + 1, 0, 1))
+        )
+
+    dealt = events.withColumn("failed", failed).groupBy(key, F.window(F.col(ts).cast("timestamp"), span)["start"].alias("span"))
+    lists = dealt.agg(F.sort_array(F.collect_list(F.struct(*order, "failed"))).alias("events"))
+    every = F.array(*[start(i) for i in range(states)])
+    table = F.aggregate("events", every, lambda a, e: F.transform(a, lambda s: step(s, e["failed"])))
+    spans = lists.select(key, "span", table.alias("table")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("span", "table"))).alias("spans"))
+
+    def through(s: Column, x: Column) -> Column:
+        then = F.get(x["table"], s["state"])
+        return new(s, then["state"], then["trips"], then["refused"])
+
+    state = F.when(F.col("s.state") < trip, "CLOSED").when(F.col("s.state") < trip + rest, "OPEN").otherwise("HALF_OPEN")
+    return spans.select(key, F.aggregate("spans", start(0), through).alias("s")).select(key, state.alias("state"), "s.trips", "s.refused")
 
 
 def unexpired(entries: DataFrame, key: str, as_of: Column, written: str = "ts", ttl: str = "ttl_seconds") -> DataFrame:

@@ -36,7 +36,7 @@ def answer_confidence(chunks: DataFrame, key: str, major: Column | None = None)
     """Low, Medium or High from the number, mean score and authority of the chunks, and major conflicts."""
     stats = chunks.groupBy(key).agg(
         F.count("*").alias("n"),
-        F.avg("final_score").alias("avg_score"),
+        F.round(F.avg("final_score"), 6).alias("avg_score"),
         F.sum((C.authority(F.col("source_type")) >= 0.65).cast("int")).cast("long").alias("n_authority"),
         (F.max(major) if major is not None else F.lit(0)).alias("n_major"),
     )
@@ -73,14 +73,16 @@ def context_budget(ranked: DataFrame, most_chars: int, key: str, rank: str = "ra
 
 
 def support(assumptions: DataFrame, chunks: DataFrame, least_score: float = 0.35, needed: float = 0.25) -> DataFrame:
-    """Authority-weighted share of each assumption's terms in the chunks. Assumptions are few: they are broadcast to the chunks.
+    """Authority-weighted share of each assumption's terms in the chunks.
 
-    assumptions: assumption_id, terms (array); chunks: words (array), source_type, score.
+    The weight of the chunks that hold a word is summed first, a row a word, and meets the terms
+    by an equi-join. assumptions: assumption_id, terms (array); chunks: words (array, distinct), source_type, score.
     """
     relevant = chunks.filter(F.col("score") >= least_score).withColumn("weight", C.authority(F.col("source_type")))
-    met = relevant.join(F.broadcast(assumptions), F.arrays_overlap("terms", "words")).withColumn("matched", F.size(F.array_intersect("terms", "words")))
-    totals = relevant.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("all_weight"))
-    hits = met.groupBy("assumption_id").agg(F.sum(F.col("matched") * F.col("weight")).alias("hit"))
+    of_word = relevant.select(F.explode("words").alias("term"), "weight").groupBy("term").agg(F.sum("weight").alias("weight"))
+    terms = assumptions.select("assumption_id", F.explode(F.array_distinct("terms")).alias("term"))
+    hits = terms.join(of_word, "term").groupBy("assumption_id").agg(F.sum("weight").alias("hit"))
+    totals = relevant.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("all_weight"))  # one row
     every = assumptions.join(hits, "assumption_id", "left").join(F.broadcast(totals))
     rate = F.coalesce(F.try_divide(F.col("hit"), F.col("all_weight") * F.size("terms")), F.lit(0.0))
     return every.select("assumption_id", F.round(rate, 6).alias("support"), (rate >= needed).alias("supported"))

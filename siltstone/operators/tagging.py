@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -59,8 +59,8 @@ def quarter(text: Column) -> Column:
 
 
 def fiscal_year(text: Column) -> Column:
-    """FY26 of FY26, FY2026 or FY 2026."""
-    digits = F.regexp_extract(text, r"(?i)\bfy\s?(?:20)?([0-9]{2})\b", 1)
+    """FY26 of FY26, FY2026 or FY 2026; FY98 of FY1998."""
+    digits = F.regexp_extract(text, r"(?i)\bfy\s?(?:19|20)?([0-9]{2})\b", 1)
     return F.when(digits != "", F.concat(F.lit("FY"), digits))
 
 
@@ -101,9 +101,22 @@ def subqueries(rows: DataFrame, entities: tuple[str, ...], metrics: tuple[str, .
 
 
 def causal_assumptions(rows: DataFrame, key: str = "doc_id", text: str = "text", most: int = 8) -> DataFrame:
-    """Sentences that state a cause, the first eight of a text, each depending on the one before."""
-    parts = F.filter(F.split(text, r"[.!?]\s+"), lambda s: F.lower(s).rlike(r"\b(because|due to|driven by|will|leads to|if)\b"))
-    numbered = rows.select(key, F.posexplode(F.slice(parts, 1, most)).alias("n", "sentence"))
-    s = F.lower("sentence")
-    confidence = F.when(s.rlike(r"\b(because|due to)\b"), 0.7).when(s.contains("driven by"), 0.65).when(s.rlike(r"\bwill\b"), 0.6).otherwise(0.5)
-    return numbered.withColumn("confidence", confidence).withColumn("depends_on", F.when(F.col("n") > 0, F.array(F.col("n") - 1)).otherwise(F.array().cast("array<int>")))
+    """Sentences that state an assumption, the first eight of a text, each depending on the one before.
+
+    key, n (from 0), sentence (300 characters), category, confidence, depends_on and critical (the first one). Sentences
+    of under 15 characters are none; of sentences with the same first 40 characters the first counts.
+    """
+    whole = F.filter(F.transform(F.split(text, "[.!?;]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) >= 15)
+    stated = "(?i)" + "|".join(p for p, _ in lexicon.ASSUMPTION_PATTERNS)
+    found = rows.select(key, F.posexplode(F.filter(whole, lambda s: s.rlike(stated))).alias("at", "sentence"))
+    alike = Window.partitionBy(key, F.lower(F.substring("sentence", 1, 40))).orderBy("at")
+    firsts = found.withColumn("nth", F.row_number().over(alike)).filter("nth = 1")
+    numbered = firsts.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).filter(F.col("n") < most)
+    low = F.lower("sentence")
+    category, confidence = F.lit("unknown"), F.lit(None).cast("double")
+    for name, words in reversed(lexicon.ASSUMPTION_CATEGORIES.items()):
+        category = F.when(C.contains_any(low, words), name).otherwise(category)
+    for pattern, value in reversed(lexicon.ASSUMPTION_PATTERNS):
+        confidence = F.when(F.col("sentence").rlike(f"(?i){pattern}"), value).otherwise(confidence)
+    depends = F.when(F.col("n") > 0, F.array(F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    return numbered.select(key, "n", F.substring("sentence", 1, 300).alias("sentence"), category.alias("category"), confidence.alias("confidence"), depends.alias("depends_on"), (F.col("n") == 0).alias("critical"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import lexicon
 
 
@@ -101,6 +102,24 @@ def thesis_checks(requests: DataFrame, signals: tuple[str, ...], text: str = "te
     return requests.withColumn("n_words", n_words).withColumn("reason", reason)
 
 
+def term_overlaps(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """item_id, doc_id, recall and jaccard of every pair where at least that share of the item's terms is among the document's words.
+
+    docs: doc_id, words; items: item_id, terms (both distinct). A pair that reaches the share has one of
+    any n - ceil(least n) + 1 of the item's n terms; those in the fewest documents are looked up, by an
+    equi-join, and only pairs that meet there are compared.
+    """
+    words = docs.select("doc_id", F.explode("words").alias("term"))
+    terms = items.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    spread = words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_docs"))
+    ranked = terms.join(spread, "term", "left").withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n_docs", F.lit(0)), "term")))
+    looked_up = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("item_id", "term")
+    pairs = words.join(looked_up, "term").select("item_id", "doc_id").distinct()
+    both = pairs.join(items, "item_id").join(docs, "doc_id")
+    rows = both.select("item_id", "doc_id", C.recall(F.col("terms"), F.col("words")).alias("recall"), C.jaccard(F.col("terms"), F.col("words")).alias("jaccard"))
+    return rows.filter(F.col("recall") >= least)
+
+
 def first_words_of(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, " "), 1, n), " ")
 

@@ -1,8 +1,9 @@
 """Exact vector search with filters, and the scores that rank what it finds.
 
-A vector table has one row a vector: vec_id, embedding, and metadata. A handful of query vectors
-meets the whole table by a broadcast of the queries, whose number the caller bounds; the table
-itself is scanned once and never shuffled for the search, only the best rows of each task are.
+A vector table has one row a vector: vec_id, embedding, and metadata. Up to MOST_QUERIES query vectors
+meet the table by a broadcast of the queries: the table is scanned once and never shuffled for the
+search, only the best rows of each task are. More of them meet it block against block, partition
+by partition, with nothing held whole in one place.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from ..functions import columns as C
 from ..functions import lexicon
 
 FILTER_KEYS = ("source_type", "source", "namespace", "company", "sector", "label", "date", "authority")
-MOST_QUERIES = 1000
+MOST_QUERIES = 10_000
 
 
 def metadata_filter(vectors: DataFrame, wanted: dict) -> DataFrame:
@@ -34,11 +35,11 @@ def date_range(vectors: DataFrame, first: str | None = None, last: str | None =
 
 
 def similarity(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """Every vector with every query: query_id and score. ``queries``: query_id, query (at most MOST_QUERIES rows)."""
-    few = queries.select("query_id", "query").limit(MOST_QUERIES + 1)
-    if few.count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at a time")
-    return vectors.crossJoin(F.broadcast(few)).withColumn("score", F.round(C.dot(F.col("embedding"), F.col("query")), digits)).drop("query")
+    """Every vector with every query: query_id, score, and the query's other columns. ``queries``: query_id, query, any number of rows."""
+    asked = queries.withColumn("query", F.transform("query", lambda x: x.cast("double")))
+    if asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        asked = F.broadcast(asked)
+    return vectors.crossJoin(asked).withColumn("score", F.round(C.dot(F.col("embedding"), F.col("query")), digits)).drop("query")
 
 
 def best(scored: DataFrame, k: int, by: str = "score", within: tuple[str, ...] = ("query_id",), tie: str = "vec_id") -> DataFrame:
@@ -62,8 +63,13 @@ def fan_out(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def hybrid_score(scored: DataFrame, as_of: str, overlap: Column | None = None, weights: tuple[float, ...] = lexicon.HYBRID_WEIGHTS) -> DataFrame:
-    """Adds authority_weight, authority_score, recency_score, overlap_score and final_score."""
+    """Adds authority_weight, authority_score, recency_score, overlap_score and final_score.
+
+    The overlap is the share of query_terms among terms, where the rows have both; 0 without.
+    """
     s, a, r, o = weights
+    if overlap is None and {"terms", "query_terms"} <= set(scored.columns):
+        overlap = C.recall(F.col("query_terms"), F.col("terms"))
     return (
         scored.withColumn("authority_weight", C.authority(F.col("source_type")))
         .withColumn("authority_score", C.authority_share(F.col("authority_weight")))
@@ -93,10 +99,15 @@ def authority_floor(rows: DataFrame, least: float) -> DataFrame:
     return rows if least <= 0 else rows.filter(C.authority(F.col("source_type")) >= least)
 
 
-def merge_queries(found: DataFrame, k: int, by: str = "final_score") -> DataFrame:
-    """Results of several queries as one list: the best score of each id, then the k best."""
-    merged = found.groupBy("vec_id").agg(F.max(by).alias(by), F.count("*").alias("n_queries"))
-    return merged.orderBy(F.desc(by), "vec_id").limit(k)
+def merge_queries(found: DataFrame, k: int, by: str = "final_score", within: tuple[str, ...] = ()) -> DataFrame:
+    """Results of several queries as one list: the best score of each id, then the k best (of each group in ``within``)."""
+    merged = found.groupBy(*within, "vec_id").agg(F.max(by).alias(by), F.count("*").alias("n_queries"))
+    return best(merged, k, by=by, within=within).drop("rank") if within else merged.orderBy(F.desc(by), "vec_id").limit(k)
+
+
+def composite_floor(scored: DataFrame, least: float) -> DataFrame:
+    """Rows whose composite score, not their similarity, reaches the floor."""
+    return scored.filter(F.col("final_score") >= least)
 
 
 def index_stats(vectors: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import labels as B
-from ..functions import lexicon
 from ..operators import checks, graph, scoring
 from ..operators import vector as V
 from ..sources.tables import table
@@ -41,16 +40,15 @@ def tag_source_type(spark, sf_dir):
     return names(spark, sf_dir).select("doc_id", B.first_rule(F.col("name")).alias("source_type"))
 
 
-@query(f"WITH {NAMES_SQL} SELECT doc_id, {RULES_SQL} AS source_type, 2000 + CAST(doc_id % 30 AS INT) AS year, {X.case_sql(RULES_SQL, lexicon.AUTHORITY, 0.2)} AS weight FROM names")
+@query(f"WITH {NAMES_SQL} SELECT doc_id, {RULES_SQL} AS source_type, 2000 + CAST(doc_id % 30 AS INT) AS year, {X.case_sql(RULES_SQL, X.AUTHORITY, 0.2)} AS weight FROM names")
 def filename_metadata(spark, sf_dir):
     kind = B.first_rule(F.col("name"))
     return names(spark, sf_dir).select("doc_id", kind.alias("source_type"), B.file_year(F.col("name")).alias("year"), C.authority(kind).alias("weight"))
 
 
-@query("SELECT l_orderkey, l_linenumber, printf('%.2f%%', l_discount * 100) AS shown FROM lineitem WHERE l_orderkey % 10 = 1")
+@query("SELECT l_orderkey, l_linenumber, printf('%.2f%%', l_discount * 100) AS shown FROM lineitem")
 def display_value(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 1")
-    return li.select("l_orderkey", "l_linenumber", B.display(F.col("l_discount") * 100, F.lit("%")).alias("shown"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", B.display(F.col("l_discount") * 100, F.lit("%")).alias("shown"))
 
 
 @query("SELECT user_id, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS hashed FROM (SELECT DISTINCT user_id FROM events)")
@@ -85,11 +83,13 @@ def json_repair(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", fixed.alias("j")).filter("j.ok").select("event_id", "j.k")
 
 
-@query(f"""WITH {X.VECTORS_SQL}, scored AS ({X.SIMILARITY_SQL.format(ids='0, 1, 2, 3')}), angles AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE query_id <> 3 OR namespace = 'regulatory'),
-merged AS (SELECT vec_id, max(score) AS score FROM angles WHERE r <= 3 GROUP BY vec_id) SELECT vec_id, score FROM merged ORDER BY score DESC, vec_id LIMIT 12""")
+@query(f"""WITH {X.VECTORS_SQL}, scored AS ({X.SIMILARITY_SQL}), angles AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE query_id // 20 % 4 <> 3 OR namespace = 'regulatory'),
+merged AS (SELECT query_id // 80 AS thesis, vec_id, max(score) AS score FROM angles WHERE r <= 3 GROUP BY ALL) SELECT thesis, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY thesis ORDER BY score DESC, vec_id) AS r FROM merged) WHERE r <= 12""")
 def thesis_angles(spark, sf_dir):
-    scored = V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir, (0, 1, 2, 3))).filter("query_id <> 3 OR namespace = 'regulatory'")
-    return V.merge_queries(V.best(scored, 3), 12, by="score").select("vec_id", "score")
+    """Four queries in a row are the angles of a thesis, the last of them over the regulatory namespace alone."""
+    scored = V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)).filter("query_id div 20 % 4 <> 3 OR namespace = 'regulatory'")
+    near = V.best(scored, 3).withColumn("thesis", F.expr("query_id div 80"))
+    return V.merge_queries(near, 12, by="score", within=("thesis",)).select("thesis", "vec_id", "score")
 
 
 @query(f"""WITH {E.RISKS_SQL}, m AS (SELECT thesis, round(avg(score), 4) AS plain, CASE WHEN round(avg(score), 4) < 4 THEN 0 WHEN round(avg(score), 4) < 7 THEN 1 ELSE 2 END AS class_order FROM risks GROUP BY thesis)
@@ -114,7 +114,12 @@ def percent_as_absolute(spark, sf_dir):
     return checks.percent_as_absolute(named)
 
 
-@query(f"WITH {E.RECORDS_SQL} SELECT 'OUT_OF_RANGE' AS code, count(*) AS n FROM (SELECT record_id FROM records WHERE nim > 15 UNION ALL SELECT record_id FROM records WHERE roe > 100 UNION ALL SELECT record_id FROM records WHERE gnpa > 50) HAVING count(*) > 0 UNION ALL SELECT 'NET_ABOVE_GROSS', count(*) FROM records WHERE nnpa > gnpa HAVING count(*) > 0 UNION ALL SELECT 'RATIO_MISMATCH', count(*) FROM records WHERE abs(roe - pat * 100 / equity) / abs(pat * 100 / equity) > 0.15 HAVING count(*) > 0 UNION ALL SELECT 'OUTLIER', count(*) FROM (WITH med AS (SELECT median(assets) AS med FROM records), dev AS (SELECT abs(assets - med) AS dev FROM records, med), mad AS (SELECT median(dev) AS mad FROM dev) SELECT 1 FROM dev, mad WHERE round(0.6745 * dev / mad, 4) > 3.5) HAVING count(*) > 0")
+@query(f"""WITH {E.RECORDS_SQL}, found AS (SELECT 'IMPOSSIBLE_VALUE' AS code FROM records WHERE nim < 0 UNION ALL SELECT 'IMPOSSIBLE_VALUE' FROM records WHERE crar < 0 UNION ALL SELECT 'IMPOSSIBLE_VALUE' FROM records WHERE pe < 0
+UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE nim > 15 UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE roe > 100 UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE gnpa > 50 UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE pcr NOT BETWEEN 0 AND 100
+UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE casa NOT BETWEEN 0 AND 100 UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE crar > 60 UNION ALL SELECT 'OUT_OF_RANGE' FROM records WHERE pe > 1000 UNION ALL SELECT 'GNPA_BELOW_NNPA' FROM records WHERE nnpa > gnpa
+UNION ALL SELECT 'RATIO_INCONSISTENCY' FROM records WHERE abs(roe - pat * 100 / equity) / abs(pat * 100 / equity) > 0.15
+UNION ALL SELECT 'OUTLIER' FROM (WITH med AS (SELECT median(assets) AS med FROM records), dev AS (SELECT abs(assets - med) AS dev FROM records, med), mad AS (SELECT median(dev) AS mad FROM dev) SELECT 1 FROM dev, mad WHERE round(0.6745 * dev / mad, 4) > 3.5))
+SELECT code, count(*) AS n FROM found GROUP BY code""")
 def validation_report(spark, sf_dir):
     """Rules and outliers together, by code."""
     records = E.records(spark, sf_dir)

@@ -59,7 +59,13 @@ def agent_health(spark, sf_dir):
     return L.health(table(spark, sf_dir, "events"), "user_id", F.expr(FAILED), ["ts", "event_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, {FAILED} AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(user_id, n, state, k, trips, refused) AS (SELECT DISTINCT user_id, 0::BIGINT, 'CLOSED', 0, 0, 0 FROM events
+UNION ALL SELECT e.user_id, e.n, CASE w.state WHEN 'CLOSED' THEN CASE WHEN e.failed AND w.k + 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END WHEN 'OPEN' THEN CASE WHEN w.k + 1 >= 3 THEN 'HALF_OPEN' ELSE 'OPEN' END ELSE CASE WHEN e.failed THEN 'OPEN' ELSE 'CLOSED' END END,
+  CASE w.state WHEN 'CLOSED' THEN CASE WHEN e.failed AND w.k + 1 < 2 THEN w.k + 1 ELSE 0 END WHEN 'OPEN' THEN CASE WHEN w.k + 1 >= 3 THEN 0 ELSE w.k + 1 END ELSE 0 END,
+  w.trips + CASE WHEN e.failed AND (w.state = 'HALF_OPEN' OR (w.state = 'CLOSED' AND w.k + 1 >= 2)) THEN 1 ELSE 0 END, w.refused + CASE WHEN w.state = 'OPEN' THEN 1 ELSE 0 END
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, arg_max(state, n) AS state, arg_max(trips, n) AS trips, arg_max(refused, n) AS refused FROM walk GROUP BY user_id""")
 def circuit_breaker(spark, sf_dir):
     return L.breaker(table(spark, sf_dir, "events"), "user_id", F.expr(FAILED), ["ts", "event_id"], trip=2, rest=3)
 
@@ -100,11 +106,13 @@ def streaming_first_seen(spark, sf_dir):
     return E.run_available(E.once_within(E.event_stream(spark, sf_dir, schema), ["user_id"])).select("user_id")
 
 
-@query()
+@query(f"""WITH marked AS (SELECT *, {FAILED} AS failed, sum(CASE WHEN {FAILED} THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
+runs AS (SELECT event_type, island, count(*) FILTER (failed) AS run, max(ts) AS last_ts FROM marked GROUP BY ALL)
+SELECT event_type, max_by(run, island) AS failures_in_row, count(*) FILTER (run >= 2) AS trips, max_by(run, island) >= 2 AS open FROM runs GROUP BY event_type""")
 def streaming_breaker(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     events = E.event_stream(spark, sf_dir, schema).withColumn("failed", F.expr(FAILED))
-    return E.run_available(E.breaker_states(events, "event_type", trip=2), "update")
+    return E.run_available(E.breaker_states(events, "event_type", trip=2), "update", ["event_type"])
 
 
 @query("SELECT n_name, r_name, count(*) AS n, CAST(grouping(n_name) AS INT) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")

@@ -83,7 +83,7 @@ def conflict_severity(spark, sf_dir):
     return found.groupBy("severity").agg(F.count("*").alias("n"), F.round(F.avg(exact), 4).alias("avg_pct"))
 
 
-FACTOR_SQL = {s: X.case_sql(f"source_type_{s}", lexicon.AUTHORITY_FACTOR, 0.7) for s in "ab"}
+FACTOR_SQL = {s: X.case_sql(f"source_type_{s}", X.AUTHORITY_FACTOR, 0.7) for s in "ab"}
 
 
 @query(f"""WITH {CLAIMS_SQL}, judged AS (
@@ -96,7 +96,7 @@ def conflict_resolution(spark, sf_dir):
     return M.resolved(found).select("claim_id_a", "claim_id_b", "winner", "reason")
 
 
-@query(f"""WITH {CLAIMS_SQL} SELECT entity, period, claim_id_a, claim_id_b, severity, pct_diff FROM conflicts WHERE pct > 5
+@query(f"""WITH {CLAIMS_SQL} SELECT entity, period, claim_id_a, claim_id_b, severity, pct_diff FROM conflicts WHERE pct > 5 AND (SELECT count(DISTINCT source) FROM claims) >= 3
 ORDER BY CASE severity WHEN 'Major' THEN 0 WHEN 'Moderate' THEN 1 ELSE 2 END, pct_diff DESC, metric, entity, period, claim_id_a, claim_id_b LIMIT 8""")
 def conflict_report(spark, sf_dir):
     return M.conflicts(claims(spark, sf_dir)).select("entity", "period", "claim_id_a", "claim_id_b", "severity", "pct_diff")
@@ -117,19 +117,27 @@ def records(spark, sf_dir):
     )
     return li.select(
         "record_id", "assets", "equity", (F.col("d") * 200).alias("nim"), (F.col("d") * 100).alias("gnpa"), (F.col("t") * 100).alias("nnpa"), (F.col("equity") * 3).alias("pat"), (F.col("d") * 2500).alias("roe"),
+        (F.col("record_id") % 130 - 10).cast("double").alias("pcr"), (F.col("record_id") % 125 - 5).cast("double").alias("casa"), (F.col("record_id") % 80 - 10).cast("double").alias("crar"), (F.col("record_id") % 1300 - 100).cast("double").alias("pe"),
     )
 
 
-RECORDS_SQL = """records AS (SELECT record_id, assets, equity, d * 200 AS nim, d * 100 AS gnpa, t * 100 AS nnpa, equity * 3 AS pat, d * 2500 AS roe FROM (
+RECORDS_SQL = """records AS (SELECT record_id, assets, equity, d * 200 AS nim, d * 100 AS gnpa, t * 100 AS nnpa, equity * 3 AS pat, d * 2500 AS roe, (record_id % 130 - 10)::DOUBLE AS pcr, (record_id % 125 - 5)::DOUBLE AS casa, (record_id % 80 - 10)::DOUBLE AS crar, (record_id % 1300 - 100)::DOUBLE AS pe FROM (
   SELECT l_orderkey AS record_id, CAST(CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS DOUBLE) AS assets, sum(l_quantity) AS equity, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY 1))"""
 
 
 @query(f"""WITH {RECORDS_SQL}
-SELECT record_id, 'OUT_OF_RANGE' AS code, 'warning' AS level, 'nim' AS metric, 'nim outside 0 to 15' AS message FROM records WHERE nim < 0 OR nim > 15
+SELECT record_id, 'IMPOSSIBLE_VALUE' AS code, 'critical' AS level, 'nim' AS metric, 'nim outside 0 to 15' AS message FROM records WHERE nim < 0
+UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'warning', 'nim', 'nim outside 0 to 15' FROM records WHERE nim > 15
 UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'warning', 'roe', 'roe outside -100 to 100' FROM records WHERE roe < -100 OR roe > 100
-UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'warning', 'gnpa', 'gnpa outside 0 to 50' FROM records WHERE gnpa < 0 OR gnpa > 50
-UNION ALL SELECT record_id, 'NET_ABOVE_GROSS', 'critical', 'nnpa', 'net exceeds gross' FROM records WHERE nnpa > gnpa
-UNION ALL SELECT record_id, 'RATIO_MISMATCH', 'warning', 'roe', 'roe is not pat over equity' FROM records WHERE abs(roe - pat * 100 / equity) / abs(pat * 100 / equity) > 0.15""")
+UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'warning', 'gnpa', 'gnpa outside 0 to 50' FROM records WHERE gnpa > 50
+UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'critical', 'pcr', 'pcr outside 0 to 100' FROM records WHERE pcr < 0 OR pcr > 100
+UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'critical', 'casa', 'casa outside 0 to 100' FROM records WHERE casa < 0 OR casa > 100
+UNION ALL SELECT record_id, 'IMPOSSIBLE_VALUE', 'critical', 'crar', 'crar outside 0 to 60' FROM records WHERE crar < 0
+UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'warning', 'crar', 'crar outside 0 to 60' FROM records WHERE crar > 60
+UNION ALL SELECT record_id, 'IMPOSSIBLE_VALUE', 'warning', 'pe', 'pe outside 0 to 1000' FROM records WHERE pe < 0
+UNION ALL SELECT record_id, 'OUT_OF_RANGE', 'info', 'pe', 'pe outside 0 to 1000' FROM records WHERE pe > 1000
+UNION ALL SELECT record_id, 'GNPA_BELOW_NNPA', 'critical', 'gnpa', 'net exceeds gross' FROM records WHERE nnpa > gnpa
+UNION ALL SELECT record_id, 'RATIO_INCONSISTENCY', 'warning', 'roe', 'roe is not pat over equity' FROM records WHERE abs(roe - pat * 100 / equity) / abs(pat * 100 / equity) > 0.15""")
 def ratio_rules(spark, sf_dir):
     return K.ratio_rules(records(spark, sf_dir))
 
@@ -145,14 +153,14 @@ def unit_claims(spark, sf_dir):
 UNITS_SQL = "units AS (SELECT 'price' AS metric, p_brand AS entity, CAST(p_size AS VARCHAR) AS period, ['crore', 'lakh', 'bn', '%'][CAST(p_partkey % 4 + 1 AS INT)] AS unit, p_retailprice AS value FROM part)"
 
 
-@query(f"""WITH {UNITS_SQL}, scaled AS (SELECT metric, entity, period, unit, CASE unit WHEN 'crore' THEN 1.0::DOUBLE WHEN 'lakh' THEN 0.01::DOUBLE WHEN 'bn' THEN 100.0::DOUBLE END AS scale, max(value) AS value FROM units WHERE unit <> '%' GROUP BY ALL)
-SELECT * FROM (SELECT a.metric, a.entity, a.period, a.unit AS unit_a, b.unit AS unit_b, round(a.value * a.scale / (b.value * b.scale), 6) AS ratio
-FROM scaled a JOIN scaled b ON a.metric = b.metric AND a.entity = b.entity AND a.period = b.period AND a.unit < b.unit) WHERE ratio >= 100 OR ratio <= 0.01""")
+@query(f"""WITH {UNITS_SQL}, scaled AS (SELECT *, CASE unit WHEN 'crore' THEN 1.0::DOUBLE WHEN 'lakh' THEN 0.01::DOUBLE WHEN 'bn' THEN 100.0::DOUBLE END AS scale FROM units WHERE unit <> '%' AND value <> 0)
+SELECT metric, entity, period, unit_a, unit_b, value_a, value_b, ratio, count(*) AS n_pairs FROM (SELECT a.metric, a.entity, a.period, a.unit AS unit_a, b.unit AS unit_b, a.value AS value_a, b.value AS value_b, round(a.value * a.scale / (b.value * b.scale), 6) AS ratio
+FROM scaled a JOIN scaled b ON a.metric = b.metric AND a.entity = b.entity AND a.period = b.period AND a.unit < b.unit) WHERE ratio >= 100 OR ratio <= 0.01 GROUP BY ALL""")
 def unit_mismatch(spark, sf_dir):
-    return K.unit_mismatch(unit_claims(spark, sf_dir)).select("metric", "entity", "period", "unit_a", "unit_b", "ratio")
+    return K.unit_mismatch(unit_claims(spark, sf_dir)).select("metric", "entity", "period", "unit_a", "unit_b", "value_a", "value_b", "ratio", "n_pairs")
 
 
-RISKS_SQL = """risks AS (SELECT o_custkey AS thesis, ['macro','regulatory','competitive','execution','valuation','liquidity'][CAST(o_orderkey % 6 + 1 AS INT)] AS dimension, CAST(1 + o_orderkey % 10 AS INT) AS score FROM orders)"""
+RISKS_SQL = """risks AS (SELECT o_custkey AS thesis, ['demand','margin','valuation','regulatory','macro','competitive'][CAST(o_orderkey % 6 + 1 AS INT)] AS dimension, CAST(1 + o_orderkey % 10 AS INT) AS score FROM orders)"""
 
 
 def risks(spark, sf_dir):
@@ -172,7 +180,7 @@ def assumptions(spark, sf_dir):
     )
 
 
-@query(f"""WITH {RISKS_SQL}, means AS (SELECT thesis, round(sum(score * w) / sum(w), 4) AS weighted, round(avg(score), 4) AS plain FROM (SELECT *, {X.case_sql('dimension', lexicon.RISK_WEIGHTS, 1.0)} AS w FROM risks) GROUP BY thesis)
+@query(f"""WITH {RISKS_SQL}, means AS (SELECT thesis, round(sum(score * w) / sum(w), 4) AS weighted, round(avg(score), 4) AS plain FROM (SELECT *, {X.case_sql('dimension', X.RISK_WEIGHTS, 1.0)} AS w FROM risks) GROUP BY thesis)
 SELECT *, CASE WHEN weighted < 4 THEN 'Strong' WHEN weighted <= 7 THEN 'Medium' ELSE 'Weak' END AS weighted_strength, CASE WHEN plain < 4 THEN 'Strong' WHEN plain < 7 THEN 'Medium' ELSE 'Weak' END AS strength FROM means""")
 def weighted_strength(spark, sf_dir):
     return S.strength(risks(spark, sf_dir), "thesis")
@@ -204,10 +212,10 @@ def chunks(spark, sf_dir):
 CHUNKS_SQL = f"{X.DOCUMENTS_SQL}, chunks AS (SELECT doc_id % 50 AS query_id, doc_id, source, source_type, (doc_id * 37 % 100) / 100.0::DOUBLE AS final_score, text FROM docs)"
 
 
-@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT query_id, count(*) AS n, round(avg(final_score), 6) AS avg_score, sum(({X.case_sql('source_type', lexicon.AUTHORITY, 0.2)} >= 0.65)::INT)::BIGINT AS n_authority FROM chunks WHERE doc_id % 3 = 0 GROUP BY query_id)
+@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT query_id, count(*) AS n, round(avg(final_score), 6) AS avg_score, sum(({X.case_sql('source_type', X.AUTHORITY, 0.2)} >= 0.65)::INT)::BIGINT AS n_authority FROM chunks GROUP BY query_id)
 SELECT *, CASE WHEN n < 2 OR avg_score < 0.35 THEN 'Low' WHEN n >= 4 AND avg_score >= 0.6 AND n_authority >= 2 THEN 'High' ELSE 'Medium' END AS confidence FROM s""")
 def answer_confidence(spark, sf_dir):
-    return S.answer_confidence(chunks(spark, sf_dir).filter("doc_id % 3 = 0"), "query_id").withColumn("avg_score", F.round("avg_score", 6))
+    return S.answer_confidence(chunks(spark, sf_dir), "query_id").withColumn("avg_score", F.round("avg_score", 6))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT query_id, source_type, source, doc_id, final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type, source ORDER BY final_score DESC, doc_id) AS nth FROM chunks) WHERE nth = 1")
@@ -235,7 +243,7 @@ FIRST_SQL = r"(SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELEC
 @query(f"""WITH {CHUNKS_SQL}, a AS (SELECT item_id, ws FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS ws FROM benchmark)),
 flat AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM a), firsts AS (SELECT item_id, w, min(p) AS p FROM flat WHERE length(w) >= 2 GROUP BY ALL),
 terms AS (SELECT item_id, list(w) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY p) AS nth FROM firsts) WHERE nth <= 4 GROUP BY item_id),
-c AS (SELECT {WORDS_SQL.format(c='text')} AS words, {X.case_sql('source_type', lexicon.AUTHORITY, 0.2)} AS weight FROM chunks WHERE final_score >= 0.35),
+c AS (SELECT {WORDS_SQL.format(c='text')} AS words, {X.case_sql('source_type', X.AUTHORITY, 0.2)} AS weight FROM chunks WHERE final_score >= 0.35),
 hits AS (SELECT item_id, sum(len(list_intersect(terms, words)) * weight) AS hit FROM terms, c GROUP BY item_id)
 SELECT item_id AS assumption_id, round(hit / ((SELECT sum(weight) FROM c) * len(terms)), 6) AS support, hit / ((SELECT sum(weight) FROM c) * len(terms)) >= 0.25 AS supported FROM terms JOIN hits USING (item_id)""")
 def support_score(spark, sf_dir):
@@ -266,13 +274,14 @@ def topo_level(spark, sf_dir):
 @query(f"""WITH RECURSIVE {ARCS_SQL}, walk AS (SELECT node, CAST(node AS VARCHAR) AS path, 1 AS n FROM nodes WHERE node NOT IN (SELECT dst FROM arcs) AND node IN (SELECT src FROM arcs)
 UNION ALL SELECT a.dst, w.path || '>' || a.dst, w.n + 1 FROM walk w JOIN arcs a ON w.node = a.src) SELECT node, n::INT AS n_nodes, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, path) AS nth FROM walk) WHERE nth = 1""")
 def critical_path(spark, sf_dir):
-    return G.critical_path(spark, G.edges(graph_nodes(spark, sf_dir)))
+    nodes = graph_nodes(spark, sf_dir)
+    return G.critical_path(nodes, G.edges(nodes))
 
 
 @query("""WITH RECURSIVE arcs AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE (n_nationkey * 7 + 3) % 25 <> n_nationkey),
-walk AS (SELECT src AS start, dst AS here, 1 AS steps FROM arcs UNION ALL SELECT w.start, a.dst, w.steps + 1 FROM walk w JOIN arcs a ON w.here = a.src WHERE w.steps < 8 AND w.start <> w.here)
+walk AS (SELECT src AS start, dst AS here, 1 AS steps FROM arcs UNION ALL SELECT w.start, a.dst, w.steps + 1 FROM walk w JOIN arcs a ON w.here = a.src WHERE w.steps <= 25 AND w.start <> w.here)
 SELECT start AS node, min(steps)::INT AS cycle_length FROM walk WHERE start = here GROUP BY start""")
 def cycle_nodes(spark, sf_dir):
     n = F.col("n_nationkey")
     nodes = table(spark, sf_dir, "nation").select(((n * 7 + 3) % 25).cast("int").alias("node"), F.array(n).alias("depends_on"))
-    return G.cycles(spark, G.edges(nodes))
+    return G.cycles(G.edges(nodes))

@@ -58,7 +58,7 @@ def answer(vectors: DataFrame, queries: DataFrame, texts: DataFrame, as_of: str,
 
 def review(theses: DataFrame) -> DataFrame:
     """Theses as texts to assumptions, a chain of dependencies, and a robustness class."""
-    found = tagging.causal_assumptions(theses, key="thesis").withColumn("supported", F.length("sentence") % 2 == 0).withColumn("critical", F.col("n") == 0)
+    found = tagging.causal_assumptions(theses, key="thesis").withColumn("supported", F.length("sentence") % 2 == 0)
     levels = found.withColumn("risk", graph.node_risk(F.col("confidence"), F.col("supported")))
     return scoring.robustness(levels, "thesis", F.lit(False)).drop("cyclic")
 
@@ -71,7 +71,7 @@ def ingest_audit(spark, sf_dir):
 @query()
 def answer_queries(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return answer(X.vectors(spark, sf_dir), X.queries(spark, sf_dir, (0, 1, 2, 3, 4)), texts, X.AS_OF)
+    return answer(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), texts, X.AS_OF)
 
 
 @query()

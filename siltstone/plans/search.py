@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import lexicon
 from ..operators import vector as V
 from . import fixtures as X
 
@@ -23,8 +22,8 @@ def query(sql: str | None = None):
     return put
 
 
-def _scored(ids: str = "0") -> str:
-    return f"WITH {X.VECTORS_SQL}, scored AS ({X.SIMILARITY_SQL.format(ids=ids)})"
+def _scored() -> str:
+    return f"WITH {X.VECTORS_SQL}, scored AS ({X.SIMILARITY_SQL})"
 
 
 def _ranked(source: str, k: int, where: str = "true", by: str = "score", within: str = "query_id", out: str = ", ".join(OUT)) -> str:
@@ -36,10 +35,10 @@ def knn_topk(spark, sf_dir):
     return V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 10).select(*OUT)
 
 
-@query(f"{_scored('0, 1, 2')} " + _ranked("scored", 5, "source_type IN ('rbi', 'sebi') AND label = 3"))
+@query(f"{_scored()} " + _ranked("scored", 5, "source_type IN ('rbi', 'sebi') AND label = 3"))
 def knn_filtered(spark, sf_dir):
     wanted = {"source_type": ["rbi", "sebi"], "label": 3, "not_a_key": 1}
-    return V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir, (0, 1, 2)), 5, wanted).select(*OUT)
+    return V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 5, wanted).select(*OUT)
 
 
 @query(f"{_scored()} {_ranked('scored', 20, 'score >= 0.1')}")
@@ -47,9 +46,9 @@ def knn_min_score(spark, sf_dir):
     return V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 50, min_score=0.1).select(*OUT)
 
 
-@query(f"{_scored('0, 5')}, near AS ({_ranked('scored', 10, within='query_id, namespace', out='* EXCLUDE (rank)')}) {_ranked('near', 10)}")
+@query(f"{_scored()}, near AS ({_ranked('scored', 10, within='query_id, namespace', out='* EXCLUDE (rank)')}) {_ranked('near', 10)}")
 def knn_fanout(spark, sf_dir):
-    return V.fan_out(X.vectors(spark, sf_dir), X.queries(spark, sf_dir, (0, 5)), 10).select(*OUT)
+    return V.fan_out(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 10).select(*OUT)
 
 
 @query(f"{_scored()} {_ranked('scored', 5, 'score >= 0.15', within='query_id, namespace')}")
@@ -59,10 +58,11 @@ def per_namespace_results(spark, sf_dir):
 
 
 HYBRID_SQL = f"""hybrid AS (
-  SELECT *, round(0.55 * greatest(0, least(1, score)) + 0.25 * authority_score + 0.12 * recency_score + 0.08 * 0.0, 6) AS final_score FROM (
-    SELECT *, round(greatest(0, least(1, (authority_weight - 0.15) / (1.0::DOUBLE - 0.15))), 6) AS authority_score,
+  SELECT *, round(0.55 * greatest(0, least(1, score)) + 0.25 * authority_score + 0.12 * recency_score + 0.08 * overlap_score, 6) AS final_score FROM (
+    SELECT *, round(len(list_intersect(query_terms, terms)) / len(query_terms)::DOUBLE, 6) AS overlap_score,
+      round(greatest(0, least(1, (authority_weight - 0.15) / (1.0::DOUBLE - 0.15))), 6) AS authority_score,
       CASE WHEN age <= 180 THEN 1.0::DOUBLE WHEN age >= 730 THEN 0.05::DOUBLE ELSE round(0.05 + 0.95 * (1 + cos(pi() * (age - 180) / 550.0::DOUBLE)) / 2, 6) END AS recency_score
-    FROM (SELECT *, {X.case_sql('source_type', lexicon.AUTHORITY, 0.2)} AS authority_weight, date_diff('day', doc_date, DATE '{X.AS_OF}') AS age FROM scored))
+    FROM (SELECT *, {X.case_sql('source_type', X.AUTHORITY, 0.2)} AS authority_weight, date_diff('day', doc_date, DATE '{X.AS_OF}') AS age FROM scored))
 )"""
 SCORES = ["authority_weight", "authority_score", "recency_score", "final_score"]
 
@@ -73,9 +73,9 @@ def hybrid_score(spark, sf_dir):
     return V.best(scored, 10, by="final_score").select("query_id", "vec_id", "source_type", "score", "rank", *SCORES)
 
 
-@query(f"{_scored('0, 1, 2, 3')}, {HYBRID_SQL} SELECT vec_id, max(final_score) AS final_score, count(*) AS n_queries FROM hybrid GROUP BY vec_id ORDER BY final_score DESC, vec_id LIMIT 15")
+@query(f"{_scored()}, {HYBRID_SQL} SELECT vec_id, max(final_score) AS final_score, count(*) AS n_queries FROM hybrid GROUP BY vec_id ORDER BY final_score DESC, vec_id LIMIT 15")
 def multi_query_merge(spark, sf_dir):
-    scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir, (0, 1, 2, 3))), X.AS_OF)
+    scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)), X.AS_OF)
     return V.merge_queries(scored, 15)
 
 
@@ -98,17 +98,27 @@ def recency_linear(spark, sf_dir):
     return X.vectors(spark, sf_dir).select("vec_id", F.round(C.recency_linear(F.col("doc_date"), as_of), 6).alias("recency"))
 
 
-@query(f"WITH {X.VECTORS_SQL} SELECT vec_id, source_type FROM vectors WHERE {X.case_sql('source_type', lexicon.AUTHORITY, 0.2)} >= 0.6")
+@query(f"WITH {X.VECTORS_SQL} SELECT vec_id, source_type FROM vectors WHERE {X.case_sql('source_type', X.AUTHORITY, 0.2)} >= 0.6")
 def authority_floor(spark, sf_dir):
     return V.authority_floor(X.vectors(spark, sf_dir), 0.6).select("vec_id", "source_type")
 
 
-@query(f"""{_scored('0, 1')}, near AS ({_ranked('scored', 20, 'score >= 0.05', out='* EXCLUDE (rank)')}), again AS (
-  SELECT *, round(score * (1 + 0.3 * greatest(0, 1 - date_diff('day', doc_date, DATE '{X.AS_OF}') / 365.0::DOUBLE)) * {X.case_sql('source_type', lexicon.AUTHORITY_FACTOR, 0.7)} * (1 + 0.2 * (label % 5) / 5.0::DOUBLE), 6) AS rerank_score FROM near
+def _closed_sql(column: str) -> str:
+    """Each term with its other spelling, those of X.SPELLINGS."""
+    other = "CASE t WHEN 'nim' THEN 'net interest margin' WHEN 'net interest margin' THEN 'nim' WHEN 'roe' THEN 'return on equity' WHEN 'return on equity' THEN 'roe' END"
+    return f"list_distinct(list_concat({column}, list_filter(list_transform({column}, lambda t: {other}), lambda u: u IS NOT NULL)))"
+
+
+JACCARD_SQL = "round(len(list_intersect(qs, ts)) / (len(qs) + len(ts) - len(list_intersect(qs, ts)))::DOUBLE, 4)"
+
+
+@query(f"""{_scored()}, near AS ({_ranked('scored', 20, 'score >= 0.05', out='* EXCLUDE (rank)')}), again AS (
+  SELECT *, round(score * (1 + 0.3 * greatest(0, 1 - date_diff('day', doc_date, DATE '{X.AS_OF}') / 365.0::DOUBLE)) * {X.case_sql('source_type', X.AUTHORITY_FACTOR, 0.7)} * (1 + 0.2 * {JACCARD_SQL}), 6) AS rerank_score FROM (SELECT *, {_closed_sql('query_terms')} AS qs, {_closed_sql('terms')} AS ts FROM near)
 ) {_ranked('again', 6, where='rerank_score >= 0.1', by='rerank_score', out='query_id, vec_id, rerank_score, rank')}""")
 def rerank_multiplicative(spark, sf_dir):
-    near = V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir, (0, 1)), 20, min_score=0.05).drop("rank")
-    return V.rerank(near, X.AS_OF, (F.col("label") % 5) / F.lit(5.0), floor=0.05).select("query_id", "vec_id", "rerank_score", "rank")
+    near = V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 20, min_score=0.05).drop("rank")
+    overlap = C.jaccard(C.closed_terms(F.col("query_terms"), X.SPELLINGS), C.closed_terms(F.col("terms"), X.SPELLINGS))
+    return V.rerank(near, X.AS_OF, overlap, floor=0.05).select("query_id", "vec_id", "rerank_score", "rank")
 
 
 @query(f"WITH {X.VECTORS_SQL} SELECT namespace, count(*) AS n_vectors, max(len(embedding))::INT AS dimension FROM vectors GROUP BY namespace")

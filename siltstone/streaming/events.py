@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -48,11 +50,25 @@ def breaker_states(events: DataFrame, key: str, trip: int = 3, late: str = "1 ho
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run over what is there now and stop; the result as a table. For tests and back-fills."""
+def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run over what is there now and stop; the result as a table of files in the shared folder.
+
+    Append goes straight to files. In update mode each batch adds the rows that it changed, and the
+    table shows the newest of each of ``keys``; in complete mode it shows the last batch.
+    """
     spark = stream.sparkSession
-    name = f"siltstone_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-stream-')}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    base = f"{shared_folder(spark)}/siltstone-streams/{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{base}/rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/rows/batch-{batch}")  # a batch that runs again replaces itself
+
+    writer.foreachBatch(put).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/rows/batch-*")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+    last = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return rows.withColumn("nth", F.row_number().over(last)).filter("nth = 1").drop("nth", "batch")

@@ -22,7 +22,7 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and not n.startswith("op") and n != "pipeline"))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF_DIR).columns
+    assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
 def test_entry(spark):

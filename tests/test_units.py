@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
-from siltstone.operators import checks, chunking, claims, graph, logs, scoring, tagging, vector
+from siltstone.operators import checks, chunking, claims, graph, logs, quantiles, scoring, tagging, vector
 from siltstone.operators import text as T
 from siltstone.sources import feeds
 from siltstone.streaming import events as stream
@@ -61,10 +62,15 @@ def test_signed_mean_hides_negative_conflicts(spark):
 
 
 def test_resolution(spark):
-    r = claims.conflicts(claim_rows(spark, 1.0, 2.0)).first()
+    r = claims.conflicts(claim_rows(spark, 1.0, 2.0, 4.0)).first()
     assert (r.winner, r.reason) == ("B", "newer: B")
 
 
+def test_conflicts_need_three_sources_in_all(spark):
+    assert claims.conflicts(claim_rows(spark, 1.0, 2.0)).count() == 0
+    assert claims.conflicts(claim_rows(spark, 1.0, 2.0, 1.0)).count() == 2
+
+
 def test_outliers(spark):
     rows = lambda g, *vs: [(g, float(v)) for v in vs]
     data = rows("few", 1, 1, 99) + rows("flat", 5, 5, 5, 5, 5) + rows("spread", 1, 2, 3, 4, 5, 100) + rows("nomad", 5, 5, 5, 5, 5, 5, 5, 50)
@@ -73,9 +79,10 @@ def test_outliers(spark):
 
 
 def test_strength_boundaries(spark):
-    rows = [("a", "execution", 7), ("b", "execution", 4), ("c", "execution", 3)]
+    rows = [("a", "macro", 7), ("b", "macro", 4), ("c", "macro", 3), ("d", "demand", 10), ("d", "regulatory", 1)]
     got = {r.t: (r.weighted_strength, r.strength) for r in scoring.strength(spark.createDataFrame(rows, "t string, dimension string, score int"), "t").collect()}
-    assert got == {"a": ("Medium", "Weak"), "b": ("Medium", "Medium"), "c": ("Strong", "Strong")}
+    assert got == {"a": ("Medium", "Weak"), "b": ("Medium", "Medium"), "c": ("Strong", "Strong"), "d": ("Medium", "Medium")}
+    assert scoring.strength(spark.createDataFrame(rows, "t string, dimension string, score int"), "t").filter("t = 'd'").first().weighted == round(14 / 2.3, 4)
 
 
 def test_heuristic_risk_rounds_half_to_even(spark):
@@ -98,7 +105,65 @@ def test_graph(spark):
     arcs = graph.edges(nodes)
     assert {(r.src, r.dst) for r in arcs.collect()} == {(1, 2), (2, 3), (4, 5), (5, 4), (5, 6)}
     assert {r.node: r.level for r in graph.levels(nodes, arcs).collect()} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None}
-    assert {r.node: r.cycle_length for r in graph.cycles(spark, arcs).collect()} == {4: 2, 5: 2}
+    assert {r.node: r.cycle_length for r in graph.cycles(arcs).collect()} == {4: 2, 5: 2}
+
+
+def test_long_chains_and_cycles(spark):
+    """No length is fixed: a chain of 90 nodes with short cuts, and a cycle of 12 beside it."""
+    chain = spark.createDataFrame([(i, [i - 1, i // 2] if i else []) for i in range(90)], "node int, depends_on array<int>")
+    found = {r.node: r for r in graph.critical_path(chain, graph.edges(chain)).collect()}
+    assert len(found) == 90 and found[89].n_nodes == 90 and found[89].path == ">".join(map(str, range(90)))
+    ring = spark.createDataFrame([(i, [(i + 1) % 12]) for i in range(12)] + [(12, [0]), (13, [])], "node int, depends_on array<int>")
+    assert {r.node: r.cycle_length for r in graph.cycles(graph.edges(ring)).collect()} == dict.fromkeys(range(12), 12)
+
+
+def test_longest_path_takes_the_smallest_of_equals(spark):
+    nodes = spark.createDataFrame([(1, []), (2, [1]), (3, [1]), (4, [3, 2]), (5, [])], "node int, depends_on array<int>")
+    found = {r.node: (r.n_nodes, r.path) for r in graph.critical_path(nodes, graph.edges(nodes)).collect()}
+    assert found == {1: (1, "1"), 2: (2, "1>2"), 3: (2, "1>3"), 4: (3, "1>2>4")}
+
+
+def test_exact_places(spark):
+    """Against sorting, with ties, nulls, and a key that has most of the rows."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("big" if i % 10 else f"k{i % 70}", rng.choice([rng.random(), 0.5, -3.0, None])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    places = {"p50": lambda n: F.floor(n * 0.5), "p99": lambda n: F.floor(n * 0.99), "first": lambda n: F.lit(0)}
+    got = {r.k: (r.n, r.p50, r.p99, r.first) for r in quantiles.values_at(df, "k", "v", places, cuts=10).collect()}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        assert got[k] == (len(v), v[int(len(v) * 0.5)], v[int(len(v) * 0.99)], v[0])
+    for r in quantiles.medians(df, "k", "v").collect():
+        assert r.median == pytest.approx(statistics.median(x for key, x in rows if key == r.k and x is not None))
+
+
+def test_unit_pairs_are_all_found(spark):
+    rows = [("m", "e", "p", "crore", 500.0), ("m", "e", "p", "crore", 5.0), ("m", "e", "p", "lakh", 400.0), ("m", "e", "p", "lakh", 400.0)]
+    got = checks.unit_mismatch(spark.createDataFrame(rows, "metric string, entity string, period string, unit string, value double")).collect()
+    assert [(r.value_a, r.value_b, r.n_pairs) for r in got] == [(500.0, 400.0, 2)]
+
+
+def test_spaced_capitals(spark):
+    import re
+
+    for raw in ("A B C D and E F G", "É A B C", "a A B C d", "A B C D E F G H I", "X Y Z."):
+        want = re.sub(r"\b([A-Z])\s([A-Z])\s([A-Z])\b", r"\1\2\3", re.sub(r"\b([A-Z])\s([A-Z])\s([A-Z])\s([A-Z])\b", r"\1\2\3\4", raw))
+        assert one(spark, T.cleaned(F.lit(raw))) == want
+
+
+def test_term_overlaps(spark):
+    """Against comparing every pair."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, rng.sample(words, rng.randint(0, 20))) for i in range(60)]
+    items = [(i, rng.sample(words, rng.randint(1, 9))) for i in range(12)]
+    want = {(i, d) for i, q in items for d, w in docs if len(set(q) & set(w)) / len(q) >= 0.5}
+    got = T.term_overlaps(spark.createDataFrame(docs, "doc_id int, words array<string>"), spark.createDataFrame(items, "item_id int, terms array<string>"), 0.5)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == want
 
 
 def test_chunks_cover_the_text_and_overlap():
@@ -148,19 +213,23 @@ def test_upsert_and_delete(spark):
 
 def test_breaker(spark):
     outcomes = [True, True, False, False, False, True, False]
-    df = spark.createDataFrame([("k", i, f) for i, f in enumerate(outcomes)], "k string, i int, failed boolean")
-    r = logs.breaker(df, "k", F.col("failed"), ["i"], trip=2, rest=3).first()
-    assert (r.state, r.trips, r.refused) == ("OPEN", 2, 4)
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=25 * i)
+    df = spark.createDataFrame([("k", i, at(i), f) for i, f in enumerate(outcomes)], "k string, i int, ts timestamp, failed boolean")
+    for span in ("1 hour", "10 days"):
+        r = logs.breaker(df, "k", F.col("failed"), ["i"], trip=2, rest=3, span=span).first()
+        assert (r.state, r.trips, r.refused) == ("OPEN", 2, 4)
 
 
 def test_streams(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1, 0, i), "k", i % 4 != 0) for i in range(12)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, k string, failed boolean").write.parquet(f"{tmp_path}/events.parquet")
-    source = stream.event_stream(spark, f"{tmp_path}/events.parquet", spark.read.parquet(f"{tmp_path}/events.parquet").schema, "*.parquet")
+    for i in range(3):  # three files, a batch each
+        spark.createDataFrame(rows[4 * i : 4 * i + 4], "event_id long, ts timestamp, k string, failed boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    source = stream.event_stream(spark, f"{tmp_path}/events.parquet", spark.read.parquet(f"{tmp_path}/events.parquet").schema, "*.parquet", files_per_trigger=1)
     got = {r.window_start.minute: r.n for r in stream.run_available(stream.rate_windows(source, "k", 300), "complete").collect()}
     assert got == {0: 5, 5: 5, 10: 2}
-    last = stream.run_available(stream.breaker_states(source, "k", 3), "update").orderBy(F.desc("trips")).first()
-    assert (last.failures_in_row, last.trips, last.open) == (3, 3, True)
+    last = stream.run_available(stream.breaker_states(source, "k", 3), "update", ["k"]).collect()
+    assert [(r.failures_in_row, r.trips, r.open) for r in last] == [(3, 3, True)]
+    assert [r.k for r in stream.run_available(stream.once_within(source, ["k"])).collect()] == ["k"]
 
 
 def test_feeds(spark, tmp_path):
