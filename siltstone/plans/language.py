@@ -296,3 +296,50 @@ FROM (SELECT *, date_diff('day', doc_date, DATE '{X.AS_OF}') AS age FROM scored)
 def composite_floor(spark, sf_dir):
     scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)), X.AS_OF)
     return V.composite_floor(scored, 0.5).select("query_id", "vec_id", "final_score")
+
+
+# Tags
+
+FILE_NAMES = (("SEBI_note.pdf", "sebi"), ("Annual_Report_2023.pdf", "annual_report"), ("x.txt", None), ("q3fy26_concall.pdf", "earnings_transcript"), ("cbdt.txt", "income_tax"))
+BODIES = (("On 2024-05-06 the companies act said NIM of 4.25% with CASA at 41.5%", "mca", "2024-05-06"), ("Reports said that results of March 2023 are out; gross NPA 61%", "news", "March 2023"), ("plain words for FY25 and ROE of 15.2 %", "unknown", "25"))
+
+
+@query(f"""SELECT o_orderkey, coalesce({'[' + ', '.join('NULL' if t is None else f"'{t}'" for _, t in FILE_NAMES) + ']'}[CAST(o_orderkey % 5 + 1 AS INT)], {[b[1] for b in BODIES]}[CAST(o_orderkey % 3 + 1 AS INT)]) AS source_type,
+CASE WHEN o_orderkey % 7 = 0 THEN '2020-01-02' ELSE {[b[2] for b in BODIES]}[CAST(o_orderkey % 3 + 1 AS INT)] END AS date, CASE WHEN o_orderkey % 7 = 0 THEN 2020 ELSE [2024, 2023, NULL][CAST(o_orderkey % 3 + 1 AS INT)] END::INT AS date_year,
+['casa_ratio_pct=41.5,nim_pct=4.25', '', 'roe_pct=15.2'][CAST(o_orderkey % 3 + 1 AS INT)] AS figures FROM orders""")
+def chunk_tags(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    chunks = o.select("o_orderkey", pick([f for f, _ in FILE_NAMES], 5).alias("file_name"), pick([b[0] for b in BODIES], 3).alias("text"), F.when(k % 7 == 0, F.lit("2020-01-02")).otherwise(F.lit("")).alias("base_date"))
+    from ..operators import tags
+
+    shown = F.transform(F.array_sort(F.map_entries("figures")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return tags.tagged(chunks).select("o_orderkey", "source_type", "date", "date_year", F.array_join(shown, ",").alias("figures"))
+
+
+@query("""SELECT o_orderkey AS thesis, u.n::INT AS n, u.query FROM orders, (VALUES (0, 0, 'HDFC Bank NIM should rise as RBI eases; its book value is low'), (0, 1, 'HDFC Bank nim book value'), (0, 2, 'rbi India FY26'), (0, 3, 'HDFC Bank book value historical'),
+(1, 0, 'Rates will fall and revenue grows'), (1, 1, 'Indian banking revenue'), (1, 2, 'India macroeconomic outlook FY26 interest rate inflation')) u(k, n, query) WHERE u.k = o_orderkey % 2""")
+def thesis_queries(spark, sf_dir):
+    from ..operators import tags
+
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.lit("HDFC Bank NIM should rise as RBI eases; its book value is low")).otherwise(F.lit("Rates will fall and revenue grows"))
+    return tags.thesis_queries(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("thesis"), text.alias("text")), ("HDFC Bank", "Infosys"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS k, o_totalprice AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 3 = 0)
+SELECT k, place::INT AS place, x, y FROM a FULL JOIN b USING (k, place)""")
+def zip_by_position(spark, sf_dir):
+    from ..operators import tags
+
+    o = table(spark, sf_dir, "orders").withColumn("n", F.col("o_orderkey"))
+    left, right = o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), "n", F.col("o_orderkey").alias("x")), o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), "n", F.col("o_totalprice").alias("y"))
+    return tags.zipped(left, right, "k", "n").select("k", "place", "x", "y")
+
+
+@query("SELECT count(*) AS n_encoded FROM (SELECT DISTINCT md5(trim(text, ' ')) AS h FROM documents) WHERE h NOT IN (SELECT md5(trim(text, ' ')) FROM documents JOIN embeddings ON doc_id = vec_id)")
+def embedding_cache(spark, sf_dir):
+    from ..operators import tags
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = d.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.md5(F.trim("text").cast("binary")).alias("text_hash"), "embedding")
+    return tags.cached_vectors(d, cache)[1].agg(F.count("*").alias("n_encoded"))

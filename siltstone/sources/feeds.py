@@ -61,3 +61,45 @@ def links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFra
 def register(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """The registry with the batch's urls: the first time that each was seen."""
     return registry.select("url_hash", "seen_at").unionByName(batch.select("url_hash", "seen_at")).groupBy("url_hash").agg(F.min("seen_at").alias("seen_at"))
+
+
+def mixed_batch(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
+    """Files of several kinds as one table of texts, in the order given: place, kind, path, text. sources: (kind, path), kind json or text."""
+    from functools import reduce
+
+    parts = []
+    for place, (kind, path) in enumerate(sources):
+        rows = json_articles(spark, path).select(F.lit(path).alias("path"), "text") if kind == "json" else text_files(spark, path).select("path", "text")
+        parts.append(rows.select(F.lit(place).alias("place"), F.lit(kind).alias("kind"), "path", "text"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def listing_rows(pages: DataFrame, years: tuple[int, int] | None = None, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Anchors of listing pages: key, url, title (tags out), year (the last in title or url) and out_of_range; each url of a page once."""
+    anchor = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"'#>]+)["'][^>]*>(.*?)</a>"""
+    found = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1)).alias("url"), F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(2)).alias("inner"))
+    rows = pages.select(key, F.posexplode(found).alias("n", "a")).select(key, "n", "a.url", F.trim(F.regexp_replace(F.regexp_replace("a.inner", r"<[^>]*>", " "), r"\s+", " ")).alias("title"))
+    year = F.regexp_extract(F.concat_ws(" ", "url", "title"), r"^.*\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    firsts = rows.groupBy(key, "url").agg(F.min_by("title", "n").alias("title")).withColumn("year", year)
+    low, high = years or (0, 9999)
+    return firsts.withColumn("out_of_range", F.coalesce(~F.col("year").between(low, high), F.lit(False)))
+
+
+def resolved_link(hrefs: Column, base: Column, preferred: tuple[str, ...] = ("annual", "report")) -> Column:
+    """The first link to a PDF of an array, those that hold a preferred word before others, as a full url; null without."""
+    pdfs = F.filter(hrefs, lambda h: F.lower(h).rlike(r"\.pdf(?:[?#]|$)"))
+    with_word = lambda w: F.filter(pdfs, lambda h: F.contains(F.lower(h), F.lit(w)))
+    ranked = [F.get(with_word(w), F.lit(0)) for w in preferred]
+    link = F.coalesce(*ranked, F.get(pdfs, F.lit(0)))
+    host, folder = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"^(https?://[^?#]*/)", 1)
+    return F.when(link.rlike("^https?://"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link)).when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(F.coalesce(F.nullif(folder, F.lit("")), F.concat(host, F.lit("/"))), link))
+
+
+def write_new_articles(articles: DataFrame, path: str, known: DataFrame) -> None:
+    """Append articles as JSON whose url_hash is not among those known; the caller registers them after."""
+    articles.withColumn("url_hash", F.md5("url")).dropDuplicates(["url_hash"]).join(known.select("url_hash").distinct(), "url_hash", "left_anti").write.mode("append").json(path)
+
+
+def write_logs(events: DataFrame, path: str, kind: str = "log_type") -> None:
+    """Append log rows, a folder for each kind."""
+    events.write.mode("append").partitionBy(kind).parquet(path)
