@@ -2,13 +2,22 @@
 
 Every common word of a text is an anchor; its signature is the anchor with the next ``CHAIN``
 content words after it (common words in between are skipped). A fingerprint is the sorted set
-of 32-bit signature hashes; two fingerprints are compared by their Jaccard likeness, and a pair
-whose set lengths already forbid the threshold is settled by the lengths alone.
+of 32-bit signature hashes; two fingerprints are compared by their exact Jaccard likeness. With a
+threshold, pairs whose set lengths already forbid it are settled by the lengths alone, and
+``length_band`` numbers the partitions in which such pairs lie; the query gives the likeness itself, so
+it takes no threshold. A join of all texts over these sets is not built.
 
 Words are maximal runs of letters and digits, lower-cased. A text in which no common word
 occurs has one signature, the hash of all of it, so that equal texts always have equal
 fingerprints and other texts seldom do. Null counts as the empty text.
 
+Defined results: null and empty texts have the one signature of the empty text; the first half of a
+one-character text is the text, its edit adds nothing; repeated rows and rows of the same id are rows of
+their own, in the order of their columns' hash; rows without an id come first; the next row of the
+last, or of a single row, is the first; an empty table gives an empty result; very long texts are
+read whole, by one task each; other columns, whatever their names, pass through ``with_next`` and are
+not read by the query.
+
 Everything here is built-in Spark functions on strings and arrays: one pass over a text, no
 explode, no shuffle.
 """
@@ -108,21 +117,24 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> Da
     same id are ordered by the hash of their columns.
     """
     lowest = -(2**63)
-    docs = docs.withColumn("ord", F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)))
-    ids = docs.select("ord")
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    rows = rows.withColumn("ord", F.coalesce(F.col(f"row.`{doc_id}`").cast("long"), F.lit(lowest)))
+    of = lambda c: F.col(f"row.`{c}`")
+    ids = rows.select("ord")
     fences = _fences(ids)
     bucket = _bucket(fences)
     heads = sorted(ids.groupBy(bucket.alias("bucket")).agg(F.min("ord").alias("ord")).collect())  # a row per bucket
     if not heads:
-        return docs.drop("ord").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return rows.select("row.*", *[of(c).alias(f"next_{c}") for c in columns])
     before = {ord_: heads[i - 1].bucket for i, (_, ord_) in enumerate(heads)}
     previous = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("ord")]
     place = lambda b, tail: F.struct(b.cast("int").alias("bucket"), F.lit(tail).alias("tail"))
     both = F.when(F.col("ord").isin(list(before)), F.array(place(F.col("own"), 0), place(previous, 1))).otherwise(F.array(place(F.col("own"), 0)))
-    spread = docs.withColumn("tie", F.xxhash64(*columns)).withColumn("own", bucket).select("*", F.explode(both).alias("place")).select("*", "place.*").drop("own", "place")
+    spread = rows.withColumn("tie", F.xxhash64(*[of(c) for c in columns])).withColumn("own", bucket).select("row", "ord", "tie", F.explode(both).alias("place")).select("row", "ord", "tie", "place.*")
     w = Window.partitionBy("bucket").orderBy("tail", "ord", "tie")
-    with_leads = spread.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return with_leads.filter("tail = 0").drop("bucket", "tail", "ord", "tie")
+    with_leads = spread.select("row", "tail", F.struct(*[F.lead(of(c)).over(w).alias(f"next_{c}") for c in columns]).alias("following"))
+    return with_leads.filter("tail = 0").select("row.*", "following.*")
 
 
 def edited_text(text: Column, following: Column) -> Column:

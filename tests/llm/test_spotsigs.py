@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import struct
 
 from siltstone.llm import queries, spotsigs
 from tests.conftest import SF_DIR
@@ -54,3 +56,28 @@ def test_awkward_rows(awkward, nothing):
     one, two = [r.fingerprint for r in rows if r.doc_id in (6, 7)][:2]
     assert one == two
     assert spotsigs.compare_with_edits(nothing).count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["ord", "tie", "bucket", "tail", "own", "place", "row", "following", "sigs_lines"]
+    df = spark.range(30).selectExpr("id AS doc_id", "concat('t', id) AS text", *[f"concat('{c}', id) AS {c}" for c in names])
+    got = spotsigs.with_next(df, ["text"])
+    assert got.columns == ["doc_id", "text", *names, "next_text"]
+    for r in got.collect():
+        assert r.next_text == f"t{(r.doc_id + 1) % 30}" and all(r[c] == f"{c}{r.doc_id}" for c in names)
+
+
+def test_likenesses_of_the_table(spark, duck):
+    """Both likenesses of every row are the Jaccard of the fingerprints, read back from their text."""
+    rows = {r.doc_id: r for r in queries.queries()["op2_spotsigs"](spark, SF_DIR).collect()}
+
+    def read(fingerprint):
+        raw = base64.b64decode(fingerprint)
+        return set(struct.unpack(f">{len(raw) // 4}I", raw))
+
+    ids = sorted(rows)
+    for i, doc_id in enumerate(ids):
+        r, following = rows[doc_id], rows[ids[(i + 1) % len(ids)]]
+        for one, two, got in ((r.fingerprint, r.edited_fingerprint, r.near_edited), (r.fingerprint, following.fingerprint, r.near_next)):
+            a, b = read(one), read(two)
+            assert abs(got - len(a & b) / len(a | b)) < 1e-12, doc_id
