@@ -444,4 +444,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those linked to one with a smaller id, and without repeats of a row's id and text."""
     losers = classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    # Only rows of ids that come again are shuffled with their texts.
+    again = stage(docs.groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    again, same = sent(again), F.col("doc_id").eqNullSafe(F.col("again_id"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

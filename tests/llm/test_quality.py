@@ -77,3 +77,68 @@ def test_a_language_is_judged_alike_whatever_its_share(spark, monkeypatch):
         assert any(got[i].class_distance > 0.16 and got[i].kept for i in range(100, 103))
     kept = {r.doc_id for r in quality.passing(docs).collect()}
     assert kept == {i for i, r in got.items() if r.kept}
+
+
+def plain_verdicts(docs):
+    """(class_distance, common_distance, kept) of each (id, lang, text), by the docstring, in plain Python."""
+    common = list(dict.fromkeys(quality.REFERENCE_WORDS))
+
+    def histograms(text):
+        kinds = [0] * 8
+        for c in text:
+            if c >= "\x80":
+                kinds[7] += 1
+            elif c.isalpha():
+                kinds[0 if c.islower() else 1] += 1
+            elif c.isdigit():
+                kinds[2] += 1
+            elif c in " \t\n\x0b\f\r":
+                kinds[3] += 1
+            else:
+                kinds[4 if c in ".,;:'\"-()?" else 5 if c in "#*$%&|<>" else 6] += 1
+        found = collections.Counter(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[a-zA-Z\x80-\U0010ffff]+", text))
+        known = [found[w] for w in common]
+        return np.array(kinds), np.array([*known, sum(found.values()) - sum(known)])
+
+    def distance(p, q):
+        p = p / max(p.sum(), 1)
+        m = (p + q) / 2
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+    rows = {i: (lang, *histograms(text or ""), base(text)) for i, lang, text in docs}
+    failed = {i: s[0] < 50 or 100 * s[4] > 50 * s[0] for i, (_, _, _, s) in rows.items()}
+
+    def learned(ids):
+        sums = {}
+        for i in ids:
+            lang, k, c, _ = rows[i]
+            a = sums.setdefault(lang, [0, 0, 0])
+            a[0], a[1], a[2] = a[0] + k, a[1] + c, a[2] + 1
+        grand = sum(k.sum() for k, _, _ in sums.values())
+        enough = {x: (k / k.sum(), c / c.sum(), 100 * k.sum() >= grand) for x, (k, c, n) in sums.items() if k.sum() >= quality.ENOUGH_CHARS and n >= quality.ENOUGH_DOCS}
+        return enough
+
+    def distances(i, refs):
+        lang, k, c, _ = rows[i]
+        mine = [r for x, r in refs.items() if r[2] or x == lang]
+        return min(distance(k, r[0]) for r in mine), min(distance(c, r[1]) for r in mine)
+
+    sound = [i for i in rows if not failed[i]]
+    first = learned(sound)
+    refs = learned([i for i in sound if round(distances(i, first)[0], 6) <= 0.2])
+    out = {}
+    for i, (lang, k, c, _) in rows.items():
+        d = distances(i, refs)
+        far = (k.sum() >= 200 and round(d[0], 6) > 0.16) or (c.sum() >= 50 and round(d[1], 6) > 0.45)
+        out[i] = (*d, not failed[i] and not (far and lang in refs))
+    return out
+
+
+def test_distances_and_verdicts_of_the_table(spark, duck):
+    want = plain_verdicts(duck.sql("SELECT doc_id, lang, text FROM documents").fetchall())
+    rows = queries.queries()["op6_divergence_rules"](spark, SF_DIR).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        a, b, kept = want[r.doc_id]
+        assert abs(r.class_distance - a) < 2e-6 and abs(r.common_distance - b) < 2e-6 and r.kept == kept, r.doc_id
