@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def values_at(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]], cuts: int = 200) -> DataFrame:
+def values_at(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]], side: int = 16) -> DataFrame:
     """key, n (values that are not null), mean, and for each name the value at a place of the key's sorted values.
 
     ``places`` gives a place, counted from 0, from n. Cuts of each key's values by a sketch deal them
     into buckets; exact counts of the buckets say in which of them each place lies, and only the rows
     of those are ranked, a bucket a task and equal values as one row. The cuts need not be
-    exact for the places to be.
+    exact for the places to be. There are ``side`` squared buckets; a value finds its own among every
+    ``side``-th cut first, then among those between.
     """
     known = rows.select(key, F.col(value).alias("v")).filter("v IS NOT NULL")
-    sketch = cut(known.groupBy(key).agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("cuts"), F.count("*").alias("n"), F.avg("v").alias("mean")))
-    dealt = known.join(sketch.select(key, "cuts"), key).select(key, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    shares = [i / side**2 for i in range(1, side**2)]
+    sketch = known.groupBy(key).agg(F.percentile_approx("v", shares, 10 * side**2).alias("cuts"), F.count("*").alias("n"), F.avg("v").alias("mean"))
+    sketch = cut(sketch.withColumn("coarse", F.array(*[F.element_at("cuts", side * i) for i in range(1, side)])))
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("v")))
+    rough = known.join(sketch.select(key, "cuts", "coarse"), key).withColumn("rough", side * below("coarse"))
+    dealt = rough.select(key, "v", (F.col("rough") + below(F.slice("cuts", F.col("rough") + 1, F.lit(side - 1)))).alias("bucket"))
     counts = dealt.groupBy(key, "bucket").agg(F.count("*").alias("in_bucket"))
     upto = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0))).join(sketch.select(key, "n"), key)

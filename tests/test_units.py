@@ -131,7 +131,7 @@ def test_exact_places(spark):
     rows = [("big" if i % 10 else f"k{i % 70}", rng.choice([rng.random(), 0.5, -3.0, None])) for i in range(6000)]
     df = spark.createDataFrame(rows, "k string, v double")
     places = {"p50": lambda n: F.floor(n * 0.5), "p99": lambda n: F.floor(n * 0.99), "first": lambda n: F.lit(0)}
-    got = {r.k: (r.n, r.p50, r.p99, r.first) for r in quantiles.values_at(df, "k", "v", places, cuts=10).collect()}
+    got = {r.k: (r.n, r.p50, r.p99, r.first) for r in quantiles.values_at(df, "k", "v", places, side=3).collect()}
     for k in {k for k, _ in rows}:
         v = sorted(x for key, x in rows if key == k and x is not None)
         assert got[k] == (len(v), v[int(len(v) * 0.5)], v[int(len(v) * 0.99)], v[0])
