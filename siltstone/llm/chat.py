@@ -65,14 +65,16 @@ def transcripts(conversations: DataFrame, trained_role: str = "assistant") -> Da
     )
 
 
-def expand(rendered: DataFrame, with_context: bool = True) -> DataFrame:
+def expand(rendered: DataFrame, with_context: bool = True, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """One row per trainable reply: conv_id, example (from 0), context_chars, target, and context if wanted.
 
-    The example's text is context + target; the loss mask covers target alone.
+    The example's text is context + target; the loss mask covers target alone. Columns in ``keep`` are carried along; with
+    ``outer``, a conversation without a reply has one row, whose example is null.
     """
-    rows = rendered.select("conv_id", "formatted", F.posexplode("examples").alias("example", "span"))
+    each = F.posexplode_outer if outer else F.posexplode
+    rows = rendered.select("conv_id", "formatted", *keep, each("examples").alias("example", "span"))
     cut = lambda start, chars: F.substr("formatted", start.cast("int"), chars.cast("int"))
-    out = [F.col("conv_id"), F.col("example"), F.col("span.start").alias("context_chars"), cut(F.col("span.start") + 1, F.col("span.chars")).alias("target")]
+    out = [F.col("conv_id"), *map(F.col, keep), F.col("example"), F.col("span.start").alias("context_chars"), cut(F.col("span.start") + 1, F.col("span.chars")).alias("target")]
     if with_context:
         out.append(cut(F.lit(1), F.col("span.start")).alias("context"))
     return rows.select(*out)
@@ -91,29 +93,22 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """What the examples hold, read back: turns, trained text, sizes; one row per conversation."""
-    whole = rendered.select(
-        F.col("conv_id").alias("id"), F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns")
-    ).select(
-        "id",
-        "formatted_chars",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+    """What the examples hold, read back: turns, trained text, sizes; one row per conversation.
+
+    Examples lie where their conversation does, so gathering them needs no further shuffle.
+    """
+    of_turns = ("turns", "turns_sha256", "formatted_chars")
+    text = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = rendered.select("conv_id", "formatted", "examples", read_turns(F.col("formatted")).alias("read")).select(
+        "conv_id", "formatted", "examples", F.size("read").cast("long").alias("turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
-    each = F.sort_array(F.collect_list(F.struct("example", "target")))
-    trained = expand(rendered, with_context=False).groupBy("conv_id").agg(
+    each = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "target"))))
+    back = expand(whole, with_context=False, keep=of_turns, outer=True).groupBy("conv_id").agg(
+        *[F.first(c).alias(c) for c in of_turns],
         F.array_join(F.transform(each, lambda e: unescape(e["target"])), "").alias("loss"),
-        F.count("*").alias("n_examples"),
-        F.sum(F.col("context_chars") + F.length("target")).alias("example_chars"),
+        F.count("example").alias("n_examples"),
+        F.coalesce(F.sum(F.col("context_chars") + F.length("target")), F.lit(0)).cast("long").alias("example_chars"),
     )
-    back = whole.join(trained, F.col("id").eqNullSafe(F.col("conv_id")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
     return back.select(
-        F.col("id").alias("conv_id"),
-        "n_turns",
-        "turns_sha256",
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        "formatted_chars",
-        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
-        F.coalesce("example_chars", F.lit(0)).cast("long").alias("example_chars"),
+        "conv_id", F.col("turns").alias("n_turns"), "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "example_chars"
     )
