@@ -133,6 +133,12 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, shards=40, overhead=16)
 
 
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import forest
+
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
