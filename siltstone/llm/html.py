@@ -3,12 +3,14 @@
 A page is read tag by tag onto a stack of open elements, with the tags that HTML lets authors
 leave out (``</p>``, ``</li>``, ``</td>``, ``</tr>``, ``</head>``, ``<tr>`` ...) put in. What the reader of
 the page would not see is left out: head, scripts, styles, templates, comments, elements with
-``hidden`` or with ``display:none`` or ``visibility:hidden`` in their style. All other text comes
+``hidden`` or with ``display:none`` in their style, and text whose nearest word on visibility is ``hidden`` or ``collapse`` (a child may
+be visible again). Of a ``select`` the chosen option is seen (the first, if none is), of one with ``multiple`` or a ``size`` all are. All other text comes
 out once, in order:
 
 * a block starts on a line of its own; paragraphs, headings, lists and tables are set off by an empty line;
 * list items get ``- `` or their number, indented by nesting;
-* the cells of a table's row stand on one line, columns aligned and parted by `` | ``; a cell wider
+* the cells of a table's row stand on one line, columns aligned and parted by `` | ``, with the columns that ``colspan`` and
+  the rows that ``rowspan`` take (to the end of its part of the table) left free; a cell wider
   than 80 characters is not padded to, so that layout tables stay small;
 * white space collapses except in ``pre``, ``textarea`` and ``xmp``; what looks like a tag within ``xmp`` is text.
 
@@ -38,13 +40,12 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
 STYLE_COMMENT = re.compile(r"(?s)/\*.*?(?:\*/|$)")
 DECLARATION = re.compile(r"""((?:[^;"'(]|"[^"]*"?|'[^']*'?|\([^)]*\)?)*);?""")
-HIDING = {"display": "none", "visibility": "hidden"}
-NUMBER = re.compile(r"""(?i)\b(start|value|colspan)\s*=\s*["']?\s*(\d{1,6})""")
+DIGITS = re.compile(r"\s*(\d{1,6})")
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg select datalist".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg datalist".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure hr".split())
 BLOCKS = SET_OFF | frozenset(
@@ -66,16 +67,26 @@ WALLS = frozenset("td th table caption".split())
 WIDEST = 80
 
 
-def hides_by(attributes: str) -> bool:
-    """Whether a tag has an attribute named hidden, or a style whose last word on display or visibility hides."""
-    low = attributes.lower()
-    if "hidden" not in low and "display" not in low and "&" not in low:
-        return False
+def attributes_of(attributes: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
-    if "hidden" in found:
-        return True
+    return found
+
+
+def number_in(attributes: str, name: str) -> int | None:
+    if name not in attributes.lower():
+        return None
+    found = DIGITS.match(attributes_of(attributes).get(name, ""))
+    return int(found[1]) if found else None
+
+
+def hides_by(attributes: str) -> tuple[bool, bool | None]:
+    """Whether a tag is not displayed (an attribute named hidden, or its style), and whether its style makes text unseen (None: as around it)."""
+    low = attributes.lower()
+    if not any(word in low for word in ("hidden", "display", "visibility", "&")):
+        return False, None
+    found = attributes_of(attributes)
     said: dict[str, tuple[bool, str]] = {}
     for m in DECLARATION.finditer(STYLE_COMMENT.sub(" ", entities.unescape(found.get("style", "")))):
         name, _, value = m[1].lower().partition(":")
@@ -84,7 +95,9 @@ def hides_by(attributes: str) -> bool:
         if not mark or urgent:
             if urgent or not said.get(name.strip(), (False, ""))[0]:
                 said[name.strip()] = urgent, value.strip()
-    return any(said.get(name, (False, ""))[1] == value for name, value in HIDING.items())
+    visibility = said.get("visibility", (False, ""))[1]
+    unseen = {"hidden": True, "collapse": True, "visible": False}.get(visibility)
+    return "hidden" in found or said.get("display", (False, ""))[1] == "none", unseen
 
 
 class Buffer:
@@ -96,6 +109,7 @@ class Buffer:
         self.space = False
         self.depth = 0
         self.marker = ""
+        self.columns = self.rows = 1  # those that a cell takes
 
     def block(self, lines: int) -> None:
         self.gap = max(self.gap, lines)
@@ -154,13 +168,16 @@ class Page:
     """The stack of open elements and the text so far."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # the tag, whether it hides all within, whether text was invisible before it
+        self.invisible = False
         self.open: Counter[str] = Counter()
         self.unseen = 0
         self.kept_space = 0
         self.buffers = [Buffer()]
         self.tables: list[list[list[tuple[int, str]]]] = []
         self.columns: list[int] = []  # of each open table, the column where the next cell goes
+        self.taken: list[dict[int, int]] = []  # of each, the first row below that a cell of an earlier row leaves free, by column
+        self.options: list[tuple[str, list[tuple[bool, str]]]] = []
         self.lists: list[int | None] = []
 
     def read(self, page: str) -> str:
@@ -203,7 +220,7 @@ class Page:
         self._start(tag, rest)
         if tag == "xmp":
             close = re.compile(r"(?i)</xmp(?=[\s/>])").search(page, end)
-            if not self.unseen:
+            if not self.unseen and not self.invisible:
                 self.buffers[-1].verbatim(page[end : close.start() if close else len(page)])
             self._close(tag)
             return len(page) if close is None else self._tag_end(page, close.end())
@@ -227,7 +244,7 @@ class Page:
             at = close + 1
 
     def text(self, raw: str) -> None:
-        if self.unseen:
+        if self.unseen or self.invisible:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         if self.kept_space:
@@ -264,34 +281,46 @@ class Page:
                 elif tag == "hr":
                     buffer.block(2)
             return
-        hides = tag in UNSEEN or (bool(attributes) and hides_by(attributes))
-        self.stack.append((tag, hides))
+        hides, unseen = hides_by(attributes) if attributes else (False, None)
+        hides = hides or tag in UNSEEN
+        self.stack.append((tag, hides, self.invisible))
         self.open[tag] += 1
+        self.invisible = self.invisible if unseen is None else unseen
         self.unseen += hides
         self.kept_space += tag in ("pre", "textarea")
         if tag in BLOCKS and not self.unseen:
             buffer.block(2 if tag in SET_OFF and not (tag in ("ul", "ol") and self.lists) else 1)
         if tag in ("ul", "ol", "menu"):
-            start = NUMBER.search(attributes)
-            self.lists.append(int(start[2]) if start and start[1].lower() == "start" else 1) if tag == "ol" else self.lists.append(None)
+            start = number_in(attributes, "start")
+            self.lists.append(None if tag != "ol" else 1 if start is None else start)
             buffer.depth += 1
         elif tag == "li" and not self.unseen:
             number = self.lists[-1] if self.lists else None
-            if number is None:
-                buffer.marker = "- "
-            else:
-                buffer.marker = f"{number}. "
+            if number is not None:
+                own = number_in(attributes, "value")
+                number = number if own is None else own
                 self.lists[-1] = number + 1
+            buffer.marker = "" if self.invisible else "- " if number is None else f"{number}. "
+        elif tag == "select":
+            self.options.append((attributes, []))
+            self.buffers.append(Buffer())
+        elif tag == "option" and self.options:
+            self.options[-1][1].append(("selected" in attributes_of(attributes), ""))
+            self.buffers.append(Buffer())
+        elif tag in ("thead", "tbody", "tfoot") and self.taken:
+            self.taken[-1].clear()
         elif tag == "table":
             self.tables.append([])
             self.columns.append(0)
+            self.taken.append({})
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
             self.columns[-1] = 0
         elif tag in ("td", "th"):
             self.buffers.append(Buffer())
-            span = NUMBER.search(attributes)
-            self.buffers[-1].columns = min(int(span[2]), 1000) if span and span[1].lower() == "colspan" else 1
+            rows = number_in(attributes, "rowspan")
+            self.buffers[-1].columns = max(1, min(number_in(attributes, "colspan") or 1, 1000))
+            self.buffers[-1].rows = 1 if rows is None else rows or 65_534
 
     def _close(self, tag: str) -> None:
         if tag == "br":
@@ -307,21 +336,32 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, hides = self.stack.pop()
+        tag, hides, invisible = self.stack.pop()
         self.open[tag] -= 1
         if tag in ("td", "th"):
             cell = self.buffers.pop()
             if self.tables and self.tables[-1]:
-                self.tables[-1][-1].append((self.columns[-1], cell.finished()))
-                self.columns[-1] += cell.columns
+                if not hides:
+                    self._place(cell)
             elif not self.unseen:
                 self.buffers[-1].verbatim(cell.finished())
         elif tag == "table":
             grid = aligned(self.tables.pop())
             self.columns.pop()
+            self.taken.pop()
             if grid and not self.unseen:
                 self.buffers[-1].block(2)
                 self.buffers[-1].verbatim(grid)
+        elif tag == "option" and self.options and self.options[-1][1]:
+            own = self.options[-1][1]
+            own[-1] = own[-1][0], self.buffers.pop().finished()
+        elif tag == "select" and self.options:
+            self.buffers.pop()
+            seen = shown(*self.options.pop())
+            if seen and not self.unseen:
+                self.buffers[-1].text(seen)
+        elif tag in ("thead", "tbody", "tfoot") and self.taken:
+            self.taken[-1].clear()
         buffer = self.buffers[-1]
         if tag in ("ul", "ol", "menu"):
             self.lists.pop()
@@ -330,6 +370,26 @@ class Page:
             buffer.block(2 if tag in SET_OFF and not (tag in ("ul", "ol") and self.lists) else 1)
         self.kept_space -= tag in ("pre", "textarea")
         self.unseen -= hides
+        self.invisible = invisible
+
+    def _place(self, cell: Buffer) -> None:
+        """Put a cell into the first column of its row that no cell of an earlier row takes."""
+        table, taken, column = self.tables[-1], self.taken[-1], self.columns[-1]
+        row = len(table) - 1
+        while taken.get(column, 0) > row:
+            column += 1
+        table[-1].append((column, cell.finished()))
+        self.columns[-1] = column + cell.columns
+        if cell.rows > 1:
+            taken.update(dict.fromkeys(range(column, column + cell.columns), row + cell.rows))
+
+
+def shown(attributes: str, options: list[tuple[bool, str]]) -> str:
+    """What is seen of a select: the option chosen last, or all if it is a list box."""
+    found = attributes_of(attributes)
+    if "multiple" in found or (number_in(attributes, "size") or 1) > 1:
+        return " ".join(text for _, text in options if text)
+    return next((text for chosen, text in reversed(options) if chosen), options[0][1] if options else "")
 
 
 def rendered(page: str | None) -> str:

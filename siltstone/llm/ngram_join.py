@@ -21,7 +21,7 @@ sizes a and b reach a Jaccard of 0.75 only if they differ in at most d = (a + b)
   block against block by their sketches. There a forest of the nearest pairs goes first; only where
   one of its pairs does not link, all others that the bound allows follow. No step gives all
   pairs of a group.
-* Components spread by smallest labels and pointer jumping over the verified links.
+* Components of the verified links come from contraction (``components``), in rounds that grow with the logarithm of a chain's length.
 
 Documents with equal sets share one representative from the start, and a token that many
 documents of one slice of a batch share is reduced to one of them before the shuffle (with its other
@@ -45,7 +45,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stage
+from .components import components
+from .shared import stage, tucked, untucked
 from .textnum import MULTIPLIER, U, mix, slices, span_hashes, windows, words
 
 LOCAL_STAR = 32
@@ -313,21 +314,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """key and root (the smallest key of its component) for every key in a link."""
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    nodes = stage(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("root")), "roots")
-    for _ in range(most_rounds):
-        offers = both.join(nodes.toDF("b", "offer"), "b").groupBy(F.col("a").alias("key")).agg(F.min("offer").alias("offer"))
-        nearer = nodes.join(offers, "key", "left").select("key", "root", F.least("root", F.coalesce("offer", "root")).alias("near"))
-        jump = nodes.toDF("near", "far")
-        moved = stage(nearer.join(jump, "near", "left").select("key", F.least("near", F.coalesce("far", "near")).alias("next"), "root"), "roots")
-        nodes = moved.select("key", F.col("next").alias("root"))
-        if moved.filter(F.col("next") != F.col("root")).isEmpty():
-            return nodes
-    raise RuntimeError("components did not settle")
-
-
 def _unsettled(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members (group, key, apart) of groups that lie in several components and are apart, with their roots and the group's size.
 
@@ -443,11 +429,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those linked to one with a smaller id, and without repeats of a row's id and text."""
-    losers = classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    losers = classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct()
+    used = ["doc_id", "text"]
+    whole = tucked(docs, used)  # names of other columns can't clash then
+    kept = whole.join(losers, F.col("doc_id") == F.col("lost"), "left_anti")
     # Only rows of ids that come again are shuffled with their texts.
-    again = stage(docs.groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    again, same = sent(again), F.col("doc_id").eqNullSafe(F.col("again_id"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = stage(docs.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), "repeated-ids")
+    if not again.isEmpty():
+        again, same = sent(again), F.col("doc_id").eqNullSafe(F.col("again"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(used))
+    return kept.select(*untucked(docs.columns, used))

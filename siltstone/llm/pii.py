@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tucked, untucked
 from .textnum import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -332,4 +333,5 @@ def mask(docs: DataFrame, accepted: frozenset[int], text: str = "text") -> DataF
                 at = part.schema.get_field_index(text)
                 yield part.set_column(at, text, pa.array(texts, part.schema.field(text).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    whole = tucked(docs, [text])
+    return whole.mapInArrow(run, whole.schema).select(*untucked(docs.columns, [text]))

@@ -4,17 +4,16 @@ A document's histogram over character classes and its histogram over common word
 place for all other words) are compared with those of each language by the Jensen-Shannon
 distance (the root of the divergence in bits, 0 to 1). The language references are the summed
 histograms of all documents with that language tag; every language with ``ENOUGH_CHARS``
-characters in ``ENOUGH_DOCS`` documents makes one, whatever its share of the table. A document
-counts by the nearest of its own language's reference and those of the large languages (a
-hundredth of all characters), so a wrong tag on a text in a large language costs nothing. It is
+characters in ``ENOUGH_DOCS`` documents makes one, and every one is a candidate for every document, whatever its
+language's share of the table: a document counts by the nearest of them, so a wrong tag costs nothing. It is
 rejected if it is far from all of these in either respect, where the respect has enough of the
 text to judge: ``min_chars`` characters, ``min_words`` words. Documents whose language has no
 reference pass this rule.
 
 The counting is one pass of numpy over the bytes of each Arrow batch; sums, references and
-verdicts are Spark SQL on the small table of counts. Only the references of large languages, at
-most a hundred rows by the rule above, pass through the driver and meet the counts again as literals;
-the others are a table that is joined by language.
+verdicts are Spark SQL on the small table of counts. The references pass through the driver and meet the counts again as
+literals. That is meant for languages: of more than ``MOST_CANDIDATES`` tags with enough text, the largest are candidates for
+all documents, and the others are a table that is joined by language, each for its own.
 
 Defined results: null text has no words, fails the base rule and is not kept; null languages
 form a group of their own; repeated rows are judged alike; an empty table gives an empty
@@ -32,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import set_aside, stage
+from .shared import stage, tucked, untucked
 from .textnum import U, WHITE, per_text, runs, slices, span_hashes, windows, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 TOTALS = ("chars", "tokens")
 SCRATCH = ("classes", "commons", "chars", "tokens", "base_failed", "class_distance", "common_distance", "kept", "own", "own_classes", "own_commons", "measured")
 ENOUGH_CHARS, ENOUGH_DOCS = 10_000, 20
+MOST_CANDIDATES = 200
 MOST_BROADCAST = 2_000  # references of small languages, about 1.5 KB each
 SYMBOLS = b"#*$%&|<>"
 #: Frequent words of four languages, without those that only their accents tell apart.
@@ -162,20 +162,24 @@ def _key(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("lang "), lang), F.lit("none"))
 
 
-def references(counts: DataFrame, most: int = 100) -> References:
+def _name(lang: str | None) -> str:
+    return "none" if lang is None else f"lang {lang}"
+
+
+def references(counts: DataFrame) -> References:
     """The shares of the classes and of the words of each language with enough text.
 
-    At most ``most`` rows, which is what a hundredth allows, reach the driver.
+    A language with enough text is a candidate for every document, whatever its share of the table. Should a table have more than MOST_CANDIDATES
+    such tags, the largest reach the driver and are candidates for all; each of the others is one for its own documents.
     """
     summed = lambda c, n: F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(n)])
     tops = counts.groupBy("lang").agg(
         summed("classes", len(CLASSES)).alias("classes"), summed("commons", len(WORD_HASHES) + 1).alias("commons"), F.sum("chars").alias("chars"), F.count("*").alias("docs")
     )
     tops = stage(tops, "quality-languages")
-    grand = tops.agg(F.sum("chars").alias("n")).first().n or 0
     enough = tops.filter((F.col("chars") >= ENOUGH_CHARS) & (F.col("docs") >= ENOUGH_DOCS))
-    is_large = F.col("chars") * most >= grand
-    rows = enough.filter(is_large).orderBy(F.desc("chars"), "lang").limit(most).collect()
+    rows = enough.orderBy(F.desc("chars"), "lang").limit(MOST_CANDIDATES).collect()
+    is_large = _key(F.col("lang")).isin([_name(r.lang) for r in rows])
     share = lambda values: [v / max(sum(values), 1) for v in values]
     shares = lambda c: F.transform(c, lambda v: v / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)))
     others = enough.filter(~is_large).select(_key(F.col("lang")).alias("own"), shares("classes").alias("own_classes"), shares("commons").alias("own_commons"))
@@ -199,7 +203,7 @@ def _with_distances(counts: DataFrame, refs: References) -> DataFrame:
     References of large languages stand in the plan as literals. Their documents need no join; if the
     others are too many to broadcast, they are spread by a key that meets nothing.
     """
-    large = _key(F.col("lang")).isin(["none" if lang is None else f"lang {lang}" for lang, _, _ in refs.large])
+    large = _key(F.col("lang")).isin([_name(lang) for lang, _, _ in refs.large])
     if refs.n_others:
         spread = F.concat(F.lit("large "), F.pmod(F.xxhash64("classes"), F.lit(4096)))
         others = F.broadcast(refs.others) if refs.n_others <= MOST_BROADCAST else refs.others
@@ -252,7 +256,6 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, whole; the histograms are counted again with the texts, which needs no join."""
-    columns = docs.columns
-    docs, back = set_aside(docs, (*STATS, *SCRATCH))
     refs = learned_references(stage(counted(docs.select("lang", "text")), "quality-counts"))
-    return with_verdicts(counted(docs, keep_text=True), refs).filter("kept").drop(*STATS, *SCRATCH).withColumnsRenamed(back).select(*columns)
+    used = ["lang", "text"]
+    return with_verdicts(counted(tucked(docs, used), keep_text=True), refs).filter("kept").select(*untucked(docs.columns, used))

@@ -1,8 +1,8 @@
 """Histogram sort: shards of near-equal bytes, found by counting, filled by one exchange.
 
-Every document gets a 62-bit sort key: 40 bits from the hash of its text, then 22 bits from
-the hash of its id, so that equal texts lie together and yet a group of copies of any size
-can be cut. The splitters are found without sorting: a first pass counts exact rows and bytes
+Every document gets a 62-bit sort key: 40 bits from the hash of its text, 10 from the hash of its id and 12 from the hash
+of its row's number, so that equal texts lie together and yet a group of copies of any size
+can be cut, be they copies with ids of their own or repeats of one row. (Numbers are given once, as the keys are written.) The splitters are found without sorting: a first pass counts exact rows and bytes
 in 2**13 equal key ranges; each range that holds a boundary and is heavier than the tolerance, or that
 has more than a HEAVY part of all bytes, is split into 2**10 smaller ranges and counted again, until
 the boundary meets the tolerance or the key has no more bits. Only the counts of ranges reach the
@@ -10,7 +10,7 @@ driver: at most 2**13 rows, then at most (shards - 1 + HEAVY) * 2**10 rows a rou
 range together, and a row's slot is its range's first slot plus its rank in the range.
 
 Defined results: null text counts as no bytes (its size is the overhead alone) and sorts with
-the empty text; repeated rows are rows of their own; ties in the key are broken by doc_id, then
+the empty text; repeated rows are rows of their own and are cut like other copies; ties in the key are broken by doc_id, then
 text hash; an empty table gives an empty result; other columns, whatever their names, pass
 through ``assign`` untouched unless they bear the names of its outputs, which are replaced.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-KEY_BITS, TEXT_BITS, FIRST_BITS, STEP_BITS = 62, 40, 13, 10
+KEY_BITS, TEXT_BITS, ID_BITS, FIRST_BITS, STEP_BITS = 62, 40, 10, 13, 10
 HEAVY = 1 << 11
 
 
@@ -32,9 +32,12 @@ def size_of(text: Column, overhead: int = 16) -> Column:
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
-    text_part = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - TEXT_BITS)
-    id_part = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit("id")), 64 - (KEY_BITS - TEXT_BITS))
-    return F.shiftleft(text_part, KEY_BITS - TEXT_BITS).bitwiseOR(id_part)
+    parts = ((F.xxhash64(F.coalesce(text, F.lit(""))), TEXT_BITS), (F.xxhash64(doc_id, F.lit("id")), ID_BITS), (F.xxhash64(F.monotonically_increasing_id()), KEY_BITS - TEXT_BITS - ID_BITS))
+    key, below = F.lit(0).cast("long"), KEY_BITS
+    for hashed, bits in parts:
+        below -= bits
+        key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(hashed, 64 - bits), below))
+    return key
 
 
 def _counted(light: DataFrame, shift: int, inside: list[tuple[int, int]] | None) -> list[tuple[int, int]]:

@@ -38,21 +38,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str, within: str = "") -> Column:
+    """The column (or the field of a struct) of this name, whatever is in it."""
+    return F.col(within + "`" + column.replace("`", "``") + "`")
+
+
 def tucked(df: DataFrame, used: list[str]) -> DataFrame:
     """``df`` with only the ``used`` columns at the top; all others, whatever their names, go into one struct, ``carried``."""
     others = [c for c in df.columns if c not in used]
-    return df.select(*(F.col(f"`{c}`") for c in used), F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried") if others else F.lit(None).alias("carried"))
+    carried = F.struct(*map(named, others)) if others else F.lit(None).cast("int")
+    return df.select(*map(named, used), carried.alias("carried"))
 
 
 def untucked(columns: list[str], used: list[str]) -> list[Column]:
     """The columns of a table that was ``tucked``, by their names."""
-    return [F.col(f"`{c}`") if c in used else F.col(f"carried.`{c}`") for c in columns]
-
-
-def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """``df`` with columns of these names renamed, and how to name them again: for steps that add columns of their own for a while."""
-    other = {c: f"{c}__own" for c in df.columns if c in names}
-    return df.withColumnsRenamed(other), {new: old for old, new in other.items()}
+    return [named(c) if c in used else named(c, "carried.").alias(c) for c in columns]
 
 
 def discard(spark: SparkSession) -> None:

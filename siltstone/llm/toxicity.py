@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import set_aside, stage
+from .shared import stage, tucked, untucked
 from .textnum import U, WHITE, runs, slices, span_hashes
 
 RANGE_BYTES = 32 << 20  # training text for each range of the table
@@ -492,6 +492,4 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
 
 def ordinary(docs: DataFrame, model: Model, below: float = TOXIC) -> DataFrame:
     """The documents that score below the bound, whole."""
-    columns = docs.columns
-    docs, back = set_aside(docs, ("score", *FEATURES))
-    return score(docs, model, keep_text=True).filter(F.col("score") < below).drop("score", *FEATURES).withColumnsRenamed(back).select(*columns)
+    return score(tucked(docs, ["text"]), model, keep_text=True).filter(F.col("score") < below).select(*untucked(docs.columns, ["text"]))

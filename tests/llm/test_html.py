@@ -20,6 +20,20 @@ CASES = {
     "<!-- c -->t<!-- open": "t",
     "<p>unclosed <b>and <i>nested": "unclosed and nested",
     "<div>one</div><div>two</div>": "one\ntwo",
+    '<div style="visibility:hidden">no<b style="visibility:visible">yes</b>no<i style="visibility:collapse">no</i></div>after': "yes\nafter",
+    '<div style="visibility:hidden"><p>no<p style="visibility: inherit">no</div><p>yes': "yes",
+    '<div hidden><b style="visibility:visible">no</b></div>yes': "yes",
+    '<ol><li>a<li style="visibility:hidden">b<li>c<li value=9>d<li>e</ol>': "1. a\n3. c\n9. d\n10. e",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+    "<table><tr><td colspan=2>wide<td>x<tr><td>1<td rowspan='2'>2<td>3<tr><td>4<td>5</table>": "wide |   | x\n1    | 2 | 3\n4    |   | 5",
+    "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>": "a | b\n  | c\n  | d\ne | f",
+    "<table><tr><td>a<td hidden>no<td>b<tr><td>c<td>d</table>": "a | b\nc | d",
+    "<table><tr><td style='visibility:hidden'>no<td>b<tr><td>c<td>d</table>": "  | b\nc | d",
+    "Size <select><option>small<option selected>large<option>huge</select> only": "Size large only",
+    "<select><option>first<option>second</select>": "first",
+    "<select multiple><option>a</option> <option>b</option></select>": "a b",
+    "<select hidden><option>a</select>b": "b",
+    "<option>alone": "alone",
     "": "",
 }
 

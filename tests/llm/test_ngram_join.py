@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,3 +91,22 @@ def test_awkward_rows(awkward, nothing):
     assert J.classes(nothing).count() == 0
     kept = [r.doc_id for r in J.one_of_each(awkward).collect()]
     assert sorted(i for i in kept if i is not None) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+@pytest.mark.parametrize("length", [300, 2500])
+def test_chains_of_revisions(spark, length):
+    """Each text links only with the one before and the one after, out of order of their ids."""
+    rng = random.Random(length)
+    words, texts = [f"w{i}" for i in range(84)], []
+    for i in range(length):
+        at = (i * 11) % 84
+        words[at] = f"r{i}"
+        words[(at + 1) % 84] = f"s{i}"
+        texts.append(" ".join(words))
+    ids = list(range(length))
+    rng.shuffle(ids)
+    pairs = list(zip(ids, texts, strict=True))
+    want = brute_force(pairs)
+    assert len({c for _, c in want.values()}) == 1
+    got = J.classes(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against plain Python on what each stage was given."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import pii
 from siltstone.llm.shared import stage
@@ -47,3 +48,17 @@ def test_toxic_documents_go(spark):
     assert any(0.3 <= r.score < 0.5 for r in rows)
     docs = pipeline.STAGES[0][1](spark, table(spark, SF_DIR, "documents"), SF_DIR)
     assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(r.doc_id for r in rows if not r.predicted)
+
+
+def test_columns_of_any_names(spark):
+    """Dots, backticks, and the names that stages use for columns of their own; a repeated id and null texts among the rows."""
+    names = ["a.b", "c`d", "again_id", "again", "lost", "carried", "score", "mean_evidence", "kept", "n_words", "class_distance", "commons", "sid", "key", "root", "measured", "ids", "length", "rank", "own", "block", "bucket"]
+    base = table(spark, SF_DIR, "documents").limit(40)
+    docs = base.unionByName(base.limit(3)).unionByName(base.limit(1).withColumn("text", F.lit(None).cast("string")))
+    docs = stage(docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names)), "names")
+    for _, apply in pipeline.STAGES[:-1]:
+        out = stage(apply(spark, docs, SF_DIR), "names")
+        assert out.columns == docs.columns and out.count() > 0
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in names)
+    assert pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= 40

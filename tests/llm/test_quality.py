@@ -57,7 +57,7 @@ def test_awkward_rows(awkward, nothing):
 
 
 def test_a_language_is_judged_alike_whatever_its_share(spark, monkeypatch):
-    """English under a hundredth of all characters, beside a large language: by its own reference, broadcast or joined; a language with too little text passes."""
+    """English under a hundredth of all characters, beside a large language: by its own reference, literal, broadcast or joined; a language with too little text passes."""
     import random
 
     rng = random.Random(4)
@@ -67,7 +67,8 @@ def test_a_language_is_judged_alike_whatever_its_share(spark, monkeypatch):
     rows += [(100 + i, prose(made, made).upper(), "xx") for i in range(3)]
     rows += [(200 + i, " ".join(rng.choice(german) + " " + rng.choice(made) for _ in range(8_000)), "de") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for most in (quality.MOST_BROADCAST, 0):
+    for candidates, most in ((200, quality.MOST_BROADCAST), (1, quality.MOST_BROADCAST), (1, 0)):
+        monkeypatch.setattr(quality, "MOST_CANDIDATES", candidates)
         monkeypatch.setattr(quality, "MOST_BROADCAST", most)
         got = {r.doc_id: r for r in quality.judged(docs).collect()}
         sound = [r for r in got.values() if not r.base_failed]
@@ -79,6 +80,16 @@ def test_a_language_is_judged_alike_whatever_its_share(spark, monkeypatch):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def test_a_wrong_tag_costs_nothing_whatever_the_share_of_the_true_language(spark):
+    rng = __import__("random").Random(4)
+    prose = lambda common, rest: " ".join(rng.choice(common if rng.random() < 0.5 else rest) for _ in range(150))
+    english, german, made = quality.REFERENCE_WORDS[:40], "der die und das von zu mit sich auf ein eine nicht".split(), [a + b for a in ("tar", "mol", "ven", "ris") for b in ("ka", "do", "lin")]
+    rows = [(i, prose(english, made), "en" if i < 40 else "de") for i in range(45)]
+    rows += [(200 + i, " ".join(rng.choice(german) + " " + rng.choice(made) for _ in range(8_000)), "de") for i in range(50)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.kept == (not r.base_failed) for r in got) and sum(r.kept for r in got if 40 <= r.doc_id < 45) >= 3
+
+
 def plain_verdicts(docs):
     """(class_distance, common_distance, kept) of each (id, lang, text), by the docstring, in plain Python."""
     common = list(dict.fromkeys(quality.REFERENCE_WORDS))
@@ -115,14 +126,12 @@ def plain_verdicts(docs):
             lang, k, c, _ = rows[i]
             a = sums.setdefault(lang, [0, 0, 0])
             a[0], a[1], a[2] = a[0] + k, a[1] + c, a[2] + 1
-        grand = sum(k.sum() for k, _, _ in sums.values())
-        enough = {x: (k / k.sum(), c / c.sum(), 100 * k.sum() >= grand) for x, (k, c, n) in sums.items() if k.sum() >= quality.ENOUGH_CHARS and n >= quality.ENOUGH_DOCS}
+        enough = {x: (k / k.sum(), c / c.sum()) for x, (k, c, n) in sums.items() if k.sum() >= quality.ENOUGH_CHARS and n >= quality.ENOUGH_DOCS}
         return enough
 
     def distances(i, refs):
         lang, k, c, _ = rows[i]
-        mine = [r for x, r in refs.items() if r[2] or x == lang]
-        return min(distance(k, r[0]) for r in mine), min(distance(c, r[1]) for r in mine)
+        return min(distance(k, r[0]) for r in refs.values()), min(distance(c, r[1]) for r in refs.values())
 
     sound = [i for i in rows if not failed[i]]
     first = learned(sound)

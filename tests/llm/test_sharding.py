@@ -64,3 +64,9 @@ def test_a_hot_range_without_a_boundary_is_split(spark):
     _, splits = sharding.find_splitters(light, 2)
     leaves = light.filter(docs.text == "one hot text").select(sharding._leaf(splits).alias("leaf")).distinct().count()
     assert leaves > 100
+
+
+def test_repeats_of_one_row_are_cut_like_other_copies(spark):
+    docs = [(7, "the same row in a third of all rows, id and text") if i % 3 == 0 else (i, f"text number {i} " * (i % 7)) for i in range(6000)]
+    rows = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), shards=20).collect()
+    check(rows, docs, 20, 500)
