@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import ngram_join, packing, pii, quality, toxicity
-from siltstone.llm.shared import stage
+from siltstone.llm.shared import named, stage
 from siltstone.session import ship
 from siltstone.sources.tables import table
 
@@ -56,7 +56,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     ship(spark)
     masked = pii.mask(docs, pii.learn(docs))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(named, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
