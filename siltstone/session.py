@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,12 +45,44 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new folder of this application in the shared folder; it goes when the application ends, or earlier by ``discard``."""
+    path = f"{shared_folder(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    It cuts the lineage: what follows rereads the files if an executor is lost, and costly
+    Python stages run once however often the result is used.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there: its plan begins anew."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read from there: its plan begins anew."""
+    return stage(df, "cut")
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete this application's intermediate folders; call it when no result that reads them is pending."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            discard(spark)
+    except Exception:  # the gateway may be gone already; the folder is the cluster's to clean then
+        pass
 
 
 def ship(spark: SparkSession) -> None:

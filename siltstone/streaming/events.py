@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
+from ..session import new_folder
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -57,7 +56,7 @@ def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | Non
     table shows the newest of each of ``keys``; in complete mode it shows the last batch.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/siltstone-streams/{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").start(f"{base}/rows").awaitTermination()
