@@ -1,41 +1,13 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""What the operators share: intermediate tables in the folder of all executors, and columns of any names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own on a single machine (tests), an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master or ""
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='siltstone-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+from ..session import discard, stage
 
-    It cuts the lineage: what follows rereads the files if an executor is lost, and costly
-    Python stages run once however often the result is used. The files go when the
-    application ends, or earlier by ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "named", "stage", "tucked", "untucked"]
 
 
 def named(column: str, within: str = "") -> Column:
@@ -53,20 +25,3 @@ def tucked(df: DataFrame, used: list[str]) -> DataFrame:
 def untucked(columns: list[str], used: list[str]) -> list[Column]:
     """The columns of a table that was ``tucked``, by their names."""
     return [named(c) if c in used else named(c, "carried.").alias(c) for c in columns]
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call it when no result that reads them is pending."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _at_end() -> None:
-    try:
-        spark = SparkSession.getActiveSession()
-        if spark is not None:
-            discard(spark)
-    except Exception:  # the gateway may be gone already; the folder is the cluster's to clean then
-        pass
