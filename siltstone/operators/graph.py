@@ -7,13 +7,18 @@ rounds before it.
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import cut
+from .places import places
+
+SMALL = 200_000  # nodes and arcs of a graph, or of many small graphs together, that one task orders
 
 
 def edges(nodes: DataFrame, node: str = "node", depends: str = "depends_on") -> DataFrame:
@@ -98,3 +103,74 @@ def renumber(nodes: DataFrame, arcs: DataFrame, order: list[str]) -> tuple[DataF
         .select("graph", "src_number", "dst_number")
     )
     return numbered, moved
+
+
+def kahn(nodes: DataFrame, arcs: DataFrame, small: int = SMALL) -> DataFrame:
+    """graph, node, place and ordered: the order in which a queue takes the nodes of each graph.
+
+    The queue begins with the nodes without a way in, by id, and takes a node in when the last of its sources has left; those that become ready together
+    come by id. Nodes on a cycle or behind one are not ``ordered`` and come last, by id. Graphs of up to ``small`` nodes and arcs are ordered many
+    to a task. In larger ones all nodes of a level leave before those of the next and, within a level, follow their last
+    source, then their id: a level is one round for all large graphs, and its places are counted by ranges.
+    """
+    known = nodes.select("graph", F.col("node").cast("long").alias("node")).distinct()
+    ways = arcs.select("graph", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("node")).filter("src <> node").distinct()
+    ways = ways.join(known, ["graph", "node"], "left_semi").join(known.withColumnRenamed("node", "src"), ["graph", "src"], "left_semi")
+    items = cut(known.select("graph", "node", F.lit(None).cast("long").alias("src")).unionByName(ways))
+    sizes = cut(items.groupBy("graph").count())
+    large = sizes.filter(F.col("count") > small).select("graph")
+    few = items.join(large, "graph", "left_anti")
+    packs = max(1, -(-(sizes.filter(F.col("count") <= small).agg(F.sum("count")).first()[0] or 0) // max(1, small)))
+    kind = nodes.schema["graph"].dataType.simpleString()
+    found = few.withColumn("pack", F.pmod(F.xxhash64("graph"), F.lit(packs))).groupBy("pack").applyInArrow(_queued, f"graph {kind}, node long, place long, ordered boolean")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_queued_by_levels(items.join(large, "graph", "left_semi")))
+
+
+def _queued(table: pa.Table) -> pa.Table:
+    graphs: dict[object, dict[int, list[int]]] = {}
+    for g, node, src in zip(*(table.column(c).to_pylist() for c in ("graph", "node", "src")), strict=True):
+        sources = graphs.setdefault(g, {}).setdefault(node, [])
+        if src is not None:
+            sources.append(src)
+    out = []
+    for g, sources in graphs.items():
+        ids, onward = sorted(sources), {}
+        for node in ids:
+            for s in sources[node]:
+                onward.setdefault(s, []).append(node)  # by id, as ids are
+        open_ = {node: len(s) for node, s in sources.items()}
+        queue, done = deque(n for n in ids if not open_[n]), []
+        while queue:
+            done.append(node := queue.popleft())
+            for child in onward.get(node, ()):
+                open_[child] -= 1
+                if not open_[child]:
+                    queue.append(child)
+        out += [(g, n, i, True) for i, n in enumerate(done)]
+        out += [(g, n, len(done) + i, False) for i, n in enumerate(n for n in ids if open_[n])]
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    kinds = [table.schema.field("graph").type, pa.int64(), pa.int64(), pa.bool_()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["graph", "node", "place", "ordered"])
+
+
+def _queued_by_levels(items: DataFrame) -> DataFrame:
+    ways = cut(items.filter("src IS NOT NULL"))
+    inward = ways.groupBy("graph", "node").agg(F.count("*").alias("open"))
+    waiting = items.filter("src IS NULL").select("graph", "node").join(inward, ["graph", "node"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    waiting = cut(waiting.withColumn("last", F.lit(-1).cast("long")))
+    taken = cut(waiting.groupBy("graph").agg(F.lit(0).cast("long").alias("taken")))
+    found = []
+    while True:
+        ready = waiting.filter("open = 0")
+        over = ready.isEmpty()
+        ranked = places(waiting if over else ready, ["graph"], ["node"] if over else ["last", "node"], "nth")
+        placed = cut(ranked.join(taken, "graph").select("graph", "node", (F.col("taken") + F.col("nth")).alias("place"), F.lit(not over).alias("ordered")))
+        found.append(placed)
+        if over:
+            return reduce(DataFrame.unionByName, found)
+        moved = ways.join(placed.select("graph", F.col("node").alias("src"), "place"), ["graph", "src"]).groupBy("graph", "node").agg(F.count("*").alias("done"), F.max("place").alias("latest"))
+        still = waiting.filter("open > 0").join(moved, ["graph", "node"], "left")
+        waiting = cut(still.select("graph", "node", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.greatest("last", "latest").alias("last")))
+        taken = cut(taken.join(placed.groupBy("graph").count(), "graph", "left").select("graph", (F.col("taken") + F.coalesce("count", F.lit(0))).alias("taken")))

@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import lexicon
 from ..operators import checks as K
 from ..operators import claims as M
+from ..operators import cycles as Y
 from ..operators import graph as G
 from ..operators import scoring as S
 from ..sources.tables import table
@@ -285,3 +286,48 @@ def cycle_nodes(spark, sf_dir):
     n = F.col("n_nationkey")
     nodes = table(spark, sf_dir, "nation").select(((n * 7 + 3) % 25).cast("int").alias("node"), F.array(n).alias("depends_on"))
     return G.cycles(G.edges(nodes))
+
+
+#: A map of the customers onto each other: every component has one ring, with trees that lead into it.
+RING_SQL = """arcs AS (SELECT c_custkey AS src, (c_custkey * c_custkey + 7 * c_nationkey + 3) % (SELECT count(*) FROM customer) AS dst FROM customer), proper AS (SELECT * FROM arcs WHERE src <> dst)"""
+
+
+@query(f"""WITH RECURSIVE {RING_SQL},
+reach AS (SELECT src AS start, dst AS here FROM proper UNION SELECT r.start, a.dst FROM reach r JOIN proper a ON r.here = a.src),
+rings AS (SELECT start AS node, min(here) AS component, count(*) AS n FROM reach WHERE start IN (SELECT start FROM reach WHERE start = here) GROUP BY start),
+walk AS (SELECT component, component AS node, CAST(0 AS BIGINT) AS position, n FROM rings WHERE node = component
+  UNION ALL SELECT w.component, a.dst, w.position + 1, w.n FROM walk w JOIN proper a ON w.node = a.src WHERE w.position + 1 < w.n)
+SELECT component, position, node, CAST(n AS INTEGER) AS cycle_length FROM walk""")
+def cycle_paths(spark, sf_dir):
+    """Each ring of the customers' map, from its smallest member on."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = customers.count()
+    arcs = customers.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * F.col("c_custkey") + 7 * F.col("c_nationkey") + 3) % n).alias("dst"))
+    arcs = arcs.join(customers.select(F.col("c_custkey").alias("dst")), "dst", "left_semi")
+    paths = Y.shortest(arcs, Y.components(arcs))
+    return paths.join(paths.groupBy("component").agg(F.count("*").cast("int").alias("cycle_length")), "component").select("component", "position", "node", "cycle_length")
+
+
+LINES_SQL = """stated AS (SELECT l_orderkey AS graph, CAST(l_linenumber AS BIGINT) AS node, unnest([1 + l_partkey % 9, 1 + l_suppkey % 9, 1 + (l_partkey + l_suppkey) % 2]) AS d FROM lineitem),
+lines AS (SELECT DISTINCT graph, node FROM stated),
+arcs AS (SELECT DISTINCT a.graph, a.d AS src, a.node AS dst FROM stated a JOIN lines b ON a.graph = b.graph AND a.d = b.node WHERE a.d <> a.node)"""
+
+
+@query(f"""WITH RECURSIVE {LINES_SQL},
+walk AS (SELECT graph, node, 0 AS level FROM lines WHERE (graph, node) NOT IN (SELECT graph, dst FROM arcs)
+  UNION SELECT w.graph, a.dst, w.level + 1 FROM walk w JOIN arcs a ON w.graph = a.graph AND w.node = a.src WHERE w.level < 8),
+behind AS (SELECT graph, src AS start, dst AS here FROM arcs UNION SELECT w.graph, w.start, a.dst FROM behind w JOIN arcs a ON w.graph = a.graph AND w.here = a.src),
+bad AS (SELECT graph, start AS node FROM behind WHERE start = here UNION SELECT w.graph, w.here FROM behind w JOIN behind c ON c.graph = w.graph AND c.start = c.here AND c.start = w.start),
+levels AS (SELECT graph, node, max(level) AS level FROM walk WHERE (graph, node) NOT IN (SELECT graph, node FROM bad) GROUP BY ALL),
+chain AS (SELECT graph, node, level, CAST(node AS VARCHAR) AS k FROM levels WHERE level = 0
+  UNION ALL SELECT l.graph, l.node, l.level, c.k || l.node FROM chain c JOIN arcs a ON a.graph = c.graph AND a.src = c.node JOIN levels l ON l.graph = a.graph AND l.node = a.dst AND l.level = c.level + 1),
+keyed AS (SELECT graph, node, level, max(k) AS k FROM chain GROUP BY ALL)
+SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY level NULLS LAST, k, node) - 1 AS place, level IS NOT NULL AS ordered
+FROM lines LEFT JOIN keyed USING (graph, node)""")
+def kahn_order(spark, sf_dir):
+    """The lines of each order as a graph: which line leaves the queue when."""
+    li = table(spark, sf_dir, "lineitem")
+    deps = F.array(1 + F.col("l_partkey") % 9, 1 + F.col("l_suppkey") % 9, 1 + (F.col("l_partkey") + F.col("l_suppkey")) % 2)
+    lines = li.select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").cast("long").alias("node"), deps.alias("deps"))
+    arcs = lines.select("graph", F.explode("deps").alias("src"), F.col("node").alias("dst"))
+    return G.kahn(lines, arcs)
