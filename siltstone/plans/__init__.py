@@ -1,3 +1,3 @@
 """Registered queries and composed jobs, by subject."""
 
-REGISTERED = ("search", "evidence", "texts", "events", "jobs", "details", "language")
+REGISTERED = ("search", "evidence", "texts", "events", "jobs", "details", "language", "structure")
