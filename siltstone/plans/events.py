@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import logs as L
 from ..sources.tables import table
 from ..streaming import events as E
+from ..streaming import stateful as W
 
 QUERIES, SQL = {}, {}
 FAILED = "event_type = 'error'"
@@ -142,3 +143,43 @@ def user_sessions(spark, sf_dir):
 def lineitem_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("2000-01-01").cast("timestamp_ntz"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+# Streams with state and timers. The watermark at the end is an hour behind the newest event, in milliseconds.
+AS_OF_SQL = "(SELECT epoch_ms(max(ts)) - 3600000 FROM events)"
+OP = "CASE event_type WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'delete' ELSE 'get' END"
+
+
+def streamed(spark, sf_dir, key, fold, what):
+    events = E.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema)
+    return W.newest(E.run_available(W.folded(events, key, fold, what), "update", [key, "version"]), key)
+
+
+@query(f"""WITH e AS (SELECT *, {OP} AS op FROM events),
+seen AS (SELECT *, last_value(CASE op WHEN 'set' THEN epoch_us(ts) + 3600000000 * (1 + event_id % 48) WHEN 'delete' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until,
+  last_value(CASE op WHEN 'set' THEN epoch_us(ts) + 3600000000 * (1 + event_id % 48) WHEN 'delete' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM e)
+SELECT user_id, count(*) FILTER (op = 'set') AS sets, count(*) FILTER (op = 'get' AND epoch_us(ts) < coalesce(until, 0)) AS hits, count(*) FILTER (op = 'get' AND epoch_us(ts) >= coalesce(until, 0)) AS misses,
+  count(*) FILTER (op = 'delete') AS deletes, coalesce(any_value(final) > {AS_OF_SQL} * 1000, false) AS live FROM seen GROUP BY user_id""")
+def streaming_cache(spark, sf_dir):
+    """Each user's log as a cache key: purchases set it for up to two days, errors delete it, all else reads it."""
+    return streamed(spark, sf_dir, "user_id", W.Cache(), [F.expr(OP), 3600 * (1 + F.col("event_id") % 48)])
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT user_id, event_type = 'error' AS failed, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+walk AS (SELECT user_id, CAST(0 AS BIGINT) AS nth, false AS open, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS trips, CAST(0 AS BIGINT) AS refused FROM events GROUP BY user_id
+  UNION ALL SELECT w.user_id, n.nth, CASE WHEN w.open AND n.t - w.last < 86400000000 THEN true ELSE n.failed AND w.failures + 1 >= 2 END,
+    CASE WHEN w.open AND n.t - w.last < 86400000000 THEN w.failures WHEN n.failed THEN w.failures + 1 ELSE 0 END,
+    CASE WHEN n.failed AND NOT (w.open AND n.t - w.last < 86400000000) THEN n.t ELSE w.last END,
+    w.trips + CAST(n.failed AND NOT (w.open AND n.t - w.last < 86400000000) AND w.failures + 1 >= 2 AS INT), w.refused + CAST(w.open AND n.t - w.last < 86400000000 AS INT)
+  FROM walk w JOIN n ON n.user_id = w.user_id AND n.nth = w.nth + 1)
+SELECT user_id, CASE WHEN NOT open THEN 'CLOSED' WHEN last + 86400000000 <= {AS_OF_SQL} * 1000 THEN 'HALF_OPEN' ELSE 'OPEN' END AS state, failures AS failures_in_row, trips, refused
+FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY nth DESC) = 1""")
+def streaming_timed_breaker(spark, sf_dir):
+    """Two failures in a row open a user's breaker for a day."""
+    return streamed(spark, sf_dir, "user_id", W.Breaker(trip=2, rest=86400), [F.expr(FAILED)])
+
+
+@query("SELECT user_id, event_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 20")
+def streaming_recent(spark, sf_dir):
+    found = streamed(spark, sf_dir, "user_id", W.Newest(20), [F.lit(True)])
+    return found.select("user_id", F.posexplode("newest").alias("nth", "event_id")).select("user_id", "event_id", (F.col("nth") + 1).cast("long").alias("nth"))
