@@ -1,4 +1,4 @@
-"""Exact order statistics of groups of any size."""
+"""Exact order statistics of groups of any size, by counting."""
 
 from __future__ import annotations
 
@@ -9,35 +9,65 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+BUCKETS = 4096
+CROWDED = 1_000_000  # rows of a bucket that are not ranked in one task
+MOST_SENT = 100_000  # rows that are sent to every executor at most
 
-def values_at(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]], side: int = 16) -> DataFrame:
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
+
+
+def values_at(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """key, n (values that are not null), mean, and for each name the value at a place of the key's sorted values.
 
-    ``places`` gives a place, counted from 0, from n. Cuts of each key's values by a sketch deal them
-    into buckets; exact counts of the buckets say in which of them each place lies, and only the rows
-    of those are ranked, a bucket a task and equal values as one row. The cuts need not be
-    exact for the places to be. There are ``side`` squared buckets; a value finds its own among every
-    ``side``-th cut first, then among those between.
+    ``places`` gives a place, counted from 0, from n. The range of each key's values is cut into BUCKETS of one width; exact counts say in which of
+    them each place lies, and only the rows of those are ranked, equal values as one row. A bucket with more than CROWDED rows is
+    cut anew in the same way, over its own range. Not a number counts as the largest of all, as in a sort.
     """
-    known = rows.select(key, F.col(value).alias("v")).filter("v IS NOT NULL")
-    shares = [i / side**2 for i in range(1, side**2)]
-    sketch = known.groupBy(key).agg(F.percentile_approx("v", shares, 10 * side**2).alias("cuts"), F.count("*").alias("n"), F.avg("v").alias("mean"))
-    sketch = cut(sketch.withColumn("coarse", F.array(*[F.element_at("cuts", side * i) for i in range(1, side)])))
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("v")))
-    rough = known.join(sketch.select(key, "cuts", "coarse"), key).withColumn("rough", side * below("coarse"))
-    dealt = rough.select(key, "v", (F.col("rough") + below(F.slice("cuts", F.col("rough") + 1, F.lit(side - 1)))).alias("bucket"))
-    counts = dealt.groupBy(key, "bucket").agg(F.count("*").alias("in_bucket"))
-    upto = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0))).join(sketch.select(key, "n"), key)
+    known = rows.select(F.col(key).alias("g"), F.col(value).alias("v"), F.lit(1).cast("long").alias("times")).filter("v IS NOT NULL")
+    totals = cut(known.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), *_ends()))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()])
-    hits = counts.select(key, "bucket", "before", "in_bucket", F.explode(wanted).alias("w")).filter("before <= w.place AND w.place < before + in_bucket")
-    hits = cut(hits.select(key, "bucket", "w.name", (F.col("w.place") - F.col("before")).alias("offset")))  # a row for each place
-    of_value = dealt.join(hits.select(key, "bucket").distinct(), [key, "bucket"], "left_semi").groupBy(key, "bucket", "v").agg(F.count("*").alias("times"))
-    last = F.sum("times").over(Window.partitionBy(key, "bucket").orderBy("v"))
-    ranked = of_value.withColumn("last", last)
-    found = ranked.join(hits, [key, "bucket"]).filter("last - times <= offset AND offset < last")
-    picked = found.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
-    return cut(sketch.select(key, "n", "mean").join(picked, key))
+    picked = _picked(known, totals.select("g", "low", "high"), totals.select("g", F.explode(wanted).alias("w")).select("g", "w.name", "w.place"))
+    sides = picked.groupBy(F.col("g").alias("of")).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+    found = totals.select("g", "n", "mean").join(sides, F.col("g").eqNullSafe(F.col("of")))
+    return cut(found.select(F.col("g").alias(key), "n", "mean", *places))
+
+
+def _ends() -> tuple[Column, Column]:
+    x = F.col("v").cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return F.min(finite).alias("low"), F.max(finite).alias("high")
+
+
+def _bucket() -> Column:
+    """The bucket of v, which never falls as v grows."""
+    x = F.col("v").cast("double")
+    share = (x / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    inside = F.when(F.col("high") > F.col("low"), F.floor(share * BUCKETS).cast("int")).otherwise(0)
+    return F.when(F.isnan(x), BUCKETS + 2).when(x == float("inf"), BUCKETS + 1).when(x == float("-inf"), -1).otherwise(inside)
+
+
+def _picked(known: DataFrame, ends: DataFrame, wanted: DataFrame) -> DataFrame:
+    """g, name and v: the value at each wanted place. known: g, v and how many times it stands there."""
+    ends = _sent(ends).withColumnRenamed("g", "of")
+    dealt = known.join(ends, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "times", _bucket().alias("bucket"))
+    counts = dealt.groupBy("g", "bucket").agg(F.sum("times").alias("inside"), F.count("*").alias("rows"))
+    upto = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("inside").over(upto), F.lit(0))).select(F.col("g").alias("of"), "bucket", "before", "inside", "rows")
+    hits = counts.join(wanted, F.col("g").eqNullSafe(F.col("of"))).filter("before <= place AND place < before + inside")
+    hits = cut(hits.select("g", "name", "bucket", (F.col("place") - F.col("before")).alias("place"), "rows"))
+    buckets = _sent(hits.select(F.col("g").alias("of"), F.col("bucket").alias("at"), (F.col("rows") > CROWDED).alias("crowded")).distinct())
+    chosen = dealt.join(buckets, F.col("g").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).groupBy("g", "bucket", "v", "crowded").agg(F.sum("times").alias("times"))
+    few = chosen.filter("NOT crowded").withColumn("upto", F.sum("times").over(Window.partitionBy("g", "bucket").orderBy("v")))
+    few = few.select(F.col("g").alias("of"), F.col("bucket").alias("at"), "v", "times", "upto")
+    found = hits.join(few, F.col("g").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).filter("upto - times <= place AND place < upto").select("g", "name", "v")
+    if hits.filter(F.col("rows") > CROWDED).isEmpty():
+        return found
+    whole = F.struct("g", "bucket")
+    again = cut(chosen.filter("crowded").select(whole.alias("g"), "v", "times"))
+    finer = _picked(again, cut(again.groupBy("g").agg(*_ends())), hits.filter(F.col("rows") > CROWDED).select(whole.alias("g"), "name", "place"))
+    return found.unionByName(finer.select("g.g", "name", "v"))
 
 
 def medians(rows: DataFrame, key: str, value: str) -> DataFrame:

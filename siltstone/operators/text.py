@@ -105,19 +105,17 @@ def thesis_checks(requests: DataFrame, signals: tuple[str, ...], text: str = "te
 def term_overlaps(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """item_id, doc_id, recall and jaccard of every pair where at least that share of the item's terms is among the document's words.
 
-    docs: doc_id, words; items: item_id, terms (both distinct). A pair that reaches the share has one of
-    any n - ceil(least n) + 1 of the item's n terms; those in the fewest documents are looked up, by an
-    equi-join, and only pairs that meet there are compared.
+    docs: doc_id, words; items: item_id, terms (both distinct). Shared terms are counted over the items' inverted lists: a document's words meet
+    the lists of those that any item has, and its counts are summed where its words are before they move. No word array moves.
     """
-    words = docs.select("doc_id", F.explode("words").alias("term"))
-    terms = items.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    spread = words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_docs"))
-    ranked = terms.join(spread, "term", "left").withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n_docs", F.lit(0)), "term")))
-    looked_up = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("item_id", "term")
-    pairs = words.join(looked_up, "term").select("item_id", "doc_id").distinct()
-    both = pairs.join(items, "item_id").join(docs, "doc_id")
-    rows = both.select("item_id", "doc_id", C.recall(F.col("terms"), F.col("words")).alias("recall"), C.jaccard(F.col("terms"), F.col("words")).alias("jaccard"))
-    return rows.filter(F.col("recall") >= least)
+    words = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.size("words").alias("n_words"), F.explode("words").alias("term"))
+    lists = items.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    lists = lists.groupBy("term").agg(F.collect_list(F.struct("item", "item_id", "n_terms")).alias("of"))
+    met = words.join(lists, "term").select("row", "doc_id", "n_words", F.explode("of").alias("i"))
+    both = F.count("*")
+    counts = met.groupBy("row", "doc_id", "n_words", "i.item", "i.item_id", "i.n_terms").agg(both.alias("both")).filter(F.round(F.col("both") / F.col("n_terms"), 6) >= least)
+    either = F.col("n_terms") + F.col("n_words") - F.col("both")
+    return counts.select("item_id", "doc_id", F.round(F.col("both") / F.col("n_terms"), 6).alias("recall"), F.round(F.col("both") / either, 4).alias("jaccard"))
 
 
 def first_words_of(text: Column, n: int) -> Column:

@@ -123,15 +123,18 @@ def test_longest_path_takes_the_smallest_of_equals(spark):
     assert found == {1: (1, "1"), 2: (2, "1>2"), 3: (2, "1>3"), 4: (3, "1>2>4")}
 
 
-def test_exact_places(spark):
-    """Against sorting, with ties, nulls, and a key that has most of the rows."""
+@pytest.mark.parametrize("buckets, crowded", [(4096, 1_000_000), (3, 40)])
+def test_exact_places(spark, monkeypatch, buckets, crowded):
+    """Against sorting, with ties, nulls, infinities, and a key that has most of the rows; once with few buckets, which are cut again and again."""
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+    monkeypatch.setattr(quantiles, "CROWDED", crowded)
     import random
 
     rng = random.Random(2)
-    rows = [("big" if i % 10 else f"k{i % 70}", rng.choice([rng.random(), 0.5, -3.0, None])) for i in range(6000)]
+    rows = [("big" if i % 10 else f"k{i % 70}", rng.choice([rng.random(), 0.5, -3.0, None, rng.choice([1e300, -1e300, float("inf"), float("-inf"), 7.0])])) for i in range(6000)]
     df = spark.createDataFrame(rows, "k string, v double")
     places = {"p50": lambda n: F.floor(n * 0.5), "p99": lambda n: F.floor(n * 0.99), "first": lambda n: F.lit(0)}
-    got = {r.k: (r.n, r.p50, r.p99, r.first) for r in quantiles.values_at(df, "k", "v", places, side=3).collect()}
+    got = {r.k: (r.n, r.p50, r.p99, r.first) for r in quantiles.values_at(df, "k", "v", places).collect()}
     for k in {k for k, _ in rows}:
         v = sorted(x for key, x in rows if key == k and x is not None)
         assert got[k] == (len(v), v[int(len(v) * 0.5)], v[int(len(v) * 0.99)], v[0])
