@@ -17,7 +17,9 @@ word rare in both classes so counts alike in both. The evidence of a word is the
 log-likelihoods, log P(w | h, toxic) - log P(w | h, ordinary), and has the stem's averaged in if
 there is one. A text's evidence is compared by
 length: its mean over all words, its mean over the TOP words that speak most for toxic, and the
-share of words with clear evidence. A logistic function of these three gives the score.
+share of words with clear evidence. The second grows with the length of any text, as the highest of more words are higher; so it counts
+by how far it lies above what chance gives at the text's length, a line in the logarithm of the number of words, fitted to the
+ordinary texts of the sample. A logistic function of these three gives the score.
 
 Counts come from every labelled training text and are exact: each pair of word and history has its
 count in each class (words by 55-bit hashes). They are written as a table that grows with the
@@ -64,6 +66,7 @@ TOP = 3
 CLEAR = 3.0
 TOXIC = 0.3  # the score from which a document counts as toxic
 FEATURES = ("mean_evidence", "top_evidence", "clear_share")
+EVIDENCE = (*FEATURES, "evidence_words")
 
 
 def _normal_table() -> np.ndarray:
@@ -275,6 +278,7 @@ class Model:
         self.history_weight = np.where(self.of_history > 0, self.d2[:, None, None] * by_history[:, 2:] / np.maximum(self.of_history, 1), 1.0)
         self.places = total[:, PAIRS] + 0.5 * (total[:, WORDS] + 1)  # one place more for all words that were not seen
         self.weights = np.array([-4.0, 1.0, 4.0, 1.0])
+        self.chance = (0.0, 0.0)  # of the top evidence: at no words, and for each unit of log(1 + words)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
@@ -298,7 +302,12 @@ class Model:
         return bool(self.count[0].min() > 0)
 
     def fit(self, features: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> None:
-        """Logistic regression by Newton's method with halved steps, drawn towards the starting weights."""
+        """The line of chance by least squares over ordinary texts; logistic regression by Newton's method with halved steps, drawn towards the starting weights."""
+        size = np.log1p(features[:, 3])
+        away = size[toxic == 0] - size[toxic == 0].mean()
+        slope = float(away @ features[toxic == 0, 1] / max(away @ away, 1e-9)) if len(away) > 2 else 0.0
+        self.chance = float(features[toxic == 0, 1].mean() - slope * size[toxic == 0].mean()), slope
+        features = features[:, :3] - np.outer(self.chance[0] + self.chance[1] * size, [0.0, 1.0, 0.0])
         x = np.concatenate((np.ones((len(features), 1)), features * SCALE), 1)
         prior, w = self.weights, self.weights.copy()
         loss = lambda v: np.logaddexp(0, x @ v).sum() - toxic @ (x @ v) + ridge / 2 * ((v - prior) ** 2).sum()
@@ -316,7 +325,7 @@ class Model:
 
 
 def features_of(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row for each text from the evidence of its words: the mean, the mean of the TOP highest (missing ones count 0), the share of clear ones."""
+    """A row for each text from the evidence of its words: the mean, the mean of the TOP highest (missing ones count 0), the share of clear ones, their number."""
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((-value, text))
@@ -324,7 +333,7 @@ def features_of(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = lambda x, at: np.bincount(at, x, len(n))
     top = rank < TOP
     per = np.maximum(n, 1)
-    return np.stack((sums(value, text) / per, sums(value[order][top], text[top]) / TOP, sums(value > CLEAR, text) / per), 1)
+    return np.stack((sums(value, text) / per, sums(value[order][top], text[top]) / TOP, sums(value > CLEAR, text) / per, n.astype(float)), 1)
 
 
 SCALE = np.array([10.0, 1.0, 50.0])
@@ -363,7 +372,7 @@ def with_stems(word: np.ndarray, stem: np.ndarray, has_stem: np.ndarray) -> np.n
 def with_features(rows: DataFrame, model: Model, kept: list[str], toxic: str | None = None) -> DataFrame:
     """The columns ``kept`` of ``rows`` (with text) and the features; ``toxic`` names the labels of training texts, whose own counts are left out."""
     ranges = model.ranges
-    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
+    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in EVIDENCE)])
     row_schema = "block long, bucket int, data binary"
     made = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "data"])
 
@@ -471,23 +480,24 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
         return model
     chosen = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, fit_rows / size.rows) * 1_000_000))
     sample = stage(chosen.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
-    got = with_features(sample, model, ["toxic"], "toxic").select(*FEATURES, "toxic").toArrow()
-    model.fit(np.stack([got.column(c).to_numpy() for c in FEATURES], 1), got.column("toxic").to_numpy().astype(float))
+    got = with_features(sample, model, ["toxic"], "toxic").select(*EVIDENCE, "toxic").toArrow()
+    model.fit(np.stack([got.column(c).to_numpy() for c in EVIDENCE], 1), got.column("toxic").to_numpy().astype(float))
     return model
 
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """``docs`` with score and the three features; the text goes unless it is kept."""
-    names = ["score", *FEATURES]
+    """``docs`` with score, the three features and the number of words; the text goes unless it is kept."""
+    names = ["score", *EVIDENCE]
     kept = [c for c in docs.columns if c not in names and (keep_text or c != "text")]
     rows = docs.select(*kept, *(["text"] if "text" not in kept else []))
     if not model.trained:
         return rows.select(*kept, *[F.lit(0.0).alias(c) for c in names])
     value = F.lit(float(model.weights[0]))
     for c, w, unit in zip(FEATURES, model.weights[1:], SCALE, strict=True):
-        value = value + F.col(c) * float(w * unit)
+        chance = model.chance[0] + model.chance[1] * F.log1p("evidence_words") if c == "top_evidence" else F.lit(0.0)
+        value = value + (F.col(c) - chance) * float(w * unit)
     likely = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), value))))
-    return with_features(rows, model, kept).select(*kept, likely.alias("score"), *FEATURES)
+    return with_features(rows, model, kept).select(*kept, likely.alias("score"), *EVIDENCE)
 
 
 def ordinary(docs: DataFrame, model: Model, below: float = TOXIC) -> DataFrame:
