@@ -1,21 +1,27 @@
 """Exact vector search with filters, and the scores that rank what it finds.
 
-A vector table has one row a vector: vec_id, embedding, and metadata. Up to MOST_QUERIES query vectors
-meet the table by a broadcast of the queries: the table is scanned once and never shuffled for the
-search, only the best rows of each task are. More of them meet it block against block, partition
-by partition, with nothing held whole in one place.
+A vector table has one row a vector: vec_id, embedding, and metadata. Queries meet it in blocks of bounded size, by count and by bytes: a block goes to every
+task, the table is scanned once for it and never shuffled for the search. A task multiplies a batch of vectors with the block as matrices; a search for
+the k best keeps only those of each batch that can be among them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import lexicon
 
 FILTER_KEYS = ("source_type", "source", "namespace", "company", "sector", "label", "date", "authority")
-MOST_QUERIES = 10_000
+MOST_QUERIES, MOST_NUMBERS = 10_000, 4_000_000  # queries of a block, and numbers in their vectors
+SLICE = 1 << 20  # scores at a time
 
 
 def metadata_filter(vectors: DataFrame, wanted: dict) -> DataFrame:
@@ -34,12 +40,65 @@ def date_range(vectors: DataFrame, first: str | None = None, last: str | None =
     return vectors
 
 
-def similarity(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """Every vector with every query: query_id, score, and the query's other columns. ``queries``: query_id, query, any number of rows."""
-    asked = queries.withColumn("query", F.transform("query", lambda x: x.cast("double")))
-    if asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
-        asked = F.broadcast(asked)
-    return vectors.crossJoin(asked).withColumn("score", F.round(C.dot(F.col("embedding"), F.col("query")), digits)).drop("query")
+def similarity(vectors: DataFrame, queries: DataFrame, digits: int = 6, k: int | None = None) -> DataFrame:
+    """Every vector with every query: the vector's columns but its embedding, query_id, score, and the query's other columns. ``queries``: query_id, query, any number of rows.
+
+    With ``k``, pairs that can't be among the k best of their query may be missing. The score is null where a vector is null, has a null component or
+    another length than the query.
+    """
+    asked = queries.withColumn("query", F.col("query").cast("array<double>"))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.size("query"), F.lit(0))), F.lit(0)).alias("numbers")).first()
+    parts = max(1, -(-size.n // MOST_QUERIES), -(-size.numbers // MOST_NUMBERS))
+    dealt = asked.withColumn("part_", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    blocks = [_with_block(vectors, dealt.filter(F.col("part_") == i).drop("part_"), k) for i in range(parts)]
+    return reduce(DataFrame.unionByName, blocks).withColumn("score", F.round("score", digits))
+
+
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as a matrix, and which of them are whole."""
+    at, values = np.asarray(column.offsets), column.values
+    whole = column.is_valid().to_numpy(zero_copy_only=False) & (np.diff(at) == width)
+    if values.null_count:
+        missing = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))
+        whole &= missing[at[1:]] == missing[at[:-1]]
+    out = np.zeros((len(column), width))
+    flat = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    if whole.any():
+        out[whole] = flat[at[:-1][whole][:, None] + np.arange(width)]
+    return out, whole
+
+
+def _with_block(vectors: DataFrame, block: DataFrame, k: int | None) -> DataFrame:
+    names = [c for c in block.columns if c != "query"]
+    kept = [f for f in vectors.schema.fields if f.name != "embedding"]
+    schema = T.StructType([*kept, *(block.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+    table = block.toArrow().combine_chunks()
+    held = table.select(names)
+    by_width: dict[int, list[int]] = {}
+    for i, v in enumerate(table.column("query").to_pylist()):
+        by_width.setdefault(len(v) if v is not None and None not in v else -1, []).append(i)
+    asked = {w: (np.array(at), np.array([table.column("query")[i].as_py() if w > 0 else [] for i in at]).reshape(len(at), max(w, 0))) for w, at in by_width.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for width, (at, matrix) in asked.items():
+                x, whole = _numbers(batch.column("embedding"), max(width, 0))
+                whole &= width >= 0
+                for i in range(0, len(at), step := max(1, SLICE // batch.num_rows)):
+                    scores = np.where(whole, matrix[i : i + step] @ x.T, -np.inf)
+                    if k is not None and batch.num_rows > k:
+                        first = np.where(np.isnan(scores), np.inf, scores)
+                        row, column = np.nonzero(first >= np.partition(first, -k, axis=1)[:, -k][:, None] - 1e-5)
+                    else:
+                        row, column = np.divmod(np.arange(scores.size), scores.shape[1])
+                    value = scores[row, column]
+                    found, said = batch.select([f.name for f in kept]).take(pa.array(column)), held.take(pa.array(at[i + row])).combine_chunks()
+                    said = [said.column(c).chunk(0) if said.num_rows else pa.array([], said.schema.field(c).type) for c in names]
+                    yield pa.RecordBatch.from_arrays([*found.columns, *said, pa.array(value, mask=np.isneginf(value))], names=schema.names)
+
+    return vectors.mapInArrow(run, schema)
 
 
 def best(scored: DataFrame, k: int, by: str = "score", within: tuple[str, ...] = ("query_id",), tie: str = "vec_id") -> DataFrame:
@@ -50,7 +109,7 @@ def best(scored: DataFrame, k: int, by: str = "score", within: tuple[str, ...] =
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | None = None, min_score: float | None = None) -> DataFrame:
     """The k nearest vectors (1 to 20) of each query."""
-    scored = similarity(metadata_filter(vectors, wanted or {}), queries)
+    scored = similarity(metadata_filter(vectors, wanted or {}), queries, k=max(1, min(20, k)))
     if min_score is not None:
         scored = scored.filter(F.col("score") >= min_score)
     return best(scored, max(1, min(20, k)))
@@ -62,6 +121,20 @@ def fan_out(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return best(per_namespace.dropDuplicates(["query_id", "vec_id"]), k)
 
 
+#: Presets: the namespace, the least authority, and how many results.
+PRESETS = {"regulatory": ("regulatory", 0.95, 8), "corporate": ("corporate", None, 8), "research": ("research", 0.20, 5)}
+
+
+def preset(vectors: DataFrame, queries: DataFrame, name: str, as_of: str, company: str | None = None) -> DataFrame:
+    """A search in one namespace, ranked by the hybrid score; of one company, if it is named."""
+    namespace, least, k = PRESETS[name]
+    wanted = {"namespace": namespace} | ({"company": company} if company else {})
+    found = hybrid_score(similarity(metadata_filter(vectors, wanted), queries), as_of)
+    if least is not None:
+        found = found.filter(F.col("authority_weight") >= least)
+    return best(found, k, by="final_score")
+
+
 def hybrid_score(scored: DataFrame, as_of: str, overlap: Column | None = None, weights: tuple[float, ...] = lexicon.HYBRID_WEIGHTS) -> DataFrame:
     """Adds authority_weight, authority_score, recency_score, overlap_score and final_score.
 

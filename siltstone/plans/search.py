@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import lists as L
 from ..operators import vector as V
 from . import fixtures as X
 
@@ -35,6 +36,12 @@ def knn_topk(spark, sf_dir):
     return V.knn(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 10).select(*OUT)
 
 
+@query()
+def knn_lists(spark, sf_dir):
+    """The same by lists around centroids: approximate, with a measured recall."""
+    return L.nearest(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), 10)
+
+
 @query(f"{_scored()} " + _ranked("scored", 5, "source_type IN ('rbi', 'sebi') AND label = 3"))
 def knn_filtered(spark, sf_dir):
     wanted = {"source_type": ["rbi", "sebi"], "label": 3, "not_a_key": 1}
@@ -85,6 +92,18 @@ def preset_regulatory(spark, sf_dir):
     return V.best(V.hybrid_score(found, X.AS_OF), 10, by="final_score").select("query_id", "vec_id", "source_type", "final_score", "rank")
 
 
+@query(f"{_scored()}, {HYBRID_SQL} {_ranked('hybrid', 8, where='namespace = ' + repr('corporate') + ' AND label = 3', by='final_score', out='query_id, vec_id, source_type, final_score, rank')}")
+def preset_corporate(spark, sf_dir):
+    """Labels stand for companies."""
+    named = X.vectors(spark, sf_dir).withColumn("company", F.concat(F.lit("company "), "label"))
+    return V.preset(named, X.queries(spark, sf_dir), "corporate", X.AS_OF, "company 3").select("query_id", "vec_id", "source_type", "final_score", "rank")
+
+
+@query(f"{_scored()}, {HYBRID_SQL} {_ranked('hybrid', 5, where='namespace = ' + repr('research') + ' AND authority_weight >= 0.2', by='final_score', out='query_id, vec_id, source_type, final_score, rank')}")
+def preset_research(spark, sf_dir):
+    return V.preset(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), "research", X.AS_OF).select("query_id", "vec_id", "source_type", "final_score", "rank")
+
+
 @query(f"""WITH {X.VECTORS_SQL} SELECT vec_id, date_diff('day', doc_date, DATE '{X.AS_OF}')::INT AS age,
   CASE WHEN age <= 180 THEN 1.0::DOUBLE WHEN age >= 730 THEN 0.05::DOUBLE ELSE round(0.05 + 0.95 * (1 + cos(pi() * (age - 180) / 550.0::DOUBLE)) / 2, 6) END AS recency FROM vectors""")
 def recency_cosine(spark, sf_dir):
