@@ -28,8 +28,15 @@ def file_year(name: Column) -> Column:
 
 
 def display(value: Column, unit: Column) -> Column:
-    """``4.20%``, ``25 bps``, or the number with thousands separators and its unit."""
-    return F.when(unit == "%", F.concat(F.format_number(value, 2), F.lit("%"))).when(unit == "bps", F.concat(F.format_number(value, 0), F.lit(" bps"))).otherwise(F.concat_ws(" ", F.format_number(value, 2), unit))
+    """``4.20%``, ``25 bps``, ``₹1,234 crore``, or the number as it is."""
+    whole = F.format_number(value, 0)
+    plain = lambda x: F.replace(x, F.lit(","), F.lit(""))
+    return (
+        F.when(unit.isin("%", "per cent", "per_cent"), F.concat(plain(F.format_number(value, 2)), F.lit("%")))
+        .when(unit.isin("bps", "basis points"), F.concat(plain(whole), F.lit(" bps")))
+        .when(unit.isin("crore", "cr", "lakh", "mn", "bn"), F.concat(F.lit("₹"), whole, F.lit(" "), unit))
+        .otherwise(value.cast("string"))
+    )
 
 
 def short_label(text: Column, most_words: int = 5, most_chars: int = 40) -> Column:

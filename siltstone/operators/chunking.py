@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
+from .sections import sections
 
 SENTENCE_END = re.compile(r"(?<=[.!?;])\s+(?=[A-Z\"'\n])")
 LAST_WORD = re.compile(r"(\w+)[.!?;]$")
@@ -109,21 +110,25 @@ def chunks(text: str, size: int = 1000, overlap: int = 150) -> list[str]:
     return [c for c in map(str.strip, out) if len(c) >= LEAST_CHARS]
 
 
-def chunk_documents(docs: DataFrame, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """One row a chunk: doc_id, chunk_index, chunk_id, text, chars, words, chunk_hash. docs: doc_id (long), source_type, text.
+def chunk_documents(docs: DataFrame, sizes: dict[str, tuple[int, int]] | None = None, by_section: bool = False) -> DataFrame:
+    """One row a chunk: doc_id, chunk_index, chunk_id, text, chars, words, chunk_hash, and section if chunks keep to sections. docs: doc_id (long), source_type, text.
 
     Repeats within a document are kept once, chunks under twenty words go, the rest are numbered from 0.
     """
     table = sizes or lexicon.CHUNK_SIZES
-    schema = "doc_id long, chunk_index int, chunk_id string, text string, chars int, words int, chunk_hash string"
+    schema = "doc_id long, chunk_index int, chunk_id string, text string, chars int, words int, chunk_hash string" + ", section string" * by_section
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, kind, text in zip(frame.doc_id, frame.source_type, frame.text, strict=True):
-                found = dict.fromkeys(chunks(text or "", *table.get(kind, table["unknown"])))
+                parts = sections(text or "") if by_section else [("", text or "")]
+                found: dict[str, str] = {}
+                for section, part in parts:
+                    for c in chunks(part, *table.get(kind, table["unknown"])):
+                        found.setdefault(c, section)
                 kept = [c for c in found if len(c.split()) >= LEAST_WORDS]
-                rows += [(doc_id, i, f"{doc_id}_chunk_{i}", c, len(c), len(c.split()), hashlib.md5(c.encode()).hexdigest()) for i, c in enumerate(kept)]
+                rows += [(doc_id, i, f"{doc_id}_chunk_{i}", c, len(c), len(c.split()), hashlib.md5(c.encode()).hexdigest(), found[c])[: 7 + by_section] for i, c in enumerate(kept)]
             yield pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
 
     return docs.select("doc_id", "source_type", "text").mapInPandas(run, schema)

@@ -56,18 +56,33 @@ DATES = (
     r"\b(20[12]\d[-–](?:20)?[12]\d)\b",
 )
 
-#: Percentages by name: spellings, how far behind the name the number may stand, its least digits, and plausible bounds.
-FIGURES = {
-    "nim_pct": ((r"\bnim\b", r"net\s+interest\s+margin"), 30, 1, (0.0, 15.0)),
-    "gnpa_pct": ((r"\bgnpa\b", r"gross\s+npa"), 20, 1, (0.0, 50.0)),
-    "nnpa_pct": ((r"\bnnpa\b", r"net\s+npa"), 20, 1, (0.0, 50.0)),
-    "casa_ratio_pct": ((r"\bcasa\s+ratio\b", r"\bcasa\b"), 20, 2, (0.0, 100.0)),
-    "crar_pct": ((r"\bcrar\b", r"capital\s+adequacy"), 20, 2, (0.0, 60.0)),
-    "tier1_capital_pct": ((r"tier[\s\-]?i\s+(?:capital\s+)?ratio",), 20, 2, (0.0, 60.0)),
-    "pcr_pct": ((r"\bpcr\b", r"provision\s+coverage"), 20, 2, (0.0, 100.0)),
-    "roe_pct": ((r"\broe\b", r"return\s+on\s+equity"), 20, 1, (-100.0, 100.0)),
-    "roa_pct": ((r"\broa\b", r"return\s+on\s+assets?"), 20, 1, (-100.0, 100.0)),
-}
+#: Figures by name, the pattern of each (whose number is its one group that is not empty), and plausible bounds.
+FIGURES = (
+    ("nim_pct", r"\bnim\b[\s\S]{0,30}?(\d{1,2}(?:\.\d{1,2})?)\s*%|net\s+interest\s+margin[\s\S]{0,30}?(\d{1,2}(?:\.\d{1,2})?)\s*%", 0.5, 15.0),
+    ("gnpa_pct", r"\bgnpa\b[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%|gross\s+npa[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", 0.0, 50.0),
+    ("nnpa_pct", r"\bnnpa\b[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%|net\s+npa[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", 0.0, 30.0),
+    ("casa_ratio_pct", r"\bcasa\s+ratio\b[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%|\bcasa\b[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%", 5.0, 80.0),
+    ("crar_pct", r"\bcrar\b[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%|capital\s+adequacy[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%", 8.0, 50.0),
+    ("tier1_capital_pct", r"tier[\s\-]?i\s+(?:capital\s+)?ratio[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%", 6.0, 40.0),
+    ("pcr_pct", r"\bpcr\b[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%|provision\s+coverage[\s\S]{0,20}?(\d{2}(?:\.\d{1,2})?)\s*%", 10.0, 100.0),
+    ("roe_pct", r"\broe\b[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%|return\s+on\s+equity[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -20.0, 60.0),
+    ("roa_pct", r"\broa\b[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%|return\s+on\s+assets?[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -5.0, 10.0),
+    ("pe_ratio", r"\bp(?:/|-)e\s+(?:ratio|multiple)[\s\S]{0,20}?(\d{1,3}(?:\.\d{1,2})?)\s*x?|\d{1,3}(?:\.\d{1,2})?\s*x\s+(?:fy\d{2,4}|trailing|forward)", 0.0, 500.0),
+    ("eps", r"\beps\b[\s\S]{0,20}?(?:rs\.?|₹|inr)?\s*(\d{1,5}(?:\.\d{1,2})?)|earnings?\s+per\s+share[\s\S]{0,20}?(?:rs\.?|₹)?\s*(\d{1,5}(?:\.\d{1,2})?)", -500.0, 10_000.0),
+    ("revenue_crore", r"revenue[\s\S]{0,30}?(?:rs\.?|₹|inr)?\s*(\d{1,6}(?:,\d{3})*(?:\.\d{1,2})?)\s*cr(?:ore)?", 1.0, 1_000_000.0),
+    ("revenue_growth_pct", r"revenue[\s\S]{0,30}?(?:grew?|growth|increased?|up)\s+(?:by\s+)?(\d{1,3}(?:\.\d{1,2})?)\s*%", -50.0, 200.0),
+    ("pat_crore", r"\bpat\b[\s\S]{0,30}?(?:rs\.?|₹)?\s*(\d{1,6}(?:,\d{3})*(?:\.\d{1,2})?)\s*cr(?:ore)?|profit\s+after\s+tax[\s\S]{0,30}?(?:rs\.?|₹)?\s*(\d{1,6}(?:,\d{3})*(?:\.\d{1,2})?)\s*cr(?:ore)?", -100_000.0, 1_000_000.0),
+    ("ebitda_margin_pct", r"\bebitda\s+margin\b[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -10.0, 80.0),
+    ("aum_crore", r"\baum\b[\s\S]{0,30}?(?:rs\.?|₹)?\s*(\d{1,6}(?:,\d{3})*(?:\.\d{1,2})?)\s*cr(?:ore)?|assets?\s+under\s+management[\s\S]{0,30}?(?:rs\.?|₹)?\s*(\d{1,6}(?:,\d{3})*(?:\.\d{1,2})?)\s*cr(?:ore)?", 1.0, 10_000_000.0),
+    ("cagr_pct", r"\bcagr\b[\s\S]{0,30}?(\d{1,2}(?:\.\d{1,2})?)\s*%|compound\s+annual\s+growth[\s\S]{0,30}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -20.0, 100.0),
+    ("dividend_yield_pct", r"dividend\s+yield[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", 0.0, 20.0),
+    ("loan_growth_pct", r"\bloan\s+(?:book\s+)?growth[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%|advances?\s+grew?[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -50.0, 200.0),
+    ("deposit_growth_pct", r"deposit\s+growth[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -50.0, 200.0),
+    ("repo_rate_pct", r"repo\s+rate[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", 0.5, 20.0),
+    ("cpi_inflation_pct", r"\bcpi\b[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%|(?:retail\s+)?inflation[\s\S]{0,20}?(\d{1,2}(?:\.\d{1,2})?)\s*%", -5.0, 50.0),
+    ("attrition_pct", r"\battrition\s+(?:rate\s+)?(?:stood\s+at\s+|was\s+|of\s+)?(\d{1,2}(?:\.\d{1,2})?)\s*%", 0.0, 100.0),
+    ("deal_tcv_bn_usd", r"\btcv\b[\s\S]{0,30}?\$?\s*(\d{1,4}(?:\.\d{1,2})?)\s*(?:billion|bn)\b|total\s+contract\s+value[\s\S]{0,30}?\$?\s*(\d{1,4}(?:\.\d{1,2})?)\s*(?:bn|billion)", 0.01, 1000.0),
+)
 
 
 def _first(text: Column, rules: tuple, default: Column) -> Column:
@@ -89,12 +104,13 @@ def date_text(text: Column) -> Column:
 
 
 def figures(text: Column) -> Column:
-    """Map of name to percentage: the first number behind a name, if it is plausible."""
+    """Map of name to number: what the first match of each pattern states, commas dropped, if it is plausible."""
     entries = []
-    for name, (spellings, reach, digits, (low, high)) in FIGURES.items():
-        number = rf"([0-9]{{{digits},2}}(?:\.[0-9]{{1,2}})?)\s*%"
-        said = F.regexp_extract(text, rf"(?i)(?:{'|'.join(spellings)})[\s\S]{{0,{reach}}}?{number}", 1).try_cast("double")
-        entries.append(F.struct(F.lit(name).alias("k"), F.when(said.between(low, high), F.round(said, 4)).alias("v")))
+    for name, pattern, low, high in FIGURES:
+        groups = pattern.count("(") - pattern.count("(?")
+        said = F.concat(*[F.regexp_extract(text, f"(?i){pattern}", i + 1) for i in range(groups)])  # only one group of a match holds a number
+        number = F.regexp_replace(said, ",", "").try_cast("double")
+        entries.append(F.struct(F.lit(name).alias("k"), F.when(number.between(low, high), F.round(number, 4)).alias("v")))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
 
 

@@ -51,6 +51,14 @@ def display_value(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", B.display(F.col("l_discount") * 100, F.lit("%")).alias("shown"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN format('{:.2f}%', l_quantity) WHEN 'N' THEN format('{:.0f} bps', l_quantity * 40) ELSE format('₹{:,.0f} crore', l_extendedprice) END AS shown FROM lineitem""")
+def display_units(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    unit = F.when(flag == "A", "per cent").when(flag == "N", "basis points").otherwise("crore")
+    value = F.when(flag == "A", F.col("l_quantity")).when(flag == "N", F.col("l_quantity") * 40).otherwise(F.col("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", B.display(value, unit).alias("shown"))
+
+
 @query("SELECT user_id, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS hashed FROM (SELECT DISTINCT user_id FROM events)")
 def ip_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 16).alias("hashed"))
@@ -76,11 +84,11 @@ def short_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", B.short_label(F.col("text")).alias("label"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS ok FROM events")
 def json_repair(spark, sf_dir):
     broken = F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", r"\}\s*$", ", \"ok\": True,}"), F.lit("\n```"))
     fixed = F.from_json(B.repaired_json(broken), "k long, ok boolean")
-    return table(spark, sf_dir, "events").select("event_id", fixed.alias("j")).filter("j.ok").select("event_id", "j.k")
+    return table(spark, sf_dir, "events").select("event_id", fixed.alias("j")).select("event_id", "j.k", "j.ok")
 
 
 @query(f"""WITH {X.VECTORS_SQL}, scored AS ({X.SIMILARITY_SQL}), angles AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE query_id // 20 % 4 <> 3 OR namespace = 'regulatory'),

@@ -63,14 +63,21 @@ def acronym_lookup(spark, sf_dir):
     return D.looked_up(table(spark, sf_dir, "orders").select("o_orderkey", asked.alias("acronym")), terms(spark)).select("o_orderkey", "acronym", "meaning")
 
 
-@query("SELECT * FROM (VALUES ('FY', 'Financial Year', 'custom'), ('NIM', 'Net Interest Margin', 'custom'), ('RBI', 'Reserve Bank of India', 'custom')) t(acronym, meaning, category)")
+def parts(spark, sf_dir):
+    """Parts as a caller's terms: the number is the acronym, the name its meaning."""
+    return table(spark, sf_dir, "part").select(F.concat(F.lit(" p"), F.col("p_partkey").cast("string")).alias("acronym"), F.col("p_name").alias("meaning"))
+
+
+@query("SELECT 'P' || p_partkey AS acronym, p_name AS meaning, 'custom' AS category FROM part")
 def dictionary_insert(spark, sf_dir):
-    return D.of_category(terms(spark), "custom").select("acronym", "meaning", "category")
+    return D.of_category(D.inserted(D.default(spark), parts(spark, sf_dir)), "custom").select("acronym", "meaning", "category")
 
 
-@query("SELECT * FROM (VALUES ('CRAR', 'Capital to Risk-weighted Assets Ratio'), ('SLR', 'Statutory Liquidity Ratio'), ('CRR', 'Cash Reserve Ratio'), ('LCR', 'Liquidity Coverage Ratio'), ('NSFR', 'Net Stable Funding Ratio'), ('PCR', 'Provision Coverage Ratio'), ('CAR', 'Capital Adequacy Ratio')) t(acronym, meaning)")
+@query("""SELECT * FROM (VALUES ('CRAR', 'Capital to Risk-weighted Assets Ratio'), ('SLR', 'Statutory Liquidity Ratio'), ('CRR', 'Cash Reserve Ratio'), ('LCR', 'Liquidity Coverage Ratio'), ('NSFR', 'Net Stable Funding Ratio'), ('PCR', 'Provision Coverage Ratio'), ('CAR', 'Capital Adequacy Ratio')) t(acronym, meaning)
+UNION ALL SELECT 'P' || p_partkey, p_name || ' ratio' FROM part""")
 def dictionary_search(spark, sf_dir):
-    return D.searched(D.default(spark), "ratio").select("acronym", "meaning")
+    custom = parts(spark, sf_dir).withColumn("meaning", F.concat("meaning", F.lit(" ratio")))
+    return D.searched(D.inserted(D.default(spark), custom), "RATIO").select("acronym", "meaning")
 
 
 @query(f"""WITH {QUESTIONS_SQL}, m AS (SELECT doc_id, a, {MEANING_SQL} AS meaning FROM q)
@@ -239,11 +246,11 @@ def answers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("query_id"), (k % 40).alias("batch"), (k * 37 % 6000).alias("latency_ms"), confidence.alias("confidence"), (k % 4 == 0).alias("cache_hit"))
 
 
-@query(f"""WITH {ANSWERS_SQL}, c AS (SELECT o_custkey AS query_id, count(*) AS n_citations, count(*) FILTER (o_orderkey % 10 IN (0, 1, 2)) AS n_regulatory FROM orders GROUP BY 1), k AS (SELECT o_custkey AS query_id, count(*) AS n_conflicts FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1)
+@query(f"""WITH {ANSWERS_SQL}, c AS (SELECT o_custkey AS query_id, count(*) AS n_citations, count(*) FILTER (o_orderkey % 10 IN (0, 1, 2)) AS n_regulatory FROM orders GROUP BY 1), k AS (SELECT o_custkey AS query_id, count(*) FILTER (o_orderstatus = 'F') AS n_conflicts FROM orders GROUP BY 1)
 SELECT query_id, latency_ms, coalesce(n_citations, 0) AS n_citations, coalesce(n_regulatory, 0) AS n_regulatory, coalesce(n_conflicts, 0) AS n_conflicts, coalesce(n_conflicts, 0) > 0 AS has_conflicts, latency_ms <= 3000 AS in_time FROM answers LEFT JOIN c USING (query_id) LEFT JOIN k USING (query_id)""")
 def answer_counts(spark, sf_dir):
-    cited = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), "o_orderkey", X.source_type_of(F.col("o_orderkey")).alias("source_type"))
-    return A.answer_counts(cited, cited.filter("o_orderkey % 9 = 0"), answers(spark, sf_dir).select("query_id", "latency_ms"), "query_id")
+    cited = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), "o_orderstatus", X.source_type_of(F.col("o_orderkey")).alias("source_type"))
+    return A.answer_counts(cited, cited.filter("o_orderstatus = 'F'"), answers(spark, sf_dir).select("query_id", "latency_ms"), "query_id")
 
 
 @query(f"WITH {ANSWERS_SQL} SELECT batch, count(*) AS n, count(*) FILTER (confidence <> 'Low' OR cache_hit) AS n_successful, count(*) FILTER (confidence = 'Low' AND NOT cache_hit) AS n_failed, round(avg(latency_ms), 1) AS avg_latency_ms FROM answers GROUP BY batch")
@@ -326,13 +333,13 @@ def thesis_queries(spark, sf_dir):
     return tags.thesis_queries(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("thesis"), text.alias("text")), ("HDFC Bank", "Infosys"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS k, o_totalprice AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders), b AS (SELECT user_id AS k, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events)
 SELECT k, place::INT AS place, x, y FROM a FULL JOIN b USING (k, place)""")
 def zip_by_position(spark, sf_dir):
     from ..operators import tags
 
-    o = table(spark, sf_dir, "orders").withColumn("n", F.col("o_orderkey"))
-    left, right = o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), "n", F.col("o_orderkey").alias("x")), o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), "n", F.col("o_totalprice").alias("y"))
+    left = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("n"), F.col("o_orderkey").alias("x"))
+    right = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("n"), F.col("value").alias("y"))
     return tags.zipped(left, right, "k", "n").select("k", "place", "x", "y")
 
 

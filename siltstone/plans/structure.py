@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assumptions as A
+from ..operators import chunking as K
 from ..operators import companies as N
 from ..operators import overlap as O
 from ..operators import sections as S
 from ..operators import tables as B
+from ..operators import tags
+from ..session import new_folder
+from ..sources import streams as R
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -132,3 +136,48 @@ def model_assumptions(spark, sf_dir):
         .otherwise("I can't name any.")
     )
     return A.assumptions(grouped.select("answer_id", text.alias("text"))).drop("depends_on").withColumn("confidence", F.round("confidence", 6))
+
+
+#: One statement of each figure; {v} is a number with one digit after the point, {n} a whole one with commas.
+STATEMENTS = (
+    "NIM was {v}%", "Gross NPA at {v} %", "NNPA of {v}%", "CASA ratio stood at {v}%", "Capital adequacy of {v}%", "Tier I capital ratio {v}%", "PCR {v}%", "Return on equity {v}%",
+    "ROA {v}%", "P/E ratio of {v}x", "EPS of Rs. {v}", "Revenue of Rs {n} crore", "Revenue grew by {v}%", "PAT at Rs {n} crore", "EBITDA margin of {v}%", "AUM of Rs {n} cr", "CAGR of {v}%",
+    "Dividend yield of {v}%", "Loan book growth of {v}%", "Deposit growth of {v}%", "Repo rate at {v}%", "CPI at {v}%", "Attrition rate was {v}%", "TCV of $ {v} billion",
+)
+
+FIGURES_SQL = """VALUES ('nim_pct', 0, 0.5, 15, 0), ('gnpa_pct', 1, 0, 50, 0), ('nnpa_pct', 2, 0, 30, 0), ('casa_ratio_pct', 3, 5, 80, 10), ('crar_pct', 4, 8, 50, 10), ('tier1_capital_pct', 5, 6, 40, 10), ('pcr_pct', 6, 10, 100, 10), ('roe_pct', 7, -20, 60, 0),
+('roa_pct', 8, -5, 10, 0), ('pe_ratio', 9, 0, 500, 0), ('eps', 10, -500, 10000, 0), ('revenue_crore', 11, 1, 1000000, 0), ('revenue_growth_pct', 12, -50, 200, 0), ('pat_crore', 13, -100000, 1000000, 0), ('ebitda_margin_pct', 14, -10, 80, 0), ('aum_crore', 15, 1, 10000000, 0), ('cagr_pct', 16, -20, 100, 0),
+('dividend_yield_pct', 17, 0, 20, 0), ('loan_growth_pct', 18, -50, 200, 0), ('deposit_growth_pct', 19, -50, 200, 0), ('repo_rate_pct', 20, 0.5, 20, 0), ('cpi_inflation_pct', 21, -5, 50, 0), ('attrition_pct', 22, 0, 100, 0), ('deal_tcv_bn_usd', 23, 0.01, 1000, 0)"""
+
+
+@query(f"""WITH named AS (SELECT * FROM ({FIGURES_SQL}) t(figure, k, low, high, least)),
+stated AS (SELECT p_partkey, figure, low, high, least, CASE WHEN figure IN ('revenue_crore', 'pat_crore', 'aum_crore') THEN (p_partkey * (37 + k)) % 900000 ELSE (p_partkey * (2 * k + 3)) % 1000 / 10.0 END AS v FROM part, named)
+SELECT p_partkey, figure, round(CAST(v AS DOUBLE), 4) AS value FROM stated WHERE v >= low AND v <= high AND v >= least""")
+def financial_figures(spark, sf_dir):
+    """Parts as texts that state every figure, each with a number of the part, far enough apart that none is read for another."""
+    key = F.col("p_partkey")
+    said = []
+    for k, statement in enumerate(STATEMENTS):
+        v, n = F.format_string("%.1f", (key * (2 * k + 3)) % 1000 / 10.0), F.format_number((key * (37 + k)) % 900000, 0)
+        before, after = statement.split("{v}" if "{v}" in statement else "{n}")
+        said.append(F.concat(F.lit(before), v if "{v}" in statement else n, F.lit(after)))
+    text = F.concat_ws(". " + "z" * 40 + " ", *said)
+    found = table(spark, sf_dir, "part").select("p_partkey", tags.figures(text).alias("figures"))
+    return found.select("p_partkey", F.explode("figures").alias("figure", "value"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#>]+)["'']', 1) AS links FROM pages),
+l AS (SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS n FROM a)
+SELECT link, page_id, CAST(n AS INTEGER) AS n, md5(link) AS url_hash FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, n) AS nth FROM l) WHERE nth = 1""")
+def streamed_links(spark, sf_dir):
+    """Every link of the stored pages once, with the first page that has it."""
+    pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    found = R.each_once(R.listing_links(pages), new_folder(spark, "links"), ["page_id", "n"])
+    return found.select("link", "page_id", "n", "url_hash")
+
+
+@query()
+def section_chunks(spark, sf_dir):
+    """Chunks that keep to the sections of the numbered documents."""
+    docs = numbered(spark, sf_dir).withColumn("source_type", F.lit("annual_report"))
+    return K.chunk_documents(docs, by_section=True).select("doc_id", "chunk_index", "section", "chars", "words", "chunk_hash")

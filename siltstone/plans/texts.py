@@ -65,10 +65,9 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"SELECT conv_id, turn, 'query:' || md5(concat_ws('|', trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), role)) AS key FROM conversations WHERE text IS NOT NULL")
+@query(r"SELECT conv_id, turn, 'query:' || md5(concat_ws('|', trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), role)) AS key FROM conversations")
 def cache_key(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    return rows.select("conv_id", "turn", C.cache_key("query", F.col("text"), F.col("role")).alias("key"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.cache_key("query", F.col("text"), F.col("role")).alias("key"))
 
 
 @query("SELECT page_id, substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60) AS slug, 'doc_' || substr(md5(url), 1, 16) AS doc_key FROM pages")

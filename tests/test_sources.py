@@ -50,3 +50,31 @@ def test_cached_vectors(spark):
 def test_explained(spark):
     line = one(spark, tags.explained(F.lit(1), F.lit(0.5), F.lit("rbi"), F.lit(1.0), F.lit(0.25)))
     assert line == "#1: similarity 0.50, rbi (authority 1.5), recency 1.00, term overlap 0.25"
+
+
+RSS = """<rss><channel><title>C</title><item><title>One &amp; <![CDATA[two <b>x</b>]]></title><link>http://a/1</link><pubDate>Mon, 1 Jan 2024 10:00:00 +0000</pubDate></item>
+<item><title>No link</title></item><item><title>Again</title><link> http://a/1 </link></item><item><title>B</title><link>http://a/2</link><description>d</description></item></channel></rss>"""
+ATOM = """<feed><entry><title type="html">Three</title><link rel="self" href="http://a/self"/><link rel="alternate" href="http://a/3?x=1&amp;y=2"/><updated>2024-01-02T00:00:00Z</updated><summary>s</summary></entry>
+<entry><title>B too</title><link href='http://a/2'/></entry></feed>"""
+
+
+def test_feed_items_of_both_kinds(spark):
+    from siltstone.sources import streams
+
+    rows = streams.feed_items(spark.createDataFrame([("r", RSS), ("a", ATOM), ("n", None), ("e", "")], "path string, content string")).collect()
+    assert sorted((r.path, r.n, r.title, r.link, r.published, r.description) for r in rows) == [
+        ("a", 0, "Three", "http://a/3?x=1&y=2", "2024-01-02T00:00:00Z", "s"), ("a", 1, "B too", "http://a/2", None, None), ("r", 0, "One & two x", "http://a/1", "Mon, 1 Jan 2024 10:00:00 +0000", None),
+        ("r", 2, "Again", "http://a/1", None, None), ("r", 3, "B", "http://a/2", None, "d"),
+    ]
+
+
+def test_items_come_once_over_two_runs(spark, tmp_path):
+    from siltstone.sources import streams
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(RSS)
+    take = lambda: {(r.link, r.title, r.batch) for r in streams.each_once(streams.feed_items(streams.feed_files(spark, f"{tmp_path}/in")), f"{tmp_path}/out", ["path", "n"]).collect()}
+    first = {("http://a/1", "One & two x", 0), ("http://a/2", "B", 0)}
+    assert take() == first and take() == first
+    (tmp_path / "in" / "b.xml").write_text(ATOM)
+    assert take() == first | {("http://a/3?x=1&y=2", "Three", 1)}

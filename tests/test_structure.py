@@ -74,3 +74,15 @@ def test_sections_of_the_numbered_documents(spark):
         some += len(want) > 2
         assert [(n, s, len(t), hashlib.sha256(t.encode()).hexdigest()) for n, (s, t) in enumerate(want)] == sorted(got[doc_id])
     assert some > 50
+
+
+def test_chunks_keep_to_sections(spark):
+    """Each chunk is one of those of its own section alone."""
+    from siltstone.operators import chunking, sections
+
+    texts = {r.doc_id: r.text for r in P.numbered(spark, SF_DIR).limit(60).collect()}
+    rows = spark.createDataFrame([(i, "annual_report", t) for i, t in texts.items()] + [(-1, "annual_report", None)], "doc_id long, source_type string, text string")
+    got = chunking.chunk_documents(rows, by_section=True).collect()
+    assert len(got) > 60 and {r.section == "" for r in got} >= {False}
+    for r in got:
+        assert r.text in {c for name, part in sections.sections(texts[r.doc_id]) if name == r.section for c in chunking.chunks(part, 1200, 200)}
