@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,15 +106,25 @@ def date_text(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")) for p in DATES])
 
 
-def figures(text: Column) -> Column:
-    """Map of name to number: what the first match of each pattern states, commas dropped, if it is plausible."""
-    entries = []
+def stated_figures(text: str | None) -> dict[str, float]:
+    """What the first match of each pattern states, commas dropped, if it is plausible."""
+    found: dict[str, float] = {}
     for name, pattern, low, high in FIGURES:
-        groups = pattern.count("(") - pattern.count("(?")
-        said = F.concat(*[F.regexp_extract(text, f"(?i){pattern}", i + 1) for i in range(groups)])  # only one group of a match holds a number
-        number = F.regexp_replace(said, ",", "").try_cast("double")
-        entries.append(F.struct(F.lit(name).alias("k"), F.when(number.between(low, high), F.round(number, 4)).alias("v")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
+        match = re.search(f"(?i){pattern}", text or "")
+        said = next((g for g in match.groups() if g is not None), None) if match else None
+        if said is not None and low <= (number := float(said.replace(",", ""))) <= high:
+            found[name] = round(number, 4)
+    return found
+
+
+def figures(text: Column) -> Column:
+    """Map of name to number. As one expression of built-ins the 24 patterns are searched anew for each use of their results, so a text is read in Arrow batches instead."""
+
+    @F.pandas_udf("map<string,double>")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(stated_figures)
+
+    return read(text)
 
 
 def tagged(chunks: DataFrame, text: str = "text") -> DataFrame:

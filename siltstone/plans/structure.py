@@ -162,7 +162,8 @@ def financial_figures(spark, sf_dir):
         before, after = statement.split("{v}" if "{v}" in statement else "{n}")
         said.append(F.concat(F.lit(before), v if "{v}" in statement else n, F.lit(after)))
     text = F.concat_ws(". " + "z" * 40 + " ", *said)
-    found = table(spark, sf_dir, "part").select("p_partkey", tags.figures(text).alias("figures"))
+    stated = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    found = stated.select("p_partkey", tags.figures(F.col("text")).alias("figures"))
     return found.select("p_partkey", F.explode("figures").alias("figure", "value"))
 
 
