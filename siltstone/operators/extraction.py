@@ -90,6 +90,8 @@ ENTITIES = (
 #: A number with its unit, and a period.
 NUMBER = r"(?i)(?:₹|Rs\.?\s*)?(-?\d{1,3}(?:,\d{3})*(?:\.\d+)?)(\s*(?:crore|cr\.?|lakh|lacs?|mn|bn|billion|million)?\s*(?:%|per\s*cent|bps|basis\s*points?)?)"
 PERIOD = r"(?i)\b(Q[1-4]\s*FY\s*\d{2,4}|FY\s*\d{2,4}|H[12]\s*FY\s*\d{2,4}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s*'?\d{2,4})\b"
+#: Every match of PERIOD holds one of these, in lower case.
+PERIOD_NEEDLES = ("fy", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 #: Units by what stands after a number, the first that matches.
 UNITS = (("bps", r"\bbps\b|basis\s*point"), ("%", r"%|per\s*cent"), ("crore", r"\bcrore\b|\bcr\b"), ("lakh", r"\blakh\b|\blac"), ("bn", r"\bbillion\b|\bbn\b"), ("mn", r"\bmillion\b|\bmn\b"))
@@ -103,45 +105,52 @@ def unit_of(said: Column) -> Column:
     return out
 
 
-def entity_of(text: Column) -> Column:
+def entity_of(text: Column, low: Column | None = None) -> Column:
+    """The first entity that a text names; ``low`` is the text in lower case, where it is at hand.
+
+    A plain search for the fixed part of a name goes before its pattern.
+    """
+    low = F.lower(text) if low is None else low
     out = F.lit(None).cast("string")
     for name, pattern in reversed(ENTITIES):
-        out = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(out)
+        out = F.when(C.contains_any(low, needles(pattern)) & text.rlike(f"(?i){pattern}"), name).otherwise(out)
     return out
 
 
-def period_of(text: Column) -> Column:
-    """The first period of a text in one spelling: upper case, single spaces, years of two digits; null without."""
+def period_of(text: Column, low: Column | None = None) -> Column:
+    """The first period of a text in one spelling: upper case, single spaces, years of two digits; null without. ``low`` as in ``entity_of``."""
+    low = F.lower(text) if low is None else low
     found = F.regexp_replace(F.regexp_extract(text, PERIOD, 1), r"(?i)FY\s*20(\d{2})", "FY$1")
-    return F.nullif(F.upper(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
+    return F.when(C.contains_any(low, PERIOD_NEEDLES), F.nullif(F.upper(F.regexp_replace(found, r"\s+", " ")), F.lit("")))
+
+
+#: Stands around a match while a text is split at it; a text's own gives way to its neighbour, of the same length.
+MARK, OTHER_MARK = "\ue000", "\ue001"
 
 
 def places(text: Column, pattern: str) -> Column:
-    """Array of (start, end), counted from 0, of the matches of a pattern in a text."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda part, hit: F.struct(part.alias("part"), hit.alias("hit")))
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    """Array of (start, end), counted from 0, of the matches of a pattern in a text: its matches are marked in one pass, and every second part is one."""
+    parts = F.split(F.regexp_replace(F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER_MARK)).otherwise(text), pattern, f"{MARK}$0{MARK}"), MARK, -1)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("found"))
 
-    def step(a: Column, p: Column) -> Column:
-        begin = a["at"] + F.length(p["part"])
-        end = begin + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("found"))
+    def step(a: Column, part: Column) -> Column:
+        end = a["at"] + F.length(part)
+        return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.when(a["hit"], F.concat(a["found"], F.array(F.struct(a["at"].alias("start"), end.alias("end"))))).otherwise(a["found"]).alias("found"))
 
-    return F.aggregate(pairs, start, step, lambda a: a["found"])
+    return F.aggregate(parts, start, step, lambda a: a["found"])
 
 
 def needles(pattern: str) -> list[str]:
     """For each alternative of a pattern, the longest text that every match of it holds, in lower case."""
     loose = re.compile(r"\(\?:[^)]*\)\??|\\[bsdw][*+?]?|.\?|\.")
-    return [max(loose.sub("\0", part).split("\0"), key=len) for part in pattern.split("|")]
+    return [max(loose.sub("\0", part).split("\0"), key=len).lower() for part in pattern.split("|")]
 
 
 def _mentions(rows: DataFrame, metrics: tuple, key: list[str], text: str, after: int, before: int = 150) -> DataFrame:
     """A row for each mention of a metric: metric, start, window, and where in it the name ends.
 
-    Plain searches for the fixed parts of names come first, as patterns are slow where they do not match.
+    Plain searches for the fixed parts of names come first, as patterns are slow where they do not match; ``low`` is the text in lower case.
     """
 
     def of(name: str, pattern: str) -> Column:
@@ -150,15 +159,24 @@ def _mentions(rows: DataFrame, metrics: tuple, key: list[str], text: str, after:
         return F.when(C.contains_any(F.col("low"), needles(pattern)), F.transform(places(F.col(text), f"(?i){pattern}"), named)).otherwise(none)
 
     each = F.flatten(F.array(*[of(m[0], m[1]) for m in metrics]))
-    lowered = rows.select(*key, text, F.lower(text).alias("low"))
-    found = lowered.select(*key, text, F.explode(each).alias("m")).select(*key, text, "m.*")
+    found = rows.select(*key, text, F.explode(each).alias("m")).select(*key, text, "m.*")
     begin = F.greatest(F.lit(0), F.col("start") - before)
-    return found.withColumn("window", F.substr(text, begin + 1, F.col("end") + after - begin)).withColumn("name_end", F.col("end") - begin).drop(text)
+    windows = found.withColumn("window", F.substr(text, begin + 1, F.col("end") + after - begin)).withColumn("name_end", F.col("end") - begin).drop(text)
+    return windows.withColumn("window_low", F.lower("window"))
+
+
+def _based(rows: DataFrame, text: str, company: str | None = None) -> DataFrame:
+    """Rows with their text in lower case, and the entity and period of the whole text."""
+    lowered = rows.withColumn("low", F.lower(text))
+    entity = entity_of(F.col(text), F.col("low"))
+    return lowered.withColumn("base_entity", F.coalesce(F.col(company), entity) if company else entity).withColumn("base_period", period_of(F.col(text), F.col("low")))
 
 
-def _number(said: Column) -> tuple[Column, Column]:
+def _numbered(found: DataFrame, said: Column) -> DataFrame:
+    """Rows where a text says a number, with its value and unit."""
     value = F.replace(F.regexp_extract(said, NUMBER, 1), F.lit(","), F.lit("")).try_cast("double")
-    return value, unit_of(F.regexp_extract(said, NUMBER, 2))
+    said_unit = found.withColumn("value", value).withColumn("unit_said", F.regexp_extract(said, NUMBER, 2)).filter("value IS NOT NULL")
+    return said_unit.withColumn("unit", unit_of(F.col("unit_said"))).drop("unit_said")
 
 
 def claims(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", company: str | None = None) -> DataFrame:
@@ -168,11 +186,10 @@ def claims(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str
     window, else of the company column or the whole text. Of equal claims of a text the first stays.
     """
     ratios = F.create_map(*[F.lit(x) for name, _, ratio in CLAIM_METRICS for x in (name, ratio)])
-    base = rows.withColumn("base_entity", F.coalesce(F.col(company), entity_of(F.col(text))) if company else entity_of(F.col(text))).withColumn("base_period", period_of(F.col(text)))
-    carried = [c for c in base.columns if c != text]
-    value, unit = _number(F.col("window"))
-    found = _mentions(base, CLAIM_METRICS, carried, text, after=150).withColumn("value", value).withColumn("unit", unit).filter("value IS NOT NULL")
-    found = found.withColumn("entity", F.coalesce(entity_of(F.col("window")), "base_entity", F.lit("Unknown"))).withColumn("period", F.coalesce(period_of(F.col("window")), "base_period", F.lit("")))
+    base = _based(rows, text, company)
+    carried = [c for c in base.columns if c not in (text, "low")]
+    found = _numbered(_mentions(base, CLAIM_METRICS, carried, text, after=150), F.col("window"))
+    found = found.withColumn("entity", F.coalesce(entity_of(F.col("window"), F.col("window_low")), "base_entity", F.lit("Unknown"))).withColumn("period", F.coalesce(period_of(F.col("window"), F.col("window_low")), "base_period", F.lit("")))
     first = Window.partitionBy(key, source, "metric", "entity", "period").orderBy("start")
     kept = found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("is_ratio", ratios[F.col("metric")])
     return kept.select(*[c for c in rows.columns if c != text], "metric", "value", "unit", "entity", "period", "is_ratio", "start")
@@ -183,13 +200,11 @@ def records(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     The number after a metric's name, within 180 characters, goes before one up to 150 characters before it.
     """
-    base = rows.withColumn("base_entity", entity_of(F.col(text))).withColumn("base_period", period_of(F.col(text)))
-    found = _mentions(base, RECORD_METRICS, [key, "base_entity", "base_period"], text, after=180)
+    found = _mentions(_based(rows, text), RECORD_METRICS, [key, "base_entity", "base_period"], text, after=180)
     behind = F.substr("window", F.col("name_end") + 1)
     said = F.when(behind.rlike(r"\d"), behind).otherwise(F.col("window"))
-    value, unit = _number(said)
-    found = found.withColumn("value", value).withColumn("unit", unit).filter("value IS NOT NULL")
-    found = found.withColumn("entity", F.coalesce(entity_of(F.col("window")), "base_entity", F.lit("Unknown"))).withColumn("period", F.coalesce(period_of(F.col("window")), "base_period", F.lit("")))
+    found = _numbered(found, said)
+    found = found.withColumn("entity", F.coalesce(entity_of(F.col("window"), F.col("window_low")), "base_entity", F.lit("Unknown"))).withColumn("period", F.coalesce(period_of(F.col("window"), F.col("window_low")), "base_period", F.lit("")))
     firsts = found.groupBy(key, "entity", "period", "metric").agg(F.min_by(F.struct("value", "unit"), "start").alias("v"))
     entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", f"v.{c}"))))
     return firsts.groupBy(key, "entity", "period").agg(entries("value").alias("metrics"), entries("unit").alias("units"))

@@ -68,6 +68,12 @@ def cut(df: DataFrame) -> DataFrame:
     return stage(df, "cut")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt out evenly, before each of them costs much: a small file is a single task else."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def discard(spark: SparkSession) -> None:
     """Delete this application's intermediate folders; call it when no result that reads them is pending."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
