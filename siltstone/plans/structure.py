@@ -172,7 +172,7 @@ l AS (SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS n FROM
 SELECT link, page_id, CAST(n AS INTEGER) AS n, md5(link) AS url_hash FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, n) AS nth FROM l) WHERE nth = 1""")
 def streamed_links(spark, sf_dir):
     """Every link of the stored pages once, with the first page that has it."""
-    pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    pages = R.table_stream(spark, f"{sf_dir.rstrip('/')}/pages.parquet", table(spark, sf_dir, "pages").schema)
     found = R.each_once(R.listing_links(pages), new_folder(spark, "links"), ["page_id", "n"])
     return found.select("link", "page_id", "n", "url_hash")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -42,6 +43,14 @@ def feed_files(spark: SparkSession, folder: str, pattern: str = "*.xml", files_p
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The parquet files of a table as they come; the table may be one file or a folder of them.
+
+    A path of a single file has no base folder for a stream, but a pattern that only this path fits needs none.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def listing_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """key, n, link and url_hash of every link of listing pages, in order; for streams and tables."""
     found = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href\s*=\s*["']([^"'#>]+)["']"""), F.lit(1))
@@ -64,4 +73,6 @@ def each_once(items: DataFrame, out: str, order: list[str]) -> DataFrame:
         first.select(*rows.columns, F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{out}/items/batch-{batch}")
 
     items.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/items/batch-*")
+    schema = StructType([*items.schema.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/items/none")  # a stream without files has no batch
+    return spark.read.schema(schema).parquet(f"{out}/items/*")

@@ -78,3 +78,16 @@ def test_items_come_once_over_two_runs(spark, tmp_path):
     assert take() == first and take() == first
     (tmp_path / "in" / "b.xml").write_text(ATOM)
     assert take() == first | {("http://a/3?x=1&y=2", "Three", 1)}
+
+
+def test_links_stream_from_a_folder_of_files_and_from_none(spark, tmp_path):
+    from siltstone.plans import structure
+    from siltstone.sources import streams
+
+    pages = spark.createDataFrame([(i, f'<a href="http://a/{i % 3}">') for i in range(9)], "page_id long, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.link, r.page_id) for r in structure.streamed_links(spark, str(tmp_path)).collect()} == {(f"http://a/{i}", i) for i in range(3)}
+    pages.filter("false").coalesce(1).write.parquet(f"{tmp_path}/empty/pages.parquet")
+    assert structure.streamed_links(spark, f"{tmp_path}/empty").collect() == []
+    (tmp_path / "in").mkdir()
+    assert streams.each_once(streams.feed_items(streams.feed_files(spark, f"{tmp_path}/in")), f"{tmp_path}/out", ["path", "n"]).collect() == []
