@@ -56,8 +56,8 @@ def robustness(assumptions: DataFrame, key: str, has_cycle: Column) -> DataFrame
 
 
 def heuristic_risk(confidence: Column, critical_unsupported: Column) -> Column:
-    """1 to 10: rounded half to even, raised by unsupported critical assumptions."""
-    return C.clip((F.bround((1 - confidence) * 9, 0) + 1 + F.least(2 * critical_unsupported, F.lit(3))).cast("int"), 1, 10)
+    """1 to 10: rounded half to even, after what means leave beyond six digits, raised by unsupported critical assumptions."""
+    return C.clip((F.bround(F.round((1 - confidence) * 9, 6), 0) + 1 + F.least(2 * critical_unsupported, F.lit(3))).cast("int"), 1, 10)
 
 
 def max_per_source(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:

@@ -112,7 +112,7 @@ def compare_theses(spark, sf_dir):
 SELECT thesis, CAST(greatest(1, least(10, round_even(round((1 - c) * 9, 6), 0) + 1 + least(2 * u, 3))) AS INT) AS risk FROM s""")
 def heuristic_risk(spark, sf_dir):
     s = E.assumptions(spark, sf_dir).groupBy("thesis").agg(F.avg("confidence").alias("c"), F.sum((F.col("critical") & ~F.col("supported")).cast("int")).alias("u"))
-    return s.select("thesis", scoring.heuristic_risk(1 - F.round((1 - F.col("c")) * 9, 6) / 9, F.col("u")).alias("risk"))
+    return s.select("thesis", scoring.heuristic_risk(F.col("c"), F.col("u")).alias("risk"))
 
 
 @query(f"""WITH {E.UNITS_SQL}, named AS (SELECT CASE WHEN entity IN ('Brand#11', 'Brand#12') THEN 'nim' ELSE 'gnpa' END AS metric, entity, period, unit, value FROM units)

@@ -249,3 +249,10 @@ def test_feeds(spark, tmp_path):
     assert {r.link for r in feeds.fresh_items(rss, cutoff).collect()} == {"http://x/0", "http://x/2"}
     seen = rss.select(F.md5("link").alias("url_hash")).limit(1)
     assert {r.link for r in feeds.fresh_items(rss, cutoff, ("rate",), seen).collect()} == {"http://x/2"}
+
+
+def test_heuristic_risk_of_means_next_to_a_half(spark):
+    """Means whose nine-fold distance to 1 is a half but for the last digits."""
+    halves = [(k, 1 - (k + 0.5) / 9) for k in range(9)]
+    found = spark.createDataFrame(halves, "k int, c double").select("k", scoring.heuristic_risk(F.col("c"), F.lit(0)).alias("r")).collect()
+    assert {r.k: r.r for r in found} == {k: round(k + 0.5) + 1 for k in range(9)}
