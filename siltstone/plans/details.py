@@ -95,7 +95,8 @@ def json_repair(spark, sf_dir):
 merged AS (SELECT query_id // 80 AS thesis, vec_id, max(score) AS score FROM angles WHERE r <= 3 GROUP BY ALL) SELECT thesis, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY thesis ORDER BY score DESC, vec_id) AS r FROM merged) WHERE r <= 12""")
 def thesis_angles(spark, sf_dir):
     """Four queries in a row are the angles of a thesis, the last of them over the regulatory namespace alone."""
-    scored = V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)).filter("query_id div 20 % 4 <> 3 OR namespace = 'regulatory'")
+    vectors, asked, last = X.vectors(spark, sf_dir), X.queries(spark, sf_dir), "query_id div 20 % 4 = 3"
+    scored = V.similarity(vectors, asked.filter(f"NOT {last}"), k=3).unionByName(V.similarity(vectors.filter("namespace = 'regulatory'"), asked.filter(last), k=3))
     near = V.best(scored, 3).withColumn("thesis", F.expr("query_id div 80"))
     return V.merge_queries(near, 12, by="score", within=("thesis",)).select("thesis", "vec_id", "score")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicon
+from ..session import spread_few
 from ..sources.tables import table
 
 AS_OF = "2024-06-30"
@@ -28,7 +29,7 @@ def terms_of(number) -> F.Column:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
+    rows = spread_few(table(spark, sf_dir, "embeddings"))
     return (
         rows.withColumn("source_type", source_type_of(F.col("vec_id")))
         .withColumn("doc_date", F.date_sub(F.lit(AS_OF).cast("date"), (F.col("vec_id") * 7 % 1000).cast("int")))

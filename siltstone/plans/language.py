@@ -302,7 +302,7 @@ def request_trace(spark, sf_dir):
 + 0.12 * CASE WHEN age <= 180 THEN 1.0::DOUBLE WHEN age >= 730 THEN 0.05::DOUBLE ELSE round(0.05 + 0.95 * (1 + cos(pi() * (age - 180) / 550.0::DOUBLE)) / 2, 6) END + 0.08 * round(len(list_intersect(query_terms, terms)) / len(query_terms)::DOUBLE, 6), 6) AS final_score
 FROM (SELECT *, date_diff('day', doc_date, DATE '{X.AS_OF}') AS age FROM scored)) SELECT query_id, vec_id, final_score FROM h WHERE final_score >= 0.5""")
 def composite_floor(spark, sf_dir):
-    scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)), X.AS_OF)
+    scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), as_of=X.AS_OF, least=0.5), X.AS_OF)
     return V.composite_floor(scored, 0.5).select("query_id", "vec_id", "final_score")
 
 

@@ -60,7 +60,7 @@ def knn_fanout(spark, sf_dir):
 
 @query(f"{_scored()} {_ranked('scored', 5, 'score >= 0.15', within='query_id, namespace')}")
 def per_namespace_results(spark, sf_dir):
-    scored = V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)).filter("score >= 0.15")
+    scored = V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), k=5, within="namespace").filter("score >= 0.15")
     return V.best(scored, 5, within=("query_id", "namespace")).select(*OUT)
 
 
@@ -76,20 +76,18 @@ SCORES = ["authority_weight", "authority_score", "recency_score", "final_score"]
 
 @query(f"{_scored()}, {HYBRID_SQL} {_ranked('hybrid', 10, by='final_score', out='query_id, vec_id, source_type, score, rank, ' + ', '.join(SCORES))}")
 def hybrid_score(spark, sf_dir):
-    scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)), X.AS_OF)
-    return V.best(scored, 10, by="final_score").select("query_id", "vec_id", "source_type", "score", "rank", *SCORES)
+    return V.hybrid_best(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), X.AS_OF, 10).select("query_id", "vec_id", "source_type", "score", "rank", *SCORES)
 
 
 @query(f"{_scored()}, {HYBRID_SQL} SELECT vec_id, max(final_score) AS final_score, count(*) AS n_queries FROM hybrid GROUP BY vec_id ORDER BY final_score DESC, vec_id LIMIT 15")
 def multi_query_merge(spark, sf_dir):
-    scored = V.hybrid_score(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)), X.AS_OF)
-    return V.merge_queries(scored, 15)
+    found = V.best_of_queries(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), X.AS_OF)
+    return found.orderBy(F.desc("final_score"), "vec_id").limit(15)
 
 
 @query(f"{_scored()}, {HYBRID_SQL} {_ranked('hybrid', 10, where='authority_weight >= 0.95', by='final_score', out='query_id, vec_id, source_type, final_score, rank')}")
 def preset_regulatory(spark, sf_dir):
-    found = V.authority_floor(V.similarity(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)), 0.95)
-    return V.best(V.hybrid_score(found, X.AS_OF), 10, by="final_score").select("query_id", "vec_id", "source_type", "final_score", "rank")
+    return V.hybrid_best(V.authority_floor(X.vectors(spark, sf_dir), 0.95), X.queries(spark, sf_dir), X.AS_OF, 10).select("query_id", "vec_id", "source_type", "final_score", "rank")
 
 
 @query(f"{_scored()}, {HYBRID_SQL} {_ranked('hybrid', 8, where='namespace = ' + repr('corporate') + ' AND label = 3', by='final_score', out='query_id, vec_id, source_type, final_score, rank')}")

@@ -74,6 +74,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
+def spread_few(scan: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out evenly if it has fewer parts than there are cores."""
+    return spread(scan) if scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism else scan
+
+
 def discard(spark: SparkSession) -> None:
     """Delete this application's intermediate folders; call it when no result that reads them is pending."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
