@@ -11,7 +11,7 @@ from ..operators import overlap as O
 from ..operators import sections as S
 from ..operators import tables as B
 from ..operators import tags
-from ..session import new_folder
+from ..session import new_folder, spread
 from ..sources import streams as R
 from ..sources.tables import table
 
@@ -52,6 +52,7 @@ slots AS (SELECT page_id, 0 AS row, unnest([0, 1, 2]) AS c, unnest(['Flag', 'Lin
 def table_cells(spark, sf_dir):
     """Order sheets as HTML: the lines of a return flag stand beside one cell of it, under a header that spans two columns."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), "l_returnflag", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"))
+    lines = spread(lines, "page_id")  # short lines make long sheets, so that tasks cut by the bytes of lines are few
     parts = lines.groupBy("page_id", "l_returnflag").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "quantity"))).alias("rows"))
     row = lambda x: F.concat(F.lit("<td>"), x["l_linenumber"].cast("string"), F.lit("<td>"), x["quantity"].cast("string"))
     part = F.concat(F.lit("<tr><td rowspan="), F.size("rows").cast("string"), F.lit(">"), F.col("l_returnflag"), F.array_join(F.transform("rows", row), "</tr><tr>"), F.lit("</tr>"))
@@ -162,7 +163,7 @@ def financial_figures(spark, sf_dir):
         before, after = statement.split("{v}" if "{v}" in statement else "{n}")
         said.append(F.concat(F.lit(before), v if "{v}" in statement else n, F.lit(after)))
     text = F.concat_ws(". " + "z" * 40 + " ", *said)
-    stated = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    stated = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", text.alias("text"))
     found = stated.select("p_partkey", tags.figures(F.col("text")).alias("figures"))
     return found.select("p_partkey", F.explode("figures").alias("figure", "value"))
 

@@ -68,10 +68,10 @@ def cut(df: DataFrame) -> DataFrame:
     return stage(df, "cut")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Narrow rows dealt out evenly, before each of them costs much: a small file is a single task else."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt out evenly, or by keys, before each of them costs much: a small file is a single task else."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def spread_few(scan: DataFrame) -> DataFrame:
