@@ -21,6 +21,7 @@ from .sections import sections
 SENTENCE_END = re.compile(r"(?<=[.!?;])\s+(?=[A-Z\"'\n])")
 LAST_WORD = re.compile(r"(\w+)[.!?;]$")
 LEAST_CHARS, LEAST_WORDS = 80, 20
+SENT_CHARS = 1 << 22  # characters of chunks after which a task sends a frame; a document stays whole
 
 
 def goes_on(done: str, following: str) -> bool:
@@ -118,9 +119,11 @@ def chunk_documents(docs: DataFrame, sizes: dict[str, tuple[int, int]] | None =
     table = sizes or lexicon.CHUNK_SIZES
     schema = "doc_id long, chunk_index int, chunk_id string, text string, chars int, words int, chunk_hash string" + ", section string" * by_section
 
+    names = [part.split()[0] for part in schema.split(", ")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for doc_id, kind, text in zip(frame.doc_id, frame.source_type, frame.text, strict=True):
                 parts = sections(text or "") if by_section else [("", text or "")]
                 found: dict[str, str] = {}
@@ -129,7 +132,12 @@ def chunk_documents(docs: DataFrame, sizes: dict[str, tuple[int, int]] | None =
                         found.setdefault(c, section)
                 kept = [c for c in found if len(c.split()) >= LEAST_WORDS]
                 rows += [(doc_id, i, f"{doc_id}_chunk_{i}", c, len(c), len(c.split()), hashlib.md5(c.encode()).hexdigest(), found[c])[: 7 + by_section] for i, c in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
+                held += sum(map(len, kept))
+                if held >= SENT_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "source_type", "text").mapInPandas(run, schema)
 
