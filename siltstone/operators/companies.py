@@ -192,8 +192,8 @@ def company_and_sector(rows: DataFrame, key: str = "doc_id", text: str = "text")
 MOST_PHRASES = 100_000
 
 
-def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and hits: the numbers of the phrases that a text names, smallest first; texts that name none are left out.
+def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """key and hits: the numbers of the phrases that a text names, smallest first; texts that name none are left out. ``with_text`` adds the text.
 
     ``phrases`` has phrase (lower case, single spaces, ``*`` at an open end) and number. It goes to every task as a whole and may have MOST_PHRASES rows.
     """
@@ -201,13 +201,13 @@ def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str = "doc_id", text:
     if len(listed) > MOST_PHRASES:
         raise ValueError(f"more than {MOST_PHRASES} phrases; join the words of the texts with them instead")
     pairs = [(r.phrase, r.number) for r in listed]
-    schema = T.StructType([rows.schema[key], T.StructField("hits", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([rows.schema[key], T.StructField("hits", T.ArrayType(T.IntegerType())), *[rows.schema[text]] * with_text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Phrases(pairs) if pairs else None
         for batch in batches if machine else ():
             hits = [sorted(machine.of(SPACES.sub(" ", (t or "").lower()))) or None for t in batch.column(1).to_pylist()]
-            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=schema.names)
+            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32())), *[batch.column(1)] * with_text], names=schema.names)
             yield found.filter(found.column(1).is_valid())
 
     return rows.select(key, text).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from ..operators import overlap as O
 from ..operators import sections as S
 from ..operators import tables as B
 from ..operators import tags
-from ..session import new_folder, spread
+from ..session import new_folder, spread, spread_few
 from ..sources import streams as R
 from ..sources.tables import table
 
@@ -93,13 +93,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, number ORDER
 SELECT conv_id, turn, number AS title, round(least(0.65 + shared / 100, 0.95), 3) AS score, doc_id, CAST(n AS INTEGER) AS line FROM ranked WHERE nth = 1""")
 def corpus_analogs(spark, sf_dir):
     """For each user turn, the lines of documents that name an item of the benchmark and share three words or more with it."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    lines = lines.withColumn("id", F.concat_ws(":", "doc_id", "n"))
+    documents = spread_few(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select(F.struct("doc_id", "n").alias("place"), "text")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     phrases = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(words, 1, 5), " ").alias("phrase"), F.col("item_id").alias("number"))
     phrases = phrases.filter("phrase <> ''").select(F.concat(F.lit("*"), "phrase", F.lit("*")).alias("phrase"), "number")
-    hits = N.phrase_hits(lines, phrases, "id").select("id", F.explode("hits").alias("title"))
-    events = lines.join(hits, "id").select("id", F.struct("doc_id", "n").alias("place"), "title", F.lit(0.65).alias("base"), "text")
+    hits = N.phrase_hits(lines, phrases, "place", with_text=True)
+    events = hits.select(F.col("place").alias("id"), "place", F.explode("hits").alias("title"), F.lit(0.65).alias("base"), "text")
     theses = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), "text")
     found = O.corpus_analogs(theses, events)
     return found.select("id.conv_id", "id.turn", "title", "score", "place.doc_id", F.col("place.n").alias("line"))

@@ -58,6 +58,29 @@ def test_shared_words_equal_all_pairs(spark, least):
     assert {(r.left_id, r.right_id): r.shared for r in O.sharing(frame(left), frame(right), least).collect()} == want
 
 
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_firsts_without_pairs(spark, monkeypatch, rows):
+    """Against all pairs, with repeated ids, many blocks and one; and no pairs are made."""
+    monkeypatch.setattr(O, "LEFT_ROWS", rows)
+    monkeypatch.setattr(O, "RIGHT_ROWS", rows)
+    monkeypatch.setattr(O, "sharing", None)
+    rng = random.Random(rows)
+    words = [f"w{i}" for i in range(40)]
+    said = lambda: rng.sample(words, rng.randrange(9)) + ["zz"]
+    theses = [(i // 2 if i < 10 else i, said()) for i in range(60)]
+    events = [(rng.randrange(5), i, said()) for i in rng.sample(range(80), 80)] + [(3, 900 + i, words) for i in range(30)]
+    want = {}
+    for i, a in theses:
+        for title, first, b in events:
+            if (n := len(set(a) & set(b))) >= 3:
+                want[i, title] = min(want.get((i, title), (first, n)), (first, n))
+    left = spark.createDataFrame(theses, "id long, words array<string>")
+    right = spark.createDataFrame(events, "title long, first long, words array<string>")
+    got = O.first_sharing(left, right).collect()
+    assert len(got) == len(want) > 50 and {(r.id, r.title): (r.first, r.shared) for r in got} == want
+    assert O.first_sharing(left, right.filter("false")).count() == O.first_sharing(left.filter("false"), right).count() == 0
+
+
 def test_sections_of_the_numbered_documents(spark):
     """Against a search for each header, and nothing lost: sections and headers together are the text."""
     import hashlib
