@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import copy
 import json
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -120,55 +122,58 @@ class Newest(Fold):
         return (state,)
 
 
-class InOrder(StatefulProcessor):
-    """Runs a fold for each key. State: the settled fold as JSON with the version, and a list of waiting events."""
-
-    def __init__(self, fold: Fold, columns: list[str]):
-        self.fold, self.columns = fold, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.settled = handle.getValueState("settled", "version long, state string")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, what string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(at), int(i), what) for frame in rows for at, i, what in zip(frame["at"], frame["event_id"], frame["what"], strict=True)]
-        yield from self._moved(key, new, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._moved(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _moved(self, key: tuple, new: list[tuple[int, int, str]], watermark: int) -> Iterator[pd.DataFrame]:
-        version, state = self.settled.get() if self.settled.exists() else (0, json.dumps(self.fold.start()))
-        state = json.loads(state)
-        events = sorted([*((int(a), int(i), w) for a, i, w in self.waiting.get()), *new])
-        passed = sum(at < watermark * 1000 for at, _, _ in events)
-        for at, i, what in events[:passed]:
-            state = self.fold.step(state, at, i, list(json.loads(what).values()))
-        self.settled.update((version + 1, json.dumps(state)))
-        if events[passed:]:
-            self.waiting.put(events[passed:])
-        elif passed:
-            self.waiting.clear()
-        for at, i, what in events[passed:]:
-            state = self.fold.step(copy.copy(state), at, i, list(json.loads(what).values()))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wake = self.fold.wake(state)
-        due = [t for t in (wake // 1000 + 1 if wake is not None else None, events[-1][0] // 1000 + 1 if events[passed:] else None) if t is not None and t > watermark]
-        for t in set(due):
-            self.handle.registerTimer(t)
-        yield pd.DataFrame([(*key, version + 1, *self.fold.view(state, watermark * 1000))], columns=self.columns)
+#: Keys are dealt over so many groups. A checkpoint holds for one number only.
+BUCKETS = 1_024
+
+
+def in_order(fold: Fold, columns: list[str]):
+    """Runs a fold for each key of a bucket. State: of each key its version, settled fold, next time of change and waiting events; and a timer for the earliest change.
+
+    Each group of rows costs Spark milliseconds to hand over, far more than the fold of a key, so that many keys share a group and come and go at once.
+    """
+
+    def run(bucket: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        now = group.getCurrentWatermarkMs() * 1000
+        states: dict[str, tuple] = pickle.loads(group.get[0]) if group.exists else {}
+        new: dict[str, list] = {key: [] for key, (_, _, due, _) in states.items() if due is not None and due * 1000 < now}
+        for frame in [] if group.hasTimedOut else frames:
+            for key, line in zip(frame["key"], frame["event"], strict=True):
+                new.setdefault(key, []).append(line)
+        rows = []
+        for key, lines in new.items():
+            version, settled, _, waiting = states.get(key) or (0, fold.start(), None, [])
+            events = sorted([*waiting, *((*list(json.loads(line).values())[:2], line) for line in lines)])
+            passed = sum(at < now for at, _, _ in events)
+            for at, i, line in events[:passed]:
+                settled = fold.step(settled, at, i, list(json.loads(line).values())[2:])
+            state = copy.copy(settled)
+            for at, i, line in events[passed:]:
+                state = fold.step(state, at, i, list(json.loads(line).values())[2:])
+            # a timer goes off when the watermark is past it: at the first millisecond at which the last event has passed, or the view has changed
+            wake = fold.wake(state)
+            due = [at // 1000 for at, _, _ in events[passed:][-1:]] + ([(wake - 1) // 1000] if wake is not None and wake > now else [])
+            states[key] = version + 1, settled, min(due, default=None), events[passed:]
+            rows.append((key, version + 1, *fold.view(state, now)))
+        group.update((pickle.dumps(states),))
+        due = [due for _, _, due, _ in states.values() if due is not None]
+        if due:
+            group.setTimeoutTimestamp(max(1, min(due)))
+        yield pd.DataFrame(rows, columns=columns)
+
+    return run
 
 
 def folded(events: DataFrame, key: str, fold: Fold, what: list[F.Column], late: str = "1 hour") -> DataFrame:
     """key, version and the fold's fields, each time they may have changed. ``events`` is a stream with ts and event_id."""
-    events.sparkSession.conf.set(PROVIDER, ROCKS)  # the state store with lists and timers
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, version long, {fold.fields}"
-    payload = F.to_json(F.struct(*[w.alias(f"w{i}") for i, w in enumerate(what)]), {"ignoreNullFields": "false"})
-    rows = events.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("at"), "event_id", payload.alias("what"))
-    processor = InOrder(fold, [part.split()[0] for part in schema.split(", ")])
-    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    events.sparkSession.conf.set(PROVIDER, ROCKS)  # the state store on disk
+    written = {"ignoreNullFields": "false"}
+    event = F.struct(F.unix_micros("ts").alias("at"), "event_id", *[w.alias(f"w{i}") for i, w in enumerate(what)])
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+    rows = events.withWatermark("ts", late).select(bucket, "ts", F.to_json(F.struct(key), written).alias("key"), F.to_json(event, written).alias("event"))
+    schema = f"key string, version long, {fold.fields}"
+    run = in_order(fold, [part.split()[0] for part in schema.split(", ")])
+    found = rows.groupBy("bucket").applyInPandasWithState(run, schema, "keys binary", "update", "EventTimeTimeout")
+    return found.select(F.from_json("key", T.StructType([events.schema[key]]))[key].alias(key), *found.columns[1:])
 
 
 def newest(results: DataFrame, key: str) -> DataFrame:

@@ -51,6 +51,31 @@ def test_same_as_a_fold_in_order(spark, tmp_path, kind):
     assert {r.k: tuple(list(x) if isinstance(x, list) else x for x in r[1:]) for r in found} == want
 
 
+def test_many_keys_share_a_group(spark, tmp_path, monkeypatch):
+    """Keys of a bucket keep to themselves, null and large ones too, and a group of rows is handed over for each bucket, not for each key."""
+    monkeypatch.setattr(W, "BUCKETS", 2)
+    groups = spark.sparkContext.accumulator(0)
+    inner = W.in_order
+
+    def counted(fold, columns):
+        run = inner(fold, columns)
+
+        def once(*args):
+            groups.add(1)
+            return run(*args)
+
+        return once
+
+    monkeypatch.setattr(W, "in_order", counted)
+    keys = [None, 0, 2**60 + 1, *range(7, 100)]
+    rows = [(i, START + dt.timedelta(seconds=i), keys[i % len(keys)]) for i in range(4 * len(keys))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, k long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id long, ts timestamp, k long").parquet(f"{tmp_path}/in")
+    found = W.newest(E.run_available(W.folded(stream, "k", W.Newest(2), [F.lit(True)]), "update", ["k", "version"]), "k").collect()
+    assert {r.k: r.newest for r in found} == {k: [i + 3 * len(keys), i + 2 * len(keys)] for i, k in enumerate(keys)}
+    assert groups.value <= 4  # two buckets, in the batch of rows and in one of timers
+
+
 def test_breaker_lets_a_trial_through():
     b = W.Breaker(trip=2, rest=10)
     s, seen = b.start(), []
