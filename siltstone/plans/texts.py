@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..functions import lexicon
 from ..operators import chunking, tagging
 from ..operators import text as T
+from ..session import spread_few
 from ..sources.tables import table
 from . import fixtures as X
 
@@ -49,7 +50,8 @@ def _clean_sql(column: str) -> str:
 
 @query(f"SELECT doc_id, md5(t) AS clean_hash, length(t)::INT AS n_chars FROM (SELECT doc_id, {_clean_sql('text')} AS t FROM documents)")
 def clean_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.cleaned(F.col("text")).alias("t"))
+    documents = spread_few(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = documents.select("doc_id", T.cleaned(F.col("text")).alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("clean_hash"), F.length("t").alias("n_chars"))
 
 

@@ -193,6 +193,26 @@ def test_request_checks(spark):
     assert {r.text: r.reason for r in rows} == texts
 
 
+def test_cleaned_like_its_sql(spark, duck):
+    """Odd texts as the SQL has them, letters that fold to ASCII and marks after letters too; in one pass of Arrow columns, not one of Spark's for each pattern."""
+    import random
+
+    from pyspark.sql import functions as F
+    from siltstone.plans.texts import _clean_sql
+
+    rng = random.Random(5)
+    parts = ["a", "1", " ", "\t", "\n", "-\n", "-", "___", "**", "A B C", " A B C D ", "e\u0301", "\u00a0", "\x0b", "\x85", "\r\n", "• x", "“q”", "12345", "Page 3 of 4", "all right\u017f reserved", "12", "é", "\u2028", "word"]
+    texts = [None, "", "x", "12", "ab\ncd", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(1_500))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    cleaned = rows.select("i", T.cleaned(F.col("t")).alias("t"))
+    import pyarrow as pa
+
+    odd = pa.table({"i": range(len(texts)), "t": texts})  # noqa: F841
+    want = duck.sql(f"SELECT i, {_clean_sql('t')} FROM (SELECT i, coalesce(t, '') AS t FROM odd)").fetchall()
+    assert {r.i: r.t for r in cleaned.collect()} == dict(want)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
+
+
 def test_cleaned(spark):
     raw = "bank-\ning grew 4%\n\n\n\nPage 3 of 9\nAB\n12\nH D F C said – fine___\n"
     assert one(spark, T.cleaned(F.lit(raw))) == "banking grew 4%\n\nHDFC said - fine"
