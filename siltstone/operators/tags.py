@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,11 +107,26 @@ def date_text(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")) for p in DATES])
 
 
+#: Words of which one stands in every text that the figure's pattern matches; found plainly before the pattern is tried.
+FIGURE_WORDS = {
+    "nim_pct": ("nim", "margin"), "gnpa_pct": ("npa",), "nnpa_pct": ("npa",), "casa_ratio_pct": ("casa",), "crar_pct": ("crar", "adequacy"), "tier1_capital_pct": ("tier",), "pcr_pct": ("pcr", "provision"), "roe_pct": ("roe", "equity"),
+    "roa_pct": ("roa", "return"), "pe_ratio": ("p/e", "p-e", "fy", "trailing", "forward"), "eps": ("eps", "earning"), "revenue_crore": ("revenue",), "revenue_growth_pct": ("revenue",), "pat_crore": ("pat", "profit"), "ebitda_margin_pct": ("ebitda",),
+    "aum_crore": ("aum", "management"), "cagr_pct": ("cagr", "compound"), "dividend_yield_pct": ("dividend",), "loan_growth_pct": ("loan", "advance"), "deposit_growth_pct": ("deposit",), "repo_rate_pct": ("repo",), "cpi_inflation_pct": ("cpi", "inflation"),
+    "attrition_pct": ("attrition",), "deal_tcv_bn_usd": ("tcv", "contract"),
+}
+
+_RULES = [(name, FIGURE_WORDS[name], re.compile(f"(?i){pattern}"), low, high) for name, pattern, low, high in FIGURES]
+_FOLDED = str.maketrans("İıſ", "iis")  # letters that a pattern takes for these whatever the case, but lower() does not
+
+
 def stated_figures(text: str | None) -> dict[str, float]:
     """What the first match of each pattern states, commas dropped, if it is plausible."""
     found: dict[str, float] = {}
-    for name, pattern, low, high in FIGURES:
-        match = re.search(f"(?i){pattern}", text or "")
+    plain = (text or "").translate(_FOLDED).lower() if text and not text.isascii() else (text or "").lower()
+    for name, words, pattern, low, high in _RULES:
+        if not any(w in plain for w in words):
+            continue
+        match = pattern.search(text)
         said = next((g for g in match.groups() if g is not None), None) if match else None
         if said is not None and low <= (number := float(said.replace(",", ""))) <= high:
             found[name] = round(number, 4)
@@ -118,11 +134,13 @@ def stated_figures(text: str | None) -> dict[str, float]:
 
 
 def figures(text: Column) -> Column:
-    """Map of name to number. As one expression of built-ins the 24 patterns are searched anew for each use of their results, so a text is read in Arrow batches instead."""
+    """Map of name to number. As one expression of built-ins the 24 patterns are searched anew for each use of their results, so a text is read in Arrow batches instead, and one that a batch repeats once."""
 
-    @F.pandas_udf("map<string,double>")
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(stated_figures)
+    @F.arrow_udf("map<string,double>")
+    def read(texts: pa.Array) -> pa.Array:
+        each = pc.fill_null(texts, "").dictionary_encode()
+        found = [list(stated_figures(t).items()) for t in each.dictionary.to_pylist()]
+        return pa.array(found, pa.map_(pa.string(), pa.float64())).take(each.indices)
 
     return read(text)
 

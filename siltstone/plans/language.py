@@ -14,7 +14,7 @@ from ..operators import requests as R
 from ..operators import responses as A
 from ..operators import understanding as U
 from ..operators import vector as V
-from ..session import spread
+from ..session import spread, spread_few
 from ..sources.tables import table
 from . import evidence as G
 from . import fixtures as X
@@ -316,7 +316,7 @@ BODIES = (("On 2024-05-06 the companies act said NIM of 4.25% with CASA at 41.5%
 CASE WHEN o_orderkey % 7 = 0 THEN '2020-01-02' ELSE {[b[2] for b in BODIES]}[CAST(o_orderkey % 3 + 1 AS INT)] END AS date, CASE WHEN o_orderkey % 7 = 0 THEN 2020 ELSE [2024, 2023, NULL][CAST(o_orderkey % 3 + 1 AS INT)] END::INT AS date_year,
 ['casa_ratio_pct=41.5,nim_pct=4.25', '', 'roe_pct=15.2'][CAST(o_orderkey % 3 + 1 AS INT)] AS figures FROM orders""")
 def chunk_tags(spark, sf_dir):
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o, k = spread_few(table(spark, sf_dir, "orders").select("o_orderkey")), F.col("o_orderkey")
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
     chunks = o.select("o_orderkey", pick([f for f, _ in FILE_NAMES], 5).alias("file_name"), pick([b[0] for b in BODIES], 3).alias("text"), F.when(k % 7 == 0, F.lit("2020-01-02")).otherwise(F.lit("")).alias("base_date"))
     from ..operators import tags

@@ -193,6 +193,35 @@ def test_request_checks(spark):
     assert {r.text: r.reason for r in rows} == texts
 
 
+def test_figures_like_each_pattern_tried(spark):
+    """The plain words pass over no text that a pattern matches, whatever the case, folded letters too."""
+    import random
+    import re
+
+    from siltstone.operators import tags
+
+    def tried(text):
+        found = {}
+        for name, pattern, low, high in tags.FIGURES:
+            match = re.search(f"(?i){pattern}", text or "")
+            said = next((g for g in match.groups() if g is not None), None) if match else None
+            if said is not None and low <= float(said.replace(",", "")) <= high:
+                found[name] = round(float(said.replace(",", "")), 4)
+        return found
+
+    rng = random.Random(2)
+    words = sorted({w for _, p, _, _ in tags.FIGURES for w in re.findall(r"[a-z]{2,}", re.sub(r"\\[a-zA-Z]", " ", p))} | {"p/e ratio", "net interest margin", "tier i ratio", "R\u017f", "repo rate", "return on a\u017fset\u017f", "n\u0130m", "t\u0131er-i ratio"})
+    part = lambda: rng.choice([rng.choice(words), rng.choice(words).upper(), f"{rng.randrange(100)}.{rng.randrange(10)}%", f"{rng.randrange(1000)} crore", "12x fy24", "of", "4.5 billion"])
+    texts = [None, "", *(" ".join(part() for _ in range(rng.randrange(2, 9))) for _ in range(4_000))]
+    assert sum(tags.stated_figures(t) != {} for t in texts) > 200
+    assert [tags.stated_figures(t) for t in texts] == [tried(t) for t in texts]
+    assert set(tags.FIGURE_WORDS) == {name for name, *_ in tags.FIGURES}
+    rows = spark.createDataFrame([(i, texts[i % 50]) for i in range(150)], "i long, t string")
+    from pyspark.sql import functions as F
+
+    assert {r.i: r.f for r in rows.select("i", tags.figures(F.col("t")).alias("f")).collect()} == {i: tried(texts[i % 50]) for i in range(150)}
+
+
 def test_cleaned_like_its_sql(spark, duck):
     """Odd texts as the SQL has them, letters that fold to ASCII and marks after letters too; in one pass of Arrow columns, not one of Spark's for each pattern."""
     import random
