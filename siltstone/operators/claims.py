@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicon
+from ..session import spread_far
 
 KEY = ["metric", "entity", "period"]
 
@@ -28,9 +29,15 @@ def latest_per_source(claims: DataFrame, tie: str = "claim_id") -> DataFrame:
 
 
 def groups_with_sources(claims: DataFrame, least: int = 2) -> DataFrame:
-    """Groups that at least so many distinct sources speak of, with their number."""
-    source = F.lower(F.trim("source"))
-    return claims.groupBy(*KEY).agg(F.count_distinct(source).alias("n_sources"), F.count("*").alias("n_claims")).filter(F.col("n_sources") >= least)
+    """Groups that at least so many distinct sources speak of, with their number.
+
+    Claims are dealt out by group, over tasks whose number grows with the table, before anything is counted: groups are
+    small and many, so that counts before the exchange would hold a task's whole input and merge little of it.
+    """
+    rows = claims.select(F.struct(*KEY).alias("of"), F.lower(F.trim("source")).alias("source"))  # one column, as Spark deals rows out anew when one of several is constant
+    each = spread_far(rows, "of").groupBy("of", "source").agg(F.count("*").alias("n"))
+    groups = each.groupBy("of").agg(F.count("source").alias("n_sources"), F.sum("n").alias("n_claims"))
+    return groups.filter(F.col("n_sources") >= least).select("of.*", "n_sources", "n_claims")
 
 
 def pairs(claims: DataFrame) -> DataFrame:

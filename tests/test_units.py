@@ -222,6 +222,23 @@ def test_figures_like_each_pattern_tried(spark):
     assert {r.i: r.f for r in rows.select("i", tags.figures(F.col("t")).alias("f")).collect()} == {i: tried(texts[i % 50]) for i in range(150)}
 
 
+def test_groups_with_sources_are_counted_after_one_exchange(spark, tmp_path):
+    """Tasks that count grow in number with those that read; one constant key brings no second exchange, and null sources count as claims only."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import claims as M
+
+    spark.range(4_000, numPartitions=6).withColumn("v", F.col("id") % 50).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.option("maxPartitionBytes", 1).parquet(f"{tmp_path}/t")
+    claims = rows.select(F.lit("M").alias("metric"), F.col("v").cast("string").alias("entity"), F.lit("p").alias("period"), F.when(F.col("id") % 5 > 0, F.concat(F.lit(" S"), F.col("id") % 3)).alias("source"))
+    found = M.groups_with_sources(claims, 3)
+    got = {r.entity: (r.metric, r.period, r.n_sources, r.n_claims) for r in found.collect()}
+    assert got == {str(v): ("M", "p", 3, 80) for v in range(50) if v % 5}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert M.spread_far(claims, "entity").rdd.getNumPartitions() >= 8 * claims.rdd.getNumPartitions()
+
+
 def test_cleaned_like_its_sql(spark, duck):
     """Odd texts as the SQL has them, letters that fold to ASCII and marks after letters too; in one pass of Arrow columns, not one of Spark's for each pattern."""
     import random
