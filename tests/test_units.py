@@ -239,6 +239,16 @@ def test_groups_with_sources_are_counted_after_one_exchange(spark, tmp_path):
     assert M.spread_far(claims, "entity").rdd.getNumPartitions() >= 8 * claims.rdd.getNumPartitions()
 
 
+def test_ingest_cleans_on_arrow_columns(spark):
+    """No text goes through the replacements one by one in Spark's expressions."""
+    from siltstone.plans import jobs
+
+    docs = spark.createDataFrame([(1, "Growth \u2014 of the bank is well. " * 40, "news", "2024-01-01")], "doc_id long, text string, source_type string, doc_date string")
+    found = jobs.ingest(docs)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0 and found.filter("contains(text, '\u2014')").count() == 0
+
+
 def test_cleaned_like_its_sql(spark, duck):
     """Odd texts as the SQL has them, letters that fold to ASCII and marks after letters too; in one pass of Arrow columns, not one of Spark's for each pattern."""
     import random
