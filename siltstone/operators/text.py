@@ -28,15 +28,24 @@ def cleaned(text: Column, boilerplate=lexicon.BOILERPLATE) -> Column:
     """Raw extracted text made readable: ordered replacements, then short orphan lines dropped.
 
     The thirty-odd replacements run on whole Arrow columns; as expressions of Spark each of them makes a Java string of the text and bytes of it again.
+    One search for all patterns at once comes first: a text in which none is found stays as it is in every step, and only the others go through them.
     """
     steps = clean_steps(boilerplate)
+    any_step = "|".join(f"(?:{pattern})" for pattern, _ in steps)
+
+    def trimmed(out: pa.Array) -> pa.Array:
+        return pc.ascii_trim(out, " \t\n\x0b\f\r")
+
+    def replaced(out: pa.Array) -> pa.Array:
+        for pattern, by in steps:
+            out = pc.replace_substring_regex(out, pattern, by)
+        return pc.replace_substring_regex(trimmed(out), r"\n{3,}", "\n\n")
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         out = pc.fill_null(texts, "")
-        for pattern, by in steps:
-            out = pc.replace_substring_regex(out, pattern, by)
-        return pc.replace_substring_regex(pc.ascii_trim(out, " \t\n\x0b\f\r"), r"\n{3,}", "\n\n")
+        touched = pc.match_substring_regex(out, any_step)
+        return pc.replace_with_mask(trimmed(out), touched, replaced(out.filter(touched)))
 
     return run(text)
 

@@ -10,6 +10,7 @@ from ..functions import lexicon
 from ..operators import chunking, graph, scoring, tagging
 from ..operators import text as T
 from ..operators import vector as V
+from ..session import spread_few
 from ..sources import feeds
 from ..sources.tables import table
 from . import fixtures as X
@@ -28,19 +29,24 @@ def query(sql: str | None = None):
 
 
 def ingest(docs: DataFrame) -> DataFrame:
-    """Documents to tagged chunks: clean, flag duplicates, chunk, tag, route. One lineage, two small shuffles."""
-    flagged = T.flagged_duplicates(docs).filter(F.length("text") >= 50)
-    cleaned = flagged.withColumn("text", T.cleaned(F.col("text")))
-    chunks = chunking.chunk_documents(cleaned)
-    tags = cleaned.select("doc_id", "source_type", "doc_date", "is_duplicate")
-    tagged = chunks.join(tags, "doc_id").withColumn("namespace", C.lookup(F.col("source_type"), lexicon.NAMESPACES, "default"))
+    """Documents, as a table is read, to tagged chunks: clean, chunk, flag duplicates, tag, route.
+
+    Whole texts stay in the task that reads them, however many are alike. Only hashes and ids are grouped; a chunk is of a first copy if its id and hash are among theirs.
+    """
+    hashed = lambda rows: rows.filter(F.length("text") >= 50).filter("doc_id IS NOT NULL").withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    cleaned = hashed(spread_few(docs)).withColumn("text", T.cleaned(F.col("text")))
+    chunks = chunking.chunk_documents(cleaned, carried=("source_type", "doc_date", "content_hash"))
+    firsts = hashed(docs).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).withColumn("is_first", F.lit(True))
+    flagged = chunks.join(firsts, ["doc_id", "content_hash"], "left").withColumn("is_duplicate", F.col("is_first").isNull()).drop("content_hash", "is_first")
+    tagged = flagged.withColumn("namespace", C.lookup(F.col("source_type"), lexicon.NAMESPACES, "default"))
     return tagged.withColumn("quarter", tagging.quarter(F.col("text"))).withColumn("fiscal_year", tagging.fiscal_year(F.col("text")))
 
 
 def audit(chunks: DataFrame) -> DataFrame:
-    """One row a namespace: documents, chunks, characters, duplicates."""
-    return chunks.groupBy("namespace").agg(
-        F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_chunks"), F.sum("chars").alias("chars"), F.count_distinct(F.when(F.col("is_duplicate"), F.col("doc_id"))).alias("n_duplicates")
+    """One row a namespace: documents, chunks, characters, duplicates. Chunks are summed by document first, so that distinct documents are counted without copies of the rows."""
+    documents = chunks.groupBy("namespace", "doc_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("is_duplicate").alias("is_duplicate"))
+    return documents.groupBy("namespace").agg(
+        F.count("doc_id").alias("n_documents"), F.sum("n").alias("n_chunks"), F.sum("chars").alias("chars"), F.count(F.when(F.col("is_duplicate"), F.col("doc_id"))).alias("n_duplicates")
     )
 
 

@@ -249,6 +249,44 @@ def test_ingest_cleans_on_arrow_columns(spark):
     assert found.count() > 0 and found.filter("contains(text, '\u2014')").count() == 0
 
 
+def test_ingest_joins_no_texts(spark, tmp_path):
+    """Texts are cut in the tasks that read them, so that no copies meet in one; each row's chunks count once, though an id comes twice."""
+    import datetime
+
+    from siltstone.plans import jobs
+
+    said = {k: " ".join(f"Line {i} of the {k} report says that growth of the bank is well above that of {i} others. " for i in range(n)) for k, n in (("first", 40), ("second", 9), ("third", 25))}
+    kinds = ("rbi", "news", "blog", "annual_report", None)
+    texts = [said["first"], said["second"], said["first"], None, "short", said["third"], said["first"], said["second"] + "\u2014", *[said["third"]] * 12]
+    rows = [(i, t, kinds[i % 5], datetime.date(2024, 1, 1)) for i, t in enumerate(texts)] + [(5, said["second"], "news", None), (None, said["first"], "rbi", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source_type string, doc_date date").repartition(8).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.option("maxPartitionBytes", 1).parquet(f"{tmp_path}/d")
+    found = jobs.ingest(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInPandas") :].split("Aggregate")[0]
+    assert "Join" not in below and "Repartition" not in below
+
+    want: dict[str, list] = {}
+    for i, t, kind, _ in rows:
+        if i is None or len(t or "") < 50:
+            continue
+        cut = [c for c in dict.fromkeys(chunking.chunks(t.replace("\u2014", "-").strip(), *chunking.lexicon.CHUNK_SIZES[kind or "unknown"])) if len(c.split()) >= 20]
+        later = any(u == t and j is not None and j < i for j, u, _, _ in rows)
+        want.setdefault(chunking.lexicon.NAMESPACES.get(kind, "default"), []).extend((i, len(c), later) for c in cut)
+    got = {r.namespace: tuple(r)[1:] for r in jobs.audit(found).collect()}
+    assert got == {n: (len({i for i, _, _ in w}), len(w), sum(c for _, c, _ in w), len({i for i, _, later in w if later})) for n, w in want.items()}
+    assert found.columns == "doc_id chunk_index chunk_id text chars words chunk_hash source_type doc_date is_duplicate namespace quarter fiscal_year".split()
+
+
+def test_sentences_of_many_initials():
+    """A split that was none costs by its last word, not by all that was joined before."""
+    import time
+
+    began = time.perf_counter()
+    assert chunking.sentences("A. " * 60_000 + "It ends here.") == ["A. " * 60_000 + "It ends here."]
+    assert time.perf_counter() - began < 5
+
+
 def test_cleaned_like_its_sql(spark, duck):
     """Odd texts as the SQL has them, letters that fold to ASCII and marks after letters too; in one pass of Arrow columns, not one of Spark's for each pattern."""
     import random
