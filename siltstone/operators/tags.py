@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicon
+from ..functions.patterns import Pattern
 from . import tagging
 
 #: Source types by file names, the first that matches.
@@ -115,18 +114,18 @@ FIGURE_WORDS = {
     "attrition_pct": ("attrition",), "deal_tcv_bn_usd": ("tcv", "contract"),
 }
 
-_RULES = [(name, FIGURE_WORDS[name], re.compile(f"(?i){pattern}"), low, high) for name, pattern, low, high in FIGURES]
+_RULES = [(name, FIGURE_WORDS[name], Pattern(pattern, words=FIGURE_WORDS[name]), low, high) for name, pattern, low, high in FIGURES]
 _FOLDED = str.maketrans("İıſ", "iis")  # letters that a pattern takes for these whatever the case, but lower() does not
 
 
 def stated_figures(text: str | None) -> dict[str, float]:
-    """What the first match of each pattern states, commas dropped, if it is plausible."""
+    """What the first match of each pattern states, in any case of letters, commas dropped, if it is plausible."""
     found: dict[str, float] = {}
     plain = (text or "").translate(_FOLDED).lower() if text and not text.isascii() else (text or "").lower()
     for name, words, pattern, low, high in _RULES:
         if not any(w in plain for w in words):
             continue
-        match = pattern.search(text)
+        match = pattern.search(plain)
         said = next((g for g in match.groups() if g is not None), None) if match else None
         if said is not None and low <= (number := float(said.replace(",", ""))) <= high:
             found[name] = round(number, 4)

@@ -164,8 +164,7 @@ def financial_figures(spark, sf_dir):
         said.append(F.concat(F.lit(before), v if "{v}" in statement else n, F.lit(after)))
     text = F.concat_ws(". " + "z" * 40 + " ", *said)
     stated = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", text.alias("text"))
-    found = stated.select("p_partkey", tags.figures(F.col("text")).alias("figures"))
-    return found.select("p_partkey", F.explode("figures").alias("figure", "value"))
+    return stated.select("p_partkey", F.explode(tags.figures(F.col("text"))).alias("figure", "value"))  # from a column of figures Spark would read texts twice, before they are dealt out too, to pass over empty ones
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#>]+)["'']', 1) AS links FROM pages),

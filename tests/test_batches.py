@@ -41,3 +41,31 @@ def test_small_files_are_read_by_several_tasks(spark):
     for name in ("table_cells", "financial_figures"):
         parts = structure.QUERIES[name](spark, SF_DIR).select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts >= 4, name
+
+
+def test_figures_are_read_once_and_after_texts_are_dealt_out(spark):
+    plan = structure.QUERIES["financial_figures"](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange")
+
+
+def test_patterns_by_their_first_letters():
+    """Places and what groups hold are those of the whole pattern, and no text is walked letter by letter."""
+    import random
+    import re
+    import time
+
+    from siltstone.functions.patterns import Pattern
+    from siltstone.operators import extraction, tags
+
+    rng = random.Random(7)
+    seen = lambda m: (m.span(), [g for g in m.groups() if g is not None])
+    for pattern in [p for _, p, _, _ in tags.FIGURES] + [p for _, p, *_ in (*extraction.CLAIM_METRICS, *extraction.RECORD_METRICS)]:
+        bits = re.findall(r"[a-z]{2,}", re.sub(r"\\[a-zA-Z]", " ", pattern)) + ["rate", "12.5 %", "7 cr", "3x fy24", " ", " ", "_", "p/e", "\n", "-"]
+        for _ in range(150):
+            text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(12)))
+            assert [seen(m) for m in Pattern(pattern).each(text)] == [seen(m) for m in re.finditer(pattern, text)], (pattern, text)
+    text = ("Growth of the bank is said to be well above that of its peers. " * 400) + "CPI at 4.5%, P/E ratio of 20x, net NPA of 2 %"
+    began = time.perf_counter()
+    for _ in range(200):
+        found = tags.stated_figures(text)
+    assert found == {"cpi_inflation_pct": 4.5, "pe_ratio": 20.0, "nnpa_pct": 2.0} and time.perf_counter() - began < 1.5
