@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicon
-from ..session import spread_far
+from ..session import cut, spread_far
 
 KEY = ["metric", "entity", "period"]
 
@@ -87,8 +87,11 @@ def enough_sources(claims: DataFrame, least: int = 3) -> DataFrame:
 
 
 def conflicts(claims: DataFrame, least_sources: int = 3, top: int | None = 8) -> DataFrame:
-    """From claims to the conflicts most worth a look: gated, grouped, compared, resolved, worst first."""
-    latest = latest_per_source(keyed(enough_sources(claims, least_sources)))
+    """From claims to the conflicts most worth a look: grouped, gated, compared, resolved, worst first.
+
+    The latest of each source are written once, as the gate, both sides of the pairs and the order read them; they speak for the sources of all claims.
+    """
+    latest = enough_sources(cut(latest_per_source(keyed(claims))), least_sources)
     found = resolved(compared(pairs(latest)).filter("is_conflict"))
     rank = F.when(F.col("severity") == "Major", 0).when(F.col("severity") == "Moderate", 1).otherwise(2)
     ordered = found.orderBy(rank, F.desc("pct_diff"), *KEY, "claim_id_a", "claim_id_b")

@@ -1,17 +1,22 @@
 """Numbers that texts state of metrics: as claims, and gathered into records.
 
-All by built-in functions: the places of a metric's names come from a split of the text at them,
-and a window around each place is searched for a number, its unit, an entity and a period.
+A text is read once, in Arrow batches: one search for the fixed parts of all names says which of them are tried at all, and a window around each
+place of a metric's name is searched for a number, its unit, an entity and a period. All else is joins and groups. As built-in functions
+the patterns of a window were searched anew for each use of their results.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.patterns import Part, Pattern, alternatives, each, first
 
 #: Names of metrics in claims, and whether they are ratios.
 CLAIM_METRICS = (
@@ -147,36 +152,117 @@ def needles(pattern: str) -> list[str]:
     return [max(loose.sub("\0", part).split("\0"), key=len).lower() for part in pattern.split("|")]
 
 
-def _mentions(rows: DataFrame, metrics: tuple, key: list[str], text: str, after: int, before: int = 150) -> DataFrame:
-    """A row for each mention of a metric: metric, start, window, and where in it the name ends.
-
-    Plain searches for the fixed parts of names come first, as patterns are slow where they do not match; ``low`` is the text in lower case.
-    """
-
-    def of(name: str, pattern: str) -> Column:
-        named = lambda p: F.struct(F.lit(name).alias("metric"), p["start"].alias("start"), p["end"].alias("end"))
-        none = F.array().cast("array<struct<metric:string,start:int,end:int>>")
-        return F.when(C.contains_any(F.col("low"), needles(pattern)), F.transform(places(F.col(text), f"(?i){pattern}"), named)).otherwise(none)
-
-    each = F.flatten(F.array(*[of(m[0], m[1]) for m in metrics]))
-    found = rows.select(*key, text, F.explode(each).alias("m")).select(*key, text, "m.*")
-    begin = F.greatest(F.lit(0), F.col("start") - before)
-    windows = found.withColumn("window", F.substr(text, begin + 1, F.col("end") + after - begin)).withColumn("name_end", F.col("end") - begin).drop(text)
-    return windows.withColumn("window_low", F.lower("window"))
-
-
-def _based(rows: DataFrame, text: str, company: str | None = None) -> DataFrame:
-    """Rows with their text in lower case, and the entity and period of the whole text."""
-    lowered = rows.withColumn("low", F.lower(text))
-    entity = entity_of(F.col(text), F.col("low"))
-    return lowered.withColumn("base_entity", F.coalesce(F.col(company), entity) if company else entity).withColumn("base_period", period_of(F.col(text), F.col("low")))
-
-
-def _numbered(found: DataFrame, said: Column) -> DataFrame:
-    """Rows where a text says a number, with its value and unit."""
-    value = F.replace(F.regexp_extract(said, NUMBER, 1), F.lit(","), F.lit("")).try_cast("double")
-    said_unit = found.withColumn("value", value).withColumn("unit_said", F.regexp_extract(said, NUMBER, 2)).filter("value IS NOT NULL")
-    return said_unit.withColumn("unit", unit_of(F.col("unit_said"))).drop("unit_said")
+def _letter(match: re.Match) -> str:
+    base, out = match.string[match.start() - 1 : match.start()].isalnum(), []
+    for c in match.group():
+        base = c.isalpha() or c.isdecimal() or (base and unicodedata.category(c) == "Mn")
+        out.append("_" if base else c)
+    return "".join(out)
+
+
+def _plain(text: str) -> str:
+    """A text in lower case, letter for letter; letters and digits beyond ASCII, and marks on them, are underscores: part of a word, but of no pattern."""
+    return (text if text.isascii() else re.sub(r"[^\x00-\x7f]+", _letter, text)).lower()
+
+
+#: In the patterns below ``.`` is any character but those that end a line in Spark's patterns.
+_ANY = "[^\n\r\x85\u2028\u2029]"
+_parts = lambda p: Pattern(p.lower().replace("non.?", f"non{_ANY}?").replace(".to.", f"{_ANY}to{_ANY}"), re.ASCII).parts
+_PARTS = alternatives(PERIOD[len(r"(?i)\b(") : -len(r")\b")])
+_MONTHS, _YEAR = re.fullmatch(r"\(\?:(.*)\)(.*)", _PARTS[-1]).groups()
+#: Each kind of period, and what all of its matches hold.
+_PERIODS = [("fy" if k < len(_PARTS) - 1 else p[:3].lower(), rf"\b{p}\b") for k, p in enumerate([*_PARTS[:-1], *(m + _YEAR for m in alternatives(_MONTHS))])]
+_DIGIT = re.compile("[0-9]")
+_AMOUNT = re.compile(NUMBER[NUMBER.index("(-?") :], re.ASCII)  # from a digit or its sign on; what may stand before changes neither group
+_UNITS = [(unit, re.compile(p, re.ASCII)) for unit, p in UNITS]
+_unit = lru_cache(4096)(lambda said: next((unit for unit, p in _UNITS if p.search(said)), ""))
+_spelled = lru_cache(4096)(lambda said: re.sub(r"\s+", " ", re.sub(r"fy\s*20(\d{2})", r"fy\1", said, flags=re.ASCII), flags=re.ASCII).upper())
+_FOUND = "array<struct<metric:string,start:int,value:double,unit:string,entity:string,text_entity:string,period:string>>"
+_KINDS = {"metric": pa.string(), "start": pa.int32(), "value": pa.float64(), "unit": pa.string(), "entity": pa.string(), "text_entity": pa.string(), "period": pa.string()}
+
+
+class _Reader:
+    """Mentions of metrics with a number. ``before`` and ``after``: the characters of the window around a name. ``behind``: whether a number after the name goes before all others."""
+
+    def __init__(self, metrics: tuple, before: int, after: int, behind: bool):
+        import ahocorasick
+
+        self.before, self.after, self.behind = before, after, behind
+        self.rules: list[tuple[int, str, Part]] = []  # 0 for a metric's name, 1 for an entity's, 2 for a period
+        of: dict[str, list[int]] = {}
+        named = [(kind, name, needle, part) for kind, names in ((0, metrics), (1, ENTITIES)) for name, p, *_ in names for needle, part in zip(needles(p), _parts(p), strict=True)]
+        for kind, name, needle, part in [*named, *((2, "", needle, *_parts(p)) for needle, p in _PERIODS)]:
+            of.setdefault(needle, []).append(len(self.rules))
+            self.rules.append((kind, name, part))
+        self.finder = ahocorasick.Automaton()
+        for needle, which in of.items():
+            self.finder.add_word(needle, tuple(which))
+        self.finder.make_automaton()
+        self.tried = lru_cache(65_536)(self._tried)
+
+    def _tried(self, held: frozenset) -> tuple[dict[str, list[Part]], dict[str, list[Part]], list[Part]]:
+        """Of metrics, entities and periods, the parts that may match where these rules' needles stand."""
+        out: tuple[dict[str, list[Part]], ...] = ({}, {}, {})
+        for i in sorted(set().union(*held)):
+            kind, name, part = self.rules[i]
+            out[kind].setdefault(name, []).append(part)
+        return out[0], out[1], out[2].get("", [])
+
+    @staticmethod
+    def _entity(text: str, named: dict[str, list[Part]]) -> str | None:
+        for name, parts in named.items():
+            if first(parts, text):
+                return name
+        return None
+
+    @staticmethod
+    def _period(text: str, dated: list[Part]) -> str | None:
+        found = first(dated, text)
+        return _spelled(found.group()) if found else None
+
+    def mentions(self, text: str) -> list[tuple]:
+        """A tuple for each mention, as _KINDS has its parts, metrics in their order; ``text_entity``, that of the whole text, where the window names none."""
+        low, ascii_only = _plain(text), text.isascii()
+        metrics, named, dated = self.tried(frozenset([which for _, which in self.finder.iter(low)]))
+        out, whole = [], None
+        for metric, parts in metrics.items():
+            for name in each(parts, low):
+                start, end = name.span()
+                begin = max(0, start - self.before)
+                window = low[begin : end + self.after] if ascii_only else _plain(text[begin : end + self.after])
+                behind = self.behind and _DIGIT.search(window, end - begin)
+                digit = behind or _DIGIT.search(window)
+                if not digit:
+                    continue
+                at, least = digit.start(), end - begin if behind else 0
+                value, unit = _AMOUNT.match(window, at - (at > least and window[at - 1] == "-")).groups()
+                entity, period = self._entity(window, named), self._period(window, dated)
+                if (entity is None or period is None) and whole is None:
+                    whole = self._entity(low, named), self._period(low, dated) or ""
+                out.append((metric, start, float(value.replace(",", "")), _unit(unit), entity, None if entity else whole[0], period or whole[1]))
+        return out
+
+
+@lru_cache(8)
+def _reader(metrics: tuple, before: int, after: int, behind: bool) -> _Reader:
+    return _Reader(metrics, before, after, behind)
+
+
+def _mentions(text: Column, metrics: tuple, after: int, before: int = 150, behind: bool = False) -> Column:
+    """For each text an array of its mentions of metrics that have a number."""
+
+    @F.arrow_udf(_FOUND)
+    def read(texts: pa.Array) -> pa.Array:
+        reader, found, ends = _reader(metrics, before, after, behind), [], [0]
+        for said in texts.to_pylist():
+            if said:
+                found += reader.mentions(said)
+            ends.append(len(found))
+        columns = zip(*found, strict=True) if found else [()] * len(_KINDS)
+        parts = [pa.array(c, kind) for c, kind in zip(columns, _KINDS.values(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=list(_KINDS)))
+
+    return read(text)
 
 
 def claims(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", company: str | None = None) -> DataFrame:
@@ -186,13 +272,13 @@ def claims(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str
     window, else of the company column or the whole text. Of equal claims of a text the first stays.
     """
     ratios = F.create_map(*[F.lit(x) for name, _, ratio in CLAIM_METRICS for x in (name, ratio)])
-    base = _based(rows, text, company)
-    carried = [c for c in base.columns if c not in (text, "low")]
-    found = _numbered(_mentions(base, CLAIM_METRICS, carried, text, after=150), F.col("window"))
-    found = found.withColumn("entity", F.coalesce(entity_of(F.col("window"), F.col("window_low")), "base_entity", F.lit("Unknown"))).withColumn("period", F.coalesce(period_of(F.col("window"), F.col("window_low")), "base_period", F.lit("")))
+    carried = [c for c in rows.columns if c != text]
+    found = rows.select(*carried, F.explode(_mentions(F.col(text), CLAIM_METRICS, after=150)).alias("m"))
+    named = [F.col("m.entity"), *([F.col(company)] if company else []), F.col("m.text_entity"), F.lit("Unknown")]
+    found = found.select(*carried, F.coalesce(*named).alias("entity"), *[F.col(f"m.{c}") for c in ("metric", "start", "value", "unit", "period")])
     first = Window.partitionBy(key, source, "metric", "entity", "period").orderBy("start")
     kept = found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("is_ratio", ratios[F.col("metric")])
-    return kept.select(*[c for c in rows.columns if c != text], "metric", "value", "unit", "entity", "period", "is_ratio", "start")
+    return kept.select(*carried, "metric", "value", "unit", "entity", "period", "is_ratio", "start")
 
 
 def records(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,11 +286,8 @@ def records(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     The number after a metric's name, within 180 characters, goes before one up to 150 characters before it.
     """
-    found = _mentions(_based(rows, text), RECORD_METRICS, [key, "base_entity", "base_period"], text, after=180)
-    behind = F.substr("window", F.col("name_end") + 1)
-    said = F.when(behind.rlike(r"\d"), behind).otherwise(F.col("window"))
-    found = _numbered(found, said)
-    found = found.withColumn("entity", F.coalesce(entity_of(F.col("window"), F.col("window_low")), "base_entity", F.lit("Unknown"))).withColumn("period", F.coalesce(period_of(F.col("window"), F.col("window_low")), "base_period", F.lit("")))
+    found = rows.select(key, F.explode(_mentions(F.col(text), RECORD_METRICS, after=180, behind=True)).alias("m"))
+    found = found.select(key, F.coalesce("m.entity", "m.text_entity", F.lit("Unknown")).alias("entity"), *[F.col(f"m.{c}") for c in ("metric", "start", "value", "unit", "period")])
     firsts = found.groupBy(key, "entity", "period", "metric").agg(F.min_by(F.struct("value", "unit"), "start").alias("v"))
     entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", f"v.{c}"))))
     return firsts.groupBy(key, "entity", "period").agg(entries("value").alias("metrics"), entries("unit").alias("units"))

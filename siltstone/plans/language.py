@@ -14,7 +14,7 @@ from ..operators import requests as R
 from ..operators import responses as A
 from ..operators import understanding as U
 from ..operators import vector as V
-from ..session import spread, spread_few
+from ..session import spread, spread_far, spread_few
 from ..sources.tables import table
 from . import evidence as G
 from . import fixtures as X
@@ -100,7 +100,7 @@ WHO_SQL = "['HDFC Bank', 'ICICI Bank', 'SBI', 'Axis Bank', 'Unknown'][CAST(who +
 
 def statements(spark, sf_dir):
     """What three metrics of a bank are said to be, far enough apart to be read by themselves."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    o = spread_far(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     who = F.element_at(F.array(*[F.lit(w) for w in ("HDFC Bank", "ICICIBANK", "State Bank of India", "Axis  Bank", "The bank")]), (F.col("o_custkey") % 5 + 1).cast("int"))
     nim = (F.expr(NUMBERS["nim"]) / 10).cast("decimal(4,1)").cast("string")
     period = F.concat(F.lit("Q"), (1 + F.col("o_orderkey") % 4).cast("string"), F.lit(" FY"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("20")).otherwise(F.lit("")), (20 + F.col("o_orderkey") % 7).cast("string"))

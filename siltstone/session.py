@@ -76,7 +76,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def spread_far(df: DataFrame, *keys: str, share: int = 8) -> DataFrame:
     """Rows dealt out by keys over ``share`` times as many tasks as read them, so that what a task holds does not grow with the table."""
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), share * df.rdd.getNumPartitions()), *keys)
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, share * df.rdd.getNumPartitions()), *keys)
 
 
 def spread_few(scan: DataFrame) -> DataFrame:

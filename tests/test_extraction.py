@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -31,3 +33,33 @@ def test_plain_search_first_loses_no_entity_or_period(spark):
 
 def test_statements_of_one_file_are_read_by_several_tasks(spark):
     assert language.statements(spark, SF_DIR).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_mentions_are_those_of_spark_patterns(spark):
+    """What a reader finds in odd texts is what the patterns, run by Spark over whole texts and windows, find."""
+    rng = random.Random(3)
+    names = ["nim", "gross npa", "net non-performing", "GNPA", "price\rto earnings", "price-to-book", "Rev", "total income", "p/e ratio", "loan book"]
+    said = ["HDFC  Bank", "xSBI", "SBÍ", "éSBI", "_RBI", "Reserve Bank", "Kotak Bank", "Q1 FY2024", "fy 26", "Mar'24", "sept 24", "FY204", "éFY24", "4.5%", "-3.2 per cent", "Rs. 5,000 crore", "₹-12 cr", "9bn", "5crown", "(7)", "٣"]
+    odd = ["\n", " ", "́", "ſ", "K", "İ", " ", E.MARK, "日本", "and so on " * 15, "x" * 140]
+    text = lambda: "".join(rng.choice(rng.choice([names, said, odd])) + rng.choice([" ", " ", "", ". "]) for _ in range(rng.randrange(1, 18)))
+    rows = spark.createDataFrame([(i, text()) for i in range(600)] + [(600, None), (601, "")], "id int, text string").cache()
+    every = [
+        rows.select("id", "text", F.lit(k).alias("k"), F.lit(name).alias("metric"), F.explode(E.places(F.col("text"), f"(?i){pattern}")).alias("p")) for k, (name, pattern, _) in enumerate(E.CLAIM_METRICS)
+    ]
+    begin = F.greatest(F.col("p.start") - 150, F.lit(0))
+    found = reduce(lambda a, b: a.unionByName(b), every).withColumn("window", F.substr("text", begin + 1, F.col("p.end") + 150 - begin))
+    number = F.regexp_extract("window", E.NUMBER, 1)
+    value, unit = F.replace(number, F.lit(","), F.lit("")).try_cast("double"), E.unit_of(F.regexp_extract("window", E.NUMBER, 2))
+    entity = E.entity_of(F.col("window"))
+    want = found.filter(value.isNotNull()).select("id", "k", "metric", "p.start", value, unit, entity, F.when(entity.isNull(), E.entity_of(F.col("text"))), F.coalesce(E.period_of(F.col("window")), E.period_of(F.col("text")), F.lit("")))
+    want = [(r[0], *r[2:]) for r in sorted(want.collect(), key=lambda r: (r[0], r[1], r[3]))]
+    got = [(r.id, *m) for r in rows.collect() for m in E._reader(E.CLAIM_METRICS, 150, 150, False).mentions(r.text or "")]
+    assert len(want) > 500 and got == want
+    read = rows.select("id", E._mentions(F.col("text"), E.CLAIM_METRICS, after=150).alias("m")).collect()
+    assert [(r.id, *m) for r in sorted(read) for m in r.m] == want
+
+
+def test_conflicts_read_texts_once(spark):
+    """Gate, pairs and order are made of the latest claims, which are written once."""
+    plan = language.QUERIES["extracted_conflicts"](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "orders.parquet" not in plan
