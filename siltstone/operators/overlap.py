@@ -47,12 +47,15 @@ def long_words(text: F.Column) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b[a-z]{4,}\b"), F.lit(0)))
 
 
-#: Theses and passages that meet in one group.
-LEFT_ROWS, RIGHT_ROWS = 16_384, 16_384
+#: Theses and passages that meet in one group, the firsts that may come of it, and those that a batch of them has.
+LEFT_ROWS, RIGHT_ROWS, FOUND_ROWS, SENT = 16_384, 16_384, 1_048_576, 65_536
 
 
 def _firsts(least: int, names: list[str]):
-    """Of each group of theses and passages: for each thesis and title the first passage that shares enough words, with their number."""
+    """Of each group of theses and passages: for each thesis and title the first passage that shares enough words, with their number.
+
+    Passages have nth, their place by title and order, and group, the number of their title.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right["nth"]))
@@ -75,8 +78,9 @@ def _firsts(least: int, names: list[str]):
                 theses.append(np.full(len(enough), i))
                 places.append(enough)
                 shared.append(counts[enough])
-        at = np.concatenate(places)
-        return pa.Table.from_arrays([left["id"].take(np.concatenate(theses)), right["title"].take(at), right["first"].take(at), pa.array(np.concatenate(shared), pa.int64())], names=names)
+        at, of = np.concatenate(places), np.concatenate(theses)
+        found = pa.Table.from_arrays([left["id"].take(of), right["title"].take(at), right["first"].take(at), pa.array(np.concatenate(shared), pa.int64())], names=names)
+        return pa.Table.from_batches(found.to_batches(SENT), found.schema)
 
     return run
 
@@ -86,16 +90,18 @@ def first_sharing(left: DataFrame, right: DataFrame, least: int = LEAST) -> Data
 
     left: id, words; right: title, first (any order that Spark knows), words; arrays without repeats and nulls. Of rows with one title and the same words only the smallest is compared. Blocks of
     left meet blocks of right, in which words are counted over inverted lists, so that a task has a bounded number of rows and only firsts leave it, where pairs would
-    grow with both sides multiplied. The blocks' pairs grow so too, by one for each LEFT_ROWS x RIGHT_ROWS.
+    grow with both sides multiplied. The blocks' pairs grow so too, by one for each LEFT_ROWS x RIGHT_ROWS; where a block has many titles, so that more
+    than FOUND_ROWS may come of such a pair, fewer rows of left meet it.
     """
     spark = left.sparkSession
     one = cut(left.select("id", "words"))
     two = cut(right.groupBy("title", F.sort_array("words").alias("words")).agg(F.min("first").alias("first")))
     n_blocks = max(1, -(-two.count() // RIGHT_ROWS))
-    n_parts = max(-(-one.count() // LEFT_ROWS), -(-spark.sparkContext.defaultParallelism // n_blocks))
     order = Window.partitionBy("block").orderBy("title", "first")
     two = two.repartitionByRange(n_blocks, "title", "first").withColumn("block", F.spark_partition_id())
-    two = cut(two.select("*", F.row_number().over(order).alias("nth"), F.dense_rank().over(order).alias("group")))
+    two = cut(two.select("*", F.row_number().over(order).alias("nth"), F.dense_rank().over(Window.partitionBy("block").orderBy("title")).alias("group")))
+    n_titles = two.agg(F.max("group")).first()[0] or 1
+    n_parts = max(-(-one.count() // max(1, min(LEFT_ROWS, FOUND_ROWS // n_titles))), -(-spark.sparkContext.defaultParallelism // n_blocks))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     n_tasks = max(n_parts * n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     one = one.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int")).select("*", each(n_blocks).alias("block")).repartition(n_tasks, "part", "block")

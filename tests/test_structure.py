@@ -81,6 +81,41 @@ def test_firsts_without_pairs(spark, monkeypatch, rows):
     assert O.first_sharing(left, right.filter("false")).count() == O.first_sharing(left.filter("false"), right).count() == 0
 
 
+def test_only_firsts_leave_a_group(spark, monkeypatch, tmp_path):
+    """Of thirty passages of a title that a thesis shares words with one leaves the task; few theses meet many titles; batches are small."""
+    import uuid
+
+    import pyarrow as pa
+
+    real, folder = O._firsts, str(tmp_path)
+
+    def counted(least, names):
+        run = real(least, names)
+
+        def go(left, right):
+            out = run(left, right)
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(out.num_rows))
+            return out
+
+        return go
+
+    monkeypatch.setattr(O, "_firsts", counted)
+    monkeypatch.setattr(O, "FOUND_ROWS", 100)
+    words = [f"w{i}" for i in range(12)]
+    left = spark.createDataFrame([(i, words[:6]) for i in range(200)], "id long, words array<string>")
+    right = spark.createDataFrame([(t, t * 100 + k, [*words[:4], f"x{t} {k}"]) for t in range(20) for k in range(30)], "title long, first long, words array<string>")
+    got = {(r.id, r.title): (r.first, r.shared) for r in O.first_sharing(left, right).collect()}
+    assert got == {(i, t): (t * 100, 4) for i in range(200) for t in range(20)}
+    sent = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sent) == len(got) and max(sent) < 500
+
+    monkeypatch.setattr(O, "SENT", 10)
+    tables = [pa.table({"id": list(range(40)), "words": [words] * 40}), pa.table({"title": [1, 2], "first": [5, 6], "words": [words] * 2, "nth": [1, 2], "group": [1, 2]})]
+    out = real(3, ["id", "title", "first", "shared"])(*tables)
+    assert out.num_rows == 80 and max(b.num_rows for b in out.to_batches()) <= 10
+
+
 def test_sections_of_the_numbered_documents(spark):
     """Against a search for each header, and nothing lost: sections and headers together are the text."""
     import hashlib
