@@ -277,7 +277,7 @@ def claims(rows: DataFrame, key: str = "doc_id", text: str = "text", source: str
     named = [F.col("m.entity"), *([F.col(company)] if company else []), F.col("m.text_entity"), F.lit("Unknown")]
     found = found.select(*carried, F.coalesce(*named).alias("entity"), *[F.col(f"m.{c}") for c in ("metric", "start", "value", "unit", "period")])
     first = Window.partitionBy(key, source, "metric", "entity", "period").orderBy("start")
-    kept = found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("is_ratio", ratios[F.col("metric")])
+    kept = found.withColumn("before", F.lag("start").over(first)).filter("before IS NULL").withColumn("is_ratio", ratios[F.col("metric")])  # few claims repeat: as a limit of ranks Spark would sort them all before the exchange too
     return kept.select(*carried, "metric", "value", "unit", "entity", "period", "is_ratio", "start")
 
 

@@ -63,3 +63,12 @@ def test_conflicts_read_texts_once(spark):
     """Gate, pairs and order are made of the latest claims, which are written once."""
     plan = language.QUERIES["extracted_conflicts"](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" not in plan and "orders.parquet" not in plan
+
+
+def test_claims_are_sorted_once(spark):
+    """Few claims repeat, so that no sort before the exchange helps; those that do, also over rows of one key, count once."""
+    plan = language.QUERIES["claim_extraction"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("ArrowEvalPython") == 1
+    texts = ["NIM was 4% for SBI. NIM of SBI is 5%", "At SBI NIM is 6%", "NIM of SBI is 7%"]
+    rows = spark.createDataFrame([(1, "a", texts[0]), (1, "a", texts[1]), (1, "b", texts[2]), (2, "a", texts[2])], "doc_id long, source string, text string")
+    assert sorted((r.doc_id, r.source, r.value) for r in E.claims(rows).collect()) == [(1, "a", 4.0), (1, "b", 7.0), (2, "a", 7.0)]
