@@ -288,9 +288,11 @@ def records(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     found = rows.select(key, F.explode(_mentions(F.col(text), RECORD_METRICS, after=180, behind=True)).alias("m"))
     found = found.select(key, F.coalesce("m.entity", "m.text_entity", F.lit("Unknown")).alias("entity"), *[F.col(f"m.{c}") for c in ("metric", "start", "value", "unit", "period")])
-    firsts = found.groupBy(key, "entity", "period", "metric").agg(F.min_by(F.struct("value", "unit"), "start").alias("v"))
-    entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", f"v.{c}"))))
-    return firsts.groupBy(key, "entity", "period").agg(entries("value").alias("metrics"), entries("unit").alias("units"))
+    said = F.sort_array(F.collect_list(F.struct("metric", "start", "value", "unit")))  # one exchange; the first of each metric is that after another metric
+    found = found.groupBy(key, "entity", "period").agg(said.alias("said"))
+    found = found.select(key, "entity", "period", F.filter("said", lambda x, i: (i == 0) | (x["metric"] != F.get("said", i - 1)["metric"])).alias("said"))
+    entries = lambda c: F.map_from_arrays(F.col("said.metric"), F.col(f"said.{c}"))
+    return found.select(key, "entity", "period", entries("value").alias("metrics"), entries("unit").alias("units"))
 
 
 def wide_records(found: DataFrame, metrics: tuple[str, ...] = ("nim", "nii", "gnpa", "nnpa", "casa", "crar", "pcr", "roe", "roa", "pat", "equity", "assets", "pe")) -> DataFrame:

@@ -72,3 +72,12 @@ def test_claims_are_sorted_once(spark):
     texts = ["NIM was 4% for SBI. NIM of SBI is 5%", "At SBI NIM is 6%", "NIM of SBI is 7%"]
     rows = spark.createDataFrame([(1, "a", texts[0]), (1, "a", texts[1]), (1, "b", texts[2]), (2, "a", texts[2])], "doc_id long, source string, text string")
     assert sorted((r.doc_id, r.source, r.value) for r in E.claims(rows).collect()) == [(1, "a", 4.0), (1, "b", 7.0), (2, "a", 7.0)]
+
+
+def test_records_are_grouped_after_one_exchange(spark):
+    """Of a metric's values in a record the first by place counts, also over rows of one key."""
+    plan = language.QUERIES["record_extraction"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1
+    rows = spark.createDataFrame([(1, "Now NIM is 4% and ROE 9% at SBI"), (1, "NIM is 5% at SBI"), (2, "At SBI NIM is 6%, NIM of FY24 7%")], "doc_id long, text string")
+    got = {(r.doc_id, r.entity, r.period): (r.metrics, r.units) for r in E.records(rows).collect()}
+    assert got == {(1, "SBI", ""): ({"NIM": 5.0, "ROE": 9.0}, {"NIM": "%", "ROE": "%"}), (2, "SBI", "FY24"): ({"NIM": 6.0}, {"NIM": "%"})}
